@@ -7,20 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.common import table
+from palimpsest.llm.langid import identify_languages
 from palimpsest.llm.mixing import mixing_report, mixing_sql
+from palimpsest.llm.packing import pack
+from palimpsest.llm.pii import find_personal_data
 from palimpsest.llm.quality import quality_report, quality_sql
+from palimpsest.llm.secrets import scan_secrets
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_report(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op8_poisson_mixing)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_secret_scans, op6_personal_data, op7_language_id, op8_poisson_mixing, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
