@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.common import table
 from palimpsest.llm.langid import identify_languages
+from palimpsest.llm.lines import line_report, line_sql
 from palimpsest.llm.mixing import mixing_report, mixing_sql
 from palimpsest.llm.packing import pack
 from palimpsest.llm.pii import find_personal_data
@@ -39,9 +40,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_secret_scans, op6_personal_data, op7_language_id, op8_poisson_mixing, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_secret_scans, op6_personal_data, op7_language_id, op8_poisson_mixing, op9_best_fit_packing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_sql(), "op8_poisson_mixing": mixing_sql()}
+    return {"op3_quality_rules": quality_sql(), "op8_poisson_mixing": mixing_sql(), "op10_line_dedup": line_sql()}
