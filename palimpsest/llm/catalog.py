@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.common import table
+from palimpsest.llm.jaccard import jaccard_components
 from palimpsest.llm.langid import identify_languages
 from palimpsest.llm.lines import line_report, line_sql
 from palimpsest.llm.mixing import mixing_report, mixing_sql
@@ -16,6 +17,10 @@ from palimpsest.llm.quality import quality_report, quality_sql
 from palimpsest.llm.secrets import scan_secrets
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_secret_scans, op6_personal_data, op7_language_id, op8_poisson_mixing, op9_best_fit_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_secret_scans, op6_personal_data, op7_language_id, op8_poisson_mixing, op9_best_fit_packing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
