@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.audio import match_recordings, recordings
 from palimpsest.llm.common import table
 from palimpsest.llm.jaccard import jaccard_components
 from palimpsest.llm.langid import identify_languages
@@ -14,6 +15,7 @@ from palimpsest.llm.mixing import mixing_report, mixing_sql
 from palimpsest.llm.packing import pack
 from palimpsest.llm.pii import find_personal_data
 from palimpsest.llm.quality import quality_report, quality_sql
+from palimpsest.llm.repeats import repeated_strings
 from palimpsest.llm.secrets import scan_secrets
 
 
@@ -21,6 +23,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_recordings(recordings(table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -50,7 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_secret_scans, op6_personal_data, op7_language_id, op8_poisson_mixing, op9_best_fit_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_rules, op4_secret_scans, op5_media_columns, op6_personal_data, op7_language_id, op8_poisson_mixing, op9_best_fit_packing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
