@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import discard, map_batches, written
+from palimpsest.llm.common import discard, map_batches, own_columns, written
 
 RATE = 2756
 FRAME = 1024
@@ -61,7 +61,7 @@ def recordings(vectors: DataFrame) -> DataFrame:
             audio = [play(v) if v else None for v in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(audio, pa.binary())], names=["id", "audio"])
 
-    return map_batches(vectors.select("vec_id", "embedding"), run, "id long, audio binary")
+    return map_batches(own_columns(vectors, "vec_id", "embedding"), run, "id long, audio binary")
 
 
 def samples(audio: bytes | None) -> tuple[np.ndarray, int]:
@@ -146,7 +146,7 @@ def fingerprints(media: DataFrame) -> DataFrame:
         names = [hashlib.sha256(f.astype("<u4").tobytes()).hexdigest() if len(f) else None for f in found]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([f.astype(np.int64) for f in found], pa.list_(pa.int64())), pa.array(names, pa.string())], names=["id", "n_codes", "codes", "name"])
 
-    return map_batches(media.select("id", "audio"), run, "id long, n_codes long, codes array<long>, name string")
+    return map_batches(own_columns(media, "id", "audio"), run, "id long, n_codes long, codes array<long>, name string")
 
 
 def _small(df: DataFrame) -> DataFrame:

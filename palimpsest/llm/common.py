@@ -79,6 +79,29 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.
     return df.mapInArrow(run, schema)
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets executors import this package, once to a context: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_palimpsest_shipped", False):
+        return
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    import palimpsest
+
+    top = Path(palimpsest.__file__).parent
+    if top.is_dir():
+        folder = tempfile.mkdtemp(prefix="palimpsest-code-")
+        atexit.register(_remove_local, folder)
+        with zipfile.ZipFile(f"{folder}/palimpsest.zip", "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f"palimpsest/{f.relative_to(top)}")
+        context.addPyFile(f"{folder}/palimpsest.zip")
+    context._palimpsest_shipped = True
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only: extra columns of the input, whatever their names, cannot clash with ours."""
+    ship(df.sparkSession)
     return df.select(*(df[f"`{n}`"] for n in names))
