@@ -43,3 +43,70 @@ def select_point_in_time(versions: DataFrame, as_of: str, mode: str = "governing
     overlay = F.col("o").isNotNull() & ~F.coalesce(handed_off, F.lit(False))
     chosen = F.when(overlay, F.col("o")).otherwise(F.col("b"))
     return winners.select("addr", F.when(overlay, "temporary").otherwise("permanent").alias("rail"), chosen.alias("c")).filter("c is not null").select("addr", "rail", "c.*")
+
+
+def visible(selected: DataFrame) -> DataFrame:
+    """Drops selected versions hidden by an ancestor (newer, or temporary over permanent) and tombstones (null content).
+
+    Addresses are paths; each is joined to its proper prefixes, so the work is linear in their depth.
+    """
+    parts = F.split("addr", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    own = selected.withColumn("ancestor", F.explode_outer(F.when(F.size(parts) > 1, prefixes)))
+    above = selected.select(F.col("addr").alias("ancestor"), F.col("effective").alias("a_effective"), F.col("rail").alias("a_rail"))
+    hidden = own.join(above, "ancestor").filter((F.col("a_effective") > F.col("effective")) | ((F.col("a_rail") == "temporary") & (F.col("rail") == "permanent"))).select("addr").distinct()
+    return selected.filter("content is not null").join(hidden, "addr", "left_anti")
+
+
+def temporal_status(kind: Column, fixed: Column, resolved: Column, superseded: Column, day: str) -> Column:
+    """'active', 'scheduled', 'pending' or 'inactive' of an activation rule at a date."""
+    dated = lambda c: F.when(c <= day, "active").otherwise("scheduled")
+    return F.when(superseded, "inactive").when(kind == "immediate", "active").when(kind == "fixed_date", dated(fixed)).when(resolved.isNull(), "pending").otherwise(dated(resolved))
+
+
+def overall_status(status: Column) -> Column:
+    """Over many rules: pending, then active, then scheduled; nothing at all is inactive."""
+    has = lambda s: F.max(F.coalesce(status == s, F.lit(False)))
+    return F.when(has("pending"), "pending").when(has("active"), "active").when(has("scheduled"), "scheduled").otherwise("inactive")
+
+
+def op_overrides(ops: DataFrame, events: DataFrame) -> DataFrame:
+    """Per op: effective (earliest commence or revive), expires (earliest expire or suspend), contingent, from the events on its group."""
+    at = lambda *kinds: F.min(F.when(F.col("event_kind").isin(*kinds), F.col("event_day")))
+    found = events.groupBy("group_id").agg(at("commence", "revive").alias("effective"), at("expire", "suspend").alias("expires"), F.coalesce(F.max("contingent"), F.lit(False)).alias("contingent"))
+    return ops.join(found, "group_id", "left").fillna(False, ["contingent"])
+
+
+def cap_versions(versions: DataFrame, events: DataFrame) -> DataFrame:
+    """Expiring events (addr, day): the address's live versions that began on or before the day end there, as temporary ones."""
+    first = events.groupBy("addr").agg(F.min("day").alias("day"))
+    joined = versions.join(first, "addr", "left")
+    hit = F.col("day").isNotNull() & (F.col("effective") <= F.col("day")) & (blank(F.col("expires")) | (F.col("expires") > F.col("day")))
+    return joined.withColumn("variant", F.when(hit, "temporary").otherwise(F.col("variant"))).withColumn("expires", F.when(hit, F.col("day")).otherwise(F.col("expires"))).drop("day")
+
+
+def splice_windows(writes: DataFrame, occupants: DataFrame) -> DataFrame:
+    """Writes (addr, effective, expires, proven, …) with a decision: 'spliced', or why it stays unresolved. Nothing is dropped."""
+    next_start = occupants.select("addr", F.col("effective").alias("o_effective"))
+    joined = writes.join(next_start, "addr", "left").groupBy(*[c for c in writes.columns]).agg(F.min(F.when(F.col("o_effective") > F.col("effective"), F.col("o_effective"))).alias("next_start"))
+    case = F.when(~F.coalesce(F.col("proven"), F.lit(False)), "unproven").when(blank(F.col("expires")) | (F.col("effective") >= F.col("expires")), "empty_interval").when(F.col("next_start") < F.col("expires"), "past_next_occupant")
+    return joined.withColumn("decision", case.otherwise("spliced"))
+
+
+def governing_bound(bounds: DataFrame, key: str, as_of: str) -> DataFrame:
+    """The latest eligible bound per key by (effective, seq): (key, expires_on, ambiguous, expired). ``valid_until`` is an inclusive last day."""
+    use = bounds.filter(F.col("effective") <= as_of)
+    expires = F.date_format(F.date_add(F.try_to_date("valid_until", "yyyy-MM-dd"), 1), "yyyy-MM-dd")
+    top = use.withColumn("expires_on", expires).groupBy(key).agg(F.max("effective").alias("e"), F.max_by("expires_on", F.struct("effective", "seq")).alias("expires_on"))
+    ends = use.withColumn("x", expires).groupBy(key, F.col("effective").alias("e")).agg(F.count_distinct("x").alias("ends"))
+    return top.join(ends, [key, "e"]).select(key, "expires_on", (F.col("ends") > 1).alias("ambiguous"), F.coalesce(F.lit(as_of) >= F.col("expires_on"), F.lit(False)).alias("expired"))
+
+
+def year_of(act: Column) -> Column:
+    """The year of an act id such as 2014/527; null if it has none."""
+    return F.split_part(act, F.lit("/"), F.lit(1)).try_cast("int")
+
+
+def ops_between(ops: DataFrame, act: str, first: int, last: int) -> DataFrame:
+    """Ops of acts of the years from ``first`` to ``last``; ids without a year are left out."""
+    return ops.filter(year_of(F.col(act)).between(first, last))
