@@ -6,8 +6,8 @@ Sets link when 100 * intersection >= 75 * union; no link is lost. The steps:
 2. A set links with no other if more than a quarter of its shingles are in no other set. That is tested on the third
    of all hashes divisible by three: tasks send (hash, class) packed by hash range, at most two classes per hash
    (enough to show that it is shared), so a shingle of a third of all documents costs two entries a task. Most
-   documents leave here.
-3. The others' sets are written. Sizes fall into bands that grow by 4/3. Linked sets lie in one band or in neighbours,
+   documents leave here. The others' sets are written, and the test is made again among them with all hashes.
+3. Sizes fall into bands that grow by 4/3. Linked sets lie in one band or in neighbours,
    and their symmetric difference is at most d, a third of the band's upper end. So sets are cut by hash into p > d
    parts, and each part is XOR-hashed to 64 bits: as one element changes one part, linked sets agree in p - d parts.
    Sets that have fewer empty parts than that agree in a part that is not empty, which is where they meet; the rest
@@ -25,7 +25,7 @@ a row that has one. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,8 @@ from palimpsest.llm.components import components
 from palimpsest.llm.hashing import mix, shingles
 
 #: Packed entries to a bucket, about, and to a task's flush.
-BUCKET = 1_000_000
-FLUSH = 2_000_000
+BUCKET = 400_000
+FLUSH = 600_000
 #: Rows of two longs up to which a table is broadcast.
 BROADCAST_ROWS = 1_000_000
 SKETCH_WORDS = 8
@@ -104,8 +104,16 @@ def _at_most_two(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[keep], y[keep]
 
 
-def _lone_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(k, lone): how many of the sampled shingles of a class are in no other class."""
+def _unique_pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    order = np.lexsort((b, a))
+    a, b = a[order].astype(np.int64), b[order].astype(np.int64)
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.table({"a": a[first], "b": b[first]})
+
+
+def _lone_counts(rows: DataFrame, read: Callable[[pa.RecordBatch, int], tuple[np.ndarray, int]], buckets: int) -> DataFrame:
+    """(k, lone): how many of the hashes that ``read`` gives for a class are given for no other class."""
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -116,13 +124,10 @@ def _lone_counts(docs: DataFrame, buckets: int) -> DataFrame:
                 yield from _packed(*_at_most_two(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])), buckets)
 
         for batch in batches:
-            for value in batch.column(0):
-                s = shingles(_bytes(value))
-                if len(s) < 3:  # such a set links with its equals only
-                    continue
-                sampled = s[s % np.uint64(3) == 0]
-                held.append((sampled, np.full(len(sampled), _class_of(s)[0], np.int64).view(np.uint64)))
-                size += len(sampled)
+            for row in range(batch.num_rows):
+                s, k = read(batch, row)
+                held.append((s, np.full(len(s), k, np.int64).view(np.uint64)))
+                size += len(s)
                 if size >= FLUSH:
                     yield from flush()
                     held, size = [], 0
@@ -136,7 +141,17 @@ def _lone_counts(docs: DataFrame, buckets: int) -> DataFrame:
         k, n = np.unique(y[lone], return_counts=True)
         return pa.table({"k": k.view(np.int64), "lone": n.astype(np.int64)})
 
-    return own_columns(docs, "text").mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(count, "k long, lone long").groupBy("k").agg(F.sum("lone").alias("lone"))
+    return rows.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(count, "k long, lone long").groupBy("k").agg(F.sum("lone").alias("lone"))
+
+
+def _sampled(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, int]:
+    """A third of a text's shingles; a set under 3 links with its equals only."""
+    s = shingles(_bytes(batch.column(0)[row]))
+    return (s[s % np.uint64(3) == 0], _class_of(s)[0]) if len(s) > 2 else (s[:0], 0)
+
+
+def _stored(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, int]:
+    return batch.column(1)[row].values.to_numpy().view(np.uint64), batch.column(0)[row].as_py()
 
 
 # ---------------------------------------------------------------- bands and parts
@@ -199,7 +214,7 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 #: Members of a bucket up to which its pairs are listed at once; of a block of larger buckets.
 LISTED = 16
-BLOCK = 2048
+BLOCK = 1024
 
 
 def _send_keys(sets: DataFrame, buckets: int, edges: list[int], with_root: bool) -> DataFrame:
@@ -244,8 +259,7 @@ def _met_smallest(sets: DataFrame, buckets: int, edges: list[int]) -> DataFrame:
         x, k = x[order], k[order]
         first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
         low = np.repeat(k[first], np.diff(np.append(first, len(x))))
-        pairs = np.unique(np.stack([k, low])[:, k != low], axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        return _unique_pairs(k[k != low], low[k != low])
 
     return _send_keys(sets, buckets, edges, False).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
@@ -269,8 +283,9 @@ def _met_across(sets: DataFrame, buckets: int, edges: list[int]) -> DataFrame:
             i, j = np.triu_indices(n, 1)
             low, high, apart = k[at[:, i]], k[at[:, j]], root[at[:, i]] != root[at[:, j]]
             listed.append(np.stack([high[apart], low[apart]]))
-        pairs = np.unique(np.concatenate(listed, axis=1), axis=1) if listed else np.empty((2, 0), np.int64)
-        out = [(pairs[0], pairs[1], None, None)]
+        high, low = np.concatenate(listed, axis=1) if listed else np.empty((2, 0), np.int64)
+        pairs = _unique_pairs(high, low)
+        out = [(pairs.column("a"), pairs.column("b"), None, None)]
         for s, n in zip(first[several & ~small].tolist(), size[several & ~small].tolist(), strict=True):
             blocks = -(-n // BLOCK)
             for i in range(blocks):
@@ -303,8 +318,8 @@ def _near_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
             near = js[7 * np.bitwise_count(w[js] ^ w[i]).sum(axis=1, dtype=np.int64) <= n[js] + n[i]]
             a.append(np.maximum(k[near], k[i]))
             b.append(np.minimum(k[near], k[i]))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.empty((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        none = [np.empty(0, np.int64)]
+        return _unique_pairs(np.concatenate(a or none), np.concatenate(b or none))
 
     return full.groupBy("g").applyInArrow(compare, "a long, b long")
 
@@ -331,7 +346,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total, largest = stats["total"] or 0, stats["largest"] or 0
     classes = sizes.filter("n > 0").groupBy("k", "c", "n").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes, "classes")
-    lone = _lone_counts(docs, 16 + total // (3 * BUCKET))
+    lone = _lone_counts(own_columns(docs, "text"), _sampled, 16 + total // (3 * BUCKET))
     chosen = written(classes.filter("n >= 3").join(lone, "k", "left").filter("4 * coalesce(lone, 0) <= n").select(F.col("low").alias("doc_id"), "k"), "chosen")
     n_chosen = chosen.count()
     sets = written(_sets(docs, F.broadcast(chosen) if n_chosen <= BROADCAST_ROWS else chosen), "sets")
@@ -340,8 +355,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         discard(sets)
         sets = once
     edges = band_edges(largest)
-    weight = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = 16 + weight // BUCKET
+    buckets = 16 + (sets.agg(F.sum("n")).first()[0] or 0) // BUCKET
+    lone = _lone_counts(sets.select("k", "s"), _stored, buckets)
+    close = written(sets.join(lone, "k", "left").filter("4 * coalesce(lone, 0) <= n").drop("lone"), "sets")
+    discard(sets)
+    sets = close
     pairs = written(_met_smallest(sets, buckets, edges), "pairs")
     links = written(_verified(pairs, sets), "links")
     roots = components(links)
