@@ -4,9 +4,9 @@ The named method sorts all suffixes. Its tables take several times the corpus (s
 sampled by content rather than by a difference cover, and only what the sample leaves open is compared at every
 position:
 
-1. Every window of ``length`` bytes has an anchor: the first of its 16-byte grams with the smallest hash. Equal windows
+1. Every window of ``length`` bytes has an anchor: the first of its 48-byte grams with the smallest hash. Equal windows
    have their anchors at equal places, so an anchor whose gram occurs once ends the matter for all its windows. Anchors
-   are about one byte in ninety.
+   are about one byte in eighty.
 2. An anchor's context holds all its windows. Contexts are named by a hash; where a name occurs twice, all windows of
    the anchor are repeated and none needs to be compared.
 3. What is left are anchors with a repeated gram in a new context: the ends of matches. Their windows, and those of one
@@ -32,13 +32,15 @@ from palimpsest.llm.common import discard, own_columns, written
 from palimpsest.llm.hashing import mix, powers, prefixes, substrings
 
 LENGTH = 200
-GRAM = 16
+GRAM = 48
 FLUSH = 1_500_000
 BUCKET = 1_000_000
 #: Contexts of a gram in a flush beyond which they are dealt by context.
 HOT = 32
 #: What an anchor's windows do: count as repeated; are compared.
 COVERED, COMPARED = 1, 2
+#: Where flags begin in a packed place.
+FLAG = np.uint64(60)
 
 
 def anchors(p: np.ndarray, n: int, length: int = LENGTH) -> np.ndarray:
@@ -199,25 +201,27 @@ def window_replies(open_docs: DataFrame, buckets: int, length: int = LENGTH) ->
         p = prefixes(np.frombuffer(text, np.uint8))
         action = _actions(batch.column(2)[row], len(text))
         start = np.flatnonzero(action[anchors(p, len(text), length)] & COMPARED)
-        return [substrings(p, start, start + length), _whole(len(start), batch.column(0)[row].as_py()), start.astype(np.uint64), np.zeros(len(start), np.uint64)]
+        return [substrings(p, start, start + length), _whole(len(start), batch.column(0)[row].as_py()), start.astype(np.uint64)]
 
     def send(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        name, key, at, _ = c
+        name, key, at = c
         order, group, first = _first_of(name)
         lead, rest = order[first], order[~first]
-        yield from _by_bucket(mix(name[lead]) % np.uint64(buckets), [name[lead], key[lead], at[lead], (np.bincount(group) > 1).astype(np.uint64)])
+        yield from _by_bucket(mix(name[lead]) % np.uint64(buckets), [name[lead], key[lead], at[lead] | ((np.bincount(group) > 1).astype(np.uint64) << FLAG)])
         if len(rest):
-            yield from _by_bucket(mix(key[rest]) % np.uint64(buckets), [name[rest], key[rest], at[rest], np.full(len(rest), 4, np.uint64)])
+            yield from _by_bucket(mix(key[rest]) % np.uint64(buckets), [name[rest], key[rest], at[rest] | (np.uint64(2) << FLAG)])
 
     def settle(rows: pa.Table) -> pa.Table:
-        data = _rows(rows, 4)
-        sent = data[data[:, 3] == 4]
-        data = data[data[:, 3] != 4]
-        order, group, _ = _first_of(data[:, 0])
-        data = data[order]
-        twice = ((np.bincount(group) > 1) | (np.bincount(group, weights=data[:, 3]) > 0))[group] if len(data) else np.zeros(0, bool)
-        found = np.concatenate([data[twice], sent])
-        return _replies(found[:, 1], found[:, 2], np.full(len(found), COVERED))
+        data = _rows(rows, 3)
+        flag, at = data[:, 2] >> FLAG, data[:, 2] & ((np.uint64(1) << FLAG) - np.uint64(1))
+        settled = flag == 2
+        name, key, place, many = data[~settled, 0], data[~settled, 1], at[~settled], flag[~settled] == 1
+        order, group, _ = _first_of(name)
+        twice = np.zeros(len(name), bool)
+        if len(name):
+            twice[order] = ((np.bincount(group) > 1) | (np.bincount(group, weights=many[order]) > 0))[group]
+        key, place = np.concatenate([key[twice], data[settled, 1]]), np.concatenate([place[twice], at[settled]])
+        return _replies(key, place, np.full(len(key), COVERED))
 
     return open_docs.select("key", "text", "replies").mapInArrow(lambda b: _flushed(b, entries, send), PACKED).groupBy("bucket").applyInArrow(settle, REPLY)
 
@@ -272,5 +276,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     joined = written(own.join(replies, "key", "left"), "with-replies")
     discard(replies)
     found = joined.filter("replies is not null")
-    again = written(_gathered(window_replies(found.dropDuplicates(["key"]), buckets, length)).select("key", F.col("replies").alias("windows")), "window-replies")
-    return _report(joined.join(again, "key", "left").select("doc_id", "text", "replies", "windows"), length)
+    again = written(_gathered(window_replies(found, buckets, length)).select("key", F.col("replies").alias("windows")), "window-replies")
+    columns = ("doc_id", "text", "replies", "windows")
+    whole = joined.filter("replies is null").withColumn("windows", F.col("replies")).select(*columns)
+    return _report(found.join(again, "key", "left").select(*columns).unionByName(whole), length)
