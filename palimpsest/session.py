@@ -6,6 +6,12 @@ limits) is left to the session that runs the query, with adaptive execution on.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -30,3 +36,19 @@ def get_session(master: str | None = None, **conf: str) -> SparkSession:
 def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``directory`` (a path or any URI that Spark reads)."""
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets executors import this package, once to a context: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_palimpsest_shipped", False):
+        return
+    top = Path(__file__).parent
+    if top.is_dir():
+        folder = tempfile.mkdtemp(prefix="palimpsest-code-")
+        atexit.register(shutil.rmtree, folder, True)
+        with zipfile.ZipFile(f"{folder}/palimpsest.zip", "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f"palimpsest/{f.relative_to(top)}")
+        context.addPyFile(f"{folder}/palimpsest.zip")
+    context._palimpsest_shipped = True
