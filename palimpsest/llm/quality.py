@@ -136,7 +136,10 @@ def with_quality(docs: DataFrame, rules: QualityRules = QualityRules(), text: st
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:  # noqa: B008
     """The documents that pass, with the columns of the documents table."""
-    return with_quality(own_columns(docs, *DOCUMENT), rules).filter("kept").select(*DOCUMENT)
+    judged = with_quality(own_columns(docs, *DOCUMENT), rules)
+    # a filter would be pushed below the columns that it needs, and each would be computed again wherever it is named
+    once = F.explode(F.when(F.col("kept"), F.array(F.lit(1))))
+    return judged.select(*DOCUMENT, once.alias("__kept")).select(*DOCUMENT)
 
 
 def quality_report(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:  # noqa: B008
