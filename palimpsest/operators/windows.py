@@ -20,12 +20,19 @@ def blame_order(sequence: str = "sequence", act: str = "act", content: str = "is
 
 
 def change_versions(snapshots: DataFrame, addr: str, day: str, content: str, days: DataFrame) -> DataFrame:
-    """(addr, day, content): a version wherever the content differs from the snapshot before; null once it is gone."""
-    grid = snapshots.select(addr).distinct().join(F.broadcast(days.select(day).distinct()), how="inner") if days.count() <= 10_000 else snapshots.select(addr).distinct().crossJoin(days.select(day).distinct())
-    full = grid.join(snapshots.select(addr, day, content), [addr, day], "left")
+    """(addr, day, content): a version wherever the content differs from the snapshot before; null on the day that it is gone.
+
+    Work is linear in the snapshots: instead of a grid of addresses and days, each row looks at its neighbours and at the
+    days before and after its own.
+    """
+    order = Window.orderBy(day)  # over distinct days, which are few
+    around = days.select(day).distinct().withColumn("day_before", F.lag(day).over(order)).withColumn("day_after", F.lead(day).over(order))
     w = Window.partitionBy(addr).orderBy(day)
-    previous = F.lag(content).over(w)
-    return full.withColumn("p", previous).filter(~F.col(content).eqNullSafe(F.col("p"))).select(addr, day, content)
+    seen = snapshots.select(addr, day, content).join(around, day).withColumns({"last_day": F.lag(day).over(w), "last_content": F.lag(content).over(w), "next_day": F.lead(day).over(w)})
+    previous = F.when(F.col("last_day") == F.col("day_before"), F.col("last_content"))
+    changed = seen.filter(~F.col(content).eqNullSafe(previous)).select(addr, day, content)
+    gone = seen.filter(F.col(content).isNotNull() & F.col("day_after").isNotNull() & ~F.col("next_day").eqNullSafe(F.col("day_after")))
+    return changed.unionByName(gone.select(addr, F.col("day_after").alias(day), F.lit(None).cast(snapshots.schema[content].dataType).alias(content)))
 
 
 def score_drops(scores: DataFrame, unit: str, step: str, score: str, least: float = 0.0) -> DataFrame:

@@ -248,3 +248,32 @@ def test_coverage_and_chain(spark):
     units = spark.createDataFrame([("u1", "s:1", None), ("u2", "s:2", "known"), ("u3", "s:3", None)], "unit_id string, kind_label string, class string")
     claims = spark.createDataFrame([("u1",)], "claim string")
     assert {r["unit_id"]: r["state"] for r in A.coverage(units, claims).collect()} == {"u1": "covered", "u2": "known", "u3": "UNIT_UNCLASSIFIED"}
+
+
+HISTORY = [("HE 195/2025 vp", "2014/527", "2014/527/225"), ("HE 83/2025 vp", "2014/527", "2014/527/1"), ("HE 83/2025 vp", "2014/527", "2014/527/210"), ("HE 102/2024 vp", "2014/527", "2014/527/10"), ("HE 176/2025 vp", "1995/1558", "1995/1558/31"), ("HE 176/2025 vp", "1995/1558", "1995/1558/32")]
+STATES = [("HE 195/2025 vp", 2025, 195, "pending"), ("HE 83/2025 vp", 2025, 83, "closed"), ("HE 102/2024 vp", 2024, 102, "enacted"), ("HE 176/2025 vp", 2025, 176, "pending")]
+
+
+def test_proposal_history(spark):
+    refs = spark.createDataFrame(HISTORY, "he_id string, act string, provision string").filter("act = '2014/527'")
+    lists = refs.groupBy("he_id").agg(A.sorted_distinct("provision").alias("provisions"))
+    corpus = spark.createDataFrame(STATES, "he_id string, year int, number int, state string")
+    rows = corpus.join(lists, "he_id").orderBy(F.desc("year"), F.desc("number")).collect()
+    assert [r["he_id"] for r in rows] == ["HE 195/2025 vp", "HE 83/2025 vp", "HE 102/2024 vp"]
+    assert rows[1]["provisions"] == "2014/527/1, 2014/527/210"
+    assert [r["he_id"] for r in rows if r["state"] == "pending"] == ["HE 195/2025 vp"]
+
+
+def test_change_versions(spark):
+    snaps = spark.createDataFrame([("a", "1", "x"), ("a", "2", "x"), ("a", "4", "y"), ("b", "2", "z"), ("b", "3", None), ("b", "4", "z")], "addr string, day string, content string")
+    got = sorted(map(tuple, W.change_versions(snaps, "addr", "day", "content", snaps).collect()))
+    assert got == [("a", "1", "x"), ("a", "3", None), ("a", "4", "y"), ("b", "2", "z"), ("b", "3", None), ("b", "4", "z")]
+
+
+def test_applicable_and_bridge(spark):
+    from palimpsest.operators import selection as L
+
+    df = spark.createDataFrame([("32016R0679",), ("31995L0046",), ("x",)], "c string")
+    assert [r[0] for r in df.select(L.celex_to_eli(F.col("c"))).collect()] == ["reg/2016/679", "dir/1995/46", None]
+    credit = spark.createDataFrame([("Pub. L. 94-553, Oct. 19, 1976; amended",)], "c string").select(L.credit_acts(F.col("c"))).first()[0]
+    assert [(x["law"], x["dated"]) for x in credit] == [("94-553", "Oct. 19, 1976"), ("", "")]
