@@ -30,9 +30,9 @@ GROUP = 8000
 PIECES = "bucket long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-#: Beyond these code points, or with a special token's text, only the reference tokenizer is used: elsewhere both
-#: libraries cut words alike, and the rank file gives the same ids several times faster.
-_OTHER = re.compile("[^\x00-ɏ]|<\\|endoftext\\|>|\\s{4096}|\\S{65536}")
+#: Beyond these code points, with a special token's text or a very long run of white space, only the reference tokenizer
+#: is used: elsewhere both libraries cut words alike, and the rank file gives the same ids several times faster.
+_OTHER = re.compile("[^\x00-ɏ]|<\\|endoftext\\|>|\\s{4096}")
 
 
 class Encoder:
