@@ -79,6 +79,8 @@ PACKED = "bucket long, x binary, y binary"
 
 def _packed(x: np.ndarray, y: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Entries (x, y) by range of the mixed x, one row per bucket."""
+    if not len(x):
+        return
     at = (mix(x) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     at, x, y = at[order], x[order], y[order]

@@ -74,6 +74,8 @@ REPLY = "key long, at binary, what binary"
 
 def _by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows of uint64 columns, packed by bucket."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket, data = bucket[order], np.stack(columns, axis=1)[order]
     used, first = np.unique(bucket, return_index=True)
@@ -89,7 +91,7 @@ def _replies(key: np.ndarray, at: np.ndarray, what: np.ndarray) -> pa.Table:
     order = np.argsort(key, kind="stable")
     key, at, what = key[order], at[order].astype(np.uint32), what[order].astype(np.uint8)
     used, first = np.unique(key, return_index=True)
-    ends = [*first[1:].tolist(), len(key)]
+    ends = [*first[1:].tolist(), len(key)][: len(first)]
     cuts = list(zip(first.tolist(), ends, strict=True))
     return pa.table({"key": pa.array(used.view(np.int64)), "at": pa.array([at[s:e].tobytes() for s, e in cuts], pa.binary()), "what": pa.array([what[s:e].tobytes() for s, e in cuts], pa.binary())})
 
