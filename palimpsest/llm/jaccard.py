@@ -13,8 +13,9 @@ Sets link when 100 * intersection >= 75 * union; no link is lost. The steps:
    Sets that have fewer empty parts than that agree in a part that is not empty, which is where they meet; the rest
    meet in empty parts as well.
 4. Where sets meet they are verified with exact intersections: first each with the smallest of its bucket (which
-   unites copies without listing their pairs), then, in buckets that still hold several components, those across.
-   Parity sketches of 512 bits, whose Hamming distance is at most the symmetric difference, sort out most of the latter.
+   unites copies without listing their pairs), then, in buckets that still hold several components, the nearest of each
+   two, then all that are still across. Parity sketches of 2048 bits, whose Hamming distance is at most the symmetric
+   difference, tell what is near and sort out most of what does not link.
 
 Components come from alternating stars over the verified links. Nothing of this reaches the driver but counts.
 
@@ -41,7 +42,7 @@ BUCKET = 400_000
 FLUSH = 600_000
 #: Rows of two longs up to which a table is broadcast.
 BROADCAST_ROWS = 1_000_000
-SKETCH_WORDS = 8
+SKETCH_WORDS = 32
 
 
 def _bytes(value: pa.Scalar) -> bytes:
@@ -185,13 +186,13 @@ def part_keys(s: np.ndarray, band: int, upper: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """512 parity bits of a set."""
+    """2048 parity bits of a set."""
     at = (mix(s ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
     odd = np.bincount(at, minlength=64 * SKETCH_WORDS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-SETS = "doc_id long, k long, n long, s array<long>, " + ", ".join(f"w{i} long" for i in range(SKETCH_WORDS))
+SETS = "doc_id long, k long, n long, s array<long>, w array<long>"
 
 
 def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -208,8 +209,7 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 ns.append(len(s))
                 ss.append(s.view(np.int64))
                 ws.append(sketch(s).view(np.int64))
-        words = np.array(ws, np.int64).reshape(-1, SKETCH_WORDS)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.int64()), pa.array(ns, pa.int64()), pa.array(ss, pa.list_(pa.int64())), *(pa.array(words[:, i]) for i in range(SKETCH_WORDS))], names=["doc_id", "k", "n", "s", *(f"w{i}" for i in range(SKETCH_WORDS))])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.int64()), pa.array(ns, pa.int64()), pa.array(ss, pa.list_(pa.int64())), pa.array(ws, pa.list_(pa.int64()))], names=["doc_id", "k", "n", "s", "w"])
 
     return map_batches(own, run, SETS)
 
@@ -303,34 +303,39 @@ def _met_across(sets: DataFrame, buckets: int, edges: list[int]) -> DataFrame:
     return _send_keys(sets, buckets, edges, True).groupBy("bucket").applyInArrow(meet, "a long, b long, g long, side long")
 
 
-def _near_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within block pairs whose sketches are near enough."""
-    words = [f"w{i}" for i in range(SKETCH_WORDS)]
-    full = members.select("g", "side", F.col("a").alias("k"), F.col("b").alias("root")).join(sets.select("k", "n", *words), "k").select("g", "side", "k", "root", "n", *words)
+def _near_in_blocks(members: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different components within block pairs whose sketches are near enough; if ``nearest``, only the
+    nearest of each two components."""
+    full = members.select("g", "side", F.col("a").alias("k"), F.col("b").alias("root")).join(sets.select("k", "n", "w"), "k").select("g", "side", "k", "root", "n", "w")
 
     def compare(rows: pa.Table) -> pa.Table:
         side, k, root, n = (rows.column(c).to_numpy() for c in ("side", "k", "root", "n"))
-        w = np.stack([rows.column(c).to_numpy() for c in words], axis=1).view(np.uint64)
+        w = np.concatenate([c.flatten().to_numpy() for c in rows.column("w").chunks]).view(np.uint64).reshape(-1, SKETCH_WORDS)
         one = np.flatnonzero(side == 0)
         two = np.flatnonzero(side == 1) if (side == 1).any() else one
-        a, b = [], []
+        found = [np.empty((3, 0), np.int64)]
         for i in one.tolist():
             apart = (root[two] != root[i]) & (4 * np.minimum(n[two], n[i]) >= 3 * np.maximum(n[two], n[i]))
             js = two[apart]
-            near = js[7 * np.bitwise_count(w[js] ^ w[i]).sum(axis=1, dtype=np.int64) <= n[js] + n[i]]
-            a.append(np.maximum(k[near], k[i]))
-            b.append(np.minimum(k[near], k[i]))
-        none = [np.empty(0, np.int64)]
-        return _unique_pairs(np.concatenate(a or none), np.concatenate(b or none))
+            distance = np.bitwise_count(w[js] ^ w[i]).sum(axis=1, dtype=np.int64)
+            near = 7 * distance <= n[js] + n[i]
+            found.append(np.stack([np.full(int(near.sum()), i), js[near], distance[near]]))
+        i, j, distance = np.concatenate(found, axis=1)
+        if nearest:
+            low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+            order = np.lexsort((distance, high, low))
+            first = np.ones(len(order), bool)
+            first[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+            i, j = i[order][first], j[order][first]
+        return _unique_pairs(np.maximum(k[i], k[j]), np.minimum(k[i], k[j]))
 
     return full.groupBy("g").applyInArrow(compare, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs whose sets are alike enough; sketches go first, as they are short."""
-    words = [f"w{i}" for i in range(SKETCH_WORDS)]
-    side = lambda x: sets.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(w).alias(f"{w}_{x}") for w in words))
-    distance = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    side = lambda x: sets.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("w").alias(f"w_{x}"))
+    distance = F.aggregate(F.zip_with("w_a", "w_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter((4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (7 * distance <= F.col("n_a") + F.col("n_b"))).select("a", "b")
     full = near.join(sets.select(F.col("k").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("s_b")), "b")
     sized = full.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("both"), (F.size("s_a") + F.size("s_b")).alias("sum"))
@@ -341,6 +346,18 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _joined_links(links: DataFrame, more: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links and their components; nothing is done if there are no more."""
+    if not more.limit(1).count():
+        discard(more)
+        return links, roots
+    both = written(links.unionByName(more), "links")
+    out = components(both)
+    for df in (links, more, roots):
+        discard(df)
+    return both, out
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id)."""
     sizes = written(shingle_sizes(docs), "sizes")
@@ -367,21 +384,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     roots = components(links)
     rooted = sets.join(_small(roots), F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k"))
     across = written(_met_across(rooted, buckets, edges), "across")
-    listed = across.filter("g is null").select("a", "b").unionByName(_near_in_blocks(across.filter("g is not null"), sets)).distinct()
+    large = across.filter("g is not null")
+    listed = across.filter("g is null").select("a", "b").unionByName(_near_in_blocks(large, sets, nearest=True)).distinct()
     more = written(listed.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more_links = written(_verified(more, sets), "links")
-    if more_links.limit(1).count():
-        both = written(links.unionByName(more_links), "links")
-        discard(roots)
-        roots = components(both)
-        discard(both)
+    linked, roots = _joined_links(links, written(_verified(more, sets), "links"), roots)
+    # components have grown; what is still across in large buckets is compared in full
+    again = large.join(_small(roots), F.col("a") == F.col("node"), "left").select("a", F.coalesce("root", "a").alias("b"), "g", "side")
+    mixed = again.groupBy("g").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low <> high").select("g")
+    tested = pairs.unionByName(more)
+    last = written(_near_in_blocks(again.join(mixed, "g", "left_semi"), sets, nearest=False).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    linked, roots = _joined_links(linked, written(_verified(last, sets), "links"), roots)
     lows = classes.select(F.col("k").alias("node"), "low")
-    linked = roots.join(lows, "node")
-    of_root = linked.groupBy("root").agg(F.min("low").alias("low"))
-    of_node = linked.select("node", "root").join(of_root, "root").select(F.col("node").alias("m_k"), F.col("low").alias("m"))
+    lowest = roots.join(lows, "node")
+    of_root = lowest.groupBy("root").agg(F.min("low").alias("low"))
+    of_node = lowest.select("node", "root").join(of_root, "root").select(F.col("node").alias("m_k"), F.col("low").alias("m"))
     copied = classes.filter("copies > 1").join(of_node, F.col("k") == F.col("m_k"), "left_anti").select(F.col("k").alias("m_k"), F.col("low").alias("m"))
     mapped = written(of_node.unionByName(copied), "mapped")
-    for df in (classes, chosen, sets, pairs, links, roots, across, more, more_links):
+    for df in (classes, chosen, sets, pairs, linked, roots, across, more, last):
         discard(df)
     out = sizes.join(_small(mapped), (F.col("k") == F.col("m_k")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("m", "doc_id").alias("component_id"))
