@@ -87,8 +87,9 @@ def cap_versions(versions: DataFrame, events: DataFrame) -> DataFrame:
 
 def splice_windows(writes: DataFrame, occupants: DataFrame) -> DataFrame:
     """Writes (addr, effective, expires, proven, …) with a decision: 'spliced', or why it stays unresolved. Nothing is dropped."""
-    next_start = occupants.select("addr", F.col("effective").alias("o_effective"))
-    joined = writes.join(next_start, "addr", "left").groupBy(*[c for c in writes.columns]).agg(F.min(F.when(F.col("o_effective") > F.col("effective"), F.col("o_effective"))).alias("next_start"))
+    starts = occupants.groupBy("addr").agg(F.collect_set("effective").alias("starts"))  # no more than the address has versions
+    following = F.array_min(F.filter("starts", lambda x: x > F.col("effective")))
+    joined = writes.join(starts, "addr", "left").withColumn("next_start", following).drop("starts")
     case = F.when(~F.coalesce(F.col("proven"), F.lit(False)), "unproven").when(blank(F.col("expires")) | (F.col("effective") >= F.col("expires")), "empty_interval").when(F.col("next_start") < F.col("expires"), "past_next_occupant")
     return joined.withColumn("decision", case.otherwise("spliced"))
 

@@ -277,3 +277,15 @@ def test_applicable_and_bridge(spark):
     assert [r[0] for r in df.select(L.celex_to_eli(F.col("c"))).collect()] == ["reg/2016/679", "dir/1995/46", None]
     credit = spark.createDataFrame([("Pub. L. 94-553, Oct. 19, 1976; amended",)], "c string").select(L.credit_acts(F.col("c"))).first()[0]
     assert [(x["law"], x["dated"]) for x in credit] == [("94-553", "Oct. 19, 1976"), ("", "")]
+
+
+def test_event_log_stream(spark, tmp_path):
+    source, sink = str(tmp_path / "log"), str(tmp_path / "states")
+    spark.createDataFrame([("a", 1, "draft"), ("a", 2, "final"), ("b", 1, "draft"), ("b", 2, "gone")], "subject string, ord long, state string").coalesce(1).write.parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        states = streams.log_states(streams.stream_table(spark, source), {"draft": ["final"]})
+        states.writeStream.foreachBatch(lambda b, i: b.write.mode("append").parquet(sink)).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(map(tuple, spark.read.parquet(sink).collect())) == [("a", 1, "draft", True), ("a", 2, "final", True), ("b", 1, "draft", True), ("b", 2, "draft", False)]
