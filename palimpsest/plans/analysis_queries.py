@@ -329,12 +329,6 @@ def term_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.term_uses(t(spark, sf_dir, "documents"), "doc_id", "text", spark.createDataFrame([("License",), ("Apache",), ("password",)], "term string"))
 
 
-@query()
-def html_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The visible text of pages."""
-    return t(spark, sf_dir, "pages").select("page_id", X.html_text(F.col("html")).alias("plain"))
-
-
 # ---------------------------------------------------------------- windows over events (beyond parity)
 
 
