@@ -23,7 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import DOCUMENT, own_columns, total
+from palimpsest.llm.common import DOCUMENT, own_columns, total, written
 
 MAX_PART = 16.0
 #: Entries of a table: at a mean of 16 the probability beyond 80 is under 2 ** -60.
@@ -62,8 +62,8 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, al
 def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int = 17, alpha: float = 0.5, epochs: float = 1.0, columns: tuple[str, ...] = DOCUMENT) -> DataFrame:
     """Each row of ``docs`` as often as drawn, with ``copies``, ``copy_no`` (from 0) and ``place``, its random place in [0, 1)."""
     own = own_columns(docs, *columns)
-    rates = source_rates(own, weights, alpha, epochs).select(F.col("source").alias("r_source"), "parts", "cdf")
-    few = rates.select("r_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    rates = written(source_rates(own, weights, alpha, epochs).select(F.col("source").alias("r_source"), "parts", "cdf"), "rates")
+    few = rates.count() <= BROADCAST_SOURCES
     joined = own.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("r_source")))
     drawn = F.aggregate(
         F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: uniform(seed, F.col("doc_id"), j)),
