@@ -33,7 +33,7 @@ from palimpsest.llm.hashing import mix, powers, prefixes, substrings
 
 LENGTH = 200
 GRAM = 48
-FLUSH = 1_500_000
+FLUSH = 500_000
 BUCKET = 1_000_000
 #: Contexts of a gram in a flush beyond which they are dealt by context.
 HOT = 32
@@ -273,7 +273,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     own = own_columns(docs, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 16 + size // (40 * BUCKET)
+    buckets = 16 + size // (10 * BUCKET)
     replies = written(_gathered(anchor_replies(own, buckets, length)), "anchor-replies")
     joined = written(own.join(replies, "key", "left"), "with-replies")
     discard(replies)
