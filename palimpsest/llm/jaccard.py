@@ -303,10 +303,9 @@ def _met_across(sets: DataFrame, buckets: int, edges: list[int]) -> DataFrame:
     return _send_keys(sets, buckets, edges, True).groupBy("bucket").applyInArrow(meet, "a long, b long, g long, side long")
 
 
-def _near_in_blocks(members: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of different components within block pairs whose sketches are near enough; if ``nearest``, only the
-    nearest of each two components."""
-    full = members.select("g", "side", F.col("a").alias("k"), F.col("b").alias("root")).join(sets.select("k", "n", "w"), "k").select("g", "side", "k", "root", "n", "w")
+def _near_in_blocks(members: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different components within block pairs (g, side, k, root, n, w) whose sketches are near enough; if
+    ``nearest``, only the nearest of each two components."""
 
     def compare(rows: pa.Table) -> pa.Table:
         side, k, root, n = (rows.column(c).to_numpy() for c in ("side", "k", "root", "n"))
@@ -329,7 +328,7 @@ def _near_in_blocks(members: DataFrame, sets: DataFrame, nearest: bool) -> DataF
             i, j = i[order][first], j[order][first]
         return _unique_pairs(np.maximum(k[i], k[j]), np.minimum(k[i], k[j]))
 
-    return full.groupBy("g").applyInArrow(compare, "a long, b long")
+    return members.select("g", "side", "k", "root", "n", "w").groupBy("g").applyInArrow(compare, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -384,15 +383,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     roots = components(links)
     rooted = sets.join(_small(roots), F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k"))
     across = written(_met_across(rooted, buckets, edges), "across")
-    large = across.filter("g is not null")
-    listed = across.filter("g is null").select("a", "b").unionByName(_near_in_blocks(large, sets, nearest=True)).distinct()
+    large = across.filter("g is not null").select("g", "side", F.col("a").alias("k"), F.col("b").alias("root"))
+    members = written(large.join(sets.select("k", "n", "w"), "k"), "members")
+    listed = across.filter("g is null").select("a", "b").unionByName(_near_in_blocks(members, nearest=True)).distinct()
     more = written(listed.join(pairs, ["a", "b"], "left_anti"), "pairs")
     linked, roots = _joined_links(links, written(_verified(more, sets), "links"), roots)
     # components have grown; what is still across in large buckets is compared in full
-    again = large.join(_small(roots), F.col("a") == F.col("node"), "left").select("a", F.coalesce("root", "a").alias("b"), "g", "side")
-    mixed = again.groupBy("g").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low <> high").select("g")
+    again = members.drop("root").join(_small(roots), F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k"))
+    mixed = again.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("g")
     tested = pairs.unionByName(more)
-    last = written(_near_in_blocks(again.join(mixed, "g", "left_semi"), sets, nearest=False).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    last = written(_near_in_blocks(again.join(mixed, "g", "left_semi"), nearest=False).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     linked, roots = _joined_links(linked, written(_verified(last, sets), "links"), roots)
     lows = classes.select(F.col("k").alias("node"), "low")
     lowest = roots.join(lows, "node")
@@ -400,7 +400,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     of_node = lowest.select("node", "root").join(of_root, "root").select(F.col("node").alias("m_k"), F.col("low").alias("m"))
     copied = classes.filter("copies > 1").join(of_node, F.col("k") == F.col("m_k"), "left_anti").select(F.col("k").alias("m_k"), F.col("low").alias("m"))
     mapped = written(of_node.unionByName(copied), "mapped")
-    for df in (classes, chosen, sets, pairs, linked, roots, across, more, last):
+    for df in (classes, chosen, sets, pairs, linked, roots, across, members, more, last):
         discard(df)
     out = sizes.join(_small(mapped), (F.col("k") == F.col("m_k")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("m", "doc_id").alias("component_id"))
