@@ -389,7 +389,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     more = written(listed.join(pairs, ["a", "b"], "left_anti"), "pairs")
     linked, roots = _joined_links(links, written(_verified(more, sets), "links"), roots)
     # components have grown; what is still across in large buckets is compared in full
-    again = members.drop("root").join(_small(roots), F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k"))
+    again = written(members.drop("root").join(_small(roots), F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k")).drop("node"), "members")
+    discard(members)
     mixed = again.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("g")
     tested = pairs.unionByName(more)
     last = written(_near_in_blocks(again.join(mixed, "g", "left_semi"), nearest=False).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -400,7 +401,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     of_node = lowest.select("node", "root").join(of_root, "root").select(F.col("node").alias("m_k"), F.col("low").alias("m"))
     copied = classes.filter("copies > 1").join(of_node, F.col("k") == F.col("m_k"), "left_anti").select(F.col("k").alias("m_k"), F.col("low").alias("m"))
     mapped = written(of_node.unionByName(copied), "mapped")
-    for df in (classes, chosen, sets, pairs, linked, roots, across, members, more, last):
+    for df in (classes, chosen, sets, pairs, linked, roots, across, again, more, last):
         discard(df)
     out = sizes.join(_small(mapped), (F.col("k") == F.col("m_k")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("m", "doc_id").alias("component_id"))
