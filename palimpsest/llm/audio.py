@@ -2,8 +2,10 @@
 
 A recording (16-bit PCM WAV bytes) becomes frames of energy per pitch class. Filters over rectangles of frames and
 classes, read off an integral image, give two bits each; sixteen of them pack into a 32-bit code per frame. Recordings
-of equal codes form a class. Queries (ids divisible by ``EVERY``) meet other classes in equal pairs of successive
-codes; a histogram of their offsets picks the alignment, and the share of differing bits in the overlap judges it.
+of equal codes form a class. Queries (classes with an id divisible by ``EVERY``) are laid against every other class at
+every offset with an overlap of ``MIN_OVERLAP`` codes; the offset of the smallest share of differing bits is the
+alignment. Bits at all offsets of a pair are counted by one correlation, in blocks of classes and queries, so work is
+the number of classes times that of queries and no pair within ``MAX_BIT_ERRORS`` is lost.
 
 The test tables have no recordings: :func:`recordings` plays each vector of ``embeddings`` as a row of notes.
 
@@ -33,7 +35,9 @@ WIDTH = 8
 EVERY = 100
 MAX_BIT_ERRORS = 0.15
 MIN_OVERLAP = 16
-MIN_HITS = 4
+#: Queries to a round, and pairs of classes to a task.
+ROUND = 50_000
+TASK_PAIRS = 2_000_000
 BROADCAST_ROWS = 1_000_000
 
 
@@ -153,23 +157,89 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _spectra(block: list[np.ndarray], size: int) -> np.ndarray:
+    """(frequency, recording, bit) of codes as +1 and -1 per bit, padded by zeros to ``size``."""
+    signs = np.zeros((len(block), 32, size), np.float32 if size <= 4096 else np.float64)  # sums stay exact to a fraction
+    for row, c in zip(signs, block, strict=True):
+        row[:, : len(c)] = 1 - 2.0 * ((c >> np.arange(32, dtype=np.uint32)[:, None]) & np.uint32(1))
+    return np.ascontiguousarray(np.fft.rfft(signs, axis=2).transpose(2, 0, 1))
+
+
+def _lengths(block: list[np.ndarray]) -> np.ndarray:
+    """Lengths of a block, one number if all are equal."""
+    n = np.array([len(c) for c in block])
+    return n[:1] if (n == n[0]).all() else n
+
+
+def alignments(classes: list[np.ndarray], queries: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, float]]:
+    """(class, query, offset, overlap, share of differing bits), by place in the lists, of all that match."""
+    by_size = sorted(range(len(queries)), key=lambda j: len(queries[j]))
+    order = sorted(range(len(classes)), key=lambda i: len(classes[i]))
+    longest = max(map(len, queries), default=0)
+    at = 0
+    while at < len(order):
+        some = min(256, max(1, (1 << 15) // (len(classes[order[at]]) + longest)))
+        rows, at = order[at : at + some], at + some
+        mine, done, spectra = [classes[i] for i in rows], 0, {}
+        while done < len(by_size):
+            some = min(64, max(1, (1 << 13) // (len(mine[-1]) + len(queries[by_size[done]]))))
+            columns, done = by_size[done : done + some], done + some
+            theirs = [queries[j] for j in columns]
+            size = 1 << int(len(mine[-1]) + len(theirs[-1]) - 1).bit_length()
+            if size not in spectra:
+                spectra = {size: _spectra(mine, size)}
+            product = spectra[size] @ _spectra(theirs, size).conj().transpose(0, 2, 1)
+            agree = np.fft.irfft(np.ascontiguousarray(product.transpose(1, 2, 0)), n=size, axis=2)
+            offset = np.arange(size)
+            offset[len(mine[-1]) :] -= size
+            overlap = np.minimum(_lengths(mine)[:, None, None] - np.maximum(offset, 0), _lengths(theirs)[None, :, None] - np.maximum(-offset, 0))
+            least = np.where(overlap >= MIN_OVERLAP, 32 * overlap * (1 - 2 * MAX_BIT_ERRORS) - 1, np.inf).astype(agree.dtype)
+            for i, j, k in zip(*(x.tolist() for x in np.nonzero(agree >= least)), strict=True):
+                d, c, q = int(offset[k]), mine[i], theirs[j]
+                n = min(len(c) - max(d, 0), len(q) - max(-d, 0))
+                errors = int(np.bitwise_count(c[max(d, 0) :][:n] ^ q[max(-d, 0) :][:n]).sum()) / (32.0 * n)
+                if errors <= MAX_BIT_ERRORS:
+                    yield rows[i], columns[j], d, n, errors
+
+
+def _code_lists(column: pa.Array) -> list[np.ndarray]:
+    return [np.asarray(c.values, np.int64).astype(np.uint32) for c in column]
+
+
+FOUND = "class_id long, match_id long, match_offset int, overlap int, bit_errors double"
+
+
+def _found(classes: DataFrame, ids: list[int], queries: list[np.ndarray]) -> DataFrame:
+    """The best match of each class among the queries."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own, best = batch.column(0).to_pylist(), {}
+        for i, j, d, n, errors in alignments(_code_lists(batch.column(1)), queries):
+            rank = (errors, ids[j], -n, abs(d), -d)
+            if own[i] != ids[j] and (i not in best or rank < best[i]):
+                best[i] = rank
+        rows = [(own[i], match, -d, -n, errors) for i, (errors, match, n, _, d) in best.items()]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["class_id", "match_id", "match_offset", "overlap", "bit_errors"])
+
+    return map_batches(classes.select("class_id", "codes"), run, FOUND)
+
+
 def aligned(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, matches): (class_id, name, codes, is_query) and, for each class that aligns with another class of a
     query, the best: (class_id, match_id, match_offset, overlap, bit_errors)."""
     query = F.max((F.pmod("id", F.lit(EVERY)) == 0).cast("int")) == 1
     classes = written(prints.filter("name is not null").groupBy("name").agg(F.min("id").alias("class_id"), F.first("codes").alias("codes"), query.alias("is_query")), "audio-classes")
-    pairs = F.expr("transform(slice(codes, 1, size(codes) - 1), (x, i) -> struct(i as at, shiftleft(x, 32) + get(codes, i + 1) as pair))")
-    keys = classes.select("class_id", "is_query", F.explode(pairs).alias("p")).select("class_id", "is_query", "p.at", "p.pair")
-    asked = keys.filter("is_query").select(F.col("class_id").alias("match_id"), F.col("at").alias("q_at"), "pair")
-    met = keys.join(asked, "pair").filter("class_id <> match_id")
-    histogram = met.groupBy("class_id", "match_id", (F.col("at") - F.col("q_at")).alias("match_offset")).agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= MIN_HITS)
-    peaks = histogram.groupBy("class_id", "match_id").agg(F.max_by("match_offset", F.struct("hits", -F.abs("match_offset"), "match_offset")).alias("match_offset"))
-    both = peaks.join(classes.select("class_id", F.col("codes").alias("c")), "class_id").join(classes.select(F.col("class_id").alias("match_id"), F.col("codes").alias("q")), "match_id")
-    from_c, from_q = F.greatest("match_offset", F.lit(0)), F.greatest(-F.col("match_offset"), F.lit(0))
-    both = both.withColumn("overlap", F.least(F.size("c") - from_c, F.size("q") - from_q))
-    errors = F.aggregate(F.zip_with(F.slice("c", from_c + 1, F.col("overlap")), F.slice("q", from_q + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    judged = both.filter(F.col("overlap") >= MIN_OVERLAP).withColumn("bit_errors", errors / (32.0 * F.col("overlap"))).filter(F.col("bit_errors") <= MAX_BIT_ERRORS)
-    best = judged.groupBy("class_id").agg(F.min_by(F.struct("match_id", "match_offset", "overlap", "bit_errors"), F.struct("bit_errors", "match_id")).alias("b"))
+    asked = classes.filter("is_query").select("class_id", "codes")
+    n_classes, n_asked = classes.count(), asked.count()
+    rounds = max(1, -(-n_asked // ROUND))
+    dealt = classes.repartition(1 + n_classes * min(n_asked, ROUND) // TASK_PAIRS, "name")
+    matches = None
+    for k in range(rounds):
+        t = asked.filter(F.pmod(F.xxhash64("class_id"), F.lit(rounds)) == k).toArrow()
+        found = _found(dealt, t.column("class_id").to_pylist(), _code_lists(t.column("codes").combine_chunks()))
+        matches = found if matches is None else matches.unionByName(found)
+    best = matches.groupBy("class_id").agg(F.min_by(F.struct("match_id", "match_offset", "overlap", "bit_errors"), F.struct("bit_errors", "match_id")).alias("b"))
     return classes, best.select("class_id", "b.*")
 
 

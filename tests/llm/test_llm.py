@@ -1,8 +1,10 @@
 """The training-data operators against brute force, planted cases and awkward tables."""
 
 import hashlib
+import io
 import random
 import re
+import wave
 import zlib
 from collections import Counter
 
@@ -395,6 +397,41 @@ def test_audio_alignment(spark):
     assert all(got[i]["n_codes"] == 0 and got[i]["class_id"] is None for i in (50, 51, 52))
 
 
+def test_alignments_are_those_of_brute_force(spark):
+    r = np.random.default_rng(11)
+    media = []
+    for k in range(12):
+        x, rate = audio.samples(audio.play(r.uniform(-1, 2, 70 - 3 * (k % 4)).tolist()))
+        noise = r.normal(0, np.sqrt((x**2).mean() / 10), len(x))
+        changed = [x, x[64:], x[128:], x[32:], x + noise, np.concatenate([r.normal(0, 900, 700), x[: len(x) // 2]])]
+        media += [(100 * k + j, wav(y, rate)) for j, y in enumerate(changed)]
+    prints = {i: audio.codes(audio.chroma(*audio.samples(a))) for i, a in media}
+    expected, n_pairs = {}, 0
+    for i, c in prints.items():
+        best = None
+        for m in range(0, 1200, 100):
+            for d in range(audio.MIN_OVERLAP - len(prints[m]), len(c) - audio.MIN_OVERLAP + 1) if i != m else ():
+                n = min(len(c) - max(d, 0), len(prints[m]) - max(-d, 0))
+                e = int(np.bitwise_count(c[max(d, 0) :][:n] ^ prints[m][max(-d, 0) :][:n]).sum()) / (32 * n)
+                if e <= audio.MAX_BIT_ERRORS and (best is None or (e, m, -n, abs(d), -d) < best):
+                    best = (e, m, -n, abs(d), -d)
+        expected[i] = None if best is None else (best[1], -best[4], -best[2], best[0])
+        n_pairs += best is not None
+    rows = audio.match_recordings(spark.createDataFrame(media, "id long, audio binary")).collect()
+    got = {x["id"]: None if x["match_id"] is None else (x["match_id"], x["match_offset"], x["overlap"], x["bit_errors"]) for x in rows}
+    assert got == expected and n_pairs >= 36
+
+
+def wav(x, rate):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(x.astype("<i2").tobytes())
+    return out.getvalue()
+
+
 def test_integral_image_codes():
     c = np.random.default_rng(2).random((20, 12))
     assert len(audio.codes(c)) == 13 and len(audio.codes(c[:7])) == 0
