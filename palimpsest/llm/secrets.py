@@ -1,8 +1,9 @@
 """Secret scans: credential patterns plus a token-efficiency test.
 
 Text under a byte-pair vocabulary takes a few characters per token; random strings take fewer than two.
-Runs of key characters outside the pattern spans are tested so, after digests of known lengths, UUIDs and
-identifiers (words joined by separators or case) are set aside. All offsets are code points.
+All runs of key characters outside the pattern spans are tested so, whatever kinds of characters they hold. Of those
+that fail, digests of known lengths, UUIDs and identifiers (words of the vocabulary and short numbers, joined by
+separators or case) are set aside. All offsets are code points.
 
 Null text counts as empty: no spans. Repeated rows give repeated rows.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,7 +29,8 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
-_WORD_PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}")
+_WORD_PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}(?![a-z])|[A-Z]{3,}(?=[A-Z][a-z])")
+_JOINT = re.compile(r"[+/_=-]+|(?<![A-Za-z0-9])[0-9]{1,4}(?![A-Za-z0-9])")
 
 Span = tuple[str, int, int]
 
@@ -57,10 +59,10 @@ def _order(span: Span) -> tuple[int, int, int]:
     return span[1], KINDS.index(span[0]), span[2]
 
 
-def identifier_like(run: str) -> bool:
-    """Words of letters, short numbers and separators make up nearly all of it."""
-    words = sum(len(m.group()) for m in _WORD_PART.finditer(run) if len(m.group()) > 3)
-    return words >= 0.7 * len(run)
+def identifier_like(run: str, encode: Callable[[str], list[int]]) -> bool:
+    """Words of the vocabulary, separators and short numbers between them make up nearly all of it."""
+    words = sum(len(w) for w in (m.group() for m in _WORD_PART.finditer(run)) if len(w) > 2 and any(len(encode(x)) == 1 for x in (w, f" {w}", f" {w.lower()}")))
+    return words + sum(len(m.group()) for m in _JOINT.finditer(run)) >= 0.7 * len(run)
 
 
 def known(run: str) -> bool:
@@ -80,9 +82,6 @@ def random_spans(text: str, taken: list[Span], test: EfficiencyTest) -> list[Spa
             apart.append([start, end])
     for m in _RUN.finditer(text):
         run, start, end = m.group(), m.start(), m.end()
-        kinds = any(c.islower() for c in run) + any(c.isupper() for c in run) + any(c.isdigit() for c in run)
-        if kinds < 2 or not any(c.isdigit() for c in run) or known(run) or identifier_like(run):
-            continue
         while at < len(apart) and apart[at][1] <= start:
             at += 1
         if at < len(apart) and apart[at][0] < end:
@@ -91,7 +90,7 @@ def random_spans(text: str, taken: list[Span], test: EfficiencyTest) -> list[Spa
             from palimpsest.llm.packing import public_encoder
 
             encoding = public_encoder(test.vocabulary).fast
-        if len(run) < test.ratio * len(encoding.encode_ordinary(run)):
+        if len(run) < test.ratio * len(encoding.encode_ordinary(run)) and not known(run) and not identifier_like(run, encoding.encode_ordinary):
             found.append(("random", start, end))
     return found
 

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import string
 import wave
 import zlib
 from collections import Counter
@@ -230,6 +231,22 @@ def test_random_strings(spark):
     assert red[1] == "see [secret] here" and red[5] == "[secret]"
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", string.ascii_letters, string.ascii_uppercase + "234567", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits])
+def test_random_strings_of_any_letters(letters):
+    r, test = random.Random(5), secrets.EfficiencyTest()
+    encode = packing.public_encoder(test.vocabulary).fast.encode_ordinary
+    runs = ["".join(r.choices(letters, k=20 + i % 21)) for i in range(400)]
+    random_runs = [x for x in runs if len(x) < test.ratio * len(encode(x)) and not secrets.known(x)]
+    assert len(random_runs) > 360
+    assert sum(secrets.random_spans(f"see {x} here", [], test) == [("random", 4, 4 + len(x))] for x in random_runs) >= 0.99 * len(random_runs)
+
+
+def test_identifiers_are_no_secrets():
+    for x in ("getElementsByTagNameAndClassName", "MAX_NUMBER_OF_OPEN_FILES_2024", "some-long-page-name/with/parts", "2024-01-31_12-30-45-0001", "=" * 40, "-_" * 15, "/usr/local/share/fonts/open-type"):
+        assert secrets.random_spans(x, [], secrets.EfficiencyTest(ratio=99.0)) == [], x  # the token test takes all for random
+    assert secrets.random_spans("internationalization", [], secrets.EfficiencyTest()) == []
+
+
 # ---------------------------------------------------------------- 6
 
 
