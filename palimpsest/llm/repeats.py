@@ -13,7 +13,8 @@ position:
    anchor for each repeated name that shares such a gram, are named and compared each.
 
 Tasks send packed arrays by hash range. Entries that a task holds more than once go out once, and a gram that a task
-holds in many contexts is dealt by context, so that a passage of a third of all documents fills no bucket.
+holds in many contexts is dealt by context, so that a passage of a third of all documents fills no bucket. All entries
+of such a gram say so, also the two that go where its other contexts are looked for: each of its contexts is compared.
 Names are 64-bit hashes. Null text counts as empty; texts under ``length`` bytes stay whole; rows that share id and
 text are told apart by nothing and each counts as an occurrence.
 """
@@ -153,9 +154,9 @@ def anchor_replies(docs: DataFrame, buckets: int, length: int = LENGTH) -> DataF
         n_contexts = np.bincount((np.cumsum(np.append(True, gram[lead][1:] != gram[lead][:-1])) - 1))
         of_gram = np.cumsum(np.append(True, gram[lead][1:] != gram[lead][:-1])) - 1
         place = np.arange(len(lead)) - np.concatenate([[0], np.cumsum(n_contexts)[:-1]])[of_gram]
-        hot = (n_contexts[of_gram] > HOT) & (place >= 2)
+        hot = n_contexts[of_gram] > HOT
         flags = (size > 1).astype(np.uint64) | (hot.astype(np.uint64) << np.uint64(1))
-        bucket = np.where(hot, mix(context[lead]), mix(gram[lead])) % np.uint64(buckets)
+        bucket = np.where(hot & (place >= 2), mix(context[lead]), mix(gram[lead])) % np.uint64(buckets)
         yield from _by_bucket(bucket, [gram[lead], context[lead], key[lead], at[lead], flags])
         if len(rest):
             yield from _by_bucket(mix(key[rest]) % np.uint64(buckets), [gram[rest], context[rest], key[rest], at[rest], np.full(len(rest), 4, np.uint64)])

@@ -167,6 +167,25 @@ def test_repeated_strings(spark):
     assert got == sorted((r[0], *e) for r, e in zip(rows, expected, strict=True))
 
 
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_hot_grams_change_nothing(spark, monkeypatch, tasks):
+    monkeypatch.setattr(repeats, "HOT", 2)
+    r, texts = random.Random(9), []
+    letters = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    for _ in range(16):
+        pool = letters(20000)
+        at = int(repeats.anchors(repeats.prefixes(np.frombuffer(pool.encode(), np.uint8)), len(pool), len(pool))[0])
+        passage = pool[at : at + repeats.GRAM]  # of a small hash: the anchor of the windows around it
+        for _ in range(5):
+            shared = letters(76) + passage + letters(80)
+            copy, near = (letters(150) + shared + letters(150) for _ in range(2))
+            texts += [copy, copy, near]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = rows if tasks == 1 else rows.repartition(tasks)
+    got = sorted(tuple(x) for x in repeats.repeated_strings(rows).collect())
+    assert got == [(i, *e) for i, e in enumerate(removed_by_force([x.encode() for x in texts]))]
+
+
 @settings(max_examples=60, deadline=None, database=None)
 @given(st.lists(st.sampled_from([b"a", b"ab", b"abc" * 9, b"xyz" * 30, bytes(range(60, 120))]), min_size=8, max_size=40))
 def test_anchors(parts):
