@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.common import table, written
 from palimpsest.llm.jaccard import keep_one
-from palimpsest.llm.lines import keep_lines
+from palimpsest.llm.lines import SpreadRule, keep_lines
 from palimpsest.llm.mixing import mixed
 from palimpsest.llm.packing import pack
 from palimpsest.llm.quality import keep_good
@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_lines(docs)
+    return keep_lines(docs, SpreadRule(min_chars=1))  # every line that is not blank counts
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,10 @@ def test_run(spark, tmp_path):
     spark.createDataFrame(documents(), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and out.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
+
+
+def test_short_boilerplate_goes(spark, tmp_path):
+    rows = [(i, f"Menu\na text of document {i} that stays\n\n  Menu \nonly {i % 2}", "en", f"s{i}", 0) for i in range(6)]
+    rows += [(10 + i, f"On four sites\n{i} is a line of its own", "en", f"s{i}", 0) for i in range(4)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
+    assert got == {i: text if i in (0, *range(10, 14)) else f"a text of document {i} that stays\n\nonly {i % 2}" for i, text, *_ in rows}
