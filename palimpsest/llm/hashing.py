@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Two independent bases; names that must not collide use both.
+BASES = (0x9E3779B97F4A7C15, 0xA24BAED4963EE407)
+_POWERS = {b: [np.ones(1, np.uint64), np.ones(1, np.uint64)] for b in BASES}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -16,27 +16,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** k and BASE ** -k for k under ``n``, modulo 2 ** 64."""
-    if len(_POWERS[0]) < n:
+def powers(n: int, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
+    """base ** k and base ** -k for k under ``n``, modulo 2 ** 64."""
+    kept = _POWERS[base]
+    if len(kept[0]) < n:
         size = max(n, 1 << 16)
-        for k, base in enumerate((BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
+        for k, b in enumerate((base, pow(base, -1, 1 << 64))):
+            steps = np.full(size, b, np.uint64)
             steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
+            kept[k] = np.cumprod(steps, dtype=np.uint64)
+    return kept[0], kept[1]
 
 
-def prefixes(data: np.ndarray) -> np.ndarray:
+def prefixes(data: np.ndarray, base: int = BASES[0]) -> np.ndarray:
     """p[i]: the hash of the first i bytes; any substring's hash follows from two of them."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0][: len(data)], out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), base)[0][: len(data)], out=out[1:])
     return out
 
 
-def substrings(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def substrings(p: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASES[0]) -> np.ndarray:
     """Hashes of the substrings from ``start`` to ``end``; equal strings have equal hashes."""
-    h = (p[end] - p[start]) * powers(len(p))[1][start]
+    h = (p[end] - p[start]) * powers(len(p), base)[1][start]
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

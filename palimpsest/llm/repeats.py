@@ -1,22 +1,25 @@
 """Removal of every byte covered by a string of ``length`` bytes that starts in two places or more.
 
-The named method sorts all suffixes. Its tables take several times the corpus (see the README), so positions are
-sampled by content rather than by a difference cover, and only what the sample leaves open is compared at every
-position:
+Suffixes are sorted with a difference cover (see ``suffixes``), but sorting the whole corpus so would take many times its
+size, so first what needs no sorting is settled by names:
 
 1. Every window of ``length`` bytes has an anchor: the first of its 48-byte grams with the smallest hash. Equal windows
    have their anchors at equal places, so an anchor whose gram occurs once ends the matter for all its windows. Anchors
-   are about one byte in eighty.
-2. An anchor's context holds all its windows. Contexts are named by a hash; where a name occurs twice, all windows of
-   the anchor are repeated and none needs to be compared.
-3. What is left are anchors with a repeated gram in a new context: the ends of matches. Their windows, and those of one
-   anchor for each repeated name that shares such a gram, are named and compared each.
-
-Tasks send packed arrays by hash range. Entries that a task holds more than once go out once, and a gram that a task
+   are about one byte in eighty. An anchor's context holds all its windows; where a context occurs twice, all windows of
+   the anchor are repeated. What is left are anchors with a repeated gram in a new context: the ends of matches.
+2. The same once more for stretches of ``STRETCH`` neighbouring windows of such an anchor: the bytes that all of them
+   have are their core. Stretches whose core occurs once are done, and so are those that occur twice as a whole.
+3. A stretch that is still open, and one for each that occurs twice and shares its core, becomes a string of symbols: the
+   bytes left of the core, the core as one symbol, the bytes right of it. These strings' suffixes are sorted with the
+   difference cover, and neighbours are compared on their first symbols: those that agree begin equal windows.
+
+Tasks send packed arrays by hash range. Entries that a task holds more than once go out once, and a name that a task
 holds in many contexts is dealt by context, so that a passage of a third of all documents fills no bucket. All entries
-of such a gram say so, also the two that go where its other contexts are looked for: each of its contexts is compared.
-Names are 64-bit hashes. Null text counts as empty; texts under ``length`` bytes stay whole; rows that share id and
-text are told apart by nothing and each counts as an occurrence.
+of such a name say so, also the two that go where its other contexts are looked for: each of its contexts is compared.
+What is removed is told apart by 128 bits (two polynomial hashes), and next to cores by the bytes themselves.
+
+Null text counts as empty; texts under ``length`` bytes stay whole; rows that share id and text are told apart by nothing
+and each counts as an occurrence. Very long texts are one row in memory, some sixty bytes of arrays for each of theirs.
 """
 
 from __future__ import annotations
@@ -26,22 +29,30 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import discard, own_columns, written
-from palimpsest.llm.hashing import mix, powers, prefixes, substrings
+from palimpsest.llm.common import discard, map_batches, own_columns, written
+from palimpsest.llm.hashing import BASES, mix, powers, prefixes, substrings
+from palimpsest.llm.suffixes import TASK_ROWS, suffix_ranks
 
 LENGTH = 200
 GRAM = 48
+#: Windows to a stretch, at most nine: the bytes beside a core fit in a word.
+STRETCH = 9
 FLUSH = 500_000
-BUCKET = 1_000_000
-#: Contexts of a gram in a flush beyond which they are dealt by context.
+#: Bytes of text to a bucket, about, and the most buckets.
+BUCKET = 10_000_000
+BUCKETS = 1 << 18
+#: Contexts of a name in a flush beyond which they are dealt by context.
 HOT = 32
-#: What an anchor's windows do: count as repeated; are compared.
+#: What windows do: count as repeated; are compared.
 COVERED, COMPARED = 1, 2
-#: Where flags begin in a packed place.
+#: Flags of an entry, above its place: there are more of its context; its name is hot; it is told that it is covered.
 FLAG = np.uint64(60)
+MORE, HOT_NAME, TOLD = np.uint64(1), np.uint64(2), np.uint64(4)
 
 
 def anchors(p: np.ndarray, n: int, length: int = LENGTH) -> np.ndarray:
@@ -62,15 +73,57 @@ def anchors(p: np.ndarray, n: int, length: int = LENGTH) -> np.ndarray:
     return (np.minimum(from_right[:windows], from_left[w - 1 : w - 1 + windows]) & low).astype(np.int64)
 
 
-def _named(p: np.ndarray, at: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, context) names of anchors."""
-    gram = substrings(p, at, at + GRAM)
-    start, end = np.maximum(at - (length - GRAM), 0), np.minimum(at + length, n)
-    return gram, mix(substrings(p, start, end) ^ mix((at - start).astype(np.uint64) + np.uint64(77)))
+def _text(value: pa.Scalar) -> bytes:
+    return (value.as_py() or "").encode("utf-8", "surrogatepass")
+
+
+def _word(key: int) -> np.uint64:
+    return np.uint64(key % (1 << 64))
+
+
+def _names(ps: list[np.ndarray], start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> list[np.ndarray]:
+    """The 128 bits that name the strings from ``start`` to ``end``, apart by ``salt``."""
+    return [mix(substrings(p, start, end, b) ^ mix(salt.astype(np.uint64) + np.uint64(77 + i))) for i, (p, b) in enumerate(zip(ps, BASES, strict=True))]
+
+
+def anchor_entries(text: bytes, length: int = LENGTH) -> list[np.ndarray]:
+    """(gram, context, context, place) of a text's anchors."""
+    data = np.frombuffer(text, np.uint8)
+    ps = [prefixes(data, b) for b in BASES]
+    at = np.unique(anchors(ps[0], len(text), length))
+    start, end = np.maximum(at - (length - GRAM), 0), np.minimum(at + length, len(text))
+    return [substrings(ps[0], at, at + GRAM), *_names(ps, start, end, at - start), at.astype(np.uint64)]
+
+
+def _stretches(text: bytes, action: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(anchor, number, prefix hashes) of the stretches that have a compared window."""
+    data = np.frombuffer(text, np.uint8)
+    ps = [prefixes(data, b) for b in BASES]
+    of = anchors(ps[0], len(text), length)
+    start = np.flatnonzero(action[of] & COMPARED)
+    stretch = np.unique(of[start] << 8 | (of[start] - start) // STRETCH)
+    return stretch >> 8, stretch & 255, ps
+
+
+def stretch_entries(text: bytes, action: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """(core, whole, whole, place, core, left, right): ``place`` is that of the last window, with the number of bytes that
+    ``left`` and ``right`` of the core have above it."""
+    at, number, ps = _stretches(text, action, length)
+    wide, n = STRETCH - 1, len(text)
+    last = at - STRETCH * number
+    first = last - wide
+    begin, end = np.maximum(first, 0), np.minimum(last + length, n)
+    core = _names(ps, last, first + length, number)
+    whole = _names(ps, begin, end, number * 256 + last - begin)
+    padded = np.concatenate([np.zeros(8, np.uint8), np.frombuffer(text, np.uint8), np.zeros(8, np.uint8)])
+    side = lambda s: np.ascontiguousarray(padded[s[:, None] + np.arange(8) + 8]).view(np.uint64).ravel()
+    counts = (last - begin) << 40 | (end - (first + length)) << 44
+    return [core[0], *whole, (last | counts).astype(np.uint64), core[1], side(last - 8), side(first + length)]
 
 
+# ---------------------------------------------------------------- names that occur twice
+
 PACKED = "bucket long, data binary"
-REPLY = "key long, at binary, what binary"
 
 
 def _by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -84,202 +137,289 @@ def _by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.Rec
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array([data[s:e].tobytes() for s, e in zip(first.tolist(), ends, strict=True)], pa.binary())], names=["bucket", "data"])
 
 
-def _rows(t: pa.Table, width: int) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in t.column("data")]).reshape(-1, width)
-
-
-def _replies(key: np.ndarray, at: np.ndarray, what: np.ndarray) -> pa.Table:
-    order = np.argsort(key, kind="stable")
-    key, at, what = key[order], at[order].astype(np.uint32), what[order].astype(np.uint8)
-    used, first = np.unique(key, return_index=True)
-    ends = [*first[1:].tolist(), len(key)][: len(first)]
-    cuts = list(zip(first.tolist(), ends, strict=True))
-    return pa.table({"key": pa.array(used.view(np.int64)), "at": pa.array([at[s:e].tobytes() for s, e in cuts], pa.binary()), "what": pa.array([what[s:e].tobytes() for s, e in cuts], pa.binary())})
-
-
 def _first_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, group, first): rows sorted by columns, the group of each, and whether it begins one."""
     order = np.lexsort(columns[::-1])
     first = np.ones(len(order), bool)
-    for c in columns:
-        same = c[order][1:] == c[order][:-1]
-        first[1:] = same if c is columns[0] else first[1:] & same
-    first[1:] = ~first[1:]
+    if len(order):
+        first[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
     return order, np.cumsum(first) - 1, first
 
 
-def _flushed(batches: Iterable[pa.RecordBatch], entries: Callable[[pa.RecordBatch, int], list[np.ndarray] | None], send: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Gathers entries of rows and sends them whenever they are many."""
-    held: list[list[np.ndarray]] = []
-    size = 0
-    for batch in batches:
-        for row in range(batch.num_rows):
-            if (e := entries(batch, row)) is not None and len(e[0]):
-                held.append(e)
-                size += len(e[0])
-            if size >= FLUSH:
-                yield from send([np.concatenate(c) for c in zip(*held, strict=True)])
-                held, size = [], 0
-    if held:
-        yield from send([np.concatenate(c) for c in zip(*held, strict=True)])
+def settled(df: DataFrame, entries: Callable[[pa.RecordBatch, int], list[np.ndarray] | None], width: int, buckets: int, answer: Callable[[np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """What is to be done about entries (name, context, context, key, place, ...) of ``width`` numbers.
 
+    An entry is covered if its context occurs twice, and compared if its name occurs in other contexts too and its context
+    does not occur twice; of a context that does, one entry is compared as well. ``answer`` makes rows of the entries of
+    which something is to be done, and of what; an entry that occurs in several rows is answered at least once."""
 
-def _text(value: pa.Scalar) -> bytes:
-    return (value.as_py() or "").encode("utf-8", "surrogatepass")
+    def send(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        c = [np.concatenate(x) for x in zip(*held, strict=True)]
+        order, group, first = _first_of(*c[:3])
+        lead = order[first]
+        name = c[0][lead]
+        of_name = np.cumsum(np.append(True, name[1:] != name[:-1])) - 1
+        n_contexts = np.bincount(of_name)
+        rank = np.arange(len(lead)) - np.concatenate([[0], np.cumsum(n_contexts)[:-1]])[of_name]
+        hot = n_contexts[of_name] > HOT
+        flags = np.where(np.bincount(group) > 1, MORE, np.uint64(0)) | np.where(hot, HOT_NAME, np.uint64(0))
+        bucket = np.where(hot & (rank >= 2), mix(c[1][lead]), mix(name)) % np.uint64(buckets)
+        yield from _by_bucket(bucket, [*(x[lead] for x in c[:4]), c[4][lead] | flags << FLAG, *(x[lead] for x in c[5:])])
+        # the others of a context are covered; that is theirs to say, once for each key and place
+        rest = order[~first]
+        rest = rest[(lambda o, g, f: o[f])(*_first_of(c[3][rest], c[4][rest]))]
+        yield from _by_bucket(mix(c[3][rest]) % np.uint64(buckets), [*(x[rest] for x in c[:4]), c[4][rest] | TOLD << FLAG, *(x[rest] for x in c[5:])])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                if (e := entries(batch, row)) is not None and len(e[0]):
+                    held.append(e)
+                    size += len(e[0])
+                if size >= FLUSH:
+                    yield from send(held)
+                    held, size = [], 0
+        if held:
+            yield from send(held)
 
-def _whole(n: int, value: int) -> np.ndarray:
-    return np.full(n, value, np.int64).view(np.uint64)
+    def settle(rows: pa.Table) -> pa.Table:
+        data = np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in rows.column("data")]).reshape(-1, width)
+        flags = data[:, 4] >> FLAG
+        told = data[flags == TOLD]
+        data, flags = data[flags != TOLD], flags[flags != TOLD]
+        order, group, first = _first_of(data[:, 0], data[:, 1], data[:, 2])
+        data, flags = data[order], flags[order]
+        name = data[:, 0]
+        twice = (np.bincount(group) > 1) | (np.bincount(group, weights=flags & MORE) > 0) if len(data) else np.empty(0, bool)
+        again, hot = twice[group], (flags & HOT_NAME) > 0
+        of_name = np.cumsum(np.append(True, name[1:] != name[:-1])[: len(name)]) - 1
+        shared = ((np.bincount(of_name) > 1) | (np.bincount(of_name, weights=again | hot) > 0))[of_name]
+        open_name = (np.bincount(of_name, weights=~again | hot) > 0)[of_name] & shared
+        what = np.where(again, COVERED, np.where(shared, COMPARED, 0)) | np.where(again & first & open_name, COMPARED, 0)
+        data, what = np.concatenate([data[what > 0], told]), np.concatenate([what[what > 0], np.full(len(told), COVERED)])
+        data[:, 4] &= (np.uint64(1) << FLAG) - np.uint64(1)
+        order, group, first = _first_of(data[:, 3], data[:, 4])
+        return answer(data[order[first]], np.bitwise_or.reduceat(what[order], np.flatnonzero(first)) if len(order) else what)
+
+    return df.mapInArrow(run, PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle, schema)
+
+
+def _by_key(key: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+    """A row for each key, with the bytes of its part of each column; ``key`` is in order."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=False))
+    return pa.table({"key": pa.array(key[first].view(np.int64)), **{k: pa.array([c[s:e].tobytes() for s, e in cuts], pa.binary()) for k, c in columns.items()}})
 
 
 def anchor_replies(docs: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
-    """(key, at, what): for texts with repeated grams, the anchors of which something is to be done."""
+    """(key, at, what): for texts (key, text) with repeated grams, the anchors of which something is to be done."""
 
     def entries(batch: pa.RecordBatch, row: int) -> list[np.ndarray] | None:
         text = _text(batch.column(1)[row])
         if len(text) < length:
             return None
-        p = prefixes(np.frombuffer(text, np.uint8))
-        at = np.unique(anchors(p, len(text), length))
-        gram, context = _named(p, at, len(text), length)
-        return [gram, context, _whole(len(at), batch.column(0)[row].as_py()), at.astype(np.uint64), np.ones(len(at), np.uint64)]
-
-    def send(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        gram, context, key, at, _ = c
-        order, group, first = _first_of(gram, context)
-        size = np.bincount(group)
-        lead = order[first]
-        # the others of a group are covered; that is theirs to say, in a bucket of their own
-        rest = order[~first]
-        n_contexts = np.bincount((np.cumsum(np.append(True, gram[lead][1:] != gram[lead][:-1])) - 1))
-        of_gram = np.cumsum(np.append(True, gram[lead][1:] != gram[lead][:-1])) - 1
-        place = np.arange(len(lead)) - np.concatenate([[0], np.cumsum(n_contexts)[:-1]])[of_gram]
-        hot = n_contexts[of_gram] > HOT
-        flags = (size > 1).astype(np.uint64) | (hot.astype(np.uint64) << np.uint64(1))
-        bucket = np.where(hot & (place >= 2), mix(context[lead]), mix(gram[lead])) % np.uint64(buckets)
-        yield from _by_bucket(bucket, [gram[lead], context[lead], key[lead], at[lead], flags])
-        if len(rest):
-            yield from _by_bucket(mix(key[rest]) % np.uint64(buckets), [gram[rest], context[rest], key[rest], at[rest], np.full(len(rest), 4, np.uint64)])
+        *names, at = anchor_entries(text, length)
+        return [*names, np.full(len(at), _word(batch.column(0)[row].as_py())), at]
 
-    def settle(rows: pa.Table) -> pa.Table:
-        data = _rows(rows, 5)
-        sent = data[data[:, 4] == 4]
-        data = data[data[:, 4] != 4]
-        gram, context, key, at, flags = data.T
-        order, group, first = _first_of(gram, context)
-        gram, context, key, at, flags = gram[order], context[order], key[order], at[order], flags[order]
-        if not len(gram):
-            return _replies(sent[:, 2], sent[:, 3], np.full(len(sent), COVERED))
-        twice = (np.bincount(group) > 1) | (np.bincount(group, weights=flags & np.uint64(1)) > 0)
-        again = twice[group]
-        of_gram = np.cumsum(np.append(True, gram[1:] != gram[:-1])) - 1
-        shared = ((np.bincount(of_gram) > 1) | (np.bincount(of_gram, weights=again | (flags > 1)) > 0))[of_gram]
-        open_gram = (np.bincount(of_gram, weights=~again | (flags > 1)) > 0)[of_gram] & shared
-        what = np.where(again, COVERED, np.where(shared, COMPARED, 0)) | np.where(again & first & open_gram, COMPARED, 0)
-        keep = what > 0
-        return _replies(np.concatenate([key[keep], sent[:, 2]]), np.concatenate([at[keep], sent[:, 3]]), np.concatenate([what[keep], np.full(len(sent), COVERED)]))
-
-    own = docs.select("key", "text")
-    return own.mapInArrow(lambda b: _flushed(b, entries, send), PACKED).groupBy("bucket").applyInArrow(settle, REPLY)
-
-
-def _gathered(replies: DataFrame) -> DataFrame:
-    """Replies by key. They are as many as the key's own text has anchors or windows, however often it occurs."""
-    return replies.groupBy("key").agg(F.collect_list(F.struct("at", "what")).alias("replies"))
-
-
-def _actions(value: pa.Scalar, size: int) -> np.ndarray:
+    def answer(data: np.ndarray, what: np.ndarray) -> pa.Table:
+        return _by_key(data[:, 3], {"at": data[:, 4].astype(np.uint32), "what": what.astype(np.uint8)})
+
+    return settled(docs.select("key", "text"), entries, 5, buckets, answer, "key long, at binary, what binary")
+
+
+def _actions(replies: pa.Scalar, size: int) -> np.ndarray:
     """What the replies say of each place of a text."""
     out = np.zeros(size, np.uint8)
-    for r in value.as_py() or ():
+    for r in replies.as_py() or ():
         np.bitwise_or.at(out, np.frombuffer(r["at"], np.uint32), np.frombuffer(r["what"], np.uint8))
     return out
 
 
-def window_replies(open_docs: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
-    """(key, at, what): the compared windows that are repeated."""
+STRETCHES = "key long, last long, n_left int, n_right int, what int, core_a long, core_b long, sides binary, syms array<long>"
+
+
+def stretch_answers(open_docs: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
+    """The stretches of texts (key, text, replies) that are repeated, or to be compared, or both; ``syms`` is the string of
+    symbols of what is compared."""
 
     def entries(batch: pa.RecordBatch, row: int) -> list[np.ndarray] | None:
         text = _text(batch.column(1)[row])
-        p = prefixes(np.frombuffer(text, np.uint8))
-        action = _actions(batch.column(2)[row], len(text))
-        start = np.flatnonzero(action[anchors(p, len(text), length)] & COMPARED)
-        return [substrings(p, start, start + length), _whole(len(start), batch.column(0)[row].as_py()), start.astype(np.uint64)]
-
-    def send(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        name, key, at = c
-        order, group, first = _first_of(name)
-        lead, rest = order[first], order[~first]
-        yield from _by_bucket(mix(name[lead]) % np.uint64(buckets), [name[lead], key[lead], at[lead] | ((np.bincount(group) > 1).astype(np.uint64) << FLAG)])
-        if len(rest):
-            yield from _by_bucket(mix(key[rest]) % np.uint64(buckets), [name[rest], key[rest], at[rest] | (np.uint64(2) << FLAG)])
+        core, one, two, place, *rest = stretch_entries(text, _actions(batch.column(2)[row], len(text)), length)
+        return [core, one, two, np.full(len(core), _word(batch.column(0)[row].as_py())), place, *rest]
 
-    def settle(rows: pa.Table) -> pa.Table:
-        data = _rows(rows, 3)
-        flag, at = data[:, 2] >> FLAG, data[:, 2] & ((np.uint64(1) << FLAG) - np.uint64(1))
-        settled = flag == 2
-        name, key, place, many = data[~settled, 0], data[~settled, 1], at[~settled], flag[~settled] == 1
-        order, group, _ = _first_of(name)
-        twice = np.zeros(len(name), bool)
-        if len(name):
-            twice[order] = ((np.bincount(group) > 1) | (np.bincount(group, weights=many[order]) > 0))[group]
-        key, place = np.concatenate([key[twice], data[settled, 1]]), np.concatenate([place[twice], at[settled]])
-        return _replies(key, place, np.full(len(key), COVERED))
-
-    return open_docs.select("key", "text", "replies").mapInArrow(lambda b: _flushed(b, entries, send), PACKED).groupBy("bucket").applyInArrow(settle, REPLY)
-
-
-def spans_of(text: bytes, anchor_actions: np.ndarray, window_actions: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the maximal runs of removed bytes."""
-    p = prefixes(np.frombuffer(text, np.uint8))
-    windows = anchors(p, len(text), length)
-    repeated = (anchor_actions[windows] & COVERED) | window_actions[: len(windows)]
-    change = np.zeros(len(text) + 1, np.int64)
-    start = np.flatnonzero(repeated)
-    change[start] += 1
-    np.add.at(change, start + length, -1)
+    def answer(data: np.ndarray, what: np.ndarray) -> pa.Table:
+        place = data[:, 4].astype(np.int64)
+        compared = (what & COMPARED) > 0
+        sides = np.ascontiguousarray(data[:, 6:8]).view(np.uint8).reshape(-1, 16)
+        beside = sides.astype(np.int64) + 1
+        core = (data[:, :1] >> np.uint64(2)).astype(np.int64) | (1 << 60)
+        wide = STRETCH - 1
+        syms = np.concatenate([beside[:, 8 - wide : 8], core, beside[:, 8 : 8 + wide]], axis=1)
+        m = 2 * wide + 1
+        ends = np.concatenate([[0], np.cumsum(np.where(compared, m, 0))]).astype(np.int32)
+        return pa.table({
+            "key": np.ascontiguousarray(data[:, 3]).view(np.int64), "last": place & ((1 << 40) - 1), "n_left": (place >> 40 & 15).astype(np.int32), "n_right": (place >> 44 & 15).astype(np.int32), "what": what.astype(np.int32),
+            "core_a": np.ascontiguousarray(data[:, 0]).view(np.int64), "core_b": np.ascontiguousarray(data[:, 5]).view(np.int64), "sides": pa.array([s.tobytes() for s in sides], pa.binary()),
+            "syms": pa.ListArray.from_arrays(pa.array(ends), pa.array(syms[compared].ravel())),
+        })
+
+    return settled(open_docs.select("key", "text", "replies"), entries, 8, buckets, answer, STRETCHES)
+
+
+# ---------------------------------------------------------------- suffixes
+
+
+def equal_neighbours(ordered: DataFrame, same: list[str], carried: list[str]) -> DataFrame:
+    """The ``carried`` columns of rows that agree in ``same`` with the row before or behind; ``ordered`` is sorted by
+    ``rank`` within tasks by range. What lies at the ends of tasks is compared afterwards, two rows a task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, last, opening, pending = TaskContext.get().partitionId(), False, True, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            if pending is not None:
+                t = pa.concat_tables([pending, t])
+            n, agree = t.num_rows, np.ones(max(t.num_rows - 1, 0), bool)
+            for c in same:
+                x = t.column(c).combine_chunks()
+                agree &= pc.equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
+            hit = np.append(False, agree)
+            hit[:-1] |= agree
+            hit[0] |= last
+            edge = np.zeros(n, bool)
+            edge[0], opening = opening, opening and n == 1
+            out = t.append_column("hit", pa.array(hit)).append_column("edge", pa.array(edge)).append_column("task", pa.array(np.full(n, task)))
+            # the last row waits for the one behind it
+            pending, last, waiting = t.slice(n - 1), bool(hit[-1]), out.slice(n - 1)
+            yield from out.slice(0, n - 1).combine_chunks().to_batches()
+        if pending is not None:
+            waiting = waiting.set_column(waiting.schema.get_field_index("edge"), "edge", pa.array([True]))
+            yield from waiting.to_batches()
+
+    columns = ordered.select("rank", *same, *carried)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns.schema)
+    found = written(columns.mapInArrow(run, f"{schema}, hit boolean, edge boolean, task long"), "neighbours")
+    in_order = Window.orderBy("rank")  # two rows for each task
+    side = lambda f: F.least(*(F.coalesce(f(c, 1).over(in_order) == F.col(c), F.lit(False)).cast("int") for c in same)) == 1 if len(same) > 1 else F.coalesce(f(same[0], 1).over(in_order) == F.col(same[0]), F.lit(False))
+    ends = found.filter("edge").withColumn("hit", F.col("hit") | side(F.lag) | side(F.lead))
+    return found.filter("hit and not edge").select(*carried).unionByName(ends.filter("hit").select(*carried))
+
+
+def repeated_windows(stretches: DataFrame) -> DataFrame:
+    """(key, start): the windows of the compared stretches that are repeated, by sorted suffixes."""
+    strings = written(stretches.filter(F.col("what").bitwiseAND(COMPARED) > 0).withColumn("sid", F.monotonically_increasing_id()), "stretch-strings")
+    n = strings.count()
+    if not n:
+        return strings.select("key", F.col("last").alias("start"))
+    ranks = suffix_ranks(strings.select("sid", "syms"))
+    wide = STRETCH - 1
+    windows = ranks.filter(F.col("pos") <= wide).join(strings, "sid").filter((F.col("pos") >= wide - F.col("n_left")) & (F.col("pos") <= F.col("n_right")))
+    rows = windows.select("rank", "core_a", "core_b", "pos", F.expr(f"substring(sides, pos + {9 - wide}, {wide})").alias("beside"), "key", (F.col("last") - wide + F.col("pos")).alias("start"), (F.col("what") == COMPARED).alias("asked"))
+    rows = written(rows, "window-suffixes")
+    ordered = rows.repartitionByRange(2 + n * STRETCH // TASK_ROWS, "rank").sortWithinPartitions("rank")
+    found = equal_neighbours(ordered, ["core_a", "core_b", "pos", "beside"], ["key", "start", "asked"])
+    for df in (strings, ranks):
+        discard(df)
+    return found.filter("asked").select("key", "start")
+
+
+# ---------------------------------------------------------------- report
+
+
+def spans_of(n: int, repeated: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the maximal runs of bytes of a text of ``n`` bytes under the windows that begin at ``repeated``."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, repeated, 1)
+    np.add.at(change, repeated + length, -1)
     covered = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
     edge = np.flatnonzero(covered[1:] != covered[:-1])
     return edge[::2], edge[1::2]
 
 
-REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def covered_windows(text: bytes, action: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The windows whose anchors are covered."""
+    return np.flatnonzero(action[anchors(prefixes(np.frombuffer(text, np.uint8)), len(text), length)] & COVERED)
 
 
-def _report(df: DataFrame, length: int) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for row, doc_id in enumerate(batch.column(0).to_pylist()):
-                text = _text(batch.column(1)[row])
-                removed = spans = 0
-                if batch.column(2)[row].is_valid:
-                    starts, ends = spans_of(text, _actions(batch.column(2)[row], len(text)), _actions(batch.column(3)[row], len(text)), length)
-                    kept, last = [], 0
-                    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                        kept.append(text[last:s])
-                        last = e
-                    removed, spans = int((ends - starts).sum()), len(starts)
-                    digest = hashlib.sha256(b"".join([*kept, text[last:]])).hexdigest()
-                else:
-                    digest = hashlib.sha256(text).hexdigest()
-                out.append((doc_id, len(text), removed, spans, digest))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return df.mapInArrow(run, REPORT)
+def _result(text: bytes, repeated: np.ndarray, length: int) -> tuple[int, list[int], bytes]:
+    starts, ends = spans_of(len(text), repeated, length) if len(repeated) else (np.empty(0, np.int64),) * 2
+    kept, last = [], 0
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        kept.append(text[last:s])
+        last = e
+    return len(text), np.stack([starts, ends], axis=1).ravel().tolist(), b"".join([*kept, text[last:]])
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per document: (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+WHOLE = "doc_id long, n_bytes long, spans array<long>, kept binary"
+
+
+def _rows(found: list[tuple[int | None, tuple[int, list[int], bytes]]], digest: bool) -> dict[str, pa.Array]:
+    out = {"doc_id": pa.array([d for d, _ in found], pa.int64()), "n_bytes": pa.array([r and r[0] for _, r in found], pa.int64())}
+    if digest:
+        out["n_removed"] = pa.array([r and sum(r[1][1::2]) - sum(r[1][::2]) for _, r in found], pa.int64())
+        out["n_spans"] = pa.array([r and len(r[1]) // 2 for _, r in found], pa.int64())
+        out["kept_sha256"] = pa.array([r and hashlib.sha256(r[2]).hexdigest() for _, r in found], pa.string())
+    else:
+        out["spans"] = pa.array([r and r[1] for _, r in found], pa.list_(pa.int64()))
+        out["kept"] = pa.array([r and r[2] for _, r in found], pa.binary())
+    return out
+
+
+def repeats_removed(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
+    """One row per document: (doc_id, n_bytes, spans, kept), ``spans`` as starts and ends of the removed runs in turn and
+    ``kept`` as the remaining bytes; with ``digest``, sizes and the SHA-256 instead of those two."""
     own = own_columns(docs, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 16 + size // (10 * BUCKET)
-    replies = written(_gathered(anchor_replies(own, buckets, length)), "anchor-replies")
-    joined = written(own.join(replies, "key", "left"), "with-replies")
+    buckets = min(BUCKETS, 16 + size // BUCKET)
+    replies = written(anchor_replies(own, buckets, length).groupBy("key").agg(F.collect_list(F.struct("at", "what")).alias("replies")), "anchor-replies")
+    columns = DIGEST if digest else WHOLE
+
+    def first(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The result of texts without a compared anchor; the others go on."""
+        for at in range(0, batch.num_rows, 1000):
+            b = batch.slice(at, 1000)
+            ids, found, goes = b.column(0).to_pylist(), [], []
+            for row, doc_id in enumerate(ids):
+                text, reply = _text(b.column(2)[row]), b.column(3)[row]
+                action = _actions(reply, len(text)) if reply.is_valid else None
+                goes.append(action is not None and bool((action & COMPARED).any()))
+                found.append((doc_id, None if goes[-1] else _result(text, covered_windows(text, action, length) if action is not None else np.empty(0, np.int64), length)))
+            mask = pa.array(goes)
+            null = lambda c: pc.if_else(mask, c, pa.scalar(None, c.type))
+            keep = _rows(found, digest)
+            replied = pa.array([r if g else None for r, g in zip(b.column(3).to_pylist(), goes, strict=True)], pa.list_(pa.struct([("at", pa.binary()), ("what", pa.binary())])))
+            yield pa.RecordBatch.from_arrays([*keep.values(), b.column(1), null(b.column(2)), replied], names=[*keep, "key", "text", "replies"])
+
+    def second(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, 1000):
+            b = batch.slice(at, 1000)
+            found = []
+            for row, doc_id in enumerate(b.column(0).to_pylist()):
+                text = _text(b.column(1)[row])
+                covered = covered_windows(text, _actions(b.column(2)[row], len(text)), length)
+                more = np.array(b.column(3)[row].as_py() or [], np.int64)
+                found.append((doc_id, _result(text, np.union1d(covered, more), length)))
+            rows = _rows(found, digest)
+            yield pa.RecordBatch.from_arrays(list(rows.values()), names=list(rows))
+
+    joined = own.join(replies, "key", "left").select("doc_id", "key", "text", "replies")
+    stage = written(map_batches(joined, first, f"{columns}, key long, text string, replies array<struct<at: binary, what: binary>>"), "with-replies")
     discard(replies)
-    found = joined.filter("replies is not null")
-    again = written(_gathered(window_replies(found, buckets, length)).select("key", F.col("replies").alias("windows")), "window-replies")
-    columns = ("doc_id", "text", "replies", "windows")
-    whole = joined.filter("replies is null").withColumn("windows", F.col("replies")).select(*columns)
-    return _report(found.join(again, "key", "left").select(*columns).unionByName(whole), length)
+    found = stage.filter("replies is not null")
+    stretches = written(stretch_answers(found, buckets, length), "stretches")
+    wide = STRETCH - 1
+    whole = stretches.filter(F.col("what").bitwiseAND(COVERED) > 0).select("key", F.explode(F.sequence(F.col("last") - F.least(F.lit(wide), "n_left"), F.col("last") - wide + F.col("n_right"))).alias("start"))
+    starts = whole.unionByName(repeated_windows(stretches)).groupBy("key").agg(F.collect_set("start").alias("windows"))
+    again = found.join(starts, "key", "left").select("doc_id", "text", "replies", "windows")
+    done = stage.filter("replies is null").select(*(c.split()[0] for c in columns.split(", ")))
+    return map_batches(again, second, columns).unionByName(done)
+
+
+def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """One row per document: (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
+    return repeats_removed(docs, length, digest=True)
