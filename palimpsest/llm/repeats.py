@@ -389,11 +389,9 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, digest: bool = False)
                 action = _actions(reply, len(text)) if reply.is_valid else None
                 goes.append(action is not None and bool((action & COMPARED).any()))
                 found.append((doc_id, None if goes[-1] else _result(text, covered_windows(text, action, length) if action is not None else np.empty(0, np.int64), length)))
-            mask = pa.array(goes)
-            null = lambda c: pc.if_else(mask, c, pa.scalar(None, c.type))
+            on = pa.array([row if g else None for row, g in enumerate(goes)], pa.int64())
             keep = _rows(found, digest)
-            replied = pa.array([r if g else None for r, g in zip(b.column(3).to_pylist(), goes, strict=True)], pa.list_(pa.struct([("at", pa.binary()), ("what", pa.binary())])))
-            yield pa.RecordBatch.from_arrays([*keep.values(), b.column(1), null(b.column(2)), replied], names=[*keep, "key", "text", "replies"])
+            yield pa.RecordBatch.from_arrays([*keep.values(), b.column(1), b.column(2).take(on), b.column(3).take(on)], names=[*keep, "key", "text", "replies"])
 
     def second(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 1000):
