@@ -73,8 +73,9 @@ def anchors(p: np.ndarray, n: int, length: int = LENGTH) -> np.ndarray:
     return (np.minimum(from_right[:windows], from_left[w - 1 : w - 1 + windows]) & low).astype(np.int64)
 
 
-def _text(value: pa.Scalar) -> bytes:
-    return (value.as_py() or "").encode("utf-8", "surrogatepass")
+def _text(value: pa.Scalar) -> bytes | memoryview:
+    """The UTF-8 bytes of a text, as they lie in the batch."""
+    return memoryview(value.as_buffer()) if value.is_valid else b""
 
 
 def _word(key: int) -> np.uint64:
@@ -95,30 +96,35 @@ def anchor_entries(text: bytes, length: int = LENGTH) -> list[np.ndarray]:
     return [substrings(ps[0], at, at + GRAM), *_names(ps, start, end, at - start), at.astype(np.uint64)]
 
 
-def _stretches(text: bytes, action: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(anchor, number, prefix hashes) of the stretches that have a compared window."""
-    data = np.frombuffer(text, np.uint8)
-    ps = [prefixes(data, b) for b in BASES]
-    of = anchors(ps[0], len(text), length)
-    start = np.flatnonzero(action[of] & COMPARED)
-    stretch = np.unique(of[start] << 8 | (of[start] - start) // STRETCH)
-    return stretch >> 8, stretch & 255, ps
+def segments(at: np.ndarray, n: int, length: int = LENGTH) -> Iterator[tuple[int, int]]:
+    """The stretches of a text of ``n`` bytes that hold all windows of the anchors ``at``, and of no anchor in part."""
+    reach = length - GRAM
+    start, end = np.maximum(at - reach, 0), np.minimum(at + length, n)
+    apart = np.append(True, start[1:] > np.maximum.accumulate(end)[:-1])
+    yield from zip(start[apart].tolist(), np.maximum.reduceat(end, np.flatnonzero(apart)).tolist(), strict=True)
 
 
-def stretch_entries(text: bytes, action: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """(core, whole, whole, place, core, left, right): ``place`` is that of the last window, with the number of bytes that
-    ``left`` and ``right`` of the core have above it."""
-    at, number, ps = _stretches(text, action, length)
+def stretch_entries(text: bytes, compared: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """(core, whole, whole, place, core, left, right) of the stretches that have a window of the anchors ``compared``:
+    ``place`` is that of the last window, with the number of bytes that ``left`` and ``right`` of the core have above it."""
     wide, n = STRETCH - 1, len(text)
-    last = at - STRETCH * number
-    first = last - wide
-    begin, end = np.maximum(first, 0), np.minimum(last + length, n)
-    core = _names(ps, last, first + length, number)
-    whole = _names(ps, begin, end, number * 256 + last - begin)
     padded = np.concatenate([np.zeros(8, np.uint8), np.frombuffer(text, np.uint8), np.zeros(8, np.uint8)])
     side = lambda s: np.ascontiguousarray(padded[s[:, None] + np.arange(8) + 8]).view(np.uint64).ravel()
-    counts = (last - begin) << 40 | (end - (first + length)) << 44
-    return [core[0], *whole, (last | counts).astype(np.uint64), core[1], side(last - 8), side(first + length)]
+    found: list[list[np.ndarray]] = []
+    for a, b in segments(compared, n, length):
+        ps = [prefixes(padded[8 + a : 8 + b], base) for base in BASES]
+        of = anchors(ps[0], b - a, length)
+        start = np.flatnonzero(np.isin(of + a, compared))
+        stretch = np.unique(of[start] << 8 | (of[start] - start) // STRETCH)
+        number = stretch & 255
+        last = (stretch >> 8) - STRETCH * number
+        first = last - wide
+        begin, end = np.maximum(first, 0), np.minimum(last + length, b - a)
+        core = _names(ps, last, first + length, number)
+        whole = _names(ps, begin, end, number * 256 + last - begin)
+        counts = (last - begin) << 40 | (end - (first + length)) << 44
+        found.append([core[0], *whole, (last + a | counts).astype(np.uint64), core[1], side(last + a - 8), side(first + a + length)])
+    return [np.concatenate(c) for c in zip(*found, strict=True)]
 
 
 # ---------------------------------------------------------------- names that occur twice
@@ -241,12 +247,12 @@ STRETCHES = "key long, last long, n_left int, n_right int, what int, core_a long
 
 
 def stretch_answers(open_docs: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
-    """The stretches of texts (key, text, replies) that are repeated, or to be compared, or both; ``syms`` is the string of
+    """The stretches of texts (key, text, compared) that are repeated, or to be compared, or both; ``syms`` is the string of
     symbols of what is compared."""
 
     def entries(batch: pa.RecordBatch, row: int) -> list[np.ndarray] | None:
         text = _text(batch.column(1)[row])
-        core, one, two, place, *rest = stretch_entries(text, _actions(batch.column(2)[row], len(text)), length)
+        core, one, two, place, *rest = stretch_entries(text, batch.column(2)[row].values.to_numpy(), length)
         return [core, one, two, np.full(len(core), _word(batch.column(0)[row].as_py())), place, *rest]
 
     def answer(data: np.ndarray, what: np.ndarray) -> pa.Table:
@@ -265,7 +271,7 @@ def stretch_answers(open_docs: DataFrame, buckets: int, length: int = LENGTH) ->
             "syms": pa.ListArray.from_arrays(pa.array(ends), pa.array(syms[compared].ravel())),
         })
 
-    return settled(open_docs.select("key", "text", "replies"), entries, 8, buckets, answer, STRETCHES)
+    return settled(open_docs.select("key", "text", "compared"), entries, 8, buckets, answer, STRETCHES)
 
 
 # ---------------------------------------------------------------- suffixes
@@ -315,9 +321,9 @@ def repeated_windows(stretches: DataFrame) -> DataFrame:
     n = strings.count()
     if not n:
         return strings.select("key", F.col("last").alias("start"))
-    ranks = suffix_ranks(strings.select("sid", "syms"))
     wide = STRETCH - 1
-    windows = ranks.filter(F.col("pos") <= wide).join(strings, "sid").filter((F.col("pos") >= wide - F.col("n_left")) & (F.col("pos") <= F.col("n_right")))
+    ranks = suffix_ranks(strings.select("sid", "syms"), wide)
+    windows = ranks.join(strings, "sid").filter((F.col("pos") >= wide - F.col("n_left")) & (F.col("pos") <= F.col("n_right")))
     rows = windows.select("rank", "core_a", "core_b", "pos", F.expr(f"substring(sides, pos + {9 - wide}, {wide})").alias("beside"), "key", (F.col("last") - wide + F.col("pos")).alias("start"), (F.col("what") == COMPARED).alias("asked"))
     rows = written(rows, "window-suffixes")
     ordered = rows.repartitionByRange(2 + n * STRETCH // TASK_ROWS, "rank").sortWithinPartitions("rank")
@@ -330,28 +336,28 @@ def repeated_windows(stretches: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- report
 
 
-def spans_of(n: int, repeated: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the maximal runs of bytes of a text of ``n`` bytes under the windows that begin at ``repeated``."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, repeated, 1)
-    np.add.at(change, repeated + length, -1)
-    covered = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
-    edge = np.flatnonzero(covered[1:] != covered[:-1])
+def runs_of(n: int, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the runs of marked places among ``n``."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], marked[:n].astype(np.int8), [0]])))
     return edge[::2], edge[1::2]
 
 
-def covered_windows(text: bytes, action: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The windows whose anchors are covered."""
-    return np.flatnonzero(action[anchors(prefixes(np.frombuffer(text, np.uint8)), len(text), length)] & COVERED)
+def spans_of(n: int, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the maximal runs of bytes of a text of ``n`` bytes under the windows that begin from ``first`` to
+    before ``last``."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, first, 1)
+    np.add.at(change, last - 1 + length, -1)
+    return runs_of(n, np.cumsum(change) > 0)
 
 
-def _result(text: bytes, repeated: np.ndarray, length: int) -> tuple[int, list[int], bytes]:
-    starts, ends = spans_of(len(text), repeated, length) if len(repeated) else (np.empty(0, np.int64),) * 2
-    kept, last = [], 0
+def _result(text: bytes | memoryview, first: np.ndarray, last: np.ndarray, length: int) -> tuple[int, list[int], bytes]:
+    starts, ends = spans_of(len(text), first, last, length) if len(first) else (first, last)
+    kept, at = [], 0
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        kept.append(text[last:s])
-        last = e
-    return len(text), np.stack([starts, ends], axis=1).ravel().tolist(), b"".join([*kept, text[last:]])
+        kept.append(text[at:s])
+        at = e
+    return len(text), np.stack([starts, ends], axis=1).ravel().tolist(), b"".join([*kept, text[at:]])
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -379,42 +385,49 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, digest: bool = False)
     replies = written(anchor_replies(own, buckets, length).groupBy("key").agg(F.collect_list(F.struct("at", "what")).alias("replies")), "anchor-replies")
     columns = DIGEST if digest else WHOLE
 
+    none = np.empty(0, np.int64)
+
     def first(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """The result of texts without a compared anchor; the others go on."""
+        """The result of texts without a compared anchor; the others go on, with the runs of their covered windows."""
         for at in range(0, batch.num_rows, 1000):
             b = batch.slice(at, 1000)
-            ids, found, goes = b.column(0).to_pylist(), [], []
-            for row, doc_id in enumerate(ids):
-                text, reply = _text(b.column(2)[row]), b.column(3)[row]
-                action = _actions(reply, len(text)) if reply.is_valid else None
-                goes.append(action is not None and bool((action & COMPARED).any()))
-                found.append((doc_id, None if goes[-1] else _result(text, covered_windows(text, action, length) if action is not None else np.empty(0, np.int64), length)))
-            on = pa.array([row if g else None for row, g in enumerate(goes)], pa.int64())
+            found, on, runs, compared = [], [], [], []
+            for row, doc_id in enumerate(b.column(0).to_pylist()):
+                text, covered, ask = _text(b.column(2)[row]), (none, none), none
+                if b.column(3)[row].is_valid:
+                    action = _actions(b.column(3)[row], len(text))
+                    windows = action[anchors(prefixes(np.frombuffer(text, np.uint8)), len(text), length)]
+                    covered, ask = runs_of(len(windows), (windows & COVERED) > 0), np.flatnonzero(action & COMPARED)
+                goes = len(ask) > 0
+                found.append((doc_id, None if goes else _result(text, *covered, length)))
+                on.append(row if goes else None)
+                runs.append(np.stack(covered, axis=1).ravel() if goes else None)
+                compared.append(ask if goes else None)
             keep = _rows(found, digest)
-            yield pa.RecordBatch.from_arrays([*keep.values(), b.column(1), b.column(2).take(on), b.column(3).take(on)], names=[*keep, "key", "text", "replies"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (runs, compared)]
+            yield pa.RecordBatch.from_arrays([*keep.values(), b.column(1), b.column(2).take(pa.array(on, pa.int64())), *lists], names=[*keep, "key", "text", "covered", "compared"])
 
     def second(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 1000):
             b = batch.slice(at, 1000)
             found = []
             for row, doc_id in enumerate(b.column(0).to_pylist()):
-                text = _text(b.column(1)[row])
-                covered = covered_windows(text, _actions(b.column(2)[row], len(text)), length)
-                more = np.array(b.column(3)[row].as_py() or [], np.int64)
-                found.append((doc_id, _result(text, np.union1d(covered, more), length)))
+                covered = b.column(2)[row].values.to_numpy()
+                more = b.column(3)[row].values.to_numpy() if b.column(3)[row].is_valid else none
+                found.append((doc_id, _result(_text(b.column(1)[row]), np.append(covered[::2], more), np.append(covered[1::2], more + 1), length)))
             rows = _rows(found, digest)
             yield pa.RecordBatch.from_arrays(list(rows.values()), names=list(rows))
 
     joined = own.join(replies, "key", "left").select("doc_id", "key", "text", "replies")
-    stage = written(map_batches(joined, first, f"{columns}, key long, text string, replies array<struct<at: binary, what: binary>>"), "with-replies")
+    stage = written(map_batches(joined, first, f"{columns}, key long, text string, covered array<long>, compared array<long>"), "with-replies")
     discard(replies)
-    found = stage.filter("replies is not null")
+    found = stage.filter("compared is not null")
     stretches = written(stretch_answers(found, buckets, length), "stretches")
     wide = STRETCH - 1
     whole = stretches.filter(F.col("what").bitwiseAND(COVERED) > 0).select("key", F.explode(F.sequence(F.col("last") - F.least(F.lit(wide), "n_left"), F.col("last") - wide + F.col("n_right"))).alias("start"))
     starts = whole.unionByName(repeated_windows(stretches)).groupBy("key").agg(F.collect_set("start").alias("windows"))
-    again = found.join(starts, "key", "left").select("doc_id", "text", "replies", "windows")
-    done = stage.filter("replies is null").select(*(c.split()[0] for c in columns.split(", ")))
+    again = found.join(starts, "key", "left").select("doc_id", "text", "covered", "windows")
+    done = stage.filter("compared is null").select(*(c.split()[0] for c in columns.split(", ")))
     return map_batches(again, second, columns).unionByName(done)
 
 

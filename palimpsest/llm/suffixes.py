@@ -53,21 +53,25 @@ def _predecessors(rows: DataFrame, keys: list[str], tasks: int) -> DataFrame:
     return scanned.filter("r0 is null").join(F.broadcast(carried), "task").select("sid", "pos", F.greatest("p", "carried").alias("p"))
 
 
-def suffix_ranks(strings: DataFrame) -> DataFrame:
-    """(sid, pos, rank), written, of all suffixes of ``strings`` (sid long, syms array<long>, symbols from 1 on); an end
-    sorts before any symbol. ``sid`` is unique, not negative and far under 2 ** 62."""
+def suffix_ranks(strings: DataFrame, upto: int | None = None) -> DataFrame:
+    """(sid, pos, rank), written, of the suffixes of ``strings`` (sid long, syms array<long>, symbols from 1 on) that begin
+    at ``upto`` or before, or of all; an end sorts before any symbol. ``sid`` is unique, not negative and far under
+    2 ** 62."""
+    strings = strings.filter(F.size("syms") > 0)
     size = strings.agg(F.max(F.size("syms")).alias("longest"), F.sum(F.size("syms")).alias("n")).first()
     tasks = 2 + (size["n"] or 0) // TASK_ROWS
-    place = F.explode(F.sequence(F.lit(0), F.size("syms") - 1)).alias("pos")
+    zero = F.lit(0).cast("long")
+    places = strings.select("sid", "syms", F.explode(F.sequence(F.lit(0), F.size("syms") - 1)).alias("pos"))
+    at = lambda k: F.coalesce(F.get("syms", F.col("pos") + k), zero)
+    wanted = F.lit(True) if upto is None else F.col("pos") <= upto
     if (size["longest"] or 0) <= WHOLE:
-        rows = strings.filter(F.size("syms") > 0).select("sid", "syms", place).select("sid", "pos", F.expr("slice(syms, pos + 1, size(syms))").alias("rest"))
-        names = _named(rows.select("rest").distinct(), ["rest"], tasks)
-        ranks = written(rows.join(names, "rest").select("sid", "pos", F.col("name").alias("rank")), "ranks")
+        keys = [f"k{i}" for i in range(WHOLE)]
+        rows = places.filter(wanted).select("sid", "pos", *(at(i).alias(k) for i, k in enumerate(keys)))
+        names = _named(rows.select(keys).distinct(), keys, tasks)
+        ranks = written(rows.join(names, keys).select("sid", "pos", F.col("name").alias("rank")), "ranks")
         discard(names)
         return ranks
-    at = lambda a, k: F.coalesce(F.get(a, F.col("pos") + k), F.lit(0).cast("long"))
-    rows = strings.filter(F.size("syms") > 0).select("sid", "syms", place)
-    sampled = written(rows.filter("pos % 3 <> 0").select("sid", "pos", *(at("syms", k).alias(c) for k, c in enumerate("xyz"))), "triples")
+    sampled = places.filter("pos % 3 <> 0").select("sid", "pos", *(at(k).alias(c) for k, c in enumerate("xyz")))
     names = _named(sampled.select("x", "y", "z").distinct(), ["x", "y", "z"], tasks)
     named = sampled.join(names, ["x", "y", "z"]).select("sid", "pos", "name")
     if names.count() == sampled.count():  # no name repeats
@@ -77,21 +81,18 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
         shorter = written(gathered.select((2 * F.col("sid") + F.col("part") - 1).alias("sid"), F.col("a.name").alias("syms")), "strings-of-names")
         deeper = suffix_ranks(shorter)
         part = F.col("sid") % 2 + 1
-        ranks = written(deeper.select(F.expr("sid div 2").alias("sid"), (3 * F.col("pos") + part).cast("int").alias("pos"), "rank"), "ranks")
-        discard(deeper)
+        ranks = deeper.select(F.expr("sid div 2").alias("sid"), (3 * F.col("pos") + part).cast("int").alias("pos"), "rank")
         discard(shorter)
-    discard(sampled)
     discard(names)
-    of_string = ranks.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "rank"))).alias("ranks"))
-    rank = lambda k: F.coalesce(F.try_element_at("ranks", F.col("pos") + k), F.lit(0).cast("long"))
-    both = strings.filter(F.size("syms") > 0).join(of_string, "sid", "left").select("sid", "syms", F.coalesce("ranks", F.create_map().cast("map<int,bigint>")).alias("ranks"), place)
-    keyed = written(both.select("sid", "pos", at("syms", 0).alias("x"), at("syms", 1).alias("y"), F.try_element_at("ranks", "pos").alias("r0"), rank(1).alias("r1"), rank(2).alias("r2")), "suffixes")
-    discard(ranks)
+    of_string = ranks.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "rank"))).alias("ranks"))
+    # the sampled places are 1, 2, 4, 5, ...: all but each third
+    rank = lambda k: F.coalesce(F.get("ranks.rank", (F.col("pos") + k) - F.floor((F.col("pos") + k) / 3).cast("int") - 1), zero)
+    both = places.filter(wanted).join(of_string, "sid", "left")
+    keyed = written(both.select("sid", "pos", at(0).alias("x"), at(1).alias("y"), F.when(F.col("pos") % 3 != 0, rank(0)).alias("r0"), F.when(F.col("pos") % 3 != 2, rank(1)).alias("r1"), F.when(F.col("pos") % 3 != 1, rank(2)).alias("r2")), "suffixes")
     rest = F.col("pos") % 3 == 0
-    one = _predecessors(keyed.filter(rest | (F.col("pos") % 3 == 1)).withColumn("f", rest), ["x", "r1", "f"], tasks)
-    two = _predecessors(keyed.filter(rest | (F.col("pos") % 3 == 2)).withColumn("f", rest), ["x", "y", "r2", "f"], tasks)
+    one = _predecessors(keyed.filter("pos % 3 <> 2").withColumn("f", rest), ["x", "r1", "f"], tasks)
+    two = _predecessors(keyed.filter("pos % 3 <> 1").withColumn("f", rest), ["x", "y", "r2", "f"], tasks)
     placed = one.unionByName(two).groupBy("sid", "pos").agg(F.max("p").alias("p"))
-    zero = F.lit(0).cast("long")
     merged = keyed.filter(rest).join(placed, ["sid", "pos"]).select("sid", "pos", "p", F.lit(1).alias("f"), "x", "r1").unionByName(keyed.filter(~rest).select("sid", "pos", F.col("r0").alias("p"), F.lit(0).alias("f"), zero.alias("x"), zero.alias("r1")))
     order = written(merged, "merged")
     keys = ["p", "f", "x", "r1"]
