@@ -41,7 +41,7 @@ from palimpsest.llm.suffixes import TASK_ROWS, suffix_ranks
 LENGTH = 200
 GRAM = 48
 #: Windows to a stretch, at most nine: the bytes beside a core fit in a word.
-STRETCH = 9
+STRETCH = 5
 FLUSH = 500_000
 #: Bytes of text to a bucket, about, and the most buckets.
 BUCKET = 10_000_000
@@ -98,7 +98,7 @@ def anchor_entries(text: bytes, length: int = LENGTH) -> list[np.ndarray]:
 
 def segments(at: np.ndarray, n: int, length: int = LENGTH) -> Iterator[tuple[int, int]]:
     """The stretches of a text of ``n`` bytes that hold all windows of the anchors ``at``, and of no anchor in part."""
-    reach = length - GRAM
+    reach = length - GRAM + STRETCH  # so that a stretch is cut only where the text ends
     start, end = np.maximum(at - reach, 0), np.minimum(at + length, n)
     apart = np.append(True, start[1:] > np.maximum.accumulate(end)[:-1])
     yield from zip(start[apart].tolist(), np.maximum.reduceat(end, np.flatnonzero(apart)).tolist(), strict=True)
