@@ -10,10 +10,12 @@ Sets link when 100 * intersection >= 75 * union; no link is lost. The steps:
 3. Sizes fall into bands that grow by 4/3. Linked sets lie in one band or in neighbours,
    and their symmetric difference is at most d, a third of the band's upper end. So sets are cut by hash into p > d
    parts, and each part is XOR-hashed to 64 bits: as one element changes one part, linked sets agree in p - d parts.
-   Sets that have fewer empty parts than that agree in a part that is not empty, which is where they meet; the rest
-   meet in empty parts as well.
-4. Where sets meet they are verified with exact intersections: first each with the smallest of its bucket (which
-   unites copies without listing their pairs), then, in buckets that still hold several components, the nearest of each
+   Sets that have fewer empty parts than that agree in a part that is not empty, which is where they meet. If two linked
+   sets agree in empty parts only, both have many; such sets meet in the first quarter of their hashes, too: sets that
+   share three quarters of their elements share one of those.
+4. Where sets meet they are verified with exact intersections: first each with the smallest that its task holds of the
+   key, and these with the smallest of all (which unites copies without listing their pairs, and sends a key once a
+   task), then, in buckets that still hold several components, the nearest of each
    two, then all that are still across. Parity sketches of 2048 bits, whose Hamming distance is at most the symmetric
    difference, tell what is near and sort out most of what does not link.
 
@@ -21,7 +23,7 @@ Components come from alternating stars over the verified links. Nothing of this
 
 Null text, and text without a word, has an empty set and links with nothing: its component is its own id. Rows that
 share id and text are one node; rows that share only the id are nodes of their own. Null ids stay null unless linked to
-a row that has one. An empty table gives an empty result.
+a row that has one. An empty table gives an empty result. A very long text is one row in memory, and so is its set.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +60,13 @@ def _class_of(s: np.ndarray) -> tuple[int, int]:
     return int(k.astype(np.int64)), int(check.astype(np.int64))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key): ``key`` tells rows of different id or text apart, so that nothing hangs on ids alone."""
+    return own_columns(docs, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
+
+
 def shingle_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, k, c): the size of each document's set and the two sums that name its class."""
+    """(doc_id, key, n, k, c): the size of each document's set and the two sums that name its class."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n, k, c = [], [], []
@@ -68,9 +76,9 @@ def shingle_sizes(docs: DataFrame) -> DataFrame:
             n.append(len(s))
             k.append(a)
             c.append(b)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, k, c))], names=["doc_id", "n", "k", "c"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (n, k, c))], names=["doc_id", "key", "n", "k", "c"])
 
-    return map_batches(own_columns(docs, "doc_id", "text"), run, "doc_id long, n long, k long, c long")
+    return map_batches(_keyed(docs), run, "doc_id long, key long, n long, k long, c long")
 
 
 # ---------------------------------------------------------------- packed shuffles
@@ -179,10 +187,10 @@ def part_keys(s: np.ndarray, band: int, upper: int) -> np.ndarray:
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     parity = np.bitwise_xor.reduceat(mix(s[order]), first)
     part = at[first].astype(np.uint64)
-    if p - len(part) > slack:  # too many are empty for a meeting to be sure in the others
-        empty = np.setdiff1d(np.arange(p, dtype=np.uint64), part)
-        part, parity = np.append(part, empty), np.append(parity, np.zeros(len(empty), np.uint64))
-    return mix(parity + mix(part * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(band + 1)))
+    keys = mix(parity + mix(part * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(band + 1)))
+    if p - len(part) > slack:  # a meeting is not sure, unless the other has many empty parts as well
+        keys = np.append(keys, mix(s[: len(s) - -(-3 * len(s) // 4) + 1] ^ np.uint64(0x9E6C63D0876A9A47 + band)))
+    return keys
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -192,24 +200,23 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-SETS = "doc_id long, k long, n long, s array<long>, w array<long>"
+SETS = "k long, n long, s array<long>, w array<long>"
 
 
 def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The sets and sketches of the chosen (doc_id, k)."""
-    own = own_columns(docs, "doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "k")
+    """The sets and sketches of the chosen (key, k, c)."""
+    own = _keyed(docs).join(chosen, "key").select("text", "k", "c")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, ks, ns, ss, ws = [], [], [], [], []
-        for doc_id, value, k in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        ks, ns, ss, ws = [], [], [], []
+        for value, *name in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             s = shingles(_bytes(value))
-            if _class_of(s)[0] == k:
-                ids.append(doc_id)
-                ks.append(k)
+            if _class_of(s) == tuple(name):
+                ks.append(name[0])
                 ns.append(len(s))
                 ss.append(s.view(np.int64))
                 ws.append(sketch(s).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.int64()), pa.array(ns, pa.int64()), pa.array(ss, pa.list_(pa.int64())), pa.array(ws, pa.list_(pa.int64()))], names=["doc_id", "k", "n", "s", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ns, pa.int64()), pa.array(ss, pa.list_(pa.int64())), pa.array(ws, pa.list_(pa.int64()))], names=["k", "n", "s", "w"])
 
     return map_batches(own, run, SETS)
 
@@ -219,18 +226,12 @@ LISTED = 16
 BLOCK = 1024
 
 
-def _send_keys(sets: DataFrame, buckets: int, edges: list[int], with_root: bool) -> DataFrame:
-    """The packed keys of all sets; with ``root`` an entry is two numbers, set and component."""
+def _send_keys(sets: DataFrame, buckets: int, edges: list[int], send: Callable[[np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, with_root: bool) -> DataFrame:
+    """What ``send`` makes of the keys of all sets, flush by flush; with ``root`` an entry is two numbers, set and component."""
 
-    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                x, y = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                yield from _packed(x, y, buckets)
-
         for batch in batches:
             roots = batch.column(2).to_pylist() if with_root else None
             for row, k in enumerate(batch.column(0).to_pylist()):
@@ -244,26 +245,43 @@ def _send_keys(sets: DataFrame, buckets: int, edges: list[int], with_root: bool)
                         held.append((np.repeat(keys, len(who)), np.tile(who, len(keys))))
                         size += len(keys)
                 if size >= FLUSH:
-                    yield from flush()
+                    yield from send(*(np.concatenate(h) for h in zip(*held, strict=True)))
                     held, size = [], 0
-        yield from flush()
+        if held:
+            yield from send(*(np.concatenate(h) for h in zip(*held, strict=True)))
+
+    return sets.select("k", "s", *(["root"] if with_root else [])).mapInArrow(run, schema)
+
 
-    return sets.select("k", "s", *(["root"] if with_root else [])).mapInArrow(send, PACKED)
+def _with_smallest(x: np.ndarray, k: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Pairs of each set with the smallest of each key, and these (key, smallest)."""
+    order = np.lexsort((k, x))
+    x, k = x[order], k[order]
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    low = np.repeat(k[first], np.diff(np.append(first, len(x))))
+    return _unique_pairs(k[k != low], low[k != low]), x[first], k[first]
 
 
 def _met_smallest(sets: DataFrame, buckets: int, edges: list[int]) -> DataFrame:
-    """Pairs (a, b): each set with the smallest of each bucket it is in."""
+    """Pairs (a, b): each set with the smallest of each key in its flush, and these with the smallest of the key. A key
+    that a third of all sets have is one entry to a flush."""
+
+    def send(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs, x, k = _with_smallest(x, y.view(np.int64))
+        a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
+        for kind, rows in enumerate((_packed(x, k.view(np.uint64), buckets), _packed(a.view(np.uint64), b.view(np.uint64), buckets))):
+            for r in rows:
+                yield r.append_column("kind", pa.array(np.full(r.num_rows, kind)))
 
     def meet(rows: pa.Table) -> pa.Table:
-        x, y = _unpacked(rows)
-        k = y.view(np.int64)
-        order = np.lexsort((k, x))
-        x, k = x[order], k[order]
-        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-        low = np.repeat(k[first], np.diff(np.append(first, len(x))))
-        return _unique_pairs(k[k != low], low[k != low])
+        keys, pairs = rows.filter(pc.equal(rows.column("kind"), 0)), rows.filter(pc.equal(rows.column("kind"), 1))
+        found = [_unique_pairs(*(v.view(np.int64) for v in _unpacked(pairs)))] if pairs.num_rows else []
+        if keys.num_rows:
+            x, y = _unpacked(keys)
+            found.append(_with_smallest(x, y.view(np.int64))[0])
+        return pa.concat_tables(found)
 
-    return _send_keys(sets, buckets, edges, False).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return _send_keys(sets, buckets, edges, send, f"{PACKED}, kind long", False).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _met_across(sets: DataFrame, buckets: int, edges: list[int]) -> DataFrame:
@@ -300,7 +318,7 @@ def _met_across(sets: DataFrame, buckets: int, edges: list[int]) -> DataFrame:
         null = lambda c, m: pa.array(c, pa.int64()) if c is not None else pa.nulls(m, pa.int64())
         return pa.concat_tables([pa.table({"a": o[0], "b": o[1], "g": null(o[2], len(o[0])), "side": null(o[3], len(o[0]))}) for o in out])
 
-    return _send_keys(sets, buckets, edges, True).groupBy("bucket").applyInArrow(meet, "a long, b long, g long, side long")
+    return _send_keys(sets, buckets, edges, lambda x, y: _packed(x, y, buckets), PACKED, True).groupBy("bucket").applyInArrow(meet, "a long, b long, g long, side long")
 
 
 def _near_in_blocks(members: DataFrame, nearest: bool) -> DataFrame:
@@ -357,15 +375,17 @@ def _joined_links(links: DataFrame, more: DataFrame, roots: DataFrame) -> tuple[
     return both, out
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row per document: (doc_id, n_shingles, component_id)."""
+def _resolved(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n, m, keeper): of each row's component the smallest id and the key of the row that has it; both are
+    null where the row is alone."""
     sizes = written(shingle_sizes(docs), "sizes")
     stats = sizes.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
     total, largest = stats["total"] or 0, stats["largest"] or 0
-    classes = sizes.filter("n > 0").groupBy("k", "c", "n").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first")
+    classes = sizes.filter("n > 0").groupBy("k", "c", "n").agg(first, F.count(F.lit(1)).alias("copies"))
     classes = written(classes, "classes")
     lone = _lone_counts(own_columns(docs, "text"), _sampled, 16 + total // (3 * BUCKET))
-    chosen = written(classes.filter("n >= 3").join(lone, "k", "left").filter("4 * coalesce(lone, 0) <= n").select(F.col("low").alias("doc_id"), "k"), "chosen")
+    chosen = written(classes.filter("n >= 3").join(lone, "k", "left").filter("4 * coalesce(lone, 0) <= n").select("first.key", "k", "c"), "chosen")
     n_chosen = chosen.count()
     sets = written(_sets(docs, F.broadcast(chosen) if n_chosen <= BROADCAST_ROWS else chosen), "sets")
     if sets.count() > n_chosen:  # repeated rows
@@ -395,23 +415,36 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     tested = pairs.unionByName(more)
     last = written(_near_in_blocks(again.join(mixed, "g", "left_semi"), nearest=False).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     linked, roots = _joined_links(linked, written(_verified(last, sets), "links"), roots)
-    lows = classes.select(F.col("k").alias("node"), "low")
-    lowest = roots.join(lows, "node")
-    of_root = lowest.groupBy("root").agg(F.min("low").alias("low"))
-    of_node = lowest.select("node", "root").join(of_root, "root").select(F.col("node").alias("m_k"), F.col("low").alias("m"))
-    copied = classes.filter("copies > 1").join(of_node, F.col("k") == F.col("m_k"), "left_anti").select(F.col("k").alias("m_k"), F.col("low").alias("m"))
-    mapped = written(of_node.unionByName(copied), "mapped")
+    firsts = classes.select(F.col("k").alias("node"), "c", "first")
+    lowest = roots.join(firsts, "node")
+    of_root = lowest.groupBy("root").agg(F.min("first").alias("first"))
+    of_node = lowest.select("node", "c", "root").join(of_root, "root").select(F.col("node").alias("m_k"), F.col("c").alias("m_c"), "first")
+    copied = classes.filter("copies > 1").join(of_node, (F.col("k") == F.col("m_k")) & (F.col("c") == F.col("m_c")), "left_anti").select(F.col("k").alias("m_k"), F.col("c").alias("m_c"), "first")
+    mapped = of_node.unionByName(copied).select("m_k", "m_c", F.col("first.doc_id").alias("m"), F.col("first.key").alias("keeper"))
+    mapped = written(mapped, "mapped")
     for df in (classes, chosen, sets, pairs, linked, roots, across, again, more, last):
         discard(df)
-    out = sizes.join(_small(mapped), (F.col("k") == F.col("m_k")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("m", "doc_id").alias("component_id"))
+    out = sizes.join(_small(mapped), (F.col("k") == F.col("m_k")) & (F.col("c") == F.col("m_c")) & (F.col("n") > 0), "left")
+    return out.select("doc_id", "key", "n", "m", "keeper")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """One row per document: (doc_id, n_shingles, component_id)."""
+    return _resolved(docs).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("m", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document of the smallest id of each component, with the columns of the documents table."""
-    own = own_columns(docs, *DOCUMENT)
-    found = jaccard_components(own)
-    goes = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    kept = own.join(_small(goes), "doc_id", "left_anti")
-    rows = found.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    return kept if rows["n"] == rows["d"] else kept.dropDuplicates(["doc_id"])
+    """The row of the smallest id of each component (one of them if it repeats), with the columns of the documents table.
+    Rows go by id and text together: other texts of the same id, and rows without id, are judged each for itself. Text
+    without a word is in no component and stays."""
+    own = own_columns(docs, *DOCUMENT).withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = written(_resolved(own).filter("keeper is not null"), "in-components")
+    same = lambda other: F.col("__key") == other["key"], lambda other: F.col("doc_id").eqNullSafe(other["g_id"])
+    goes = _small(written(found.filter("key <> keeper").select(F.col("doc_id").alias("g_id"), "key").distinct(), "near-copies"))
+    kept = own.join(goes, same[0](goes) & same[1](goes), "left_anti")
+    again = written(found.filter("key = keeper").groupBy("key").count().filter("count > 1").select("key"), "repeated-rows")
+    if again.limit(1).count():
+        again = _small(again)
+        once = kept.join(again, same[0](again), "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, same[0](again), "left_anti").unionByName(once)
+    return kept.select(*DOCUMENT)

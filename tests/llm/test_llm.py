@@ -107,6 +107,60 @@ def test_jaccard_components(docs):
     assert sorted(kept) == sorted({find(i) for i in ids})
 
 
+def components_by_force(texts):
+    """Root of each place of a list of texts."""
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_large_buckets_of_several_components(spark, monkeypatch, small):
+    """A template in more documents than are listed at once, and than a block takes; some are alike enough, some not."""
+    if small:
+        monkeypatch.setattr(jaccard, "LISTED", 4)
+        monkeypatch.setattr(jaccard, "BLOCK", 16)
+        monkeypatch.setattr(jaccard, "FLUSH", 1500)
+    r, base = random.Random(8), prose(4242, 110).split()
+    texts = []
+    for j in range(150):
+        words = list(base)
+        for k in range(r.choice([1, 2, 3, 4, 5])):
+            at = r.randrange(len(words))
+            words[at] = f"own{j}x{k}" if r.random() < 0.7 else f"shared{at}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_components(rows).collect()}
+    expected = components_by_force(texts)
+    assert got == dict(enumerate(expected)) and 5 < len(set(expected)) < 150
+
+
+def test_sketches_lose_no_link():
+    """The bound on sketch distances holds for all linked pairs of a large block."""
+    r = np.random.default_rng(2)
+    base = np.unique(r.integers(0, 2**63, 120, dtype=np.uint64))
+    sets = [np.unique(np.append(r.permutation(base)[: 120 - int(d)], r.integers(0, 2**63, int(d), dtype=np.uint64))) for d in r.integers(0, 60, 1100)]
+    near = lambda a, b: 7 * int(np.bitwise_count(jaccard.sketch(a) ^ jaccard.sketch(b)).sum()) <= len(a) + len(b)
+    linked = [(i, j) for i in range(0, 1100, 50) for j in range(i) if 4 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 3 * (len(sets[i]) + len(sets[j]) - n)]
+    assert linked and all(near(sets[i], sets[j]) for i, j in linked)
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    text = [prose(9000 + i, 100) for i in range(6)]
+    edited = text[5].split()
+    edited[50] = "changed"
+    rows = [(1, text[0]), (1, text[0]), (2, text[1]), (2, text[2]), (None, text[3]), (None, text[4]), (None, text[4]), (5, text[5]), (None, " ".join(edited)), (None, None), (7, ""), (7, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(2)
+    found = Counter((x["doc_id"], x["component_id"]) for x in jaccard.jaccard_components(table).collect())
+    assert found == Counter({(1, 1): 2, (2, 2): 2, (None, None): 4, (5, 5): 1, (None, 5): 1, (7, 7): 2})
+    kept = Counter((x["doc_id"], x["text"]) for x in jaccard.keep_one(table).collect())
+    assert kept == Counter([(1, text[0]), (2, text[1]), (2, text[2]), (None, text[3]), (None, text[4]), (5, text[5]), (None, None), (7, ""), (7, "")])
+
+
 @settings(max_examples=40, deadline=None, database=None)
 @given(st.integers(3, 300), st.integers(0, 40), st.integers(0, 10**6))
 def test_linked_sets_meet(n, edits, seed):
