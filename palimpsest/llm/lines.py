@@ -7,7 +7,8 @@ at or over the threshold stays in the document of the smallest id that has it an
 
 Lines are split at \\n and compared without white space at their ends; those under ``min_chars`` never count. They are
 told apart by a 64-bit hash. Null source is a site of its own; null text has no lines and counts as empty; rows that
-share an id are one document. All of it is DataFrame code.
+share an id are one document, and rows without id together one. A very long text is one row; its lines are rows of their
+own while they are counted. All of it is DataFrame code.
 """
 
 from __future__ import annotations
@@ -42,47 +43,71 @@ def _key(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACE))
 
 
-def _line_hashes(docs: DataFrame, rule: SpreadRule, *extra: Column) -> DataFrame:
-    """A row (h, site, *extra) for each line that counts."""
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    return own_columns(docs, *columns).withColumn("__key", F.xxhash64("doc_id", "text"))
+
+
+def _lines(docs: DataFrame, rule: SpreadRule) -> DataFrame:
+    """(h, site, doc_id, key), written: a row for each line that counts. ``key`` tells rows of different id or text apart."""
     site = F.when(F.col("source").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("source"))
-    lines = docs.select("doc_id", site.alias("site"), F.explode(F.split("text", "\n")).alias("line"))
-    return lines.filter(F.char_length(_key(F.col("line"))) >= rule.min_chars).select(F.xxhash64(_key(F.col("line"))).alias("h"), "site", "doc_id")
+    lines = docs.select("doc_id", "__key", site.alias("site"), F.explode(F.split("text", "\n")).alias("line")).withColumn("line", _key(F.col("line")))
+    return written(lines.filter(F.char_length("line") >= rule.min_chars).select(F.xxhash64("line").alias("h"), "site", "doc_id", F.col("__key").alias("key")), "lines")
+
+
+def _of_sites(lines: DataFrame, several: DataFrame) -> DataFrame:
+    """(h, site, low) of the lines in ``several``: a row for each site, so that a line that all documents have is no hot
+    key. A small table is sent along; beyond that, lines are aggregated before they meet it."""
+    each = lambda x: x.groupBy("h", "site").agg(F.min("doc_id").alias("low"))
+    if several.count() <= BROADCAST_ROWS:
+        return each(lines.join(F.broadcast(several), "h", "left_semi"))
+    return each(lines).join(several, "h", "left_semi")
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def boilerplate(docs: DataFrame, rule: SpreadRule = SpreadRule()) -> DataFrame:  # noqa: B008
-    """(h, keeper) of the boilerplate lines, written; ``keeper`` is the id of the document that keeps the line."""
-    lines = _line_hashes(own_columns(docs, "doc_id", "source", "text"), rule)
+def _boilerplate(lines: DataFrame, rule: SpreadRule) -> DataFrame:
+    """(h, keeper) of the boilerplate among (h, site, doc_id), written; ``keeper`` is the id of the document that keeps the
+    line."""
     spread = lines.groupBy("h").agg(F.min("site").alias("a"), F.max("site").alias("b"))
     several = written(spread.filter("a <> b").select("h"), "several-sites")
-    shared = lines.join(_small(several), "h", "left_semi")
-    sketched = shared.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", rule.lg_k)).alias("sites"), F.min("doc_id").alias("keeper"))
+    shared = written(_of_sites(lines, several), "lines-by-site")
+    sketched = shared.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", rule.lg_k)).alias("sites"), F.min("low").alias("keeper"))
     low, high = rule.near()
     estimated = written(sketched.filter(F.col("sites") >= low), "spread")
     doubtful = estimated.filter(F.col("sites") <= high)
-    counted = lines.join(_small(doubtful.select("h")), "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("exact"))
+    counted = shared.join(_small(doubtful.select("h")), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("exact"))
     sure = estimated.filter(F.col("sites") > high).select("h", "keeper")
     exact = doubtful.join(counted, "h").filter(F.col("exact") >= rule.min_sites).select("h", "keeper")
     out = written(sure.unionByName(exact), "boilerplate")
-    discard(several)
-    discard(estimated)
+    for df in (several, shared, estimated):
+        discard(df)
     return out
 
 
+def boilerplate(docs: DataFrame, rule: SpreadRule = SpreadRule()) -> DataFrame:  # noqa: B008
+    """(h, keeper) of the boilerplate lines of documents, written."""
+    return _boilerplate(_lines(_keyed(docs, "doc_id", "source", "text"), rule), rule)
+
+
 def without_boilerplate(docs: DataFrame, rule: SpreadRule = SpreadRule()) -> DataFrame:  # noqa: B008
-    """The documents, with ``text`` less its boilerplate lines, ``n_lines`` and ``n_removed``."""
-    own = own_columns(docs, *DOCUMENT)
-    found = boilerplate(own, rule)
-    spare = F.col("doc_id").eqNullSafe(F.col("keeper"))
-    gone = _line_hashes(own, rule).join(_small(found), "h").filter(~spare).groupBy(F.col("doc_id").alias("g_id")).agg(F.collect_set("h").alias("gone"))
-    joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")), "left").drop("g_id")
+    """The documents, with ``text`` less its boilerplate lines, ``n_lines`` and ``n_removed``. Texts are split and hashed
+    once; they are shuffled only if more lines go than a task may be sent."""
+    own = _keyed(docs, *DOCUMENT)
+    all_lines = _lines(own, rule)
+    found = _boilerplate(all_lines, rule)
+    goes = all_lines.join(_small(found), "h").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("key", "h").distinct()
+    goes = written(goes, "lines-that-go")
+    gone = goes.groupBy(F.col("key").alias("g_key")).agg(F.collect_set("h").alias("gone"))
+    discard(all_lines)
+    discard(found)
+    joined = own.join(F.broadcast(gone) if goes.count() <= BROADCAST_ROWS else gone, F.col("__key") == F.col("g_key"), "left").drop("g_key", "__key")
     lines = F.split("text", "\n")
     stays = lambda x: ~((F.char_length(_key(x)) >= rule.min_chars) & F.array_contains("gone", F.xxhash64(_key(x))))
-    kept = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, stays))
-    counted = joined.withColumn("kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+    kept = F.when(F.col("gone").isNotNull(), F.filter(lines, stays))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    counted = joined.withColumn("kept", kept).withColumn("n_lines", n_lines.cast("long"))
     counted = counted.withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).cast("long"))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join("kept", "\n"))
     return counted.withColumn("text", text).select(*DOCUMENT, "n_lines", "n_removed")
