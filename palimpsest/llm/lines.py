@@ -29,7 +29,8 @@ SPACE = " \t\n\x0b\x0c\r"
 @dataclass(frozen=True)
 class SpreadRule:
     min_sites: int = 5
-    min_chars: int = 20
+    #: Lines under so many characters without the white space at their ends never count; blank ones never do.
+    min_chars: int = 1
     #: Sketches have 2 ** lg_k registers.
     lg_k: int = 10
 
