@@ -298,6 +298,36 @@ def test_quality_verdict(spark):
     assert got == {1: True, 2: False, 3: False, 4: False}
 
 
+#: From a novel of 1865, in the public domain.
+NOVEL = """Alice was beginning to get very tired of sitting by her sister on the bank, and of having nothing to do: once or
+twice she had peeped into the book her sister was reading, but it had no pictures or conversations in it, "and what is
+the use of a book," thought Alice "without pictures or conversations?" So she was considering in her own mind (as well as
+she could, for the hot day made her feel very sleepy and stupid), whether the pleasure of making a daisy-chain would be
+worth the trouble of getting up and picking the daisies, when suddenly a White Rabbit with pink eyes ran close by her.
+There was nothing so very remarkable in that; nor did Alice think it so very much out of the way to hear the Rabbit say to
+itself, "Oh dear! Oh dear! I shall be late!" """
+
+
+def test_quality_of_text_that_set_no_reference(spark):
+    r = random.Random(1)
+    bad = [
+        " ".join(str(r.randrange(10000, 99999)) for _ in range(95)),
+        " ".join("".join(r.choices("!?.,;:-()", k=6)) for _ in range(95)),
+        " ".join(f'<a href="/{i}">[{i * 7919}]</a> | <b>#{i}</b> {{{i}}};' for i in range(40)),
+        " ".join("".join(r.choices(string.ascii_uppercase + string.digits, k=7)) for _ in range(95)),
+        " ".join("".join(r.choices(string.ascii_lowercase, k=6)) for _ in range(400)),
+    ]
+    good = [
+        NOVEL,
+        "Il y avait en Westphalie, dans le château de monsieur le baron, un jeune garçon à qui la nature avait donné les mœurs les plus douces. Sa physionomie annonçait son âme. Il avait le jugement assez droit, avec l'esprit le plus simple; c'est, je crois, pour cette raison qu'on le nommait ainsi.",
+        "En un lugar de la Mancha, de cuyo nombre no quiero acordarme, no ha mucho tiempo que vivía un hidalgo de los de lanza en astillero, adarga antigua, rocín flaco y galgo corredor. Una olla de algo más vaca que carnero, salpicón las más noches, duelos y quebrantos los sábados.",
+        "Als er eines Morgens aus unruhigen Träumen erwachte, fand er sich in seinem Bett zu einem ungeheueren Ungeziefer verwandelt. Er lag auf seinem panzerartig harten Rücken und sah, wenn er den Kopf ein wenig hob, seinen gewölbten, braunen Bauch, auf dessen Höhe sich die Bettdecke kaum noch erhalten konnte.",
+    ]
+    rows = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")
+    kept = {x["doc_id"]: x["kept"] for x in quality.quality_report(rows).collect()}
+    assert [kept[i] for i in range(len(bad + good))] == [False] * len(bad) + [True] * len(good)
+
+
 # ---------------------------------------------------------------- 4
 
 
