@@ -2,16 +2,19 @@
 
 Learning: the n-grams (runs of letters in lower case, marked at both ends, cut into pieces of ``N`` code points) of
 all labelled training documents are hashed and counted per language. A language's filter takes the n-grams that make
-up at least ``MIN_SHARE`` of its n-grams, so it holds at most 1 / ``MIN_SHARE`` of them, however large the corpus. The
+up at least ``min_share`` of its n-grams, so it holds at most 1 / ``min_share`` of them, however large the corpus. The
 filters of all languages lie across each other: row i of one table holds bit i of every language's filter, so the AND
-of ``HASHES`` rows gives, at once, all the languages that contain an n-gram.
+of ``HASHES`` rows gives, at once, all the languages that contain an n-gram. Tables are built by aggregation, one for
+each ``BLOCK`` languages, so there may be any number of languages; a text goes from block to block with its best so far.
 
 Prediction: per language the hits among a text's n-grams, less those to be expected by false positives (a language's
 share of set bits to the power of ``HASHES``), over the hit rate that the language's own training text has. The language
-with most wins; ties go to the first by name. The score is the winner's share of the n-grams.
+with most wins; ties go to the first by name, and so does a text with letters but no n-gram that any language has (its
+score is 0). The score is the winner's share of the n-grams.
 
 Only rows with text, a label, and crc32(doc_id as text) mod 3 other than 1 are learned from. ``und`` is the answer for
-null text, text without a letter, and when nothing was learned. Repeated rows give repeated rows and count as often.
+null text, text without a letter, and when nothing was learned. Repeated rows give repeated rows and count as often. A
+very long text is one row in memory, some hundred bytes for each of its letters.
 """
 
 from __future__ import annotations
@@ -25,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import map_batches, own_columns
+from palimpsest.llm.common import discard, map_batches, own_columns, written
 
 N = 4
 MIN_SHARE = 2e-5
 HASHES = 3
 #: Bits of a filter for each n-gram that it may hold.
 BITS = 16
-#: Languages that the filters may hold; their tables are sent to every task.
-MAX_LANGUAGES = 1024
+#: Languages to a table, which is sent to every task: at most BITS / MIN_SHARE rows of as many bits.
+BLOCK = 256
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -84,14 +87,12 @@ class Filters:
         rows = self.rows(h)
         return np.array([int(((rows[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).sum()) for k in range(len(self.languages))], dtype=np.float64)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        h = ngrams(text or "")
-        if not len(h) or not self.languages:
-            return "und", 0.0
+    def best(self, h: np.ndarray) -> tuple[float, str, float]:
+        """(fit, language, score) of the first language that fits best."""
         true = np.maximum(self.hits(h) - len(h) * self.false_positive, 0) / (1 - self.false_positive)
         fit = true / self.own_rate
-        best = int(np.argmax(fit))
-        return self.languages[best], float(min(1.0, true[best] / len(h)))
+        k = int(np.argmax(fit))
+        return float(fit[k]), self.languages[k], float(min(1.0, true[k] / len(h)))
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
@@ -133,53 +134,62 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return used.mapInArrow(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame) -> Filters:
-    """Filters from the training part of ``docs``. What comes to the driver is bounded by MIN_SHARE and MAX_LANGUAGES."""
-    from palimpsest.llm.common import discard, written
+def _filters(kept: DataFrame, languages: list[str], sums: dict[str, tuple[int, int, int]]) -> Filters:
+    """The filters of a block of languages; ``kept`` is (lang, h)."""
+    m = max(64, BITS * max((sums[x][2] for x in languages), default=0))
+    order = {x: k for k, x in enumerate(languages)}
 
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        k = np.array([order[x] for x in batch.column(0).to_pylist()], np.int64)
+        h = batch.column(1).to_numpy().view(np.uint64)
+        at = np.concatenate([((h if j == 0 else _mixed(h + np.uint64(j))) % np.uint64(m)).astype(np.int64) for j in range(HASHES)])
+        bits = np.tile(np.left_shift(np.uint64(1), (k % 64).astype(np.uint64)).view(np.int64), HASHES)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(k // 64, HASHES)), pa.array(bits)], names=["at", "word", "bits"])
+
+    own = kept.filter(F.col("lang").isin(languages)) if len(languages) < len(sums) else kept
+    rows = map_batches(own.select("lang", "h"), run, "at long, word long, bits long").groupBy("at", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros((m, -(-len(languages) // 64)), np.uint64)
+    table[rows.column("at").to_numpy(), rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    filled = np.array([float(((table[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) for k in range(len(languages))])
+    return Filters(languages, table, filled**HASHES, np.array([max(sums[x][1] / sums[x][0], 1e-6) for x in languages]))
+
+
+def learn(docs: DataFrame, min_share: float = MIN_SHARE, block: int = BLOCK) -> Iterator[Filters]:
+    """Filters from the training part of ``docs``, block by block. The driver gets a row for each language, and of a block
+    the rows of its table that are not zero: at most HASHES * BITS / min_share of 24 bytes for 64 languages."""
     counts = written(count_ngrams(own_columns(docs, "doc_id", "text", "lang")), "ngrams")
-    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(totals)
-    if not languages:
-        discard(counts)
-        return Filters([], np.zeros((1, 1), np.uint64), np.zeros(0), np.ones(0))
-    totals_df = docs.sparkSession.createDataFrame(list(totals.items()), "lang string, total long")
-    kept = counts.join(F.broadcast(totals_df), "lang").filter(F.col("n") >= MIN_SHARE * F.col("total")).select("lang", "h", "n").toArrow()
+    totals = written(counts.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
+    small = F.broadcast(totals) if totals.count() <= 1_000_000 else totals
+    kept = written(counts.join(small, "lang").filter(F.col("n") >= min_share * F.col("total")).select("lang", "h", "n"), "kept-ngrams")
+    held = kept.groupBy("lang").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("grams"))
+    sums = {r["lang"]: (r["total"], r["held"] or 0, r["grams"] or 0) for r in totals.join(held, "lang", "left").select("lang", "total", "held", "grams").toLocalIterator()}
     discard(counts)
-    by = {k: (np.empty(0, np.uint64), 0) for k in languages}
-    names = np.array(kept.column("lang").to_pylist(), dtype=object)
-    h, n = kept.column("h").to_numpy().view(np.uint64), kept.column("n").to_numpy()
-    for lang in languages:
-        mine = names == lang
-        by[lang] = (h[mine], int(n[mine].sum()))
-    m = max(64, BITS * max(len(x) for x, _ in by.values()))
-    table = np.zeros((m, -(-len(languages) // 64)), dtype=np.uint64)
-    for k, lang in enumerate(languages):
-        bit = np.uint64(1) << np.uint64(k % 64)
-        own = by[lang][0]
-        for j in range(HASHES):
-            at = ((own if j == 0 else _mixed(own + np.uint64(j))) % np.uint64(m)).astype(np.int64)
-            np.bitwise_or.at(table[:, k // 64], at, bit)
-    filled = np.array([float(((table[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) for k in range(len(languages))])
-    rate = np.array([max(by[k][1] / totals[k], 1e-6) for k in languages])
-    return Filters(languages, table, filled**HASHES, rate)
+    discard(totals)
+    languages = sorted(sums)
+    for at in range(0, len(languages), block):
+        yield _filters(kept, languages[at : at + block], sums)
+    discard(kept)
 
 
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
+def predict(docs: DataFrame, blocks: Iterable[Filters]) -> DataFrame:
     """(doc_id, held_out, lang_pred, score); only the text decides."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    now = own_columns(docs, "doc_id", "text").select("doc_id", "text", F.lit(-1.0).alias("fit"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    for filters in blocks:
+        sent = docs.sparkSession.sparkContext.broadcast(filters)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        f = sent.value
-        found = [f.predict(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        def run(batch: pa.RecordBatch, sent: object = sent) -> Iterator[pa.RecordBatch]:
+            f, out = sent.value, []
+            for text, *so_far in zip(batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                h = ngrams(text.as_py() or "")
+                found = f.best(h) if len(h) else None
+                out.append(found if found and found[0] > so_far[0] else tuple(so_far))
+            kinds = (pa.float64(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], names=["doc_id", "text", "fit", "lang_pred", "score"])
 
-    own = own_columns(docs, "doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    return map_batches(own, run, "doc_id long, held_out boolean, lang_pred string, score double")
+        now = map_batches(now, run, "doc_id long, text string, fit double, lang_pred string, score double")
+    return now.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def identify_languages(docs: DataFrame) -> DataFrame:
+def identify_languages(docs: DataFrame, min_share: float = MIN_SHARE, block: int = BLOCK) -> DataFrame:
     """Learns from the training part of ``docs`` and predicts all of it."""
-    return predict(docs, learn(docs))
+    return predict(docs, learn(docs, min_share, block))

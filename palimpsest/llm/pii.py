@@ -2,13 +2,14 @@
 
 The field labels segments, not tokens: each candidate segment (a run of up to ``MAX_TOKENS`` tokens with four to ``MAX_DIGITS`` digits or an at sign, on one line) is scored as
 an email, IP, card or phone number by features of the whole span: its digit count, the sizes of its digit groups, its
-separators, the Luhn test, what stands before and after it. A dynamic program over the tokens of a window picks the best
+separators, the Luhn test, what stands before and after it. A dynamic program over the tokens of a line picks the best
 labelling, boundaries and types together. Weights are fitted by
 maximum likelihood on examples made here from a fixed seed (``EXAMPLES``, ``EPOCHS``), so it needs no labelled
-corpus. Only text around digits and at signs is decoded, each stretch whole.
+corpus. Lines without a digit or at sign outside the patterns' spans are passed over; all others are decoded whole.
 
 The patterns' spans always stay; the field adds those that are clear of them. Offsets are code points. Null text
-counts as empty. Repeated rows give repeated rows.
+counts as empty. Repeated rows give repeated rows. Of labellings of equal score the one without a segment is taken, then
+the longer segment and the kind listed first. Work is linear in a text, however long its lines are.
 """
 
 from __future__ import annotations
@@ -90,8 +91,6 @@ EXAMPLES = 500
 EPOCHS = 8
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\s0-9A-Za-z]|\s+")
 _ANCHOR = re.compile(r"[0-9@]")
-#: Characters around an anchor that belong to its window.
-MARGIN = 40
 
 
 def tokens_of(text: str) -> list[tuple[int, int]]:
@@ -128,14 +127,24 @@ Weights = dict[tuple[str, str], float]
 def _segments(text: str, tokens: list[tuple[int, int]]) -> dict[int, list[tuple[int, list[str]]]]:
     """For each end j: (i, features) of the candidate segments."""
     found: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
+    anchor = [k for k, (a, _) in enumerate(tokens) if "0" <= text[a] <= "9" or text[a] == "@"]
+    at = 0
     for i in range(len(tokens)):
-        digits = 0
+        while at < len(anchor) and anchor[at] < i:
+            at += 1
+        if at == len(anchor):
+            break
+        if anchor[at] >= i + MAX_TOKENS:
+            continue
+        digits, sign = 0, False
         for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
-            token = text[slice(*tokens[j - 1])]
-            digits += len(token) if token[0].isdigit() else 0
-            if digits > MAX_DIGITS or token.isspace() and token != " ":  # no longer segment can be an entity
+            a, b = tokens[j - 1]
+            first = text[a]
+            digits += b - a if first.isdigit() else 0
+            sign |= first == "@"
+            if digits > MAX_DIGITS or first.isspace() and text[a:b] != " ":  # no longer segment can be an entity
                 break
-            if f := features(text, tokens, i, j):
+            if (digits >= 4 or sign) and (f := features(text, tokens, i, j)):
                 found[j].append((i, f))
     return found
 
@@ -263,33 +272,37 @@ def fitted() -> Weights:
     return _FITTED[0]
 
 
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches within MARGIN of a digit or at sign, widened to white space where that is near."""
-    start = end = None
+def open_lines(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The lines that have a digit or at sign outside of ``taken``, which is in order and apart."""
+    k, done = 0, 0
     for m in _ANCHOR.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if end is not None and a <= end:
-            end = b
-        else:
-            if end is not None:
-                yield start, end
-            start, end = a, b
-    if end is not None:
-        yield start, end
+        at = m.start()
+        if at < done:
+            continue
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        if k == len(taken) or taken[k][0] > at:
+            end = text.find("\n", at)
+            done = len(text) if end < 0 else end
+            yield text.rfind("\n", 0, at) + 1, done
 
 
 def added_spans(text: str, base: list[Span], weights: Weights) -> list[Span]:
     """What the field finds clear of the pattern spans."""
+    taken: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
     found: list[Span] = []
-    taken = sorted((s, e) for _, s, e in base)
-    for a, b in windows(text):
-        at = [x for x in taken if x[0] < b and x[1] > a] if taken else []
-        covered = bytearray(b - a)
-        for s, e in at:
-            covered[max(0, s - a) : max(0, min(e, b) - a)] = b"\1" * (min(e, b) - max(s, a))
-        if not any(not covered[m.start() - a] for m in _ANCHOR.finditer(text, a, b)):
-            continue
-        found += [(k, a + s, a + e) for k, s, e in decode(text[a:b], weights) if not any(covered[s:e]) and (s > 0 or a == 0) and (e < b - a or b == len(text))]
+    k = 0
+    for a, b in open_lines(text, [(s, e) for s, e in taken]):
+        for kind, s, e in decode(text[a:b], weights):
+            while k < len(taken) and taken[k][1] <= a + s:
+                k += 1
+            if k == len(taken) or taken[k][0] >= a + e:
+                found.append((kind, a + s, a + e))
     return found
 
 

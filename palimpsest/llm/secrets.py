@@ -1,11 +1,14 @@
 """Secret scans: credential patterns plus a token-efficiency test.
 
-Text under a byte-pair vocabulary takes a few characters per token; random strings take fewer than two.
-All runs of key characters outside the pattern spans are tested so, whatever kinds of characters they hold. Of those
-that fail, digests of known lengths, UUIDs and identifiers (words of the vocabulary and short numbers, joined by
-separators or case) are set aside. All offsets are code points.
-
-Null text counts as empty: no spans. Repeated rows give repeated rows.
+Text under a byte-pair vocabulary takes a few characters per token; random strings take fewer than two. All runs of key
+characters outside the pattern spans are tested so, whatever kinds of characters they hold: digests of known lengths and
+UUIDs in them are set aside, and of the tokens of what is left, each of which scores the ratio less its characters, all
+maximal scoring stretches are found in one pass. So a key behind a path or behind thousands of letters is found, and the
+path stays. Stretches that are identifiers (words of the vocabulary and short numbers, joined by separators or case) are
+set aside. All offsets are code points.
+
+Null text counts as empty: no spans. Repeated rows give repeated rows. Spans of equal starts are listed in the order of
+the kinds. Work is linear in a text, however long it is.
 """
 
 from __future__ import annotations
@@ -37,9 +40,10 @@ Span = tuple[str, int, int]
 
 @dataclass(frozen=True)
 class EfficiencyTest:
-    """A run is random if it has fewer than ``ratio`` characters per token."""
+    """A stretch of ``least`` characters or more is random if it has fewer than ``ratio`` to a token."""
 
     ratio: float = 2.0
+    least: int = 20
     vocabulary: str = "byte_bpe_50k"
 
 
@@ -69,8 +73,65 @@ def known(run: str) -> bool:
     return bool(_DIGEST.fullmatch(run) and len(run) in _DIGEST_LENGTHS or _UUID.fullmatch(run))
 
 
+_KNOWN = re.compile(rf"(?<![0-9A-Za-z])(?:{_UUID.pattern}|{'|'.join(f'[0-9a-fA-F]{{{n}}}' for n in sorted(_DIGEST_LENGTHS))})(?![0-9A-Za-z])")
+
+
+def maximal_stretches(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal scoring subsequences (start, end) of a list, in order, by the linear algorithm of Ruzzo and Tompa."""
+    found: list[tuple[int, int, float, float]] = []  # start, end, sum of all before, sum to the end
+    total = 0.0
+    for i, x in enumerate(scores):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        start = i
+        while True:
+            k = len(found) - 1
+            while k >= 0 and found[k][2] >= before:
+                k -= 1
+            if k < 0 or found[k][3] >= total:
+                break
+            start, before = found[k][0], found[k][2]
+            del found[k:]
+        found.append((start, i + 1, before, total))
+    return [(a, b) for a, b, _, _ in found]
+
+
+def random_windows(run: str, encoding: object, test: EfficiencyTest) -> Iterator[tuple[int, int]]:
+    """The stretches of a run that the vocabulary encodes badly, but for identifiers."""
+    at = 0
+    for start, end in [*(m.span() for m in _KNOWN.finditer(run)), (len(run), len(run))]:
+        part = run[at:start]
+        if len(part) >= test.least:
+            ends = [0]
+            for token in encoding.encode_ordinary(part):
+                ends.append(ends[-1] + len(encoding.decode_single_token_bytes(token)))
+            scores = [test.ratio - (y - x) for x, y in zip(ends, ends[1:], strict=False)]
+            sums = [0.0]
+            for x in scores:
+                sums.append(sums[-1] + x)
+            inner = [0 < e < len(part) and part[e - 1].isalnum() and part[e].isalnum() for e in ends]
+            lefts = list(range(len(ends)))
+            rights = list(range(len(ends)))
+            for k in range(1, len(ends)):
+                lefts[k] = lefts[k - 1] if inner[k] else k
+                rights[-k - 1] = rights[-k] if inner[-k - 1] else rights[-k - 1]
+            for i, j in maximal_stretches(scores):
+                first, last = lefts[i], rights[j]
+                # to the ends of the words it is in, if it is still random then
+                i, j = next((x, y) for x, y in ((first, last), (first, j), (i, last), (i, j)) if sums[y] > sums[x])
+                a, b = ends[i], ends[j]
+                while a < b and not part[a].isalnum():
+                    a += 1
+                while a < b and not part[b - 1].isalnum():
+                    b -= 1
+                if b - a >= test.least and not identifier_like(part[a:b], encoding.encode_ordinary):
+                    yield at + a, at + b
+        at = end
+
+
 def random_spans(text: str, taken: list[Span], test: EfficiencyTest) -> list[Span]:
-    """Runs that the vocabulary encodes badly, clear of ``taken``."""
+    """What the vocabulary encodes badly in runs clear of ``taken``."""
     found: list[Span] = []
     encoding = None
     at = 0
@@ -81,17 +142,26 @@ def random_spans(text: str, taken: list[Span], test: EfficiencyTest) -> list[Spa
         else:
             apart.append([start, end])
     for m in _RUN.finditer(text):
-        run, start, end = m.group(), m.start(), m.end()
+        start, end = m.span()
         while at < len(apart) and apart[at][1] <= start:
             at += 1
-        if at < len(apart) and apart[at][0] < end:
-            continue
-        if encoding is None:
-            from palimpsest.llm.packing import public_encoder
-
-            encoding = public_encoder(test.vocabulary).fast
-        if len(run) < test.ratio * len(encoding.encode_ordinary(run)) and not known(run) and not identifier_like(run, encoding.encode_ordinary):
-            found.append(("random", start, end))
+        pieces, k = [], at  # the run without what is taken
+        while k < len(apart) and apart[k][0] < end:
+            pieces.append((start, apart[k][0]))
+            start, k = max(start, apart[k][1]), k + 1
+        for a, b in [*pieces, (start, end)]:
+            if b - a >= test.least:
+                if encoding is None:
+                    from palimpsest.llm.packing import public_encoder
+
+                    encoding = public_encoder(test.vocabulary).fast
+                last = None
+                for x, y in random_windows(text[a:b], encoding, test):
+                    if last is not None and x < last:  # stretches that grew into each other
+                        found[-1] = ("random", found[-1][1], a + max(y, last))
+                    else:
+                        found.append(("random", a + x, a + y))
+                    last = max(y, last or 0)
     return found
 
 
