@@ -1,6 +1,7 @@
 """Media columns: chroma fingerprints of recordings and their alignment.
 
-A recording (16-bit PCM WAV bytes) becomes frames of energy per pitch class. Filters over rectangles of frames and
+A recording (16-bit PCM WAV bytes) is resampled to ``RATE`` and becomes frames of energy per pitch class, so frames and
+hops are of 0.37 and 0.09 seconds whatever its rate. Filters over rectangles of frames and
 classes, read off an integral image, give two bits each; sixteen of them pack into a 32-bit code per frame. Recordings
 of equal codes form a class. Queries (classes with an id divisible by ``EVERY``) are laid against every other class at
 every offset with an overlap of ``MIN_OVERLAP`` codes; the offset of the smallest share of differing bits is the
@@ -10,7 +11,9 @@ the number of classes times that of queries and no pair within ``MAX_BIT_ERRORS`
 The test tables have no recordings: :func:`recordings` plays each vector of ``embeddings`` as a row of notes.
 
 Null, empty or unreadable audio, and audio under ``WIDTH`` frames, has no codes, is in no class and matches nothing.
-Repeated rows give repeated rows. Copies are not expanded into pairs: only classes are matched.
+Repeated rows give repeated rows. Copies are not expanded into pairs: only classes are matched. Of equal matches the one of
+the smallest id is given, then the longest overlap and the smallest offset; ``n_matches`` counts the classes of queries
+that align. A very long recording is one row in memory; its samples are resampled and transformed in blocks.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import discard, map_batches, own_columns, written
 
+#: Samples a second; no pitch over half of it is used.
 RATE = 2756
+#: Resampled samples, and frames, to a block.
+SAMPLES, FRAMES = 4096, 2048
 FRAME = 1024
 HOP = 256
 #: Frames under a filter.
@@ -80,27 +86,45 @@ def samples(audio: bytes | None) -> tuple[np.ndarray, int]:
         return np.empty(0), RATE
 
 
-_BINS: dict[int, np.ndarray] = {}
+def resampled(x: np.ndarray, rate: int) -> np.ndarray:
+    """Samples at ``RATE`` of samples at ``rate``, by a windowed sinc."""
+    if rate == RATE or not len(x):
+        return x
+    step = rate / RATE
+    wide = max(1.0, step)  # zero crossings of the filter are so many samples apart
+    reach = int(8 * wide) + 1
+    out = np.empty(int(len(x) / step), np.float32)
+    for at in range(0, len(out), SAMPLES):
+        centre = np.arange(at, min(at + SAMPLES, len(out))) * step
+        index = centre.astype(np.int64)[:, None] + np.arange(-reach, reach + 1)
+        off = (index - centre[:, None]) / wide
+        weight = np.sinc(off) * np.where(np.abs(off) < 8, 0.5 + 0.5 * np.cos(np.pi * off / 8), 0) / wide
+        out[at : at + len(centre)] = (np.where((index >= 0) & (index < len(x)), x[np.clip(index, 0, len(x) - 1)], 0) * weight).sum(axis=1)
+    return out
+
+
 _TAPER = np.hanning(FRAME).astype(np.float32)
 
 
-def _pitch_classes(rate: int) -> np.ndarray:
+def _pitch_classes() -> np.ndarray:
     """For each frequency of a frame, its pitch class as a row of twelve."""
-    if rate not in _BINS:
-        f = np.fft.rfftfreq(FRAME, 1 / rate)
-        out = np.zeros((len(f), 12), np.float32)
-        used = (f > 55) & (f < 3520)
-        out[np.flatnonzero(used), np.round(12 * np.log2(f[used] / 440)).astype(int) % 12] = 1
-        _BINS[rate] = out
-    return _BINS[rate]
+    f = np.fft.rfftfreq(FRAME, 1 / RATE)
+    out = np.zeros((len(f), 12), np.float32)
+    used = (f > 55) & (f < 3520)
+    out[np.flatnonzero(used), np.round(12 * np.log2(f[used] / 440)).astype(int) % 12] = 1
+    return out
+
+
+_CLASSES = _pitch_classes()
 
 
 def chroma(x: np.ndarray, rate: int) -> np.ndarray:
     """Frames by pitch classes, each frame of unit sum (zero if silent)."""
+    x = resampled(x, rate)
     if len(x) < FRAME:
         return np.empty((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * _TAPER
-    energy = (np.abs(np.fft.rfft(frames, axis=1)) ** 2) @ _pitch_classes(rate)
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    energy = np.concatenate([(np.abs(np.fft.rfft(frames[at : at + FRAMES] * _TAPER, axis=1)) ** 2) @ _CLASSES for at in range(0, len(frames), FRAMES)])
     total = energy.sum(axis=1, keepdims=True)
     return np.where(total > 1e-9, energy / np.maximum(total, 1e-9), 0.0)
 
@@ -206,28 +230,29 @@ def _code_lists(column: pa.Array) -> list[np.ndarray]:
     return [np.asarray(c.values, np.int64).astype(np.uint32) for c in column]
 
 
-FOUND = "class_id long, match_id long, match_offset int, overlap int, bit_errors double"
+FOUND = "class_id long, match_id long, match_offset int, overlap int, bit_errors double, links long"
 
 
 def _found(classes: DataFrame, ids: list[int], queries: list[np.ndarray]) -> DataFrame:
-    """The best match of each class among the queries."""
+    """The best match of each class among the queries, and how many match."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own, best = batch.column(0).to_pylist(), {}
+        own, best, all_of = batch.column(0).to_pylist(), {}, {}
         for i, j, d, n, errors in alignments(_code_lists(batch.column(1)), queries):
             rank = (errors, ids[j], -n, abs(d), -d)
-            if own[i] != ids[j] and (i not in best or rank < best[i]):
-                best[i] = rank
-        rows = [(own[i], match, -d, -n, errors) for i, (errors, match, n, _, d) in best.items()]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["class_id", "match_id", "match_offset", "overlap", "bit_errors"])
+            if own[i] != ids[j]:
+                all_of.setdefault(i, set()).add(j)
+                best[i] = min(rank, best.get(i, rank))
+        rows = [(own[i], match, -d, -n, errors, len(all_of[i])) for i, (errors, match, n, _, d) in best.items()]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=["class_id", "match_id", "match_offset", "overlap", "bit_errors", "links"])
 
     return map_batches(classes.select("class_id", "codes"), run, FOUND)
 
 
 def aligned(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, matches): (class_id, name, codes, is_query) and, for each class that aligns with another class of a
-    query, the best: (class_id, match_id, match_offset, overlap, bit_errors)."""
+    query, the best and the number: (class_id, match_id, match_offset, overlap, bit_errors, n_matches)."""
     query = F.max((F.pmod("id", F.lit(EVERY)) == 0).cast("int")) == 1
     classes = written(prints.filter("name is not null").groupBy("name").agg(F.min("id").alias("class_id"), F.first("codes").alias("codes"), query.alias("is_query")), "audio-classes")
     asked = classes.filter("is_query").select("class_id", "codes")
@@ -239,14 +264,14 @@ def aligned(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
         t = asked.filter(F.pmod(F.xxhash64("class_id"), F.lit(rounds)) == k).toArrow()
         found = _found(dealt, t.column("class_id").to_pylist(), _code_lists(t.column("codes").combine_chunks()))
         matches = found if matches is None else matches.unionByName(found)
-    best = matches.groupBy("class_id").agg(F.min_by(F.struct("match_id", "match_offset", "overlap", "bit_errors"), F.struct("bit_errors", "match_id")).alias("b"))
-    return classes, best.select("class_id", "b.*")
+    best = matches.groupBy("class_id").agg(F.min_by(F.struct("match_id", "match_offset", "overlap", "bit_errors"), F.struct("bit_errors", "match_id")).alias("b"), F.sum("links").alias("n_matches"))
+    return classes, best.select("class_id", "b.*", "n_matches")
 
 
 def match_recordings(media: DataFrame) -> DataFrame:
-    """One row per recording: (id, n_codes, name, class_id, match_id, match_offset, overlap, bit_errors)."""
+    """One row per recording: (id, n_codes, name, class_id, match_id, match_offset, overlap, bit_errors, n_matches)."""
     prints = written(fingerprints(media), "fingerprints")
     classes, matches = aligned(prints)
     matched = written(classes.select("name", "class_id").join(matches, "class_id", "left"), "audio-matches")
     discard(classes)
-    return prints.select("id", "n_codes", "name").join(_small(matched), "name", "left").select("id", "n_codes", "name", "class_id", "match_id", F.col("match_offset").cast("long").alias("match_offset"), F.col("overlap").cast("long").alias("overlap"), "bit_errors")
+    return prints.select("id", "n_codes", "name").join(_small(matched), "name", "left").select("id", "n_codes", "name", "class_id", "match_id", F.col("match_offset").cast("long").alias("match_offset"), F.col("overlap").cast("long").alias("overlap"), "bit_errors", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"))

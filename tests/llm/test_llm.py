@@ -688,6 +688,37 @@ def wav(x, rate):
     return out.getvalue()
 
 
+def test_recall_over_rates_noise_and_shifts(spark):
+    """Copies at other rates, with noise, shifted by a part of a frame: at least nine of ten are found."""
+    r = np.random.default_rng(21)
+    media, expected = [], []
+    for k in range(10):
+        pitches = 57 + r.integers(0, 24, 40)
+        for j, rate in enumerate((2756, 8000, 11025, 44100)):
+            t = np.arange(int(40 * 0.2 * rate)) / rate
+            x = 9000 * np.sin(2 * np.pi * 440 * 2 ** ((pitches[(t / 0.2).astype(int)] - 69) / 12) * t)
+            x = x[r.integers(0, rate // 20) :] if j else x
+            media.append((100 * k + j, wav(x + r.normal(0, 1500 * (j > 1), len(x)), rate)))
+            expected += [(100 * k + j, 100 * k)] if j else []
+    got = {x["id"]: x["match_id"] for x in audio.match_recordings(spark.createDataFrame(media, "id long, audio binary")).collect()}
+    assert sum(got[i] == m for i, m in expected) >= 0.9 * len(expected)
+    assert all(m is None or m // 100 == i // 100 for i, m in got.items())
+
+
+def test_audio_of_all_kinds(spark):
+    empty = spark.createDataFrame([], "id long, audio binary")
+    assert audio.match_recordings(empty).count() == 0
+    hour = np.sin(np.arange(600 * 11025) * 0.3) * 8000  # ten minutes
+    silence = np.zeros(9000)
+    media = [(0, wav(hour, 11025)), (1, wav(hour, 11025)), (100, wav(silence, 2756)), (101, wav(silence, 2756)), (102, wav(silence[:8000], 2756)), (None, wav(hour[:200000], 11025)), (7, audio.play([0.5] * 30)), (7, audio.play([0.5] * 30))]
+    rows = audio.match_recordings(spark.createDataFrame([(i, a, "x", 1.0) for i, a in media], "id long, audio binary, name string, codes double")).collect()
+    assert len(rows) == len(media)
+    got = {x["id"]: x for x in rows}
+    assert got[0]["class_id"] == got[1]["class_id"] == 0 and got[100]["class_id"] == got[101]["class_id"] == 100
+    assert got[102]["match_id"] == 100 and got[102]["n_matches"] >= 1  # silence is alike at all offsets: the first
+    assert sum(x["id"] == 7 for x in rows) == 2
+
+
 def test_integral_image_codes():
     c = np.random.default_rng(2).random((20, 12))
     assert len(audio.codes(c)) == 13 and len(audio.codes(c[:7])) == 0
