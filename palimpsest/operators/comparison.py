@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.graph import cut_lineage
+
 
 def tree_events(left: DataFrame, right: DataFrame) -> DataFrame:
     """(addr, event) between trees of (addr, label, text, editorial): missing_left, missing_right, editorial, label, text or same.
@@ -17,7 +19,7 @@ def tree_events(left: DataFrame, right: DataFrame) -> DataFrame:
         F.when(F.col("l_in").isNull(), "missing_left").when(F.col("r_in").isNull(), "missing_right")
         .when(F.col("l_editorial") | F.col("r_editorial"), "editorial").when(~F.col("l_label").eqNullSafe(F.col("r_label")), "label").when(~F.col("l_text").eqNullSafe(F.col("r_text")), "text").otherwise("same")
     )
-    events = both.select("addr", event.alias("event"))
+    events = cut_lineage(both.select("addr", event.alias("event")))  # read three times below
     stops = events.filter(F.col("event").isin("missing_left", "missing_right", "editorial")).select(F.col("addr").alias("ancestor"))
     parts = F.split("addr", "/")
     above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))

@@ -41,7 +41,7 @@ def clause_column(clause: Clause) -> Column:
         dims = clause.get("dimensions") or []
         return F.count_distinct(F.when(hit, F.struct(*dims))) >= clause.get("n", 2) if dims else F.lit(True)
     if op == "materials_match_dependencies":
-        return F.coalesce(F.size(F.array_except(F.collect_set("material"), F.collect_set("dependency"))) == 0, F.lit(True))
+        return F.coalesce(F.size(F.filter(F.array_except(F.collect_set("material"), F.collect_set("dependency")), lambda m: m != F.any_value("subject"))) == 0, F.lit(True))
     raise ValueError(f"unknown op {op!r}")
 
 

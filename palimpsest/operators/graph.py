@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the shared folder; one is set only where the session names none."""
+    """``df`` checkpointed to the shared folder; where the session names none, a local master gets one of our own."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="palimpsest-graph-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="palimpsest-graph-"))
     return df.checkpoint()
 
 
@@ -26,12 +29,12 @@ def breadth_first(edges: DataFrame, starts: DataFrame, depth: int, direction: st
     steps = {"forward": forward, "reverse": backward, "both": forward.unionByName(backward)}[direction]
     seen = cut_lineage(starts.select("node").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
-    for hop in range(1, depth + 1):
+    for hop in range(1, depth + 1):  # each hop is a table of its own: what was seen before is not written again
         reached = frontier.select("node").join(steps, "node").select(F.col("next").alias("node")).filter("node is not null").distinct()
         frontier = cut_lineage(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     return seen if limit is None else seen.orderBy("hops", "node").limit(limit)
 
 
@@ -48,16 +51,26 @@ def reachable(edges: DataFrame, starts: DataFrame, kinds: Sequence[str] | None =
 
 
 def follow_renames(addresses: DataFrame, migrations: DataFrame) -> DataFrame:
-    """(addr, final): each address after all renames (from_addr, to_addr), by pointer doubling; cycles keep the smallest address."""
-    once = migrations.groupBy(F.col("from_addr").alias("addr")).agg(F.min("to_addr").alias("final"))
-    now = cut_lineage(once)
-    for _ in range(40):
-        ahead = now.select(F.col("addr").alias("final"), F.col("final").alias("later"))
-        stepped = now.join(ahead, "final", "left").select("addr", F.coalesce("later", "final").alias("next"), "final")
-        if stepped.filter("next <> final and next <> addr").isEmpty():
-            break
-        now = cut_lineage(stepped.select("addr", F.when(F.col("next") == F.col("addr"), F.least("final", "addr")).otherwise(F.col("next")).alias("final")))
-    return addresses.select("addr").join(now, "addr", "left").select("addr", F.coalesce("final", "addr").alias("final"))
+    """(addr, final): each address after all renames (from_addr, to_addr); of several renames of an address the smallest
+    target counts. Chains are halved by pointer doubling; addresses that lead into a cycle keep its smallest address.
+
+    After k rounds a pointer spans 2 ** k renames, and ``low`` is the smallest address on the way; once that exceeds the
+    number of renames, whatever still points to an address that is renamed has been round a cycle."""
+    once = migrations.filter("from_addr <> to_addr").groupBy(F.col("from_addr").alias("addr")).agg(F.min("to_addr").alias("final"))
+    now = cut_lineage(once.withColumn("low", F.col("final")))
+    renamed = now.select(F.col("addr").alias("final"))
+    open_, spans, n = now.join(renamed, "final", "left_semi"), 1, now.count()
+    while spans <= n and not open_.isEmpty():
+        ahead = now.select(F.col("addr").alias("final"), F.col("final").alias("later"), F.col("low").alias("low_later"))
+        stepped = now.join(ahead, "final", "left")
+        now = cut_lineage(stepped.select("addr", F.coalesce("later", "final").alias("final"), F.when(F.col("later").isNull(), F.col("low")).otherwise(F.least("low", "low_later")).alias("low")))
+        open_, spans = now.join(renamed, "final", "left_semi"), 2 * spans
+    # on a cycle ``low`` has seen all of it; what leads into one takes the low of where it has come to
+    around = now.join(renamed, "final", "left_semi").select("addr", "final")
+    lows = now.select(F.col("addr").alias("final"), F.col("low").alias("cycle_low"))
+    settled = around.join(lows, "final").select("addr", "cycle_low")
+    ends = now.join(settled, "addr", "left").select("addr", F.coalesce("cycle_low", "final").alias("final"))
+    return addresses.select("addr").join(ends, "addr", "left").select("addr", F.coalesce("final", "addr").alias("final"))
 
 
 def silent_breakage(citations: DataFrame, versions: DataFrame, changed: DataFrame, day: str) -> DataFrame:

@@ -2,15 +2,24 @@
 
 Documents are node tables (doc_id, addr, ord, kind, text, status); ops are rows (doc_id, seq, action, target, payload,
 find, occurrence, destination, anchor, group_id). A fold depends on order, so it runs in one grouped map per document,
-co-grouped with that document's ops; documents are independent and bounded by their own size. Everything before and after the fold is relational.
+co-grouped with that document's ops; documents are independent and bounded by their own size. Everything before and
+after the fold is relational.
+
+Ops may have two more columns: ``effective`` (ISO day) and ``act``. They apply in the order of effective day and
+sequence; sequence alone is the order of equal days, and ops without a day come first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import groupby
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.graph import cut_lineage
 from palimpsest.session import ship
 
 # Actions, and the legal (state before, action) pairs with the state after.
@@ -61,36 +70,87 @@ def patch_text(text: str, find: str, put: str, occurrence: int = 0) -> str | Non
     return text[:at] + put + text[at + len(find) :]
 
 
-def vacate_order(ops: list[dict]) -> list[dict]:
-    """Repeals first, then renumberings so that a place is left before it is taken, then the rest by sequence."""
-    by_seq = sorted(ops, key=lambda o: o["seq"])
-    first = [o for o in by_seq if o["action"] == "REPEAL"]
-    moves = {o["target"]: o for o in by_seq if o["action"] == "RENUMBER"}
-    rest = [o for o in by_seq if o["action"] not in ("REPEAL", "RENUMBER")]
-    ordered: list[dict] = []
-    state: dict[str, int] = {}
-
-    def leave(target: str) -> None:
-        if state.get(target) or target not in moves:  # done, or a cycle, which is cut here
-            return
-        state[target] = 1
-        leave(moves[target]["destination"])
-        ordered.append(moves[target])
-
-    for target in sorted(moves, reverse=True):
-        leave(target)
-    return first + ordered + rest
-
-
-def _under(addr: str, top: str) -> bool:
-    return addr == top or addr.startswith(f"{top}/")
+@dataclass(frozen=True)
+class Ordering:
+    """How ops are put in order. ``by_act``: acts of one day apply in the order of their ids. ``vacate``: within a group
+    (``group_id``) repeals go first, then renumberings, then the rest. Neighbouring renumberings of one day always go so
+    that a place is left before it is taken."""
+
+    by_act: bool = False
+    vacate: bool = False
+
+
+def _left_first(renumberings: list[dict]) -> list[dict]:
+    """An address is renumbered after the one that it moves to; a cycle is cut where it is entered."""
+    movers = {o["target"]: o for o in renumberings}
+    out: list[dict] = []
+    entered: set[str] = set()
+    for o in renumberings:
+        path, at = [], o["target"]
+        while at in movers and at not in entered:
+            entered.add(at)
+            path.append(movers[at])
+            at = movers[at]["destination"]
+        out += reversed(path)
+    return out
+
+
+def applied_order(ops: Iterable[dict], ordering: Ordering = Ordering()) -> list[dict]:  # noqa: B008
+    """The ops of a document in the order in which they apply."""
+    day = lambda o: o.get("effective") or ""
+    act = lambda o: (o.get("act") or "") if ordering.by_act else ""
+    ordered = sorted(ops, key=lambda o: (day(o), act(o), o["seq"]))
+    out: list[dict] = []
+    for (_, group), members in groupby(ordered, key=lambda o: (day(o), o.get("group_id") if ordering.vacate else None)):
+        rows = list(members)
+        if group is not None:
+            rank = {"REPEAL": 0, "RENUMBER": 1}
+            rows.sort(key=lambda o: rank.get(o["action"], 2))
+        for renumbering, run in groupby(rows, key=lambda o: o["action"] == "RENUMBER"):
+            out += _left_first(list(run)) if renumbering else run
+    return out
+
+
+def order_positions(ops: DataFrame, doc: str, effective: str, seq: str, act: str | None = None) -> DataFrame:
+    """``ops`` with ``position`` from 0 within each document, by effective day, act if one is named, and sequence."""
+    keys = [F.coalesce(F.col(effective), F.lit("")), *([F.coalesce(F.col(act), F.lit(""))] if act else []), F.col(seq)]
+    return ops.withColumn("position", F.row_number().over(Window.partitionBy(doc).orderBy(*keys)) - 1)
 
 
 class Tree:
-    """The nodes of one document by address."""
+    """The nodes of one document by address, and the children of each address."""
 
     def __init__(self, nodes: pd.DataFrame) -> None:
-        self.nodes = {r.addr: {"ord": r.ord, "kind": r.kind, "text": r.text, "status": r.status} for r in nodes.itertuples()}
+        self.nodes: dict[str, dict] = {}
+        self.children: dict[str, set[str]] = {}
+        for r in nodes.itertuples():
+            self.put(r.addr, {"ord": r.ord, "kind": r.kind, "text": r.text, "status": r.status})
+
+    def put(self, addr: str, node: dict) -> None:
+        self.nodes[addr] = node
+        while "/" in addr:  # parents that are no nodes still lead to their children
+            parent = addr.rpartition("/")[0]
+            known = self.children.setdefault(parent, set())
+            if addr in known:
+                return
+            known.add(addr)
+            addr = parent
+        self.children.setdefault("", set()).add(addr)
+
+    def under(self, top: str) -> Iterator[str]:
+        """The nodes at and below an address."""
+        stack = [top]
+        while stack:
+            addr = stack.pop()
+            stack += self.children.get(addr, ())
+            if addr in self.nodes:
+                yield addr
+
+    def take(self, addr: str) -> dict:
+        node = self.nodes.pop(addr)
+        if not self.children.get(addr):
+            self.children.get(addr.rpartition("/")[0], set()).discard(addr)
+        return node
 
     def apply(self, op: dict) -> tuple[str | None, str]:
         """(landed address, outcome)."""
@@ -106,11 +166,11 @@ class Tree:
                 return None, "slot_occupied"
             if op["payload"] is None:
                 return None, "payload_missing"
-            self.nodes[target] = {"ord": self.place(op), "kind": (node or {}).get("kind") or target.rpartition("/")[2].partition(":")[0], "text": op["payload"], "status": "live"}
+            self.put(target, {"ord": self.place(op), "kind": (node or {}).get("kind") or target.rpartition("/")[2].partition(":")[0], "text": op["payload"], "status": "live"})
         elif action == "REPEAL":
             if node is None:
                 return None, "target_missing"
-            for addr in [a for a in self.nodes if _under(a, target)]:
+            for addr in self.under(target):
                 self.nodes[addr] |= {"status": "tombstone", "text": None}
         elif action == "TEXT_PATCH":
             patched = patch_text(node["text"] or "", op["find"] or "", op["payload"] or "", int(op["occurrence"] or 0)) if live else None
@@ -123,8 +183,8 @@ class Tree:
                 return None, "target_missing" if to else "destination_missing"
             if to in self.nodes and self.nodes[to]["status"] == "live":
                 return None, "slot_occupied"
-            for addr in [a for a in self.nodes if _under(a, target)]:
-                self.nodes[to + addr[len(target) :]] = self.nodes.pop(addr)
+            for addr, moved in [(addr, self.take(addr)) for addr in list(self.under(target))]:
+                self.put(to + addr[len(target) :], moved)
             return to, "applied"
         else:
             return None, "unsupported"
@@ -133,7 +193,7 @@ class Tree:
     def place(self, op: dict) -> float:
         """After the anchor if there is one, else after the last sibling."""
         parent = op["target"].rpartition("/")[0]
-        siblings = sorted(n["ord"] for a, n in self.nodes.items() if a.rpartition("/")[0] == parent)
+        siblings = sorted(self.nodes[a]["ord"] for a in self.children.get(parent, ()) if a in self.nodes)
         anchor = self.nodes.get(op.get("anchor") or "")
         if anchor is None:
             return (siblings[-1] if siblings else 0.0) + 1.0
@@ -141,35 +201,40 @@ class Tree:
         return (anchor["ord"] + later[0]) / 2 if later else anchor["ord"] + 1.0
 
 
-def _ops(rows: pd.DataFrame) -> list[dict]:
-    return vacate_order(rows.astype(object).where(rows.notna(), None).to_dict("records"))
+FOLDED = f"{NODES}, seq long, action string, target string, landed string, outcome string"
 
 
-def replay(nodes: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes after, receipts): one receipt for each op, whatever became of it."""
+def folded(nodes: DataFrame, ops: DataFrame, ordering: Ordering = Ordering()) -> DataFrame:  # noqa: B008
+    """Nodes after the ops (``seq`` null) and receipts (``addr`` null) of each document, out of one fold."""
 
-    def fold(n: pd.DataFrame, o: pd.DataFrame) -> tuple[Tree, list[tuple]]:
-        tree, out = Tree(n), []
+    def fold(n: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree(n)
         doc = n["doc_id"].iloc[0] if len(n) else o["doc_id"].iloc[0]
-        done = set()
-        for op in _ops(o):
+        receipts = []
+        for op in applied_order(o.astype(object).where(o.notna(), None).to_dict("records"), ordering):
             landed, outcome = tree.apply(op)
-            done.add(op["seq"])
-            out.append((doc, op["seq"], op["action"], op["target"], landed, outcome))
-        out += [(doc, r.seq, r.action, r.target, None, "superseded_renumber") for r in o.itertuples() if r.seq not in done]
-        return tree, out
-
-    def states(n: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        tree, _ = fold(n, o)
-        doc = n["doc_id"].iloc[0] if len(n) else o["doc_id"].iloc[0]
-        return pd.DataFrame([(doc, a, x["ord"], x["kind"], x["text"], x["status"]) for a, x in sorted(tree.nodes.items())], columns=["doc_id", "addr", "ord", "kind", "text", "status"])
-
-    def receipts(n: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(n, o)[1], columns=["doc_id", "seq", "action", "target", "landed", "outcome"])
+            receipts.append((doc, None, None, None, None, None, op["seq"], op["action"], op["target"], landed, outcome))
+        states = [(doc, a, x["ord"], x["kind"], x["text"], x["status"], None, None, None, None, None) for a, x in sorted(tree.nodes.items())]
+        out = pd.DataFrame(states + receipts, columns=[c.split()[0] for c in FOLDED.split(", ")], dtype=object)
+        return out.astype({"seq": "Int64"})
 
     ship(nodes.sparkSession)
-    grouped = nodes.groupBy("doc_id").cogroup(ops.groupBy("doc_id"))
-    return grouped.applyInPandas(states, NODES), grouped.applyInPandas(receipts, RECEIPTS)
+    return nodes.groupBy("doc_id").cogroup(ops.groupBy("doc_id")).applyInPandas(fold, FOLDED)
+
+
+def replay(nodes: DataFrame, ops: DataFrame, as_of: str | None = None, ordering: Ordering = Ordering(), both: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """(nodes after, receipts): one receipt for each op, whatever became of it. With ``as_of`` only ops that are effective
+    by that day apply; the others are receipted as not_yet_effective. With ``both`` the fold is checkpointed, for callers
+    that read nodes and receipts."""
+    later = None
+    if as_of is not None:
+        held = F.coalesce(F.col("effective") > as_of, F.lit(False))
+        later = ops.filter(held).select("doc_id", "seq", "action", "target", F.lit(None).cast("string").alias("landed"), F.lit("not_yet_effective").alias("outcome"))
+        ops = ops.filter(~held)
+    rows = folded(nodes, ops, ordering)
+    rows = cut_lineage(rows) if both else rows
+    receipts = rows.filter("addr is null").select("doc_id", "seq", "action", "target", "landed", "outcome")
+    return rows.filter("addr is not null").select("doc_id", "addr", "ord", "kind", "text", "status"), receipts if later is None else receipts.unionByName(later)
 
 
 def mutation_boundary(before: DataFrame, after: DataFrame, declared: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import extraction as X
@@ -276,42 +276,92 @@ def audit_residual_monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Conversations as trees, with edits by a rule on the turns."""
-    c = t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id"), "turn").agg(F.min("role").alias("role"))
+    """Conversations as trees, with three edits on each turn, each of which depends on those before: replace and patch;
+    patch, repeal and insert anew; repeal twice and replace in vain; patch all, renumber, patch at the new place."""
+    c = t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id"), "turn").agg(F.min("text").alias("text"))
     addr = F.concat(F.lit("turn:"), F.col("turn").cast("string"))
-    nodes = c.select("doc_id", addr.alias("addr"), F.col("turn").cast("double").alias("ord"), F.lit("turn").alias("kind"), F.col("role").alias("text"), F.lit("live").alias("status"))
-    action = F.when(F.col("turn") % 4 == 0, "REPLACE").when(F.col("turn") % 4 == 1, "REPEAL").when(F.col("turn") % 4 == 2, "TEXT_PATCH").otherwise("INSERT")
+    moved = F.concat(F.lit("moved:"), F.col("turn").cast("string"))
+    nodes = c.select("doc_id", addr.alias("addr"), F.col("turn").cast("double").alias("ord"), F.lit("turn").alias("kind"), "text", F.lit("live").alias("status"))
     null = F.lit(None).cast("string")
-    ops = c.select("doc_id", F.col("turn").cast("long").alias("seq"), action.alias("action"), addr.alias("target"), F.lit("edited").alias("payload"), F.lit("s").alias("find"), F.lit(0).cast("long").alias("occurrence"), null.alias("destination"), null.alias("anchor"), null.alias("group_id"))
+
+    def op(action: str, target: Column = addr, payload: str | None = None, find: str | None = None, occurrence: int = 0, destination: Column = null) -> Column:
+        return F.struct(F.lit(action).alias("action"), target.alias("target"), F.lit(payload).cast("string").alias("payload"), F.lit(find).cast("string").alias("find"), F.lit(occurrence).cast("long").alias("occurrence"), destination.alias("destination"))
+
+    kinds = (
+        [op("REPLACE", payload="draft one"), op("TEXT_PATCH", payload="two", find="one"), op("TEXT_PATCH", payload="three", find="one")],
+        [op("TEXT_PATCH", payload="3", find="e"), op("REPEAL"), op("INSERT", payload="fresh")],
+        [op("REPEAL"), op("REPEAL"), op("REPLACE", payload="too late")],
+        [op("TEXT_PATCH", payload="A", find="a", occurrence=-1), op("RENUMBER", destination=moved), op("TEXT_PATCH", moved, "aa", "A")],
+    )
+    four = F.col("turn") % 4
+    chosen = F.when(four == 0, F.array(*kinds[0])).when(four == 1, F.array(*kinds[1])).when(four == 2, F.array(*kinds[2])).otherwise(F.array(*kinds[3]))
+    each = c.select("doc_id", "turn", F.posexplode(chosen).alias("j", "o"))
+    # the rows are dealt out of order on purpose: sequence alone decides
+    ops = each.select("doc_id", (F.col("turn") * 10 + F.col("j")).cast("long").alias("seq"), "o.*", null.alias("anchor"), null.alias("group_id"))
     return nodes, ops
 
 
-@query("""
-WITH c AS (SELECT conv_id AS doc_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2)
-SELECT doc_id, 'turn:' || turn AS addr, CASE turn % 4 WHEN 0 THEN 'edited' WHEN 1 THEN NULL WHEN 2 THEN CASE WHEN contains(role, 's') THEN left(role, strpos(role, 's')::INT - 1) || 'edited' || substr(role, strpos(role, 's')::INT + 1) ELSE role END ELSE role END AS text, CASE WHEN turn % 4 = 1 THEN 'tombstone' ELSE 'live' END AS status FROM c""")
+EDITED_SQL = """
+c AS (SELECT conv_id AS doc_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2),
+e AS (SELECT *, replace(text, 'a', 'A') AS cap, contains(coalesce(text, ''), 'a') AS has_a, contains(coalesce(text, ''), 'e') AS has_e FROM c)"""
+
+
+@query(f"""
+WITH {EDITED_SQL}
+SELECT doc_id, CASE turn % 4 WHEN 3 THEN 'moved:' ELSE 'turn:' END || turn AS addr,
+  CASE turn % 4 WHEN 0 THEN 'draft two' WHEN 1 THEN 'fresh' WHEN 2 THEN NULL ELSE CASE WHEN contains(cap, 'A') THEN left(cap, strpos(cap, 'A')::INT - 1) || 'aa' || substr(cap, strpos(cap, 'A')::INT + 1) ELSE cap END END AS text,
+  CASE turn % 4 WHEN 2 THEN 'tombstone' ELSE 'live' END AS status FROM e""")
 def replay_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents after their ordered edits."""
     return R.replay(*conversation_edits(spark, sf_dir))[0].select("doc_id", "addr", "text", "status")
 
 
-@query("""
-WITH c AS (SELECT conv_id AS doc_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2)
-SELECT outcome, count(*) AS n FROM (SELECT CASE turn % 4 WHEN 3 THEN 'slot_occupied' WHEN 2 THEN CASE WHEN contains(role, 's') THEN 'applied' ELSE 'text_not_found' END ELSE 'applied' END AS outcome FROM c) GROUP BY 1""")
+@query(f"""
+WITH {EDITED_SQL}
+SELECT doc_id, turn * 10 + j AS seq, CASE turn % 4 WHEN 0 THEN CASE j WHEN 2 THEN 'text_not_found' ELSE 'applied' END WHEN 1 THEN CASE WHEN j = 0 AND NOT has_e THEN 'text_not_found' ELSE 'applied' END
+  WHEN 2 THEN CASE j WHEN 2 THEN 'target_missing' ELSE 'applied' END ELSE CASE WHEN j = 0 AND NOT has_a THEN 'text_not_found' WHEN j = 2 AND NOT contains(coalesce(cap, ''), 'A') THEN 'text_not_found' ELSE 'applied' END END AS outcome FROM e, unnest([0, 1, 2]) AS u(j)""")
 def replay_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One receipt for each edit, by outcome."""
-    return R.replay(*conversation_edits(spark, sf_dir))[1].groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    """One receipt for each edit."""
+    return R.replay(*conversation_edits(spark, sf_dir))[1].select("doc_id", "seq", "outcome")
 
 
 @query("""
-WITH c AS (SELECT DISTINCT conv_id AS doc_id, turn FROM conversations) SELECT doc_id, 'turn:' || turn AS addr FROM c WHERE turn % 4 IN (0, 1) AND turn >= 4""")
+WITH c AS (SELECT DISTINCT conv_id AS doc_id, turn FROM conversations)
+SELECT doc_id, CASE WHEN turn % 4 = 3 AND turn % 2 = 1 AND k = 1 THEN 'moved:' ELSE 'turn:' END || turn AS addr FROM c, unnest([0, 1]) AS u(k) WHERE turn >= 4 AND (k = 0 OR turn % 4 = 3)""")
 def replay_mutation_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that edits changed outside the declared places (the first four turns, and all patches)."""
+    """Nodes that edits changed outside the declared places (the first four turns)."""
     nodes, ops = conversation_edits(spark, sf_dir)
     after = R.replay(nodes, ops)[0]
-    declared = ops.filter("seq < 4 or action = 'TEXT_PATCH'").select("doc_id", F.col("target").alias("prefix"))
+    declared = ops.filter("seq < 40").select("doc_id", F.explode(F.array("target", "destination")).alias("prefix")).filter("prefix is not null")
     return R.mutation_boundary(nodes, after, declared)
 
 
+def dated_edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as documents of one node; each line item writes its order key on its shipping day."""
+    line = t(spark, sf_dir, "lineitem")
+    nodes = t(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("doc_id"), F.lit("s:1").alias("addr"), F.lit(1.0).alias("ord"), F.lit("s").alias("kind"), F.lit("").alias("text"), F.lit("live").alias("status"))
+    seq = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long")
+    null = F.lit(None).cast("string")
+    ops = line.select(F.col("l_partkey").cast("long").alias("doc_id"), seq.alias("seq"), F.lit("REPLACE").alias("action"), F.lit("s:1").alias("target"), seq.cast("string").alias("payload"), null.alias("find"), F.lit(0).cast("long").alias("occurrence"), null.alias("destination"), null.alias("anchor"), null.alias("group_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("effective"))
+    return nodes, ops
+
+
+@query("""
+WITH w AS (SELECT l_partkey, arg_max(l_orderkey * 10 + l_linenumber, strftime(l_shipdate, '%Y-%m-%d') || lpad((l_orderkey * 10 + l_linenumber)::VARCHAR, 20, '0')) AS last FROM lineitem WHERE l_shipdate <= DATE '1996-06-30' GROUP BY 1)
+SELECT p_partkey::BIGINT AS doc_id, coalesce(last::VARCHAR, '') AS text FROM part LEFT JOIN w ON l_partkey = p_partkey""")
+def replay_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as of a day: the latest writer by day, then by sequence, of those effective by then."""
+    return R.replay(*dated_edits(spark, sf_dir), as_of="1996-06-30")[0].select("doc_id", "text")
+
+
+@query("""
+SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d'), event_type, event_id) - 1 AS position FROM events""")
+def op_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops of a user in the order in which they apply: day, act, sequence."""
+    ops = t(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return R.order_positions(ops, "user_id", "day", "event_id", "event_type").select("user_id", "event_id", F.col("position").cast("long").alias("position"))
+
+
 @query("""
 WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b(\\d{4}-\\d{2}-\\d{2})\\b', 1)) AS raw, 'date' AS kind FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(licensed under the [a-z]+ license)', 1)), 'license' FROM documents
   UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\\.[A-Za-z0-9-]{1,63})+)', 1)), 'address' FROM documents)

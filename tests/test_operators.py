@@ -187,6 +187,30 @@ def test_replay(spark):
     assert R.state_hash(after).exceptAll(R.state_hash(R.replay(nodes, ops)[0])).count() == 0
 
 
+def test_replay_keeps_the_order_of_dependent_ops(spark):
+    nodes = spark.createDataFrame([(1, "s:1", 1.0, "s", "one", "live"), (2, "s:1", 1.0, "s", "one", "live"), (2, "s:1/p:1", 1.0, "p", "below", "live"), (3, "s:1", 1.0, "s", "x", "live"), (3, "s:2", 2.0, "s", "y", "live")], R.NODES)
+    rows = [
+        (1, 2, "REPEAL", "s:2", None, None, None, None, None, None), (1, 1, "INSERT", "s:2", "new", None, None, None, None, None),
+        (2, 1, "TEXT_PATCH", "s:1", "uno", "one", 0, None, None, None), (2, 2, "RENUMBER", "s:1", None, None, None, "s:2", None, None), (2, 3, "REPLACE", "s:2/p:1", "still below", None, None, None, None, None),
+        (3, 1, "RENUMBER", "s:1", None, None, None, "s:2", None, "g"), (3, 2, "REPEAL", "s:2", None, None, None, None, None, "g"), (3, 3, "RENUMBER", "s:2", None, None, None, "s:3", None, "g"),
+    ]
+    after, receipts = R.replay(nodes, spark.createDataFrame(rows, OPS))
+    got = {(r["doc_id"], r["addr"]): (r["text"], r["status"]) for r in after.collect()}
+    assert got[1, "s:2"] == (None, "tombstone") and got[2, "s:2"] == ("uno", "live") and got[2, "s:2/p:1"] == ("still below", "live") and (2, "s:1") not in got
+    assert {(r["doc_id"], r["seq"]): r["outcome"] for r in receipts.collect()}[3, 1] == "slot_occupied"  # without a profile that asks for it
+    ordered = [o["seq"] for o in R.applied_order([dict(zip([c.split()[0] for c in OPS.split(", ")], r, strict=True)) for r in rows if r[0] == 3], R.Ordering(vacate=True))]
+    assert ordered == [2, 3, 1]
+    dated = spark.createDataFrame([(1, 1, "REPLACE", "s:1", "late", None, None, None, None, None, "2024-02-01"), (1, 2, "REPLACE", "s:1", "early", None, None, None, None, None, "2024-01-01"), (1, 3, "REPEAL", "s:1", None, None, None, None, None, None, "2030-01-01")], OPS + ", effective string")
+    after, receipts = R.replay(nodes.filter("doc_id = 1"), dated, as_of="2025-01-01", both=True)
+    assert [r["text"] for r in after.collect()] == ["late"] and sorted(r["outcome"] for r in receipts.collect()) == ["applied", "applied", "not_yet_effective"]
+
+
+def test_rename_cycles_take_their_smallest_address(spark):
+    moves = spark.createDataFrame([("c", "b"), ("b", "d"), ("d", "c"), ("x", "c"), ("p", "q"), ("q", "r"), ("r", "s"), ("s", "t")], "from_addr string, to_addr string")
+    got = {r["addr"]: r["final"] for r in G.follow_renames(spark.createDataFrame([(a,) for a in "bcdxpqsz"], "addr string"), moves).collect()}
+    assert got == {"b": "b", "c": "b", "d": "b", "x": "b", "p": "t", "q": "t", "s": "t", "z": "z"}
+
+
 def test_patch_text():
     assert R.patch_text("a b a", "a", "c") == "c b a"
     assert R.patch_text("a b a", "a", "c", 1) == "a b c"
