@@ -108,14 +108,14 @@ def lineage_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem), v AS (SELECT l_orderkey AS src, count(DISTINCT l_returnflag) AS n FROM lineitem WHERE strftime(l_shipdate, '%Y-%m-%d') <= '1996-01-01' GROUP BY 1)
-SELECT CASE WHEN n > 1 THEN 'ambiguous' ELSE 'active' END AS state, count(*) AS n FROM c JOIN v USING (src) WHERE dst IN (SELECT p_partkey FROM part WHERE p_size < 10) GROUP BY 1""")
+SELECT src, dst, CASE WHEN n > 1 THEN 'ambiguous' ELSE 'active' END AS state FROM c JOIN v USING (src) WHERE dst IN (SELECT p_partkey FROM part WHERE p_size < 10)""")
 def silent_breakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active citations of changed targets, and those where the citing versions disagree."""
     line = t(spark, sf_dir, "lineitem")
     versions = line.select(F.col("l_orderkey").alias("addr"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("effective"), F.lit(None).cast("string").alias("expires"), F.col("l_returnflag").alias("content"))
     changed = t(spark, sf_dir, "part").filter("p_size < 10").select(F.col("p_partkey").alias("dst"))
     out = G.silent_breakage(line.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")), versions, changed, "1996-01-01")
-    return out.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("src", "dst", "state")
 
 
 BUILD_SQL = """
@@ -123,15 +123,15 @@ b AS (SELECT o_orderkey AS build, o_orderkey % 11 <> 0 AS known, o_orderkey % 7
 e AS (SELECT l_orderkey AS build, l_partkey AS subject FROM lineitem), n AS (SELECT build, count(*) AS n FROM e GROUP BY 1), x AS (SELECT build, min(p_name) AS r FROM e JOIN part ON subject = p_partkey WHERE p_size = 1 GROUP BY 1)"""
 
 
-@query(f"""WITH {BUILD_SQL} SELECT CASE WHEN NOT known THEN 'BUILD_UNKNOWN' WHEN NOT instrumented THEN 'BUILD_CONSUMPTION_UNINSTRUMENTED' WHEN coalesce(n, 0) <> declared THEN 'INVALID_CONSUMPTION' WHEN declared = 0 THEN 'CLEAN' WHEN r IS NOT NULL THEN 'TAINTED' ELSE 'CLEAN' END AS status, count(*) AS n
-FROM b LEFT JOIN n USING (build) LEFT JOIN x USING (build) GROUP BY 1""")
+@query(f"""WITH {BUILD_SQL} SELECT build, CASE WHEN NOT known THEN 'BUILD_UNKNOWN' WHEN NOT instrumented THEN 'BUILD_CONSUMPTION_UNINSTRUMENTED' WHEN coalesce(n, 0) <> declared THEN 'INVALID_CONSUMPTION' WHEN declared = 0 THEN 'CLEAN' WHEN r IS NOT NULL THEN 'TAINTED' ELSE 'CLEAN' END AS status
+FROM b LEFT JOIN n USING (build) LEFT JOIN x USING (build)""")
 def retraction_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of builds by what they consumed and what was retracted."""
     k = F.col("o_orderkey")
     builds = t(spark, sf_dir, "orders").select(k.alias("build"), (k % 11 != 0).alias("known"), (k % 7 != 0).alias("instrumented"), F.when(k % 5 == 0, 2).otherwise(4).alias("declared"))
     edges = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("build"), F.col("l_partkey").alias("subject"))
     gone = t(spark, sf_dir, "part").filter("p_size = 1").select(F.col("p_partkey").alias("subject"), F.col("p_name").alias("retraction"))
-    return G.build_status(builds, edges, G.retraction_taint(edges, gone)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return G.build_status(builds, edges, G.retraction_taint(edges, gone)).select("build", "status")
 
 
 @query("""
@@ -166,13 +166,13 @@ def tree_diff_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT kind, count(*) AS n FROM (SELECT CASE WHEN s = 0 AND l = 0 AND x = 0 AND e = 0 THEN 'identical' WHEN s = 0 AND l = 0 AND x = 0 THEN 'editorial_only' WHEN s > 0 AND x > 0 THEN 'structural_and_text' WHEN s > 0 THEN 'structural' WHEN l > 0 AND x > 0 THEN 'label_and_text' WHEN l > 0 THEN 'label' ELSE 'text' END AS kind
-FROM (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'A' AND l_quantity > 30) AS s, count(*) FILTER (WHERE l_discount > 0.09) AS l, count(*) FILTER (WHERE l_tax > 0.07) AS x, count(*) FILTER (WHERE l_linestatus = 'O') AS e FROM lineitem GROUP BY 1)) GROUP BY 1""")
+SELECT l_orderkey, CASE WHEN s = 0 AND l = 0 AND x = 0 AND e = 0 THEN 'identical' WHEN s = 0 AND l = 0 AND x = 0 THEN 'editorial_only' WHEN s > 0 AND x > 0 THEN 'structural_and_text' WHEN s > 0 THEN 'structural' WHEN l > 0 AND x > 0 THEN 'label_and_text' WHEN l > 0 THEN 'label' ELSE 'text' END AS kind
+FROM (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'A' AND l_quantity > 30) AS s, count(*) FILTER (WHERE l_discount > 0.09) AS l, count(*) FILTER (WHERE l_tax > 0.07) AS x, count(*) FILTER (WHERE l_linestatus = 'O') AS e FROM lineitem GROUP BY 1)""")
 def diff_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of each difference by its counters."""
     n = lambda c: F.count(F.when(c, 1))
     per = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(n((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 30)).alias("s"), n(F.col("l_discount") > 0.09).alias("l"), n(F.col("l_tax") > 0.07).alias("x"), n(F.col("l_linestatus") == "O").alias("e"))
-    return per.select(C.difference_kind(F.col("s"), F.col("l"), F.col("x"), F.col("e")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return per.select("l_orderkey", C.difference_kind(F.col("s"), F.col("l"), F.col("x"), F.col("e")).alias("kind"))
 
 
 @query("""
@@ -265,11 +265,11 @@ def audit_closed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT DISTINCT l_partkey AS k, l_returnflag AS stage FROM lineitem)
+WITH s AS (SELECT DISTINCT l_orderkey AS k, l_returnflag AS stage FROM lineitem)
 SELECT k, stage FROM s WHERE stage = 'A' AND k NOT IN (SELECT k FROM s WHERE stage = 'N') UNION ALL SELECT k, stage FROM s WHERE stage = 'N' AND k NOT IN (SELECT k FROM s WHERE stage = 'R')""")
 def audit_residual_monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residuals that a later stage lost."""
-    return U.lost_between(t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("stage")).distinct(), "k", "stage", ["A", "N", "R"])
+    return U.lost_between(t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("stage")).distinct(), "k", "stage", ["A", "N", "R"])
 
 
 # ---------------------------------------------------------------- replay and extraction

@@ -68,10 +68,10 @@ def refs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_provision_ref_str", "target_provision_ref_str", "cite_confidence")
 
 
-@query(f"WITH {REF_SQL} SELECT source_provision_ref_str, target_provision_ref_str FROM refs WHERE (target_statute_id = 'P/1/1' OR target_provision_ref_str LIKE 'P/1/1%') AND cite_confidence = 'broken' AND valid_at_start > '1994-01-01'")
+@query(f"WITH {REF_SQL} SELECT source_provision_ref_str, target_provision_ref_str FROM refs WHERE (target_statute_id = 'P/1045/8' OR target_provision_ref_str LIKE 'P/1045/8%') AND cite_confidence = 'broken' AND valid_at_start > '1994-01-01'")
 def refs_query_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A provision target, by bare prefix, among broken references after a date."""
-    found = P.query_references(line_references(spark, sf_dir), target="P/1/1", broken_after="1994-01-01")
+    found = P.query_references(line_references(spark, sf_dir), target="P/1045/8", broken_after="1994-01-01")
     return found.select("source_provision_ref_str", "target_provision_ref_str")
 
 
@@ -90,10 +90,10 @@ def keyword_search_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.keyword_search([(t(spark, sf_dir, "documents"), "document", "doc_id", "text"), (t(spark, sf_dir, "pages"), "page", "page_id", "html"), (t(spark, sf_dir, "conversations"), "turn", "conv_id", "text")], "license")
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)password') AND NOT regexp_matches(text, '(?i)license') AND lang = 'en'")
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)license') AND NOT regexp_matches(text, '(?i)password') AND lang = 'en'")
 def structural_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns to hold and not to hold, with an equality."""
-    return P.structural_grep(t(spark, sf_dir, "documents"), ["password"], ["license"], equal={"lang": "en"}).select("doc_id")
+    return P.structural_grep(t(spark, sf_dir, "documents"), ["license"], ["password"], equal={"lang": "en"}).select("doc_id")
 
 
 @query("""
@@ -168,10 +168,10 @@ def census_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.filter("l_returnflag = 'R'").join(latest, "l_partkey").filter("l_shipdate < latest").select("l_orderkey", "l_linenumber", F.datediff(F.to_date("latest"), F.to_date("l_shipdate")).cast("long").alias("staleness"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def census_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order."""
-    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    o = t(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return t(spark, sf_dir, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 

@@ -81,10 +81,10 @@ def activation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("op"), T.temporal_status(kind, F.date_format("o_orderdate", "yyyy-MM-dd"), resolved, F.col("o_totalprice") > 400000, "1997-06-01").alias("status"))
 
 
-@query(f"WITH {RULES_SQL} SELECT status, count(*) AS n FROM s GROUP BY 1")
+@query(f"WITH {RULES_SQL} SELECT op, status FROM s")
 def temporal_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of activation rules at a date."""
-    return activation_status(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return activation_status(spark, sf_dir).select("op", "status")
 
 
 @query(f"WITH {RULES_SQL} SELECT op, CASE WHEN bool_or(status = 'pending') THEN 'pending' WHEN bool_or(status = 'active') THEN 'active' WHEN bool_or(status = 'scheduled') THEN 'scheduled' ELSE 'inactive' END AS status FROM s GROUP BY op")
@@ -118,12 +118,12 @@ def standalone_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH w AS (SELECT o_orderkey AS id, o_custkey AS addr, strftime(o_orderdate, '%Y-%m-%d') AS effective, strftime(o_orderdate::DATE + (o_orderkey % 60)::INT, '%Y-%m-%d') AS expires, o_orderstatus = 'F' AS proven FROM orders),
 n AS (SELECT w.id, any_value(w.effective) AS effective, any_value(w.expires) AS expires, any_value(w.proven) AS proven, min(o.effective) FILTER (WHERE o.effective > w.effective) AS nxt FROM w LEFT JOIN w o USING (addr) GROUP BY w.id)
-SELECT CASE WHEN NOT proven THEN 'unproven' WHEN effective >= expires THEN 'empty_interval' WHEN nxt < expires THEN 'past_next_occupant' ELSE 'spliced' END AS decision, count(*) AS n FROM n GROUP BY 1""")
+SELECT id, CASE WHEN NOT proven THEN 'unproven' WHEN effective >= expires THEN 'empty_interval' WHEN nxt < expires THEN 'past_next_occupant' ELSE 'spliced' END AS decision FROM n""")
 def interval_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temporary writes spliced into timelines, or the reason why not."""
     o = load_table(spark, sf_dir, "orders")
     w = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("addr"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("effective"), F.date_format(F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 60).cast("int")), "yyyy-MM-dd").alias("expires"), (F.col("o_orderstatus") == "F").alias("proven"))
-    return T.splice_windows(w, w.select("addr", "effective")).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+    return T.splice_windows(w, w.select("addr", "effective")).select("id", "decision")
 
 
 @query("""
