@@ -28,7 +28,7 @@ from palimpsest.llm.common import DOCUMENT, own_columns, total, written
 MAX_PART = 16.0
 #: Entries of a table: at a mean of 16 the probability beyond 80 is under 2 ** -60.
 ENTRIES = 80
-#: Sources up to which their table is broadcast; with more it is joined by shuffle.
+#: Sources up to which their table is broadcast; with more it is joined by shuffle, but for the largest.
 BROADCAST_SOURCES = 10_000
 
 
@@ -62,15 +62,20 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, al
 def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int = 17, alpha: float = 0.5, epochs: float = 1.0, columns: tuple[str, ...] = DOCUMENT) -> DataFrame:
     """Each row of ``docs`` as often as drawn, with ``copies``, ``copy_no`` (from 0) and ``place``, its random place in [0, 1)."""
     own = own_columns(docs, *columns)
-    rates = written(source_rates(own, weights, alpha, epochs).select(F.col("source").alias("r_source"), "parts", "cdf"), "rates")
-    few = rates.count() <= BROADCAST_SOURCES
-    joined = own.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("r_source")))
+    rates = written(source_rates(own, weights, alpha, epochs).select(F.col("source").alias("r_source"), "parts", "cdf", F.col("n_docs").alias("r_n")), "rates")
+    same = F.col("source").eqNullSafe(F.col("r_source"))
+    stats = rates.agg(F.count(F.lit(1)).alias("n"), F.sum("r_n").alias("rows")).first()
+    if stats["n"] <= BROADCAST_SOURCES:
+        joined = own.join(F.broadcast(rates), same)
+    else:  # no more than so many sources can hold as large a share each; none of the others is a hot key
+        heavy = F.broadcast(rates.filter(F.col("r_n") * BROADCAST_SOURCES >= stats["rows"]))
+        joined = own.join(heavy, same).unionByName(own.join(heavy, same, "left_anti").join(rates, same))
     drawn = F.aggregate(
         F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: uniform(seed, F.col("doc_id"), j)),
         F.lit(0),
         lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u)),
     )
-    copied = joined.withColumn("copies", drawn.cast("long")).filter("copies > 0").drop("r_source", "parts", "cdf")
+    copied = joined.withColumn("copies", drawn.cast("long")).filter("copies > 0").drop("r_source", "parts", "cdf", "r_n")
     exploded = copied.withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return exploded.withColumn("place", uniform(seed, F.col("doc_id"), "place", F.col("copy_no")))
 

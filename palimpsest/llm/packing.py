@@ -100,7 +100,9 @@ def token_pieces(docs: DataFrame, groups: int, size: int = SIZE, vocabulary: str
 
 
 def sum_of_squares(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece; sequences are numbered from 0."""
+    """(sequence, offset) of each piece; sequences are numbered from 0. Pieces go longest first. Opening a sequence is never
+    weighed against the open ones: the rule decides among those that have room, and a new one is made if none has, so that
+    there are as few as can be. Of equal changes the fullest sequence is taken, and of those the one opened last."""
     order = np.argsort(-lengths, kind="stable")
     n_open = np.zeros(size + 1, dtype=np.int64)  # sequences filled to a level, but for full ones
     filled: list[list[int]] = [[] for _ in range(size + 1)]

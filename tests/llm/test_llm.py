@@ -556,6 +556,13 @@ def test_poisson_shape(spark):
     assert abs(mean - 40) < 0.6 and abs(variance - 40) < 5
 
 
+def test_mixing_of_many_sources(spark, monkeypatch, docs):
+    """Where the table of sources is too large to be sent, the largest sources still are."""
+    few = sorted(map(tuple, mixing.mixing_report(docs).collect()), key=repr)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted(map(tuple, mixing.mixing_report(docs).collect()), key=repr) == few
+
+
 # ---------------------------------------------------------------- 9
 
 
