@@ -17,22 +17,33 @@ from palimpsest.llm.quality import keep_good
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that pass the quality rules. Null or empty text does not; repeated rows are judged alike; ties of
+    references do not matter; very long texts are whole. An empty table stays empty, extra columns go."""
     return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without lines that spread over sites; every line that is not blank counts. A line stays in the
+    document of the smallest id (null ids together are one document). Null text stays as it is; documents of which nothing
+    but white space is left go. An empty table stays empty, extra columns go."""
     return keep_lines(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id. Rows go by id and text together; repeated rows
+    leave one, null ids are judged by their text, null and empty texts stay. An empty table stays empty, extra columns go."""
     return keep_one(docs)
 
 
 def poisson_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as drawn, shuffled. Null source is a source of its own; repeated rows share their draw; text is
+    not read. An empty table stays empty, extra columns go."""
     return mixed(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece with its sequence. Null text is empty and one piece of one token; long texts are cut; repeated
+    rows are packed each. An empty table gives no rows."""
     return pack(docs)
 
 
