@@ -152,7 +152,7 @@ def _lone_counts(rows: DataFrame, read: Callable[[pa.RecordBatch, int], tuple[np
         k, n = np.unique(y[lone], return_counts=True)
         return pa.table({"k": k.view(np.int64), "lone": n.astype(np.int64)})
 
-    return rows.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(count, "k long, lone long").groupBy("k").agg(F.sum("lone").alias("lone"))
+    return rows.mapInArrow(send, PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, "k long, lone long").groupBy("k").agg(F.sum("lone").alias("lone"))
 
 
 def _sampled(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, int]:
@@ -281,7 +281,7 @@ def _met_smallest(sets: DataFrame, buckets: int, edges: list[int]) -> DataFrame:
             found.append(_with_smallest(x, y.view(np.int64))[0])
         return pa.concat_tables(found)
 
-    return _send_keys(sets, buckets, edges, send, f"{PACKED}, kind long", False).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return _send_keys(sets, buckets, edges, send, f"{PACKED}, kind long", False).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _met_across(sets: DataFrame, buckets: int, edges: list[int]) -> DataFrame:
@@ -318,7 +318,7 @@ def _met_across(sets: DataFrame, buckets: int, edges: list[int]) -> DataFrame:
         null = lambda c, m: pa.array(c, pa.int64()) if c is not None else pa.nulls(m, pa.int64())
         return pa.concat_tables([pa.table({"a": o[0], "b": o[1], "g": null(o[2], len(o[0])), "side": null(o[3], len(o[0]))}) for o in out])
 
-    return _send_keys(sets, buckets, edges, lambda x, y: _packed(x, y, buckets), PACKED, True).groupBy("bucket").applyInArrow(meet, "a long, b long, g long, side long")
+    return _send_keys(sets, buckets, edges, lambda x, y: _packed(x, y, buckets), PACKED, True).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long, g long, side long")
 
 
 def _near_in_blocks(members: DataFrame, nearest: bool) -> DataFrame:

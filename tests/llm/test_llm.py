@@ -442,12 +442,16 @@ def test_decoding_is_the_best_segmentation(parts, seed):
                 for kind in pii.KINDS:
                     weights[(kind, f)] = weights.get((kind, f)) or r.uniform(-1, 1)
 
+    def candidate(i, j):  # on one line, single spaces, no more digits than an entity has
+        words = [text[a:b] for a, b in tokens[i:j]]
+        return j - i <= pii.MAX_TOKENS and all(not w.isspace() or w == " " for w in words) and sum(len(w) for w in words if w[0].isdigit()) <= pii.MAX_DIGITS
+
     def best(i):  # over all segmentations from token i on
         if i == len(tokens):
             return 0.0
         found = [best(i + 1)]
         for j in range(i + 1, len(tokens) + 1):
-            if f := pii.features(text, tokens, i, j):
+            if candidate(i, j) and (f := pii.features(text, tokens, i, j)):
                 found += [best(j) + sum(weights[(kind, x)] for x in f) for kind in pii.KINDS]
         return max(found)
 
