@@ -31,10 +31,10 @@ def proposals_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.query_proposals(rows, "URG", "1995:1996", "O", 25).select("o_orderkey")
 
 
-@query("SELECT doc_id, left(text, 300) AS excerpt FROM documents WHERE doc_id % 9 = 0")
+@query("SELECT doc_id, left(text, 300) AS excerpt FROM documents WHERE lang = 'de'")
 def purpose_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged sections with the beginning of their text."""
-    return P.purpose_sections(t(spark, sf_dir, "documents").withColumn("is_purpose_section", F.col("doc_id") % 9 == 0)).select("doc_id", "excerpt")
+    return P.purpose_sections(t(spark, sf_dir, "documents").withColumn("is_purpose_section", F.col("lang") == "de")).select("doc_id", "excerpt")
 
 
 @query("""
@@ -93,13 +93,13 @@ def surface_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT p_partkey AS node, CASE WHEN p_size < 25 THEN 'a' ELSE 'b' END AS kind FROM part WHERE p_partkey % 10 <> 0), e AS (SELECT l_orderkey % 50 + 1 AS src, l_partkey AS dst FROM lineitem WHERE l_quantity = 17)
+WITH n AS (SELECT p_partkey AS node, CASE WHEN p_size < 25 THEN 'a' ELSE 'b' END AS kind FROM part WHERE p_size > 5), e AS (SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem)
 SELECT lint, count(*) AS n FROM (SELECT 'dangling' AS lint FROM e WHERE dst NOT IN (SELECT node FROM n) UNION ALL SELECT 'duplicate' FROM (SELECT src, dst FROM e GROUP BY 1, 2 HAVING count(*) > 1)
   UNION ALL SELECT 'type_mismatch' FROM (SELECT DISTINCT src, dst FROM e) x JOIN n s ON x.src = s.node JOIN n d ON x.dst = d.node WHERE NOT (s.kind = 'a' AND d.kind = 'b')) GROUP BY 1""")
 def surface_lints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dangling, repeated and mistyped edges."""
-    nodes = t(spark, sf_dir, "part").filter("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") < 25, "a").otherwise("b").alias("kind"))
-    edges = t(spark, sf_dir, "lineitem").filter("l_quantity = 17").select((F.col("l_orderkey") % 50 + 1).alias("src"), F.col("l_partkey").alias("dst"))
+    """Dangling, repeated and mistyped edges; the smallest parts are not installed."""
+    nodes = t(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") < 25, "a").otherwise("b").alias("kind"))
+    edges = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
     return N.lints(nodes, edges, spark.createDataFrame([("a", "b")], "src_kind string, dst_kind string")).groupBy("lint").agg(F.count(F.lit(1)).alias("n"))
 
 

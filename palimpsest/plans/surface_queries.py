@@ -86,10 +86,10 @@ def op_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT DISTINCT 'b' || (l_suppkey % 20) AS branch, l_partkey FROM lineitem WHERE l_quantity >= 48) SELECT l_partkey, count(*) AS n_branches, string_agg(branch, ',' ORDER BY branch) AS branches FROM i GROUP BY 1 HAVING count(*) > 1""")
+WITH i AS (SELECT DISTINCT 'b' || l_suppkey AS branch, l_partkey FROM lineitem) SELECT l_partkey, count(*) AS n_branches, string_agg(branch, ',' ORDER BY branch) AS branches FROM i GROUP BY 1 HAVING count(*) > 1""")
 def branch_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets that several branches touch."""
-    ops = t(spark, sf_dir, "lineitem").filter("l_quantity >= 48").select(F.concat(F.lit("b"), (F.col("l_suppkey") % 20).cast("string")).alias("branch"), "l_partkey")
+    ops = t(spark, sf_dir, "lineitem").select(F.concat(F.lit("b"), F.col("l_suppkey").cast("string")).alias("branch"), "l_partkey")
     return L.branch_impact(ops, "branch", "l_partkey")[1]
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +80,18 @@ def write_projection(rows: DataFrame, diagnostics: DataFrame, path: str, meta: M
     write(diagnostics, f"{path}_diagnostics.jsonl", "jsonl")
 
 
+def write_tables(base: DataFrame, views: Mapping[str, Callable[[DataFrame], DataFrame]], folder: str, meta: Mapping[str, str]) -> None:
+    """Several named tables out of one: ``base`` is computed once and cut off from its lineage, and each view of it is
+    written with the fingerprints."""
+    from palimpsest.operators.graph import cut_lineage
+
+    if not meta:
+        raise ValueError("tables are written with their fingerprints")
+    once = cut_lineage(base)
+    for name, view in views.items():
+        write(view(once), f"{folder.rstrip('/')}/{name}.parquet", "parquet", meta)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row (n, digest): independent of order and partitioning."""
     row = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)) if df.columns else F.lit(0)

@@ -250,6 +250,16 @@ def test_tables(spark, tmp_path):
     assert tables.fingerprint(df).first() == tables.fingerprint(df.repartition(3)).first()
 
 
+def test_several_tables(spark, tmp_path):
+    base = spark.range(10).withColumn("odd", F.col("id") % 2 == 1)
+    views = {"odd": lambda df: df.filter("odd").select("id"), "counts": lambda df: df.groupBy("odd").count()}
+    tables.write_tables(base, views, str(tmp_path), {"rev": "7"})
+    assert spark.read.parquet(f"{tmp_path}/odd.parquet").count() == 5 and {r["count"] for r in spark.read.parquet(f"{tmp_path}/counts.parquet").collect()} == {5}
+    assert not tables.stale(spark, f"{tmp_path}/odd.parquet", {"rev": "7"})
+    with pytest.raises(ValueError):
+        tables.write_tables(base, views, str(tmp_path), {})
+
+
 def test_incremental_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.range(10).withColumn("ok", F.col("id") % 2 == 0).coalesce(1).write.parquet(source)
