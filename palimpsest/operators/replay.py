@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,11 +120,11 @@ def order_positions(ops: DataFrame, doc: str, effective: str, seq: str, act: str
 class Tree:
     """The nodes of one document by address, and the children of each address."""
 
-    def __init__(self, nodes: pd.DataFrame) -> None:
+    def __init__(self, nodes: Iterable[dict]) -> None:
         self.nodes: dict[str, dict] = {}
         self.children: dict[str, set[str]] = {}
-        for r in nodes.itertuples():
-            self.put(r.addr, {"ord": r.ord, "kind": r.kind, "text": r.text, "status": r.status})
+        for r in nodes:
+            self.put(r["addr"], {k: r[k] for k in ("ord", "kind", "text", "status")})
 
     def put(self, addr: str, node: dict) -> None:
         self.nodes[addr] = node
@@ -207,19 +207,21 @@ FOLDED = f"{NODES}, seq long, action string, target string, landed string, outco
 def folded(nodes: DataFrame, ops: DataFrame, ordering: Ordering = Ordering()) -> DataFrame:  # noqa: B008
     """Nodes after the ops (``seq`` null) and receipts (``addr`` null) of each document, out of one fold."""
 
-    def fold(n: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(n)
-        doc = n["doc_id"].iloc[0] if len(n) else o["doc_id"].iloc[0]
-        receipts = []
-        for op in applied_order(o.astype(object).where(o.notna(), None).to_dict("records"), ordering):
+    def fold(n: pa.Table, o: pa.Table) -> pa.Table:
+        rows, edits = n.to_pylist(), o.to_pylist()
+        tree = Tree(rows)
+        doc = (rows or edits)[0]["doc_id"]
+        out = []
+        for op in applied_order(edits, ordering):
             landed, outcome = tree.apply(op)
-            receipts.append((doc, None, None, None, None, None, op["seq"], op["action"], op["target"], landed, outcome))
-        states = [(doc, a, x["ord"], x["kind"], x["text"], x["status"], None, None, None, None, None) for a, x in sorted(tree.nodes.items())]
-        out = pd.DataFrame(states + receipts, columns=[c.split()[0] for c in FOLDED.split(", ")], dtype=object)
-        return out.astype({"seq": "Int64"})
+            out.append((doc, None, None, None, None, None, op["seq"], op["action"], op["target"], landed, outcome))
+        out += [(doc, a, x["ord"], x["kind"], x["text"], x["status"], None, None, None, None, None) for a, x in sorted(tree.nodes.items())]
+        types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+        fields = [c.split() for c in FOLDED.split(", ")]
+        return pa.table([pa.array(list(c), types[t]) for c, (_, t) in zip(zip(*out, strict=True) if out else [[]] * len(fields), fields, strict=True)], names=[f for f, _ in fields])
 
     ship(nodes.sparkSession)
-    return nodes.groupBy("doc_id").cogroup(ops.groupBy("doc_id")).applyInPandas(fold, FOLDED)
+    return nodes.groupBy("doc_id").cogroup(ops.groupBy("doc_id")).applyInArrow(fold, FOLDED)
 
 
 def replay(nodes: DataFrame, ops: DataFrame, as_of: str | None = None, ordering: Ordering = Ordering(), both: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: B008
