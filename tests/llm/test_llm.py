@@ -598,6 +598,29 @@ def test_packing(spark, docs):
         assert at <= 2048
 
 
+def test_packed_sequences_give_the_ids_back(spark, docs):
+    from pyspark.sql import functions as F
+
+    exact = packing.public_encoder().exact
+    rows = documents() + [documents()[0], (None, "no id", None, None, None)]
+    packed = packing.pack_ids(spark.createDataFrame(rows, SCHEMA).repartition(4), group=30)
+    plain = packing.pack(spark.createDataFrame(rows, SCHEMA), group=30)
+    piece = list(packing.PIECE)
+    assert sorted(map(tuple, packed.select(*piece).collect()), key=str) == sorted(map(tuple, plain.select(*piece).collect()), key=str)
+    found, given = {}, {}
+    for r in packing.sequences(packed).collect():
+        assert len(r["ids"]) <= 2048 and sum(p["length"] for p in r["pieces"]) == len(r["ids"])
+        for p in r["pieces"]:
+            part = tuple(r["ids"][p["offset"] : p["offset"] + p["length"]])
+            found.setdefault((p["doc_id"], p["piece"]), []).append(part)
+    for doc, text, *_ in rows:
+        ids = [*exact.encode(text or "", add_special_tokens=False).ids, 0]
+        for k, (start, n) in enumerate(packing.cut(len(ids), 2048)):
+            given.setdefault((doc, k), []).append(tuple(ids[start : start + n]))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in given.items()}
+    assert packing.pack_ids(docs.limit(0)).count() == 0 and packing.sequences(packed.filter(F.lit(False))).count() == 0
+
+
 @settings(max_examples=60, deadline=None, database=None)
 @given(st.lists(st.integers(1, 64), max_size=200))
 def test_sum_of_squares(sizes):
