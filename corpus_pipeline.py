@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, source mixing, sequence packing.
 
 Each stage takes the documents that its predecessor kept. All but the last return the columns of ``documents``; the
-last returns a row for each packed piece. ``run`` writes each stage's output to the shared folder and reads it back.
+last returns a row for each packed piece, with its token ids. ``run`` writes each stage's output to the shared folder and reads it back.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from palimpsest.llm.common import table, written
 from palimpsest.llm.jaccard import keep_one
 from palimpsest.llm.lines import keep_lines
 from palimpsest.llm.mixing import mixed
-from palimpsest.llm.packing import pack
+from palimpsest.llm.packing import pack_ids
 from palimpsest.llm.quality import keep_good
 
 
@@ -42,9 +42,9 @@ def poisson_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece with its sequence. Null text is empty and one piece of one token; long texts are cut; repeated
+    """A row for each piece with its sequence and token ids. Null text is empty and one piece of one token; long texts are cut; repeated
     rows are packed each. An empty table gives no rows."""
-    return pack(docs)
+    return pack_ids(docs)
 
 
 STAGES = [
