@@ -169,3 +169,40 @@ def sunset_class(prior: Column, temporary: Column, after: Column) -> Column:
     """What the end of a temporary text shows: reverted (the prior text is back), lapsed (nothing follows), made_permanent
     (the temporary text stays), else ambiguous."""
     return F.when(after.isNull(), "lapsed").when(prior.eqNullSafe(after), "reverted").when(temporary.eqNullSafe(after), "made_permanent").otherwise("ambiguous")
+
+
+# How error banners begin, and the state that each stands for.
+REPLAY_ERRORS = (("Failed to load base", "base_source_unavailable"), ("Failed to parse base", "base_source_parse_error"))
+
+
+def replayability(error: Column, n_failed: Column, has_oracle: Column, has_replayed: Column, n_ops: Column) -> Column:
+    """The one state of a replayed pair; the first that holds, from the error banner to a clean replay."""
+    banner = F.regexp_replace(F.coalesce(error, F.lit("")), r"^\s+|\s+$", "")
+    state = F.when(F.lit(False), "")
+    for prefix, name in REPLAY_ERRORS:
+        state = state.when(banner.startswith(prefix), name)
+    state = state.when(banner != "", "replay_error_other").when(n_failed > 0, "amendment_source_unavailable")
+    return state.when(~has_oracle, "oracle_source_unavailable").when(~has_replayed, "unclassified").when(n_ops == 0, "no_amendments_in_window").otherwise("replayable")
+
+
+def article_divergence(replayed: DataFrame, consolidated: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """(keys, kind, replay_text, oracle_text): one row per article of either side, agreements included."""
+    a = replayed.select(*keys, F.col(text).alias("replay_text"), F.lit(True).alias("in_replay"))
+    b = consolidated.select(*keys, F.col(text).alias("oracle_text"), F.lit(True).alias("in_oracle"))
+    kind = (
+        F.when(F.col("in_oracle").isNull(), "present_in_replay_absent_in_oracle").when(F.col("in_replay").isNull(), "present_in_oracle_absent_in_replay")
+        .when(F.col("replay_text").eqNullSafe(F.col("oracle_text")), "agreement").otherwise("text_divergence")
+    )
+    return a.join(b, list(keys), "full").select(*keys, kind.alias("kind"), "replay_text", "oracle_text")
+
+
+def stale_downstream(links: DataFrame, retracted: DataFrame, reopened: DataFrame) -> DataFrame:
+    """Links (link, built_on) that stand right on a retracted one and are not reopened. Those further down are judged once
+    what they stand on is retracted itself."""
+    standing = links.join(retracted.select(F.col("link").alias("built_on")).distinct(), "built_on", "left_semi")
+    return standing.join(reopened.select("link").distinct(), "link", "left_anti").select("link", "built_on")
+
+
+def application_key(applies: Column, act: Column, seq: Column) -> Column:
+    """Sort key (day of application, act, sequence); ops without a day come first."""
+    return F.struct(F.coalesce(applies, F.lit("")).alias("applies"), F.coalesce(act, F.lit("")).alias("act"), seq.alias("seq"))

@@ -240,3 +240,46 @@ def sunset_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("o_orderpriority")
     rows = t(spark, sf_dir, "orders").select("o_orderkey", p.alias("now"), F.lag(p).over(w).alias("prior"), F.lead(p).over(w).alias("after"))
     return rows.select("o_orderkey", N.sunset_class(F.col("prior"), F.col("now"), F.col("after")).alias("class"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'base_source_unavailable' WHEN o_orderkey % 13 = 1 THEN 'base_source_parse_error' WHEN o_orderkey % 13 = 2 THEN 'replay_error_other' WHEN o_orderkey % 5 = 0 THEN 'amendment_source_unavailable' WHEN o_orderpriority = '1-URGENT' THEN 'oracle_source_unavailable'
+  WHEN o_orderkey % 17 = 0 THEN 'unclassified' WHEN o_orderstatus = 'O' THEN 'no_amendments_in_window' ELSE 'replayable' END AS state FROM orders""")
+def replayability_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a pair can be replayed, or the one reason why not."""
+    k = F.col("o_orderkey")
+    error = F.when(k % 13 == 0, "Failed to load base: gone").when(k % 13 == 1, "Failed to parse base: not XML").when(k % 13 == 2, "Failed to apply ops: none")
+    state = N.replayability(error, F.when(k % 5 == 0, 2).otherwise(0), F.col("o_orderpriority") != "1-URGENT", k % 17 != 0, F.when(F.col("o_orderstatus") == "O", 0).otherwise(1))
+    return t(spark, sf_dir, "orders").select("o_orderkey", state.alias("state"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS x FROM lineitem WHERE l_linenumber <> 2), o AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 40 THEN 'R' ELSE l_returnflag END AS x FROM lineitem WHERE l_linenumber <> 3)
+SELECT coalesce(r.l_orderkey, o.l_orderkey) AS l_orderkey, coalesce(r.l_linenumber, o.l_linenumber) AS l_linenumber,
+  CASE WHEN o.l_orderkey IS NULL THEN 'present_in_replay_absent_in_oracle' WHEN r.l_orderkey IS NULL THEN 'present_in_oracle_absent_in_replay' WHEN r.x = o.x THEN 'agreement' ELSE 'text_divergence' END AS kind, r.x AS replay_text, o.x AS oracle_text
+FROM r FULL JOIN o ON r.l_orderkey = o.l_orderkey AND r.l_linenumber = o.l_linenumber""")
+def article_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replayed body against a consolidation, article by article."""
+    lines = t(spark, sf_dir, "lineitem")
+    replayed = lines.filter("l_linenumber <> 2").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("x"))
+    consolidated = lines.filter("l_linenumber <> 3").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 40, "R").otherwise(F.col("l_returnflag")).alias("x"))
+    return N.article_divergence(replayed, consolidated, ["l_orderkey", "l_linenumber"], "x")
+
+
+@query("""
+SELECT e.event_id AS link, p.event_id AS built_on FROM events e JOIN events p ON e.event_id = p.event_id + 1
+WHERE p.event_type = 'error' AND e.value <= 20""")
+def audit_retraction_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What still stands on a retracted link."""
+    e = t(spark, sf_dir, "events")
+    links = e.select(F.col("event_id").alias("link"), (F.col("event_id") - 1).alias("built_on"))
+    return N.stale_downstream(links, e.filter("event_type = 'error'").select(F.col("event_id").alias("link")), e.filter("value > 20").select(F.col("event_id").alias("link")))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag = 'N' THEN '' ELSE strftime(l_shipdate, '%Y-%m-%d') END, l_suppkey::VARCHAR, l_linenumber) - 1 AS position FROM lineitem""")
+def application_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops in order of the day that they apply from; those without a day come first."""
+    key = N.application_key(F.when(F.col("l_returnflag") != "N", iso("l_shipdate")), F.col("l_suppkey").cast("string"), F.col("l_linenumber"))
+    w = Window.partitionBy("l_orderkey").orderBy(key)
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) - 1).alias("position"))
