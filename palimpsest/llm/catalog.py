@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.audio import match_recordings, recordings
 from palimpsest.llm.common import table
+from palimpsest.llm.infill import infill_report, infill_sql
 from palimpsest.llm.jaccard import jaccard_components
 from palimpsest.llm.langid import identify_languages
 from palimpsest.llm.lines import line_report, line_sql
@@ -59,9 +60,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_rules, op4_secret_scans, op5_media_columns, op6_personal_data, op7_language_id, op8_poisson_mixing, op9_best_fit_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_rules, op4_secret_scans, op5_media_columns, op6_personal_data, op7_language_id, op8_poisson_mixing, op9_best_fit_packing, op10_line_dedup, op11_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_sql(), "op8_poisson_mixing": mixing_sql(), "op10_line_dedup": line_sql()}
+    return {"op3_quality_rules": quality_sql(), "op8_poisson_mixing": mixing_sql(), "op10_line_dedup": line_sql(), "op11_fill_in_middle": infill_sql()}
