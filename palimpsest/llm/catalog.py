@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.alignment import alignment_report
 from palimpsest.llm.audio import match_recordings, recordings
 from palimpsest.llm.common import table
 from palimpsest.llm.infill import infill_report, infill_sql
@@ -64,8 +65,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill_report(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_rules, op4_secret_scans, op5_media_columns, op6_personal_data, op7_language_id, op8_poisson_mixing, op9_best_fit_packing, op10_line_dedup, op11_fill_in_middle)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_rules, op4_secret_scans, op5_media_columns, op6_personal_data, op7_language_id, op8_poisson_mixing, op9_best_fit_packing, op10_line_dedup, op11_fill_in_middle, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
