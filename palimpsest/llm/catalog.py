@@ -18,6 +18,7 @@ from palimpsest.llm.packing import pack
 from palimpsest.llm.pii import find_personal_data
 from palimpsest.llm.quality import quality_report, quality_sql
 from palimpsest.llm.repeats import repeated_strings
+from palimpsest.llm.rulefit import quality_scores
 from palimpsest.llm.secrets import scan_secrets
 
 
@@ -65,12 +66,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill_report(table(spark, sf_dir, "documents"))
 
 
+def op12_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_rules, op4_secret_scans, op5_media_columns, op6_personal_data, op7_language_id, op8_poisson_mixing, op9_best_fit_packing, op10_line_dedup, op11_fill_in_middle, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_rules, op4_secret_scans, op5_media_columns, op6_personal_data, op7_language_id, op8_poisson_mixing, op9_best_fit_packing, op10_line_dedup, op11_fill_in_middle, op12_rule_ensemble, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
