@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -72,45 +71,103 @@ def patch_text(text: str, find: str, put: str, occurrence: int = 0) -> str | Non
 
 @dataclass(frozen=True)
 class Ordering:
-    """How ops are put in order. ``by_act``: acts of one day apply in the order of their ids. ``vacate``: within a group
-    (``group_id``) repeals go first, then renumberings, then the rest. Neighbouring renumberings of one day always go so
-    that a place is left before it is taken."""
+    """How ops are put in order. Day and sequence decide unless more is asked for. ``by_act``: acts of one day apply in the
+    order of their ids. ``vacate``: within a group (the ops of one day, act if ``by_act``, and ``group_id``) repeals go first, then
+    renumberings so that a place is left before it is taken, then the rest."""
 
     by_act: bool = False
     vacate: bool = False
 
 
 def _left_first(renumberings: list[dict]) -> list[dict]:
-    """An address is renumbered after the one that it moves to; a cycle is cut where it is entered."""
-    movers = {o["target"]: o for o in renumberings}
+    """The renumberings so that each comes after the first that leaves its destination; otherwise in their order, and a cycle
+    is cut where it is entered. Ops are told apart by their place in the list, so that none is lost, whatever they share."""
+    leaves: dict[str, int] = {}
+    for at, op in enumerate(renumberings):
+        leaves.setdefault(op["target"], at)
+    done: set[int] = set()
     out: list[dict] = []
-    entered: set[str] = set()
-    for o in renumberings:
-        path, at = [], o["target"]
-        while at in movers and at not in entered:
-            entered.add(at)
-            path.append(movers[at])
-            at = movers[at]["destination"]
-        out += reversed(path)
+    for at in range(len(renumberings)):
+        path: list[int] = []
+        step: int | None = at
+        while step is not None and step not in done:
+            done.add(step)
+            path.append(step)
+            step = leaves.get(renumberings[step]["destination"])
+        out += (renumberings[k] for k in reversed(path))
     return out
 
 
 def applied_order(ops: Iterable[dict], ordering: Ordering = Ordering()) -> list[dict]:  # noqa: B008
-    """The ops of a document in the order in which they apply."""
+    """The ops of a document in the order in which they apply: all of them, each once."""
     day = lambda o: o.get("effective") or ""
     act = lambda o: (o.get("act") or "") if ordering.by_act else ""
     ordered = sorted(ops, key=lambda o: (day(o), act(o), o["seq"]))
+    if not ordering.vacate:
+        return ordered
+    groups: dict[tuple, list[dict]] = {}
+    for o in ordered:  # groups stand where their first op does
+        groups.setdefault((day(o), act(o), o.get("group_id")), []).append(o)
     out: list[dict] = []
-    for (_, group), members in groupby(ordered, key=lambda o: (day(o), o.get("group_id") if ordering.vacate else None)):
-        rows = list(members)
-        if group is not None:
-            rank = {"REPEAL": 0, "RENUMBER": 1}
-            rows.sort(key=lambda o: rank.get(o["action"], 2))
-        for renumbering, run in groupby(rows, key=lambda o: o["action"] == "RENUMBER"):
-            out += _left_first(list(run)) if renumbering else run
+    for rows in groups.values():
+        out += [o for o in rows if o["action"] == "REPEAL"]
+        out += _left_first([o for o in rows if o["action"] == "RENUMBER"])
+        out += [o for o in rows if o["action"] not in ("REPEAL", "RENUMBER")]
     return out
 
 
+POSITIONS = "doc_id long, seq long, position long"
+
+
+def applied_positions(ops: DataFrame, ordering: Ordering = Ordering()) -> DataFrame:  # noqa: B008
+    """(doc_id, seq, position): the place of each op in :func:`applied_order`. Without ``vacate`` that is a window; with it, a
+    grouped map over the ops of a moment's group, whose places come from the sizes of the groups before it."""
+    day = F.coalesce(F.col("effective"), F.lit("")) if "effective" in ops.columns else F.lit("")
+    act = F.coalesce(F.col("act"), F.lit("")) if ordering.by_act and "act" in ops.columns else F.lit("")
+    keyed = ops.select("doc_id", "seq", "action", "target", "destination", day.alias("day"), act.alias("act"), "group_id")
+    if not ordering.vacate:
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("day", "act", "seq")) - 1
+        return keyed.select("doc_id", "seq", place.cast("long").alias("position"))
+    moment = ["doc_id", "day", "act", "group_id"]
+    groups = keyed.groupBy(*moment).agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("day", "act", "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    based = groups.select(*moment, before.alias("base"))
+    same = [keyed[c].eqNullSafe(based[c]) for c in moment]
+
+    def place_in_group(rows: pa.Table) -> pa.Table:
+        order = applied_order([{**r, "effective": None, "act": None, "group_id": None} for r in rows.to_pylist()], Ordering(vacate=True))
+        places = {k: [o[k] for o in order] for k in ("doc_id", "seq")}
+        return pa.table({**places, "position": [o["base"] + k for k, o in enumerate(order)]}, schema=pa.schema([(n, pa.int64()) for n in ("doc_id", "seq", "position")]))
+
+    ship(ops.sparkSession)
+    joined = keyed.join(based, same).select(keyed["*"], "base")
+    return joined.groupBy(*moment).applyInArrow(place_in_group, POSITIONS)
+
+
+def order_conflicts(ops: DataFrame, precedence: DataFrame | None = None) -> DataFrame:
+    """(doc_id, day, target, finding, ops, acts, resolution, blocking): what sequence alone decides, though the acts do not say so.
+
+    same_moment_conflict: acts of one day do different things to one target. destination_contested: several renumberings of
+    one day arrive at one address. target_renumbered_again: an address is renumbered more than once in a day. A conflict of acts is
+    settled if ``precedence`` (doc_id, day, target) names it, and blocks otherwise; nothing is reordered or dropped."""
+    day = F.coalesce(F.col("effective"), F.lit("")).alias("day")
+    does = F.to_json(F.struct("action", "payload", "destination"))
+    rows = ops.select("doc_id", "seq", day, F.coalesce("act", F.lit("")).alias("act"), "target", "destination", F.col("action").isin("RENUMBER", "MOVE").alias("moves"), does.alias("does"))
+
+    def found(over: DataFrame, at: str, name: str, condition: Column) -> DataFrame:
+        grouped = over.groupBy("doc_id", "day", F.col(at).alias("target")).agg(F.count(F.lit(1)).alias("ops"), F.count_distinct("act").alias("acts"), F.count_distinct("does").alias("deeds"))
+        return grouped.filter(condition).select("doc_id", "day", "target", F.lit(name).alias("finding"), "ops", "acts")
+
+    moving = rows.filter("moves and destination is not null")
+    out = found(rows, "target", "same_moment_conflict", (F.col("acts") > 1) & (F.col("deeds") > 1)).unionByName(found(moving, "destination", "destination_contested", F.col("ops") > 1)).unionByName(found(moving, "target", "target_renumbered_again", F.col("ops") > 1))
+    claimed = precedence.select("doc_id", "day", "target").distinct().withColumn("claimed", F.lit(True)) if precedence is not None else None
+    joined = out.join(claimed, ["doc_id", "day", "target"], "left") if claimed is not None else out.withColumn("claimed", F.lit(None).cast("boolean"))
+    settled = F.coalesce(F.col("claimed"), F.lit(False))
+    across = F.col("finding") == "same_moment_conflict"
+    resolution = F.when(across & settled, "precedence_claim").otherwise("sequence_order_unproven")
+    return joined.select("doc_id", "day", "target", "finding", "ops", "acts", resolution.alias("resolution"), (across & ~settled).alias("blocking"))
+
+
 def order_positions(ops: DataFrame, doc: str, effective: str, seq: str, act: str | None = None) -> DataFrame:
     """``ops`` with ``position`` from 0 within each document, by effective day, act if one is named, and sequence."""
     keys = [F.coalesce(F.col(effective), F.lit("")), *([F.coalesce(F.col(act), F.lit(""))] if act else []), F.col(seq)]
@@ -226,17 +283,20 @@ def folded(nodes: DataFrame, ops: DataFrame, ordering: Ordering = Ordering()) ->
 
 def replay(nodes: DataFrame, ops: DataFrame, as_of: str | None = None, ordering: Ordering = Ordering(), both: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(nodes after, receipts): one receipt for each op, whatever became of it. With ``as_of`` only ops that are effective
-    by that day apply; the others are receipted as not_yet_effective. With ``both`` the fold is checkpointed, for callers
+    by that day apply; the others are receipted as not_yet_effective. Where ops have a column ``commenced``, those for which it is
+    not true are receipted as not_commenced. With ``both`` the fold is checkpointed, for callers
     that read nodes and receipts."""
-    later = None
-    if as_of is not None:
-        held = F.coalesce(F.col("effective") > as_of, F.lit(False))
-        later = ops.filter(held).select("doc_id", "seq", "action", "target", F.lit(None).cast("string").alias("landed"), F.lit("not_yet_effective").alias("outcome"))
-        ops = ops.filter(~held)
+    waiting = []
+    for name, held in (("not_yet_effective", as_of is not None and F.coalesce(F.col("effective") > as_of, F.lit(False))), ("not_commenced", "commenced" in ops.columns and ~F.coalesce(F.col("commenced"), F.lit(False)))):
+        if held is not False:
+            waiting.append(ops.filter(held).select("doc_id", "seq", "action", "target", F.lit(None).cast("string").alias("landed"), F.lit(name).alias("outcome")))
+            ops = ops.filter(~held)
     rows = folded(nodes, ops, ordering)
     rows = cut_lineage(rows) if both else rows
     receipts = rows.filter("addr is null").select("doc_id", "seq", "action", "target", "landed", "outcome")
-    return rows.filter("addr is not null").select("doc_id", "addr", "ord", "kind", "text", "status"), receipts if later is None else receipts.unionByName(later)
+    for more in waiting:
+        receipts = receipts.unionByName(more)
+    return rows.filter("addr is not null").select("doc_id", "addr", "ord", "kind", "text", "status"), receipts
 
 
 def mutation_boundary(before: DataFrame, after: DataFrame, declared: DataFrame) -> DataFrame:
