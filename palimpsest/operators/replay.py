@@ -299,6 +299,90 @@ def replay(nodes: DataFrame, ops: DataFrame, as_of: str | None = None, ordering:
     return rows.filter("addr is not null").select("doc_id", "addr", "ord", "kind", "text", "status"), receipts
 
 
+STEPS = "doc_id long, step long, effective string, act string, score double, matched long, live long"
+
+
+def _plain(text: str | None) -> str:
+    """Letters and digits in lower case: what is compared."""
+    return "".join(c for c in (text or "").lower() if c.isalnum())
+
+
+class Agreement:
+    """How much of a tree says what another text says at the same address, kept up as ops change the tree."""
+
+    def __init__(self, tree: Tree, other: dict[str, str]) -> None:
+        self.tree, self.other = tree, other
+        self.matched = self.live = 0
+        self.count(tree.nodes, 1)
+
+    def count(self, addresses: Iterable[str], sign: int) -> None:
+        for addr in addresses:
+            node = self.tree.nodes.get(addr)
+            if node is not None and node["status"] == "live":
+                self.live += sign
+                self.matched += sign * (self.other.get(addr) == _plain(node["text"]))
+
+    def apply(self, op: dict) -> None:
+        touched = {*self.tree.under(op["target"]), *self.tree.under(op["destination"] or op["target"])}
+        self.count(touched, -1)
+        self.tree.apply(op)
+        self.count(touched | {*self.tree.under(op["target"]), *self.tree.under(op["destination"] or op["target"])}, 1)
+
+    @property
+    def score(self) -> float:
+        both = self.live + len(self.other)
+        return 2 * self.matched / both if both else 1.0
+
+
+def checkpoint_scores(nodes: DataFrame, ops: DataFrame, oracle: DataFrame, ordering: Ordering = Ordering()) -> DataFrame:  # noqa: B008
+    """(doc_id, step, effective, act, score, matched, live): the state after each amending act against the oracle text (doc_id, addr, text).
+
+    One fold a document, as in a replay; a step is a run of ops of one day and act. The score is the share of live nodes and oracle texts
+    that agree at their address in letters and digits (2 x agreeing / both); it is kept up from op to op, so a document costs what its ops
+    touch and not its length times its steps."""
+    side = lambda df, name: df.select("doc_id", "addr", *(F.col(c) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in (("ord", "double"), ("kind", "string"), ("text", "string"), ("status", "string"))), F.lit(name).alias("side"))
+    optional = [F.col(c) if c in ops.columns else F.lit(None).cast("string").alias(c) for c in ("effective", "act")]
+    edits = ops.select(*(c for c in ops.columns if c not in ("effective", "act")), *optional)
+
+    def fold(n: pa.Table, o: pa.Table) -> pa.Table:
+        rows, made = n.to_pylist(), o.to_pylist()
+        state = Agreement(Tree(r for r in rows if r["side"] == "node"), {r["addr"]: _plain(r["text"]) for r in rows if r["side"] == "oracle"})
+        out: list[tuple] = []
+        before = None
+        for op in applied_order(made, ordering):
+            moment = (op["effective"] or "", op["act"] or "")
+            state.apply(op)
+            row = (op["doc_id"], len(out), *moment, state.score, state.matched, state.live)
+            if moment == before:
+                out[-1] = (row[0], row[1] - 1, *row[2:])
+            else:
+                out.append(row)
+            before = moment
+        types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+        fields = [c.split() for c in STEPS.split(", ")]
+        return pa.table([pa.array(list(c), types[t]) for c, (_, t) in zip(zip(*out, strict=True) if out else [[]] * len(fields), fields, strict=True)], names=[f for f, _ in fields])
+
+    ship(nodes.sparkSession)
+    both = side(nodes, "node").unionByName(side(oracle, "oracle"))
+    return both.groupBy("doc_id").cogroup(edits.groupBy("doc_id")).applyInArrow(fold, STEPS)
+
+
+def version_drift(scores: DataFrame, perfect: float = 0.9999) -> DataFrame:
+    """(doc_id, steps, final, best, best_step, status, matched_at, behind_by, unapplied) of :func:`checkpoint_scores`.
+
+    current: the last state is perfect. drift: it is not, but an earlier one is, so the oracle is behind by the acts since (the first such state
+    counts). unmatched: none is. too_few_steps: fewer than two acts."""
+    end = F.col("step")
+    agg = scores.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("steps"), F.max_by("score", end).alias("final"), F.max("score").alias("best"), F.max_by("step", F.struct("score", -end)).alias("best_step"), F.max_by("act", F.struct("score", -end)).alias("matched_at"),
+        F.array_sort(F.collect_list(F.struct("step", "act"))).alias("acts"),
+    )
+    status = F.when(F.col("steps") < 2, "too_few_steps").when(F.col("final") >= perfect, "current").when(F.col("best") >= perfect, "drift").otherwise("unmatched")
+    drift = F.col("status") == "drift"
+    later = F.transform(F.filter("acts", lambda x: x["step"] > F.col("best_step")), lambda x: x["act"])
+    return agg.withColumn("status", status).select("doc_id", "steps", "final", "best", "best_step", "status", F.when(drift, F.col("matched_at")).alias("matched_at"), F.when(drift, F.col("steps") - 1 - F.col("best_step")).alias("behind_by"), F.when(drift, later).alias("unapplied"))
+
+
 def mutation_boundary(before: DataFrame, after: DataFrame, declared: DataFrame) -> DataFrame:
     """(doc_id, addr): changed nodes under no declared prefix (column prefix)."""
     a = before.select("doc_id", "addr", F.col("text").alias("a"), F.col("status").alias("sa"))

@@ -7,9 +7,15 @@ A version table has ``addr``, ``effective``, ``enacted``, ``expires`` (ISO strin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import ship
+
 
 def blank(c: Column) -> Column:
     return c.isNull() | (c == "")
@@ -94,6 +100,78 @@ def splice_windows(writes: DataFrame, occupants: DataFrame) -> DataFrame:
     return joined.withColumn("decision", case.otherwise("spliced"))
 
 
+PIECES = "addr string, effective string, expires string, seq long, content string"
+
+
+def _swept(writes: list[tuple[str, str | None, int, str | None]]) -> Iterator[tuple[str, str | None, int, str | None]]:
+    """Disjoint pieces (start, end, seq, content) of windows (start, end, seq, content): at every moment the window of the highest seq that holds
+    it. Ends are exclusive, None is open. A heap of what has begun; what has ended is dropped when it comes to the top."""
+    begun: list[tuple[int, str | None, str | None]] = []
+    starts = sorted(writes, key=lambda w: (w[0], w[2]))
+    points = sorted({p for w in writes for p in w[:2] if p is not None})
+    at = 0
+    for here, there in zip(points, [*points[1:], None], strict=True):
+        while at < len(starts) and starts[at][0] <= here:
+            heapq.heappush(begun, (-starts[at][2], starts[at][1], starts[at][3]))
+            at += 1
+        while begun and begun[0][1] is not None and begun[0][1] <= here:
+            heapq.heappop(begun)
+        if begun:
+            yield here, there, -begun[0][0], begun[0][2]
+
+
+def spliced_timeline(writes: DataFrame, block_years: int = 25) -> tuple[DataFrame, DataFrame]:
+    """(windows, receipts) of writes (addr, seq, effective, expires, content) that came in the order of ``seq``.
+
+    A later write cuts, trims or buries what it covers, and nothing else: windows (addr, effective, expires, content) of an address are disjoint, and
+    together hold every day that some write holds. Neighbours of equal content are joined again; expires '' is open. Days between windows that no
+    write holds are windows with ``gap`` true and null content, so that a timeline is gapless from its first day to its last. Receipts (addr, seq,
+    fate, pieces): whole, trimmed (one shorter piece is left), cut (several), buried, or empty_interval (a write that ends where it begins or
+    before, or has no start; it changes nothing).
+
+    Addresses are cut into blocks of years, each swept on its own in time n log n, and joined again at the seams, so that a
+    long history is not one task's. Seq is unique within an address."""
+    end = F.when(blank(F.col("expires")), F.lit(None)).otherwise(F.col("expires"))
+    bad = blank(F.col("effective")) | (F.coalesce(end, F.lit("9999-99-99")) <= F.col("effective"))
+    rows = writes.select("addr", F.col("seq").cast("long").alias("seq"), "effective", end.alias("expires"), "content", bad.alias("bad"))
+    block = lambda day: F.floor(F.substring(day, 1, 4).cast("int") / block_years).cast("int")
+    good = rows.filter("not bad")
+    last = F.max(F.greatest("effective", F.coalesce("expires", "effective"))).over(Window.partitionBy("addr"))
+    dealt = good.withColumn("until", block(F.coalesce("expires", last))).withColumn("block", F.explode(F.sequence(block(F.col("effective")), "until")))
+    border = lambda b: F.concat(F.lpad((b * block_years).cast("string"), 4, "0"), F.lit("-00-00"))
+    clipped = dealt.select(
+        "addr", "block", "seq", "content", F.greatest("effective", border(F.col("block"))).alias("start"),
+        F.when(F.col("block") < F.col("until"), border(F.col("block") + 1)).otherwise(F.col("expires")).alias("stop"),
+    ).filter("stop is null or stop > start")
+
+    def sweep(t: pa.Table) -> pa.Table:
+        found = list(_swept(list(zip(*(t.column(c).to_pylist() for c in ("start", "stop", "seq", "content")), strict=True))))
+        columns = list(zip(*found, strict=True)) if found else [[]] * 4
+        names = [c.split()[0] for c in PIECES.split(", ")]
+        return pa.table([pa.array([t.column("addr")[0].as_py()] * len(found), pa.string()), *(pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True))], names=names)
+
+    ship(writes.sparkSession)
+    pieces = clipped.groupBy("addr", "block").applyInArrow(sweep, PIECES)
+    order = Window.partitionBy("addr").orderBy("effective")
+
+    def joined(df: DataFrame, same: Column) -> DataFrame:
+        touches = F.lag("expires").over(order).eqNullSafe(F.col("effective")) & same
+        island = F.sum(F.when(F.coalesce(touches, F.lit(False)), 0).otherwise(1)).over(order)
+        return df.withColumn("__island", island)
+
+    at_end = F.max_by("expires", "effective").alias("expires")
+    of_write = joined(pieces, F.lag("seq").over(order) == F.col("seq")).groupBy("addr", "__island").agg(F.min("effective").alias("effective"), at_end, F.first("seq").alias("seq"), F.first("content").alias("content"))
+    windows = joined(of_write, F.lag("content").over(order).eqNullSafe(F.col("content"))).groupBy("addr", "__island").agg(F.min("effective").alias("effective"), at_end, F.first("content").alias("content")).drop("__island")
+    before = windows.withColumn("__before", F.lag("expires").over(order)).filter("__before < effective")
+    gaps = before.select("addr", F.col("__before").alias("effective"), F.col("effective").alias("expires"), F.lit(None).cast("string").alias("content"), F.lit(True).alias("gap"))
+    out = windows.withColumn("gap", F.lit(False)).unionByName(gaps).withColumn("expires", F.coalesce("expires", F.lit("")))
+    left = of_write.groupBy("addr", "seq").agg(F.count(F.lit(1)).alias("pieces"), F.min("effective").alias("__from"), F.max_by("expires", "effective").alias("__to"))
+    known = rows.join(left, ["addr", "seq"], "left")
+    as_was = (F.col("__from") == F.col("effective")) & F.col("__to").eqNullSafe(F.col("expires"))
+    fate = F.when(F.col("bad"), "empty_interval").when(F.col("pieces").isNull(), "buried").when(F.col("pieces") > 1, "cut").when(as_was, "whole").otherwise("trimmed")
+    return out, known.select("addr", "seq", fate.alias("fate"), F.coalesce("pieces", F.lit(0)).alias("pieces"))
+
+
 def governing_bound(bounds: DataFrame, key: str, as_of: str) -> DataFrame:
     """The latest eligible bound per key by (effective, seq): (key, expires_on, ambiguous, expired). ``valid_until`` is an inclusive last day."""
     use = bounds.filter(F.col("effective") <= as_of)
