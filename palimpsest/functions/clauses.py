@@ -107,7 +107,6 @@ class VerbGroup:
     start: int
     targets: list[Target] = field(default_factory=list)
     statute: str | None = None
-    end: int = 0
 
 
 @dataclass
@@ -144,6 +143,7 @@ class Reader:
         self.new = False
         self.statute: str | None = None
         self.pending: list[Target] = []  # what a renumbering or a move has named so far
+        self.consequence_of = ""  # the verb that a renumbering follows from
 
     def drop_waiting(self, reason: str) -> None:
         self.leftovers += [(token, reason) for token, _ in self.waiting]
@@ -204,6 +204,8 @@ class Reader:
         else:
             self.leftovers.append((token, "destinations_do_not_match"))
         self.pending = []
+        if self.groups[-1].action == "RENUMBER":  # a consequence is over: its verb goes on
+            self.groups.append(VerbGroup(self.consequence_of, token.end, [], self.statute))
 
     def facet(self, token: Token) -> None:
         if not self.groups:
@@ -224,6 +226,7 @@ class Reader:
                 self.leftovers.append((token, "nothing_to_renumber"))
                 return
             group.targets = [t for t in group.targets if all(t is not n for n in named)]
+            self.consequence_of = group.action
             self.groups.append(VerbGroup("RENUMBER", token.start, named, self.statute))
             return
         self.scope, self.new, self.pending = {}, False, []

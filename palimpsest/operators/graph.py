@@ -10,15 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the shared folder; where the session names none, a local master gets one of our own."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application; where the session names none, a local master gets one of our own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="palimpsest-graph-"))
+    return str(context._jsc.sc().getCheckpointDir().get())
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

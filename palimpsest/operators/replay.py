@@ -342,7 +342,8 @@ def checkpoint_scores(nodes: DataFrame, ops: DataFrame, oracle: DataFrame, order
     touch and not its length times its steps."""
     side = lambda df, name: df.select("doc_id", "addr", *(F.col(c) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in (("ord", "double"), ("kind", "string"), ("text", "string"), ("status", "string"))), F.lit(name).alias("side"))
     optional = [F.col(c) if c in ops.columns else F.lit(None).cast("string").alias(c) for c in ("effective", "act")]
-    edits = ops.select(*(c for c in ops.columns if c not in ("effective", "act")), *optional)
+    # columns of their own: nodes and ops may come from one table
+    edits = ops.select(*(F.col(c).alias(c) for c in ops.columns if c not in ("effective", "act")), *optional)
 
     def fold(n: pa.Table, o: pa.Table) -> pa.Table:
         rows, made = n.to_pylist(), o.to_pylist()
