@@ -15,8 +15,9 @@ Sets link when 100 * intersection >= 75 * union; no link is lost. The steps:
    share three quarters of their elements share one of those.
 4. Where sets meet they are verified with exact intersections: first each with the smallest that its task holds of the
    key, and these with the smallest of all (which unites copies without listing their pairs, and sends a key once a
-   task), then, in buckets that still hold several components, the nearest of each
-   two, then all that are still across. Parity sketches of 2048 bits, whose Hamming distance is at most the symmetric
+   task), then, where keys still hold several components, the nearest of each two, then all that are still across. Keys of few
+   sets list their pairs; those of many are bundled by the smallest set that has them, so that sets of one template meet once and
+   not once a key. Parity sketches of 2048 bits, whose Hamming distance is at most the symmetric
    difference, tell what is near and sort out most of what does not link.
 
 Components come from alternating stars over the verified links. Nothing of this reaches the driver but counts.
@@ -221,9 +222,9 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return map_batches(own, run, SETS)
 
 
-#: Members of a bucket up to which its pairs are listed at once; of a block of larger buckets.
+#: Sets of a key up to which its pairs are listed at once; sets to a block of larger groups.
 LISTED = 16
-BLOCK = 1024
+BLOCK = 2048
 
 
 def _send_keys(sets: DataFrame, buckets: int, edges: list[int], send: Callable[[np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, with_root: bool) -> DataFrame:
@@ -284,9 +285,28 @@ def _met_smallest(sets: DataFrame, buckets: int, edges: list[int]) -> DataFrame:
     return _send_keys(sets, buckets, edges, send, f"{PACKED}, kind long", False).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
+def _thinned(x: np.ndarray, k: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by (key, set); of a key with more than ``LISTED`` sets those of the smallest numbers, and one each of the smallest and the
+    largest component: enough to show that it is large, whom it starts with, and whether it holds several components."""
+    order = np.lexsort((k, x))
+    x, k, root = x[order], k[order], root[order]
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    size = np.diff(np.append(first, len(x)))
+    if (size <= LISTED).all():
+        return x, k, root
+    keep = np.arange(len(x)) - np.repeat(first, size) <= LISTED
+    by_root = np.lexsort((root, x))
+    keep[by_root[first]] = keep[by_root[first + size - 1]] = True
+    return x[keep], k[keep], root[keep]
+
+
 def _met_across(sets: DataFrame, buckets: int, edges: list[int]) -> DataFrame:
-    """What meets in buckets with several components: (a, b, null, null) for a pair of a small bucket, (a, root, g, side)
-    for a member of a large one, where it is compared within block pair g."""
+    """What meets in keys with several components: (a, b, null) for a pair of a small one, (key, set, key) as (a, b, large) for a large one,
+    with the smallest set that has it. A flush sends no more than some twenty sets of a key."""
+
+    def send(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, k, root = _thinned(x[::2], y[::2].view(np.int64), y[1::2].view(np.int64))
+        yield from _packed(np.repeat(x, 2), np.stack([k, root], axis=1).ravel().view(np.uint64), buckets)
 
     def meet(rows: pa.Table) -> pa.Table:
         x, y = _unpacked(rows)
@@ -305,34 +325,76 @@ def _met_across(sets: DataFrame, buckets: int, edges: list[int]) -> DataFrame:
             listed.append(np.stack([high[apart], low[apart]]))
         high, low = np.concatenate(listed, axis=1) if listed else np.empty((2, 0), np.int64)
         pairs = _unique_pairs(high, low)
-        out = [(pairs.column("a"), pairs.column("b"), None, None)]
-        for s, n in zip(first[several & ~small].tolist(), size[several & ~small].tolist(), strict=True):
-            blocks = -(-n // BLOCK)
-            for i in range(blocks):
-                for j in range(i, blocks):
-                    g = int(mix(np.array([int(x[s]) ^ (i * 0x10001 + j)], np.uint64)).view(np.int64)[0])
-                    for side, block in enumerate({i, j} if i == j else (i, j)):
-                        own = slice(s + block * BLOCK, s + min(n, (block + 1) * BLOCK))
-                        m = own.stop - own.start
-                        out.append((k[own], root[own], np.full(m, g), np.full(m, side)))
-        null = lambda c, m: pa.array(c, pa.int64()) if c is not None else pa.nulls(m, pa.int64())
-        return pa.concat_tables([pa.table({"a": o[0], "b": o[1], "g": null(o[2], len(o[0])), "side": null(o[3], len(o[0]))}) for o in out])
-
-    return _send_keys(sets, buckets, edges, lambda x, y: _packed(x, y, buckets), PACKED, True).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long, g long, side long")
+        large = first[several & ~small]
+        out = pairs.append_column("large", pa.nulls(pairs.num_rows, pa.int64()))
+        return pa.concat_tables([out, pa.table({"a": x[large].view(np.int64), "b": k[large], "large": x[large].view(np.int64)})])
+
+    return _send_keys(sets, buckets, edges, send, PACKED, True).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long, large long")
+
+
+def _keys_of(sets: DataFrame, edges: list[int]) -> DataFrame:
+    """(key, k): the keys of each set."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys = []
+        for row in range(batch.num_rows):
+            s = batch.column(1)[row].values.to_numpy().view(np.uint64)
+            own = int(np.searchsorted(edges, len(s), side="right")) - 1
+            keys.append(np.concatenate([part_keys(s, band, edges[band + 1]) for band in (own, own - 1) if band >= 0]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["k", "keys"])
+
+    return map_batches(sets.select("k", "s"), run, "k long, keys array<long>").select(F.explode("keys").alias("key"), "k")
+
+
+def _members(sets: DataFrame, large: DataFrame, edges: list[int]) -> DataFrame:
+    """(g, first, k): who is to be compared with whom, for the sets of large keys (key, bundle).
+
+    Sets that are nearly alike share most of their keys, so a group is not a key but a bundle: all sets of the keys that start with the same
+    set. Those of one template are one bundle or a few, where each goes once, instead of once a key. Where the keys of a bundle have little in
+    common, so that comparing the bundle would be more than comparing its keys, they stay groups by themselves. A group whose members all are
+    in one earlier group has nothing new and goes; ``first`` is a set's earliest group, and what is in the same first group has met there."""
+    entries = _keys_of(sets, edges).join(_small(large), "key")
+    keys = entries.groupBy("key", "bundle").agg(F.count(F.lit(1)).alias("n"))
+    alone = keys.groupBy("bundle").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("alone"))
+    bundled = entries.select("bundle", "k").distinct()
+    width = bundled.groupBy("bundle").agg(F.count(F.lit(1)).alias("width"))
+    split = alone.join(width, "bundle").filter("double(width) * width > alone").select("bundle")
+    split = written(split, "split-bundles")
+    whole = bundled.join(_small(split), "bundle", "left_anti").select(F.xxhash64("bundle").alias("g"), "k")
+    apart = entries.join(_small(split), "bundle", "left_semi").select(F.xxhash64(F.lit("key"), "key").alias("g"), "k").distinct()
+    groups = written(whole.unionByName(apart), "groups")
+    discard(split)
+    firsts = groups.groupBy("k").agg(F.min("g").alias("first"))
+    marked = written(groups.join(firsts, "k"), "groups")
+    discard(groups)
+    same = marked.groupBy("g").agg(F.min("first").alias("low"), F.max("first").alias("high"))
+    new = same.filter("low <> high or low = g").select("g")
+    kept = written(marked.join(new, "g", "left_semi"), "groups")
+    discard(marked)
+    return kept
+
+
+def _in_blocks(groups: DataFrame) -> DataFrame:
+    """(g, side, k, first): members by pair of blocks; a block holds about ``BLOCK`` sets, and pairs of blocks are groups of their own."""
+    sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = groups.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("k"), "blocks").cast("int"))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return pairs.select(F.xxhash64("g", low, high).alias("pair"), F.when(F.col("block") == low, 0).otherwise(1).cast("long").alias("side"), F.col("g").alias("whole"), "k", "first")
 
 
 def _near_in_blocks(members: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of different components within block pairs (g, side, k, root, n, w) whose sketches are near enough; if
-    ``nearest``, only the nearest of each two components."""
+    """Pairs (a, b) of different components within block pairs (pair, side, whole, first, k, root, n, w) whose sketches are near enough and that
+    have not met in an earlier group; if ``nearest``, only the nearest of each two components."""
 
     def compare(rows: pa.Table) -> pa.Table:
-        side, k, root, n = (rows.column(c).to_numpy() for c in ("side", "k", "root", "n"))
+        side, k, root, n, whole, first = (rows.column(c).to_numpy() for c in ("side", "k", "root", "n", "whole", "first"))
         w = np.concatenate([c.flatten().to_numpy() for c in rows.column("w").chunks]).view(np.uint64).reshape(-1, SKETCH_WORDS)
         one = np.flatnonzero(side == 0)
         two = np.flatnonzero(side == 1) if (side == 1).any() else one
         found = [np.empty((3, 0), np.int64)]
         for i in one.tolist():
-            apart = (root[two] != root[i]) & (4 * np.minimum(n[two], n[i]) >= 3 * np.maximum(n[two], n[i]))
+            apart = (root[two] != root[i]) & (4 * np.minimum(n[two], n[i]) >= 3 * np.maximum(n[two], n[i])) & ((first[two] != first[i]) | (first[i] == whole[i]))
             js = two[apart]
             distance = np.bitwise_count(w[js] ^ w[i]).sum(axis=1, dtype=np.int64)
             near = 7 * distance <= n[js] + n[i]
@@ -346,7 +408,7 @@ def _near_in_blocks(members: DataFrame, nearest: bool) -> DataFrame:
             i, j = i[order][first], j[order][first]
         return _unique_pairs(np.maximum(k[i], k[j]), np.minimum(k[i], k[j]))
 
-    return members.select("g", "side", "k", "root", "n", "w").groupBy("g").applyInArrow(compare, "a long, b long")
+    return members.select("pair", "side", "whole", "first", "k", "root", "n", "w").groupBy("pair").applyInArrow(compare, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -403,17 +465,18 @@ def _resolved(docs: DataFrame) -> DataFrame:
     roots = components(links)
     rooted = sets.join(_small(roots), F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k"))
     across = written(_met_across(rooted, buckets, edges), "across")
-    large = across.filter("g is not null").select("g", "side", F.col("a").alias("k"), F.col("b").alias("root"))
-    members = written(large.join(sets.select("k", "n", "w"), "k"), "members")
-    listed = across.filter("g is null").select("a", "b").unionByName(_near_in_blocks(members, nearest=True)).distinct()
+    large = across.filter("large is not null").select(F.col("large").alias("key"), F.col("b").alias("bundle"))
+    groups = _members(sets, large, edges) if large.limit(1).count() else written(large.select(F.col("key").alias("g"), F.col("key").alias("first"), F.col("bundle").alias("k")), "groups")
+    sketched = sets.select("k", "n", "w")
+    members = lambda of: _in_blocks(groups).join(sketched, "k").join(_small(of), F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k")).drop("node")
+    listed = across.filter("large is null").select("a", "b").unionByName(_near_in_blocks(members(roots), nearest=True)).distinct()
     more = written(listed.join(pairs, ["a", "b"], "left_anti"), "pairs")
     linked, roots = _joined_links(links, written(_verified(more, sets), "links"), roots)
-    # components have grown; what is still across in large buckets is compared in full
-    again = written(members.drop("root").join(_small(roots), F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k")).drop("node"), "members")
-    discard(members)
-    mixed = again.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("g")
+    # components have grown; what is still across in large groups is compared in full
+    again = members(roots)
+    mixed = again.groupBy("pair").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("pair")
     tested = pairs.unionByName(more)
-    last = written(_near_in_blocks(again.join(mixed, "g", "left_semi"), nearest=False).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    last = written(_near_in_blocks(again.join(mixed, "pair", "left_semi"), nearest=False).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     linked, roots = _joined_links(linked, written(_verified(last, sets), "links"), roots)
     firsts = classes.select(F.col("k").alias("node"), "c", "first")
     lowest = roots.join(firsts, "node")
@@ -422,7 +485,7 @@ def _resolved(docs: DataFrame) -> DataFrame:
     copied = classes.filter("copies > 1").join(of_node, (F.col("k") == F.col("m_k")) & (F.col("c") == F.col("m_c")), "left_anti").select(F.col("k").alias("m_k"), F.col("c").alias("m_c"), "first")
     mapped = of_node.unionByName(copied).select("m_k", "m_c", F.col("first.doc_id").alias("m"), F.col("first.key").alias("keeper"))
     mapped = written(mapped, "mapped")
-    for df in (classes, chosen, sets, pairs, linked, roots, across, again, more, last):
+    for df in (classes, chosen, sets, pairs, linked, roots, across, groups, more, last):
         discard(df)
     out = sizes.join(_small(mapped), (F.col("k") == F.col("m_k")) & (F.col("c") == F.col("m_c")) & (F.col("n") > 0), "left")
     return out.select("doc_id", "key", "n", "m", "keeper")
