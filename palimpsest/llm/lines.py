@@ -23,6 +23,8 @@ from palimpsest.llm.common import DOCUMENT, discard, own_columns, written
 
 #: Rows up to which a table of (hash, id) is broadcast: 16 bytes a row.
 BROADCAST_ROWS = 1_000_000
+#: Parts of a line that is dealt because the table of found lines is too large to be sent along.
+SALTS = 16
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -68,6 +70,16 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _met(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Lines with the boilerplate that they are. A found line may be in a large part of all documents, so where the table of them is too
+    large to send along, its rows are dealt ``SALTS`` times and each line meets one of them."""
+    if found.count() <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(found), "h")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return salted.join(found.withColumn("salt", salts), ["h", "salt"]).drop("salt")
+
+
 def _boilerplate(lines: DataFrame, rule: SpreadRule) -> DataFrame:
     """(h, keeper) of the boilerplate among (h, site, doc_id), written; ``keeper`` is the id of the document that keeps the
     line."""
@@ -98,7 +110,7 @@ def without_boilerplate(docs: DataFrame, rule: SpreadRule = SpreadRule()) -> Dat
     own = _keyed(docs, *DOCUMENT)
     all_lines = _lines(own, rule)
     found = _boilerplate(all_lines, rule)
-    goes = all_lines.join(_small(found), "h").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("key", "h").distinct()
+    goes = _met(all_lines, found).filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("key", "h").distinct()
     goes = written(goes, "lines-that-go")
     gone = goes.groupBy(F.col("key").alias("g_key")).agg(F.collect_set("h").alias("gone"))
     discard(all_lines)
