@@ -40,6 +40,15 @@ BLOCK = 256
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode category L), in lower case. What the quick pattern takes for letters besides, such as fractions and Roman
+    number signs, divides words like any other sign."""
+    words = _WORD.findall(text.lower())
+    if not words or "".join(words).isalpha():
+        return words
+    return [run for w in words for run in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
@@ -52,7 +61,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def ngrams(text: str) -> np.ndarray:
     """64-bit hashes of the n-grams of a text's words."""
-    words = _WORD.findall(text.lower())
+    words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
     points = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
