@@ -43,6 +43,8 @@ MAX_BIT_ERRORS = 0.15
 MIN_OVERLAP = 16
 #: Queries to a round, and pairs of classes to a task.
 ROUND = 50_000
+#: Codes of the queries of a round, about: what the driver and every task hold of them at a time.
+ROUND_CODES = 4_000_000
 TASK_PAIRS = 2_000_000
 BROADCAST_ROWS = 1_000_000
 
@@ -257,7 +259,7 @@ def aligned(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = written(prints.filter("name is not null").groupBy("name").agg(F.min("id").alias("class_id"), F.first("codes").alias("codes"), query.alias("is_query")), "audio-classes")
     asked = classes.filter("is_query").select("class_id", "codes")
     n_classes, n_asked = classes.count(), asked.count()
-    rounds = max(1, -(-n_asked // ROUND))
+    rounds = max(1, -(-n_asked // ROUND), -(-(asked.agg(F.sum(F.size("codes"))).first()[0] or 0) // ROUND_CODES))
     dealt = classes.repartition(1 + n_classes * min(n_asked, ROUND) // TASK_PAIRS, "name")
     matches = None
     for k in range(rounds):
