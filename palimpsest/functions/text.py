@@ -113,14 +113,29 @@ def sequence_ratio(a: str | Column, b: str | Column) -> Column:
     return _pairwise(matching_ratio, a, b)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _common_start(a: Column, b: Column) -> Column:
+    """How many characters two strings begin with in common, in one pass."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    differs = F.array_position(same, False)
+    shorter = F.least(F.char_length(a), F.char_length(b))
+    return F.when(shorter == 0, 0).when(differs == 0, shorter).otherwise(differs - 1).cast("int")
+
+
 def changed_span(a: Column, b: Column) -> Column:
-    """(start, end_a, end_b) of the smallest change: common prefix and then common suffix cut off. Equal strings: empty."""
+    """(start, end_a, end_b) of the smallest change: common prefix and then common suffix cut off. Equal strings: empty. Linear in the text."""
     least = F.least(F.char_length(a), F.char_length(b))
-    step = F.sequence(F.lit(1), least)
-    prefix = F.when(least == 0, 0).otherwise(F.size(F.filter(step, lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))))
-    tail = lambda c, n: F.right(c, n)
-    suffix = F.when(least == 0, 0).otherwise(F.size(F.filter(step, lambda n: (n <= least - prefix) & (tail(a, n) == tail(b, n)))))
-    return F.struct(prefix.alias("start"), (F.char_length(a) - suffix).alias("end_a"), (F.char_length(b) - suffix).alias("end_b"))
+    both = F.struct(_common_start(a, b).alias("prefix"), _common_start(F.reverse(a), F.reverse(b)).alias("suffix"))
+
+    def span(s: Column) -> Column:
+        suffix = F.least(s["suffix"], least - s["prefix"])
+        return F.struct(s["prefix"].alias("start"), (F.char_length(a) - suffix).alias("end_a"), (F.char_length(b) - suffix).alias("end_b"))
+
+    return F.when(a.isNotNull() & b.isNotNull(), _let(both, span))
 
 
 def tokens(c: Column) -> Column:
@@ -129,10 +144,15 @@ def tokens(c: Column) -> Column:
 
 
 def token_tape(c: Column, pattern: str = r"\s+|[0-9]+|[^\s0-9]+") -> Column:
-    """A lossless array of (text, start, end): the texts joined are the input."""
+    """A lossless array of (text, start, end): the texts joined are the input. Linear in the text: a flag for each character says where a part ends."""
     parts = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
-    ends = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.char_length(x)))
-    return F.zip_with(parts, ends, lambda p, e: F.struct(p.alias("text"), (e - F.char_length(p)).alias("start"), e.alias("end")))
+    last = lambda p: F.concat(F.array_repeat(F.lit(False), F.char_length(p) - 1), F.array(F.lit(True)))
+
+    def placed(s: Column) -> Column:
+        ends = F.when(F.size(s["flags"]) > 0, F.filter(F.sequence(F.lit(1), F.size(s["flags"])), lambda n: F.get(s["flags"], n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.zip_with(s["parts"], ends, lambda p, e: F.struct(p.alias("text"), (e - F.char_length(p)).alias("start"), e.alias("end")))
+
+    return F.when(c.isNotNull(), _let(F.struct(parts.alias("parts"), F.flatten(F.transform(parts, last)).alias("flags")), placed))
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -36,7 +36,7 @@ def clause_column(clause: Clause) -> Column:
     if op == "signed_by":
         return some(hit & (F.col("signer") == clause["key"]))
     if op == "not_retracted":
-        return ~some(F.col("kind") == "retracted")
+        return ~some(hit & (F.col("kind") == "retracted"))
     if op == "independent":
         dims = clause.get("dimensions") or []
         return F.count_distinct(F.when(hit, F.struct(*dims))) >= clause.get("n", 2) if dims else F.lit(True)
