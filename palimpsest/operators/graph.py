@@ -51,7 +51,7 @@ def reachable(edges: DataFrame, starts: DataFrame, kinds: Sequence[str] | None =
     while not frontier.isEmpty():
         reached = frontier.join(used.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
         frontier = cut_lineage(reached.join(seen, "node", "left_anti"))
-        seen = cut_lineage(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # each hop is a table of its own: what was seen before is not written again
     return seen
 
 

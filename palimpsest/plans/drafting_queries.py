@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import clauses as G
+from palimpsest.operators import closure as C
 from palimpsest.operators import references as X
 from palimpsest.plans.catalog import query
 from palimpsest.session import load_table as t
@@ -53,6 +54,36 @@ def clause_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.clause_leftovers(G.parse_clauses(order_clauses(spark, sf_dir), "id", "text"), "id").select("id", "leftover", "reason", "at")
 
 
+def act_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(texts, acts): orders as acts with a clause that amends another and a block of preparatory works; two thirds of the acts amended are known."""
+    from palimpsest.plans.policy_queries import works
+
+    texts = order_clauses(spark, sf_dir).withColumnRenamed("text", "clause").join(works(spark, sf_dir).withColumnRenamed("text", "works"), "id")
+    n = F.col("o_orderkey") % 900 + 1
+    acts = t(spark, sf_dir, "orders").filter(n % 3 != 0).select(F.concat(n.cast("string"), F.lit("/1999")).alias("act")).distinct()
+    return texts, acts
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS id, o_orderkey % 900 + 1 AS k, o_orderstatus AS s, o_orderkey % 300 + 1 AS n, 2000 + o_custkey % 20 AS y, o_orderkey % 12 + 1 AS m, bool_and(l_returnflag = 'A') AS gone FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT id, CASE WHEN gone THEN 'repeals' ELSE 'amends' END AS relation, k || '/1999' AS target, k % 3 <> 0 AS resolved FROM o WHERE s = 'F'
+UNION ALL SELECT id, 'prepared_by', 'HE ' || n || '/' || y, NULL FROM o UNION ALL SELECT id, 'prepared_by', CASE s WHEN 'F' THEN 'HaVM ' WHEN 'O' THEN 'PeVL ' ELSE 'EV ' END || m || '/' || y, NULL FROM o
+UNION ALL SELECT id, CASE WHEN id % 2 = 0 THEN 'implements' ELSE 'cites' END, CASE WHEN id % 2 = 0 THEN '3' || y || 'L' || lpad(n::VARCHAR, 4, '0') ELSE 'EU ' || y || '/' || n END, NULL FROM o UNION ALL SELECT id, 'cites', 'EUVL L ' || n, NULL FROM o""")
+def text_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of acts as their own texts tell it."""
+    texts, acts = act_texts(spark, sf_dir)
+    return C.text_edges(texts, "id", "clause", "works", acts)[0].select("id", "relation", "target", "resolved")
+
+
+@query("""
+WITH o AS (SELECT DISTINCT o_orderkey AS id, o_orderkey % 12 + 1 AS m, o_orderpriority AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT id, 'preparatory' AS stage, 'muistio ' || m AS detail FROM o UNION ALL SELECT id, 'clause', 'unknown_word: kiireellisesti' FROM o WHERE p = '1-URGENT'""")
+def text_graph_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the texts became no edge."""
+    texts, acts = act_texts(spark, sf_dir)
+    return C.text_edges(texts, "id", "clause", "works", acts)[1]
+
+
 # ---------------------------------------------------------------- elliptical references
 
 

@@ -38,7 +38,7 @@ _sql(
     "sql_pivot", "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_orderkey FROM lineitem) PIVOT (count(l_orderkey) FOR l_linestatus IN ('O' AS open, 'F' AS finished))",
     "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'O') AS open, count(*) FILTER (WHERE l_linestatus = 'F') AS finished FROM lineitem GROUP BY 1",
 )
-_sql("sql_recursive", "WITH RECURSIVE r(n, v) AS (SELECT 1, 1 UNION ALL SELECT n + 1, v * 2 FROM r WHERE n < 12) SELECT n, v FROM r")
+_sql("sql_recursive", "WITH RECURSIVE r(n, k) AS (SELECT 0, o_orderkey FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT n + 1, o_orderkey FROM r JOIN orders ON o_orderkey = 2 * k + 1 WHERE n < 12) SELECT n, k, count(*) AS paths FROM r GROUP BY n, k")
 _sql("sql_lateral_json", "SELECT event_type, count(*) AS n, max(CAST(get_json_object(props, '$.k') AS INT)) AS top FROM events GROUP BY event_type", "SELECT event_type, count(*) AS n, max(json_extract_string(props, '$.k')::INT) AS top FROM events GROUP BY event_type")
 
 

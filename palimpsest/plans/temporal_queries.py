@@ -56,9 +56,9 @@ def pit_eligibility_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT l_orderkey || '' AS addr, max(strftime(l_shipdate, '%Y-%m-%d')) AS effective, 'permanent' AS rail, 'x' AS content FROM lineitem GROUP BY 1
-  UNION ALL SELECT l_orderkey || '/' || l_linenumber, max(strftime(l_shipdate, '%Y-%m-%d')), CASE WHEN max(l_returnflag) = 'R' THEN 'temporary' ELSE 'permanent' END, CASE WHEN max(l_quantity) > 2 THEN 'x' END FROM lineitem GROUP BY l_orderkey, l_linenumber)
-SELECT c.addr FROM s c LEFT JOIN s p ON split_part(c.addr, '/', 1) = p.addr AND c.addr <> p.addr WHERE c.content IS NOT NULL AND NOT coalesce(p.effective > c.effective OR (p.rail = 'temporary' AND c.rail = 'permanent'), false)""")
+WITH top AS (SELECT l_orderkey AS k, max(strftime(l_shipdate, '%Y-%m-%d')) AS effective FROM lineitem GROUP BY 1),
+low AS (SELECT l_orderkey AS k, l_linenumber AS n, max(strftime(l_shipdate, '%Y-%m-%d')) AS effective, max(l_quantity) > 2 AS content FROM lineitem GROUP BY 1, 2)
+SELECT k::VARCHAR AS addr FROM top UNION ALL SELECT low.k || '/' || n FROM low JOIN top ON top.k = low.k WHERE content AND top.effective <= low.effective""")
 def pit_materialise_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected versions that no ancestor hides."""
     line = load_table(spark, sf_dir, "lineitem").withColumn("d", F.date_format("l_shipdate", "yyyy-MM-dd"))
