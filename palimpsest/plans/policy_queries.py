@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import frames as X
 from palimpsest.functions import preparatory as P
 from palimpsest.operators import evidence as E
 from palimpsest.operators import selectors as S
@@ -137,3 +138,35 @@ def evidence_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "independent": {"op": "independent", "where": {"kind": "click"}, "dimensions": ["signer", "place"], "n": 2}, "materials": {"op": "materials_match_dependencies"}, "reached": {"op": "reachable"},
     }
     return E.authorize(att, clauses, {"reached": reached}).drop("authorized")
+
+
+# ---------------------------------------------------------------- frames
+
+
+FRAMES_SQL = "o AS (SELECT o_orderkey AS id, o_orderkey % 3 AS a, o_custkey % 3 AS b, o_orderkey % 28 + 1 AS d, strftime(o_orderdate, '%Y') AS y, o_orderpriority = '1-URGENT' AS u FROM orders)"
+
+
+def provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): each order as a provision of four sentences, one for each kind of frame."""
+    a, b = F.col("o_orderkey") % 3, F.col("o_custkey") % 3
+    day = F.concat((F.col("o_orderkey") % 28 + 1).cast("string"), F.lit(" päivänä maaliskuuta "), F.date_format("o_orderdate", "yyyy"))
+    grant = F.when(a == 0, "Valtioneuvoston asetuksella voidaan säätää maksuista.").when(a == 1, "Virasto antaa määräyksiä lomakkeista.").otherwise("Ohjeita annetaan tarvittaessa.")
+    breach = F.when(b == 0, "Joka rikkoo lakia, tuomitaan sakkoon.").when(b == 1, "Sille määrätään seuraamusmaksu enintään 500 euroa.").otherwise("Hallitus peruuttaa kokouksen.")
+    but = F.when(F.col("o_orderpriority") == "1-URGENT", "Maksu on kiinteä, jollei toisin sovita.").otherwise("Maksu on kiinteä.")
+    return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", grant, breach, but, F.concat(F.lit("Tämä laki tulee voimaan "), day, F.lit("."))).alias("text"))
+
+
+@query(f"""
+WITH {FRAMES_SQL}
+SELECT id, 0 AS sentence, 'delegation' AS frame, CASE a WHEN 0 THEN 'asetus' ELSE 'määräys' END AS kind, CASE a WHEN 0 THEN 'valtioneuvosto' ELSE 'virasto' END AS value, CASE a WHEN 0 THEN 'may' ELSE 'must' END AS detail FROM o WHERE a < 2
+UNION ALL SELECT id, 1, 'sanction', CASE b WHEN 0 THEN 'rangaistus' ELSE 'seuraamusmaksu' END, CASE b WHEN 1 THEN '500 euroa' END, CASE b WHEN 0 THEN 'joka' END FROM o WHERE b < 2
+UNION ALL SELECT id, 2, 'exception', 'jollei', NULL, 'toisin sovita' FROM o WHERE u UNION ALL SELECT id, 3, 'temporal', 'fixed_date', y || '-03-' || lpad(d::VARCHAR, 2, '0'), NULL FROM o""")
+def statutory_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delegations, sanctions, exceptions and times that provisions state."""
+    return X.frames(provisions(spark, sf_dir), "id", "text")[0]
+
+
+@query(f"WITH {FRAMES_SQL} SELECT id, 'delegation' AS frame, 'no_issuer' AS reason FROM o WHERE a = 2 UNION ALL SELECT id, 'sanction', 'revocation_without_permit' FROM o WHERE b = 2")
+def statutory_frames_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with the trigger of a frame and not what it needs."""
+    return X.frames(provisions(spark, sf_dir), "id", "text")[1].select("id", "frame", "reason")
