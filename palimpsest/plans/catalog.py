@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from palimpsest.plans import analysis_queries, divergence_queries, drafting_queries, planning_queries, policy_queries, process_queries, projection_queries, relational_queries, surface_queries, temporal_queries, text_queries  # noqa: F401
+    from palimpsest.plans import analysis_queries, divergence_queries, drafting_queries, planning_queries, policy_queries, process_queries, projection_queries, relational_queries, routing_queries, surface_queries, temporal_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
