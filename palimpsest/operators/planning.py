@@ -35,6 +35,48 @@ def provision_states(asked: DataFrame, versions: DataFrame, jurisdictions: Seque
     return found.select("id", case.alias("status"), F.when(case == "found", F.col("effective")).alias("effective"), F.when(case == "found", F.col("content")).alias("content"))
 
 
+def provision_answers(asked: DataFrame, versions: DataFrame, jurisdictions: Sequence[str]) -> DataFrame:
+    """Questions (id, jurisdiction, provision, as_of, query_type, territory) over versions (addr, variant, effective, enacted, expires, territory, pos, content),
+    with status, rail, effective, content and candidates.
+
+    The three types differ: governing takes versions in effect at the day; in_force asks besides that they were enacted by then; enacted takes what had been
+    enacted by then, in effect or not (the latest act counts, and there is no rail). For the first two the latest of each rail stands, and a temporary one hides the permanent
+    one unless that began later and not before the last day of the temporary's term.
+
+    A version without territory holds everywhere. A question with a territory sees those and its own; one without is ambiguous, with the territories as candidates,
+    where a version of some territory is as late as the latest that holds everywhere. Status: the errors of a question first (unsupported_jurisdiction, invalid_query, invalid_selector),
+    then ambiguous, absent, tombstone (the version has no content) or found. Versions of an address meet its questions by equality and are aggregated at once."""
+    error = (
+        F.when(~F.col("jurisdiction").isin(*jurisdictions), "unsupported_jurisdiction").when(~F.coalesce(F.col("as_of").rlike(ISO_DAY), F.lit(False)) | ~F.coalesce(F.col("query_type").isin(*QUERY_TYPES), F.lit(False)), "invalid_query")
+        .when(~F.coalesce(F.col("provision").rlike(r"^[a-z]+:[0-9A-Za-z]+(/[a-z]+:[0-9A-Za-z]+)*$"), F.lit(False)), "invalid_selector")
+    )
+    judged = asked.withColumn("error", error)
+    held = versions.select("addr", "variant", "effective", "enacted", "expires", F.col("territory").alias("place"), "pos", "content")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    day, kind = F.col("as_of"), F.col("query_type")
+    current = (F.col("effective") <= day) & (blank("expires") | (F.col("expires") > day))
+    counts = F.when(kind == "governing", current).when(kind == "in_force", current & (blank("enacted") | (F.col("enacted") <= day))).otherwise(~blank("enacted") & (F.col("enacted") <= day))
+    near = F.col("territory").isNull() | F.col("place").isNull() | (F.col("place") == F.col("territory"))
+    met = judged.filter("error is null").select("id", "provision", "as_of", "query_type", "territory").join(held, F.col("provision") == F.col("addr")).filter(counts & near)
+    key = F.when(kind == "enacted", F.struct(F.col("enacted").alias("a"), F.col("effective").alias("b"), F.col("pos").alias("c"))).otherwise(F.struct(F.col("effective").alias("a"), F.col("enacted").alias("b"), F.col("pos").alias("c")))
+    moment = F.when(kind == "enacted", F.col("enacted")).otherwise(F.col("effective"))
+    everywhere = F.col("place").isNull() | F.col("territory").isNotNull()
+    temporary = (F.col("variant") == "temporary") & (kind != "enacted")
+    row = F.struct("effective", "expires", "content")
+    best = lambda on: F.max_by(row, F.when(on & everywhere, key))
+    g = met.groupBy("id").agg(
+        best(temporary).alias("o"), best(~temporary).alias("b"), F.max(F.when(everywhere, moment)).alias("general"), F.max(F.when(~everywhere, moment)).alias("local"), F.array_sort(F.collect_set("place")).alias("places"), F.first("query_type").alias("__kind"),
+    )
+    ended = F.date_format(F.date_sub(F.try_to_date("o.expires", "yyyy-MM-dd"), 1), "yyyy-MM-dd")
+    handed_off = (F.col("b.effective") > F.col("o.effective")) & (F.coalesce(F.col("o.expires"), F.lit("")) != "") & (F.col("b.effective") >= ended)
+    overlay = F.col("o").isNotNull() & ~F.coalesce(handed_off, F.lit(False))
+    chosen = g.select("id", F.when(overlay, F.col("o")).otherwise(F.col("b")).alias("c"), F.when(overlay, "temporary").when(F.col("b").isNotNull() & (F.col("__kind") != "enacted"), "permanent").alias("rail"), F.coalesce(F.col("local") >= F.coalesce("general", F.lit("")), F.lit(False)).alias("unclear"), "places")
+    found = judged.join(chosen, "id", "left")
+    status = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("unclear"), "ambiguous").when(F.col("c").isNull(), "absent").when(F.col("c.content").isNull(), "tombstone").otherwise("found")
+    answered = status.isin("found", "tombstone")
+    return found.select("id", status.alias("status"), F.when(answered, F.col("rail")).alias("rail"), F.when(answered, F.col("c.effective")).alias("effective"), F.when(answered, F.col("c.content")).alias("content"), F.when(status == "ambiguous", F.col("places")).alias("candidates"))
+
+
 def scope_status(matches: Column, scoped: Column) -> Column:
     """'applies', 'elsewhere', or 'ambiguous' where the territory is not known: that is not absence."""
     return F.when(scoped.isNull(), "ambiguous").when(matches, "applies").otherwise("elsewhere")

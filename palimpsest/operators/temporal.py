@@ -181,6 +181,15 @@ def governing_bound(bounds: DataFrame, key: str, as_of: str) -> DataFrame:
     return top.join(ends, [key, "e"]).select(key, "expires_on", (F.col("ends") > 1).alias("ambiguous"), F.coalesce(F.lit(as_of) >= F.col("expires_on"), F.lit(False)).alias("expired"))
 
 
+def extension_gaps(bounds: DataFrame, key: str) -> DataFrame:
+    """(key, effective, ended): bounds (key, effective, seq, valid_until) that came only after the term before them had run out. ``valid_until`` is an inclusive last
+    day, so the term ends the day after; a bound without one leaves the term open."""
+    order = Window.partitionBy(key).orderBy("effective", "seq")
+    ends = F.date_format(F.date_add(F.try_to_date("valid_until", "yyyy-MM-dd"), 1), "yyyy-MM-dd")
+    before = bounds.withColumn("ended", F.lag(ends).over(order))
+    return before.filter(F.col("effective") > F.col("ended")).select(key, "effective", "ended")
+
+
 def year_of(act: Column) -> Column:
     """The year of an act id such as 2014/527; null if it has none."""
     return F.split_part(act, F.lit("/"), F.lit(1)).try_cast("int")

@@ -34,6 +34,38 @@ def provision_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.provision_states(asked, versions, ["fi"])
 
 
+ANSWERS_SQL = """
+v AS (SELECT 'part:' || l_partkey AS addr, CASE WHEN l_linenumber > 5 THEN 'temporary' ELSE 'permanent' END AS variant, strftime(l_shipdate, '%Y-%m-%d') AS effective, CASE WHEN l_linenumber <> 2 THEN strftime(l_shipdate::DATE + (l_suppkey % 200 - 150)::INT, '%Y-%m-%d') END AS enacted,
+  CASE WHEN l_linenumber > 5 OR l_returnflag = 'A' THEN strftime(l_shipdate::DATE + 500, '%Y-%m-%d') END AS expires, CASE WHEN l_suppkey % 6 = 0 THEN l_linestatus END AS place, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_quantity > 8 THEN l_orderkey::VARCHAR END AS content FROM lineitem),
+q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN 'xx' ELSE 'fi' END AS jurisdiction, CASE WHEN o_orderkey % 17 = 0 THEN 'part' ELSE 'part:' || (o_orderkey % 2100) END AS provision, CASE WHEN o_orderkey % 19 = 0 THEN '1999' ELSE strftime(o_orderdate::DATE + 365, '%Y-%m-%d') END AS as_of,
+  CASE o_custkey % 4 WHEN 0 THEN 'governing' WHEN 1 THEN 'in_force' WHEN 2 THEN 'enacted' ELSE CASE WHEN o_custkey % 8 = 3 THEN 'other' ELSE 'governing' END END AS kind, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS territory FROM orders),
+j AS (SELECT *, CASE WHEN jurisdiction <> 'fi' THEN 'unsupported_jurisdiction' WHEN length(as_of) <> 10 OR kind = 'other' THEN 'invalid_query' WHEN provision = 'part' THEN 'invalid_selector' END AS error FROM q),
+m AS (SELECT j.id, j.kind, v.*, CASE WHEN kind = 'enacted' THEN v.enacted ELSE v.effective END AS moment, place IS NULL OR territory IS NOT NULL AS general, variant = 'temporary' AND kind <> 'enacted' AS temp FROM j JOIN v ON addr = provision
+  WHERE error IS NULL AND CASE WHEN kind = 'enacted' THEN coalesce(enacted <= as_of, false) ELSE effective <= as_of AND (expires IS NULL OR expires > as_of) AND (kind = 'governing' OR enacted IS NULL OR enacted <= as_of) END AND (territory IS NULL OR place IS NULL OR place = territory)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, temp ORDER BY CASE WHEN kind = 'enacted' THEN enacted ELSE effective END DESC, CASE WHEN kind = 'enacted' THEN effective ELSE coalesce(enacted, '') END DESC, pos DESC) AS rn FROM m WHERE general),
+o AS (SELECT * FROM r WHERE temp AND rn = 1), b AS (SELECT * FROM r WHERE NOT temp AND rn = 1),
+a AS (SELECT id, max(moment) FILTER (WHERE general) AS g, max(moment) FILTER (WHERE NOT general) AS l, list_sort(list(DISTINCT place) FILTER (WHERE place IS NOT NULL)) AS places FROM m GROUP BY id),
+x AS (SELECT j.id, j.error, j.kind, o.id IS NOT NULL AND NOT coalesce(b.effective > o.effective AND b.effective >= strftime(o.expires::DATE - 1, '%Y-%m-%d'), false) AS overlay, o.effective AS oe, o.content AS oc, b.id IS NOT NULL AS has_b, b.effective AS be, b.content AS bc, coalesce(a.l >= coalesce(a.g, ''), false) AS unclear, a.places FROM j LEFT JOIN o ON o.id = j.id LEFT JOIN b ON b.id = j.id LEFT JOIN a ON a.id = j.id),
+y AS (SELECT *, CASE WHEN error IS NOT NULL THEN error WHEN unclear THEN 'ambiguous' WHEN NOT overlay AND NOT has_b THEN 'absent' WHEN CASE WHEN overlay THEN oc ELSE bc END IS NULL THEN 'tombstone' ELSE 'found' END AS status FROM x)"""
+
+
+@query(f"""
+WITH {ANSWERS_SQL}
+SELECT id, status, CASE WHEN status IN ('found', 'tombstone') THEN CASE WHEN overlay THEN 'temporary' WHEN kind <> 'enacted' THEN 'permanent' END END AS rail, CASE WHEN status IN ('found', 'tombstone') THEN CASE WHEN overlay THEN oe ELSE be END END AS effective,
+  CASE WHEN status = 'found' THEN CASE WHEN overlay THEN oc ELSE bc END END AS content, CASE WHEN status = 'ambiguous' THEN places END AS candidates FROM y""")
+def provision_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of three types about provisions at a day and in a territory, over two rails."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 8
+    asked = t(spark, sf_dir, "orders").select(
+        k.alias("id"), F.when(k % 13 == 0, "xx").otherwise("fi").alias("jurisdiction"), F.when(k % 17 == 0, "part").otherwise(F.concat(F.lit("part:"), (k % 2100).cast("string"))).alias("provision"), F.when(k % 19 == 0, "1999").otherwise(F.date_format(F.date_add(F.to_date("o_orderdate"), 365), "yyyy-MM-dd")).alias("as_of"),
+        F.when(c.isin(1, 5), "in_force").when(c.isin(2, 6), "enacted").when(c == 3, "other").otherwise("governing").alias("query_type"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("territory"))
+    n, shipped = F.col("l_linenumber"), F.to_date("l_shipdate")
+    versions = t(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("addr"), F.when(n > 5, "temporary").otherwise("permanent").alias("variant"), iso("l_shipdate").alias("effective"), F.when(n != 2, F.date_format(F.date_add(shipped, (F.col("l_suppkey") % 200 - 150).cast("int")), "yyyy-MM-dd")).alias("enacted"),
+        F.when((n > 5) | (F.col("l_returnflag") == "A"), F.date_format(F.date_add(shipped, 500), "yyyy-MM-dd")).alias("expires"), F.when(F.col("l_suppkey") % 6 == 0, F.col("l_linestatus")).alias("territory"), (F.col("l_orderkey") * 10 + n).alias("pos"), F.when(F.col("l_quantity") > 8, F.col("l_orderkey").cast("string")).alias("content"))
+    return N.provision_answers(asked, versions, ["fi"])
+
+
 @query("SELECT c_custkey, CASE WHEN c_nationkey % 5 = 0 THEN 'ambiguous' WHEN c_nationkey < 12 THEN 'applies' ELSE 'elsewhere' END AS status FROM customer")
 def ambiguous_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a rule applies to a place, with unknown places kept apart."""

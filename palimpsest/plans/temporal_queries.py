@@ -143,3 +143,12 @@ def pit_ops_between_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = load_table(spark, sf_dir, "lineitem")
     ops = line.select(F.col("l_returnflag").alias("op_type"), F.concat_ws("/", F.date_format("l_shipdate", "yyyy"), "l_orderkey").alias("act"))
     return T.ops_between(ops, "act", 1994, 1996).groupBy("op_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH b AS (SELECT o_custkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS effective, o_orderkey AS seq, strftime(o_orderdate::DATE + (o_orderkey % 400)::INT + 1, '%Y-%m-%d') AS x FROM orders)
+SELECT k, effective, ended FROM (SELECT *, lag(x) OVER (PARTITION BY k ORDER BY effective, seq) AS ended FROM b) WHERE effective > ended""")
+def extension_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extensions that came after the term had run out."""
+    bounds = load_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("effective"), F.col("o_orderkey").alias("seq"), F.date_format(F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 400).cast("int")), "yyyy-MM-dd").alias("valid_until"))
+    return T.extension_gaps(bounds, "k")
