@@ -80,3 +80,33 @@ def detection_recall(gold: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def timeline_breaks(findings: DataFrame, unsafe: Sequence[str], day: str) -> DataFrame:
     """(addr, n) of findings that make an answer at a date unsafe."""
     return findings.filter(F.col("rule").isin(*unsafe) & (F.col("since") <= day)).groupBy("addr").agg(F.count(F.lit(1)).alias("n"))
+
+
+def graph_census(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(census, kind, n) of nodes (node, kind) and edges (src, relation, dst): nodes and isolated nodes by kind, edges by relation, edges that lead from or to no
+    known node, repeated edges, and nodes by how many edges they have (0, 1, 2, 3 to 9, 10 and more)."""
+    known = nodes.select("node", "kind").dropDuplicates(["node"])
+    count = F.count(F.lit(1)).alias("n")
+    row = lambda df, census, kind: df.groupBy(kind.alias("kind")).agg(count).select(F.lit(census).alias("census"), "kind", "n")
+    ends = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    degrees = known.join(ends, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    bucket = F.when(F.col("degree") < 3, F.col("degree").cast("string")).when(F.col("degree") < 10, "3-9").otherwise("10+")
+    missing = lambda end: edges.join(known.select(F.col("node").alias(end)), end, "left_anti")
+    repeated = edges.groupBy("src", "relation", "dst").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    return (
+        row(known, "nodes", F.col("kind")).unionByName(row(degrees.filter("degree = 0"), "isolated", F.col("kind"))).unionByName(row(edges, "edges", F.col("relation"))).unionByName(row(missing("src"), "unknown_source", F.col("relation")))
+        .unionByName(row(missing("dst"), "unknown_target", F.col("relation"))).unionByName(row(repeated, "repeated", F.col("relation"))).unionByName(row(degrees, "degree", bucket))
+    )
+
+
+def reconcile(replayed: DataFrame, oracle: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, statutes): what two sides (statute, selector, text) say of each selector, agree, differs, only_replay or only_oracle (null text counts as not there), and by statute
+    how many of each and the share that agrees. Texts compare in letters and digits."""
+    plain = F.nullif(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", ""), F.lit(""))
+    side = lambda df, x: df.filter("text is not null").groupBy("statute", "selector").agg(F.min(plain).alias(x), F.lit(True).alias(f"has_{x}"))
+    both = side(replayed, "r").join(side(oracle, "o"), ["statute", "selector"], "full")
+    status = F.when(F.col("has_o").isNull(), "only_replay").when(F.col("has_r").isNull(), "only_oracle").when(F.col("r").eqNullSafe(F.col("o")), "agree").otherwise("differs")
+    rows = both.select("statute", "selector", status.alias("status"))
+    of = lambda name: F.count(F.when(F.col("status") == name, 1)).alias(name)
+    totals = rows.groupBy("statute").agg(*map(of, ("agree", "differs", "only_replay", "only_oracle")), (F.count(F.when(F.col("status") == "agree", 1)) / F.count(F.lit(1))).alias("share"))
+    return rows, totals

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators import audits as U
 from palimpsest.operators import routing as R
 from palimpsest.plans.catalog import query
 from palimpsest.plans.drafting_queries import order_clauses
@@ -119,3 +120,33 @@ def proposal_branch_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What proposals would do to statutes, read from their clauses, counted by branch."""
     proposals = order_clauses(spark, sf_dir).select(F.concat(F.lit("HE "), text(F.col("id")), F.lit("/2020")).alias("he_id"), F.lit(2020).alias("he_year"), F.col("id").alias("he_number"), F.col("text").alias("clause"), F.lit("2000/1").alias("statute"))
     return R.proposal_ops(proposals).groupBy("branch_id", "parse_status", "target_resolution", "target_statute_id").agg(F.count(F.lit(1)).alias("ops"))
+
+
+# ---------------------------------------------------------------- census and reconciliation
+
+
+@query("""
+WITH n AS (SELECT 'o' || o_orderkey AS node, 'order' AS kind FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'p' || p_partkey, 'part' FROM part WHERE p_size < 40), e AS (SELECT 'o' || l_orderkey AS src, l_returnflag AS relation, 'p' || l_partkey AS dst FROM lineitem),
+d AS (SELECT n.node, n.kind, coalesce(c.n, 0) AS degree FROM n LEFT JOIN (SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) c USING (node))
+SELECT 'nodes' AS census, kind, count(*) AS n FROM n GROUP BY 2 UNION ALL SELECT 'isolated', kind, count(*) FROM d WHERE degree = 0 GROUP BY 2 UNION ALL SELECT 'edges', relation, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'unknown_source', relation, count(*) FROM e WHERE src NOT IN (SELECT node FROM n) GROUP BY 2
+UNION ALL SELECT 'unknown_target', relation, count(*) FROM e WHERE dst NOT IN (SELECT node FROM n) GROUP BY 2 UNION ALL SELECT 'repeated', relation, count(*) FROM (SELECT src, relation, dst FROM e GROUP BY ALL HAVING count(*) > 1) GROUP BY 2
+UNION ALL SELECT 'degree', CASE WHEN degree < 3 THEN degree::VARCHAR WHEN degree < 10 THEN '3-9' ELSE '10+' END, count(*) FROM d GROUP BY 2""")
+def graph_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, edges, loose ends and degrees of a corpus graph."""
+    orders, part = t(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'"), t(spark, sf_dir, "part").filter("p_size < 40")
+    nodes = orders.select(F.concat(F.lit("o"), text(F.col("o_orderkey"))).alias("node"), F.lit("order").alias("kind")).unionAll(part.select(F.concat(F.lit("p"), text(F.col("p_partkey"))), F.lit("part")))
+    edges = t(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), text(F.col("l_orderkey"))).alias("src"), F.col("l_returnflag").alias("relation"), F.concat(F.lit("p"), text(F.col("l_partkey"))).alias("dst"))
+    return U.graph_census(nodes, edges)
+
+
+@query("""
+WITH n AS (SELECT l_orderkey AS statute, l_linenumber AS s, max(l_quantity)::INT AS q FROM lineitem GROUP BY 1, 2),
+r AS (SELECT statute, CASE WHEN q % 9 = 0 AND q % 11 = 0 THEN NULL WHEN q % 11 = 0 THEN 'only_replay' WHEN q % 9 = 0 THEN 'only_oracle' WHEN q % 5 = 0 THEN 'differs' ELSE 'agree' END AS status FROM n)
+SELECT statute, count(*) FILTER (WHERE status = 'agree') AS agree, count(*) FILTER (WHERE status = 'differs') AS differs, count(*) FILTER (WHERE status = 'only_replay') AS only_replay, count(*) FILTER (WHERE status = 'only_oracle') AS only_oracle, count(*) FILTER (WHERE status = 'agree') / count(*) AS share FROM r WHERE status IS NOT NULL GROUP BY 1""")
+def reconcile_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far two sides agree, by statute."""
+    n = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("statute"), F.col("l_linenumber").alias("s")).agg(F.max("l_quantity").cast("int").alias("q"))
+    q, selector = F.col("q"), F.concat(F.lit("s:"), text(F.col("s"))).alias("selector")
+    replayed = n.select("statute", selector, F.when(q % 9 != 0, F.concat(F.lit("Text, "), text(q))).alias("text"))
+    oracle = n.select("statute", selector, F.when(q % 11 != 0, F.concat(F.lit("TEXT "), text(q), F.when(q % 5 == 0, "x").otherwise("."))).alias("text"))
+    return U.reconcile(replayed, oracle)[1]
