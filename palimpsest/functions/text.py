@@ -98,7 +98,7 @@ def _pairwise(function: Callable[[str, str], float], a: str | Column, b: str | C
 
 
 def edit_ratio(a: str | Column, b: str | Column) -> Column:
-    """The indel ratio of two columns."""
+    """The indel ratio of two columns, in a batch of rows at a time; a pair costs the product of its lengths, so it is for sections, not for whole corpora of text in a row."""
     return _pairwise(indel_ratio, a, b)
 
 

@@ -39,7 +39,16 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bm25(t(spark, sf_dir, "documents"), "doc_id", "text", ["license", "password", "token"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+#: The longest common subsequence by dynamic programming: a step of the recursion is a row of the table, of all pairs at once.
+RATIO_SQL = """
+p AS (SELECT a.item_id, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+r AS (SELECT item_id, 0 AS i, u.j, 0 AS v, substr(y, u.j::INT, 1) AS ch, x FROM p, unnest(range(1, length(y) + 1)) AS u(j)
+  UNION ALL SELECT item_id, i + 1, j, greatest(v, coalesce(max(CASE WHEN ch = substr(x, i + 1, 1) THEN before + 1 END) OVER (PARTITION BY item_id ORDER BY j), 0)), ch, x FROM (SELECT *, coalesce(lag(v) OVER (PARTITION BY item_id ORDER BY j), 0) AS before FROM r WHERE i < length(x))),
+l AS (SELECT item_id, max(v) AS lcs FROM r GROUP BY 1),
+s AS (SELECT item_id, (2.0 * coalesce(lcs, 0) / (length(x) + length(y)))::DOUBLE AS ratio FROM p LEFT JOIN l USING (item_id))"""
+
+
+@query(f"WITH RECURSIVE {RATIO_SQL} SELECT item_id, round(ratio, 6) AS ratio FROM s")
 def edit_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indel ratios of neighbouring benchmark texts."""
     b = t(spark, sf_dir, "benchmark").select("item_id", "text")

@@ -10,6 +10,7 @@ from palimpsest.functions import text as S
 from palimpsest.operators import lineage as N
 from palimpsest.operators import projections as P
 from palimpsest.operators import scoring as C
+from palimpsest.plans.analysis_queries import RATIO_SQL
 from palimpsest.plans.catalog import query
 from palimpsest.session import load_table as t
 
@@ -173,7 +174,7 @@ def snapshot_shadows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.snapshot_shadows(line.select(F.col("l_orderkey").alias("act"), target.alias("target"), F.col("l_linenumber").alias("seq")))
 
 
-@query()
+@query(f"WITH RECURSIVE {RATIO_SQL} SELECT item_id % 2 = 0 AS touched, (item_id // 10)::BIGINT AS decade, count(*) AS n, round(avg(ratio), 6) AS mean FROM s GROUP BY 1, 2")
 def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean similarity of neighbouring benchmark texts, by a flag."""
     b = t(spark, sf_dir, "benchmark").select("item_id", "text")
