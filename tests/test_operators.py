@@ -324,3 +324,13 @@ def test_event_log_stream(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert sorted(map(tuple, spark.read.parquet(sink).collect())) == [("a", 1, "draft", True), ("a", 2, "final", True), ("b", 1, "draft", True), ("b", 2, "draft", False)]
+
+
+def test_fingerprint_of_many_rows(spark):
+    """Twenty million rows: their 40-bit digests together leave a long."""
+    many = spark.range(20_000_000)
+    assert tables.fingerprint(many).first()["n"] == 20_000_000
+    assert tables.fingerprint(many).first() == tables.fingerprint(many.repartition(3)).first() != tables.fingerprint(many.withColumn("id", F.col("id") + 1)).first()
+    few = many.filter("id < 1000")
+    total = few.agg(F.sum(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1)))).first()[0]
+    assert tables.fingerprint(few).first()["digest"] == total and tables.fingerprint(few.limit(0)).first()["digest"] == 0
