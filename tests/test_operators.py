@@ -334,3 +334,9 @@ def test_fingerprint_of_many_rows(spark):
     few = many.filter("id < 1000")
     total = few.agg(F.sum(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1)))).first()[0]
     assert tables.fingerprint(few).first()["digest"] == total and tables.fingerprint(few.limit(0)).first()["digest"] == 0
+
+
+def test_recursion_is_not_bounded_by_rows(spark, tmp_path):
+    spark.range(600_000).write.parquet(f"{tmp_path}/starts.parquet")
+    found = tables.run_sql(spark, str(tmp_path), "WITH RECURSIVE r(n, k) AS (SELECT 0, id FROM starts UNION ALL SELECT n + 1, k FROM r WHERE n < 1) SELECT n, count(*) AS rows FROM r GROUP BY n")
+    assert {(r["n"], r["rows"]) for r in found.collect()} == {(0, 600_000), (1, 600_000)}
