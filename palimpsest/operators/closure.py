@@ -81,14 +81,16 @@ def dependency_layers(edges: DataFrame) -> DataFrame:
     return placed.unionByName(stuck)
 
 
-def text_edges(texts: DataFrame, key: str, clause: str, preparatory: str, acts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def text_edges(texts: DataFrame, key: str, clause: str, preparatory: str, acts: DataFrame, both: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges, failures) of acts as their own texts tell them: the statutes that a clause amends (amends, repeals for clauses that only repeal), the works that
     prepared the act (prepared_by, and implements for EU directives), and other acts that the clause cites as number/year (cites).
 
     Edges (key, relation, target, n, resolved): ``resolved`` says whether ``acts`` (column act) has the target; EU acts and proposals are outside of it and
-    stay null. Failures (key, stage, detail): words that no rule of the clause grammar takes, and what stands among preparatory works and is none."""
-    parsed = cut_lineage(parse_clauses(texts, key, clause))
-    of_ops = clause_ops(parsed, key).filter("statute is not null").groupBy(key, F.col("statute").alias("target")).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("action") == "REPEAL").alias("only"))
+    stay null. Failures (key, stage, detail): words that no rule of the clause grammar takes, and what stands among preparatory works and is none.
+    With ``both`` the parsed clauses are checkpointed, for callers that read edges and failures; otherwise each side parses for itself what it reads."""
+    parsed = cut_lineage(parse_clauses(texts, key, clause, ("ops", "leftovers"))) if both else None
+    side = lambda kind: parsed if parsed is not None else parse_clauses(texts, key, clause, (kind,))
+    of_ops = clause_ops(side("ops"), key).filter("statute is not null").groupBy(key, F.col("statute").alias("target")).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("action") == "REPEAL").alias("only"))
     amends = of_ops.select(key, F.when(F.col("only"), "repeals").otherwise("amends").alias("relation"), "target", "n")
     works, rejected = preparatory_references(texts, key, preparatory)
     relation = F.when(F.col("kind") == "eu_directive", "implements").when(F.col("kind").isin("eu_regulation", "eu_decision", "oj_reference"), "cites").otherwise("prepared_by")
@@ -97,5 +99,5 @@ def text_edges(texts: DataFrame, key: str, clause: str, preparatory: str, acts:
     others = cited.join(amends.select(key, "target"), [key, "target"], "left_anti").select(key, F.lit("cites").alias("relation"), "target", "n")
     domestic = amends.unionByName(others).join(acts.select(F.col("act").alias("target")).distinct().withColumn("known", F.lit(True)), "target", "left").select(key, "relation", "target", "n", F.coalesce("known", F.lit(False)).alias("resolved"))
     edges = domestic.unionByName(prepared.withColumn("resolved", F.lit(None).cast("boolean")))
-    words = parsed.filter("leftover is not null").select(key, F.lit("clause").alias("stage"), F.concat_ws(": ", "reason", "leftover").alias("detail"))
+    words = side("leftovers").filter("leftover is not null").select(key, F.lit("clause").alias("stage"), F.concat_ws(": ", "reason", "leftover").alias("detail"))
     return edges, words.unionByName(rejected.select(key, F.lit("preparatory").alias("stage"), F.col("candidate").alias("detail")))

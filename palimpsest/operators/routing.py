@@ -136,7 +136,7 @@ def proposal_ops(proposals: DataFrame) -> DataFrame:
 
     parse_status: full (no leftovers), partial, failed (a clause that orders nothing) or not_applicable (no clause); parse_confidence is the share of tokens that the
     grammar took. target_resolution: cited (the clause names the statute), given (the proposal's own statute) or unresolved."""
-    parsed = cut_lineage(parse_clauses(proposals, "he_id", "clause"))
+    parsed = cut_lineage(parse_clauses(proposals, "he_id", "clause", ("ops", "counts")))
     size = parsed.filter("tokens is not null").select("he_id", "tokens", "used")
     ops = parsed.filter("action is not null").select("he_id", F.col("nth").alias("op_index"), F.col("action").alias("operation_kind"), F.col("target").alias("target_provision_ref"), F.col("destination").alias("payload_summary"), F.col("statute").alias("__cited"))
     joined = proposals.join(size, "he_id", "left").join(ops, "he_id", "left")

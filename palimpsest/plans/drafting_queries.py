@@ -44,14 +44,14 @@ r AS (SELECT id, CASE WHEN facet IS NOT NULL THEN 'HEADING_REPLACE' ELSE action
 SELECT id, action, target, destination, facet, new, statute, count(*) AS n FROM r JOIN o USING (id) GROUP BY ALL""")
 def clause_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ops that clauses order: several verbs, scopes, lists, ranges and consequences in each."""
-    parsed = G.parse_clauses(order_clauses(spark, sf_dir), "id", "text")
+    parsed = G.parse_clauses(order_clauses(spark, sf_dir), "id", "text", ("ops",))
     return G.clause_ops(parsed, "id").groupBy("id", "action", "target", "destination", "facet", "new", "statute").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT DISTINCT o_orderkey AS id, 'kiireellisesti' AS leftover, 'unknown_word' AS reason, 0 AS at FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'")
 def clause_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the clauses no rule of the grammar takes."""
-    return G.clause_leftovers(G.parse_clauses(order_clauses(spark, sf_dir), "id", "text"), "id").select("id", "leftover", "reason", "at")
+    return G.clause_leftovers(G.parse_clauses(order_clauses(spark, sf_dir), "id", "text", ("leftovers",)), "id").select("id", "leftover", "reason", "at")
 
 
 def act_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -89,3 +89,28 @@ def test_parse_clauses(spark):
     assert [tuple(r)[:4] for r in C.clause_ops(parsed, "id").collect()] == [(1, 0, "REPEAL", "section:3")]
     assert [(r["id"], r["leftover"], r["reason"], r["at"]) for r in C.clause_leftovers(parsed, "id").collect()] == [(1, "jotain", "unknown_word", 16)]
     assert {(r["id"], r["tokens"], r["used"]) for r in parsed.filter("tokens is not null").collect()} == {(1, 5, 4), (2, 0, 0), (3, 0, 0)}
+
+
+@settings(max_examples=400, deadline=None, database=None)
+@given(st.lists(st.sampled_from([*WORDS, "5", "a", " ", "\n", "(", "527/2014", ")", "a§", "5a", "İ"]), max_size=25), st.sampled_from(["", " "]))
+def test_tokens_are_those_of_the_whole_text(words, between):
+    text = between.join(words)
+    assert C.lex(text) == C._cut(text.lower())
+    surface, fast = C.read_clause(text), C._read(text, placed=False)
+    assert list(C.lowered(fast)) == list(C.lowered(surface)) and fast.used == surface.used and C._read(text, placed=True).leftovers == surface.leftovers
+
+
+def test_what_repeats_is_cut_once(monkeypatch):
+    C._chunks.clear()
+    cut, calls = C._cut, []
+    monkeypatch.setattr(C, "_cut", lambda low: calls.append(low) or cut(low))
+    for n in range(100):
+        C._read(f"kumotaan {n % 10} §:n 2 momentti sekä muutetaan {n % 10} §", placed=False)
+    assert len(calls) == len(set(calls)) == 16
+
+
+def test_parse_clauses_gives_the_rows_asked_for(spark):
+    df = spark.createDataFrame([(1, "kumotaan 3 § ja jotain"), (2, None)], "id int, t string")
+    whole = {tuple(r) for r in C.parse_clauses(df, "id", "t").collect()}
+    parts = [{tuple(r) for r in C.parse_clauses(df, "id", "t", (kind,)).collect()} for kind in C.KINDS]
+    assert [len(p) for p in parts] == [1, 1, 2] and set.union(*parts) == whole
