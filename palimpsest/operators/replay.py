@@ -1,8 +1,8 @@
 """Ordered replay: typed edits folded over the flat tree of each document.
 
 Documents are node tables (doc_id, addr, ord, kind, text, status); ops are rows (doc_id, seq, action, target, payload,
-find, occurrence, destination, anchor, group_id). A fold depends on order, so it runs in one grouped map per document,
-co-grouped with that document's ops; documents are independent and bounded by their own size. Everything before and
+find, occurrence, destination, anchor, group_id). A fold depends on order, so it takes a document with its ops at a time,
+out of rows dealt and sorted by document; documents are independent and bounded by their own size. Everything before and
 after the fold is relational.
 
 Ops may have two more columns: ``effective`` (ISO day) and ``act``. They apply in the order of effective day and
@@ -11,8 +11,10 @@ sequence; sequence alone is the order of equal days, and ops without a day come
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -258,27 +260,50 @@ class Tree:
         return (anchor["ord"] + later[0]) / 2 if later else anchor["ord"] + 1.0
 
 
+def cofolded(nodes: DataFrame, ops: DataFrame, fold: Callable[[list[dict], list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``fold`` gives for the nodes and the ops of each document. Documents are dealt by id and sorted, and a task goes through its own
+    one after the other: it holds one document and one batch, and a document costs its rows and no call of its own."""
+    sides = {"n": nodes, "o": ops}
+    kinds = {c: df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType for c, df in sides.items()}
+    tagged = [df.select("doc_id", *((F.struct(*df.columns) if c == side else F.lit(None).cast(kind)).alias(c) for c, kind in kinds.items())) for side, df in sides.items()]
+    types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    fields = [(n, types[t]) for n, t in (c.split() for c in schema.split(", "))]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+        out: list[tuple] = []
+        for _, group in groupby(rows, key=itemgetter(0)):
+            found = list(group)
+            out += fold([n for _, n, _ in found if n is not None], [o for _, _, o in found if o is not None])
+            while len(out) >= 10_000:
+                yield packed(out[:10_000])
+                del out[:10_000]
+        if out:
+            yield packed(out)
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    ship(nodes.sparkSession)
+    return tagged[0].unionByName(tagged[1]).repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema)
+
+
 FOLDED = f"{NODES}, seq long, action string, target string, landed string, outcome string"
 
 
 def folded(nodes: DataFrame, ops: DataFrame, ordering: Ordering = Ordering()) -> DataFrame:  # noqa: B008
     """Nodes after the ops (``seq`` null) and receipts (``addr`` null) of each document, out of one fold."""
 
-    def fold(n: pa.Table, o: pa.Table) -> pa.Table:
-        rows, edits = n.to_pylist(), o.to_pylist()
+    def fold(rows: list[dict], edits: list[dict]) -> list[tuple]:
         tree = Tree(rows)
         doc = (rows or edits)[0]["doc_id"]
         out = []
         for op in applied_order(edits, ordering):
             landed, outcome = tree.apply(op)
             out.append((doc, None, None, None, None, None, op["seq"], op["action"], op["target"], landed, outcome))
-        out += [(doc, a, x["ord"], x["kind"], x["text"], x["status"], None, None, None, None, None) for a, x in sorted(tree.nodes.items())]
-        types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
-        fields = [c.split() for c in FOLDED.split(", ")]
-        return pa.table([pa.array(list(c), types[t]) for c, (_, t) in zip(zip(*out, strict=True) if out else [[]] * len(fields), fields, strict=True)], names=[f for f, _ in fields])
+        return out + [(doc, a, x["ord"], x["kind"], x["text"], x["status"], None, None, None, None, None) for a, x in sorted(tree.nodes.items())]
 
-    ship(nodes.sparkSession)
-    return nodes.groupBy("doc_id").cogroup(ops.groupBy("doc_id")).applyInArrow(fold, FOLDED)
+    return cofolded(nodes, ops, fold, FOLDED)
 
 
 def replay(nodes: DataFrame, ops: DataFrame, as_of: str | None = None, ordering: Ordering = Ordering(), both: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -345,8 +370,7 @@ def checkpoint_scores(nodes: DataFrame, ops: DataFrame, oracle: DataFrame, order
     # columns of their own: nodes and ops may come from one table
     edits = ops.select(*(F.col(c).alias(c) for c in ops.columns if c not in ("effective", "act")), *optional)
 
-    def fold(n: pa.Table, o: pa.Table) -> pa.Table:
-        rows, made = n.to_pylist(), o.to_pylist()
+    def fold(rows: list[dict], made: list[dict]) -> list[tuple]:
         state = Agreement(Tree(r for r in rows if r["side"] == "node"), {r["addr"]: _plain(r["text"]) for r in rows if r["side"] == "oracle"})
         out: list[tuple] = []
         before = None
@@ -359,13 +383,9 @@ def checkpoint_scores(nodes: DataFrame, ops: DataFrame, oracle: DataFrame, order
             else:
                 out.append(row)
             before = moment
-        types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
-        fields = [c.split() for c in STEPS.split(", ")]
-        return pa.table([pa.array(list(c), types[t]) for c, (_, t) in zip(zip(*out, strict=True) if out else [[]] * len(fields), fields, strict=True)], names=[f for f, _ in fields])
+        return out
 
-    ship(nodes.sparkSession)
-    both = side(nodes, "node").unionByName(side(oracle, "oracle"))
-    return both.groupBy("doc_id").cogroup(edits.groupBy("doc_id")).applyInArrow(fold, STEPS)
+    return cofolded(side(nodes, "node").unionByName(side(oracle, "oracle")), edits, fold, STEPS)
 
 
 def version_drift(scores: DataFrame, perfect: float = 0.9999) -> DataFrame:

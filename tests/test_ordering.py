@@ -78,3 +78,19 @@ def test_ops_not_commenced_leave_a_receipt(spark):
     ops = spark.createDataFrame([(*op(1, "REPLACE", "s:1", payload="two"), True), (*op(2, "REPLACE", "s:1", payload="three"), None)], OPS + ", commenced boolean")
     after, receipts = R.replay(nodes, ops)
     assert [r["text"] for r in after.collect()] == ["two"] and sorted(r["outcome"] for r in receipts.collect()) == ["applied", "not_commenced"]
+
+
+def test_documents_are_folded_one_after_the_other(spark):
+    """Documents longer than a batch, some without nodes or without ops; no call of Python for each."""
+    nodes = spark.range(40).selectExpr("id % 8 AS doc_id", "concat('s:', id) AS addr", "cast(id AS double) AS ord", "'s' AS kind", "'t' AS text", "'live' AS status")
+    ops = spark.range(40).selectExpr("id % 10 AS doc_id", "id AS seq", "'REPLACE' AS action", "concat('s:', id) AS target", "'new' AS payload", "cast(null AS string) AS find", "0L AS occurrence", "cast(null AS string) AS destination", "cast(null AS string) AS anchor", "cast(null AS string) AS group_id")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        after, receipts = R.replay(nodes, ops)
+        assert "CoGroup" not in after._jdf.queryExecution().executedPlan().toString()
+        same = {k for k in range(40) if k % 8 == k % 10}
+        assert {(r["seq"], r["outcome"]) for r in receipts.collect()} == {(k, "applied" if k in same else "target_missing") for k in range(40)}
+        assert {(r["addr"], r["text"]) for r in after.collect()} == {(f"s:{k}", "new" if k in same else "t") for k in range(40)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
