@@ -8,7 +8,9 @@ A version table has ``addr``, ``effective``, ``enacted``, ``expires`` (ISO strin
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -130,7 +132,8 @@ def spliced_timeline(writes: DataFrame, block_years: int = 25) -> tuple[DataFram
     before, or has no start; it changes nothing).
 
     Addresses are cut into blocks of years, each swept on its own in time n log n, and joined again at the seams, so that a
-    long history is not one task's. Seq is unique within an address."""
+    long history is not one task's. Blocks are dealt and sorted, and a task sweeps its own one after the other, so that a block costs its rows and no
+    call of its own. Seq is unique within an address."""
     end = F.when(blank(F.col("expires")), F.lit(None)).otherwise(F.col("expires"))
     bad = blank(F.col("effective")) | (F.coalesce(end, F.lit("9999-99-99")) <= F.col("effective"))
     rows = writes.select("addr", F.col("seq").cast("long").alias("seq"), "effective", end.alias("expires"), "content", bad.alias("bad"))
@@ -140,36 +143,55 @@ def spliced_timeline(writes: DataFrame, block_years: int = 25) -> tuple[DataFram
     dealt = good.withColumn("until", block(F.coalesce("expires", last))).withColumn("block", F.explode(F.sequence(block(F.col("effective")), "until")))
     border = lambda b: F.concat(F.lpad((b * block_years).cast("string"), 4, "0"), F.lit("-00-00"))
     clipped = dealt.select(
-        "addr", "block", "seq", "content", F.greatest("effective", border(F.col("block"))).alias("start"),
-        F.when(F.col("block") < F.col("until"), border(F.col("block") + 1)).otherwise(F.col("expires")).alias("stop"),
+        "addr", "block", F.greatest("effective", border(F.col("block"))).alias("start"), F.when(F.col("block") < F.col("until"), border(F.col("block") + 1)).otherwise(F.col("expires")).alias("stop"), "seq", "content",
     ).filter("stop is null or stop > start")
 
-    def sweep(t: pa.Table) -> pa.Table:
-        found = list(_swept(list(zip(*(t.column(c).to_pylist() for c in ("start", "stop", "seq", "content")), strict=True))))
-        columns = list(zip(*found, strict=True)) if found else [[]] * 4
-        names = [c.split()[0] for c in PIECES.split(", ")]
-        return pa.table([pa.array([t.column("addr")[0].as_py()] * len(found), pa.string()), *(pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True))], names=names)
+    def sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out: list[tuple] = []
+        for (addr, _), group in groupby(rows, key=itemgetter(0, 1)):
+            fresh = True
+            for start, stop, seq, content in _swept([r[2:] for r in group]):
+                if not fresh and out[-1][2] == start and out[-1][3] == seq:
+                    out[-1] = (addr, out[-1][1], stop, seq, content)
+                else:
+                    out.append((addr, start, stop, seq, content))
+                fresh = False
+            if len(out) >= 10_000:
+                yield packed(out)
+                out = []
+        if out:
+            yield packed(out)
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
     ship(writes.sparkSession)
-    pieces = clipped.groupBy("addr", "block").applyInArrow(sweep, PIECES)
-    order = Window.partitionBy("addr").orderBy("effective")
+    pieces = clipped.repartition("addr", "block").sortWithinPartitions("addr", "block").mapInArrow(sweep, PIECES)
 
-    def joined(df: DataFrame, same: Column) -> DataFrame:
-        touches = F.lag("expires").over(order).eqNullSafe(F.col("effective")) & same
-        island = F.sum(F.when(F.coalesce(touches, F.lit(False)), 0).otherwise(1)).over(order)
-        return df.withColumn("__island", island)
-
-    at_end = F.max_by("expires", "effective").alias("expires")
-    of_write = joined(pieces, F.lag("seq").over(order) == F.col("seq")).groupBy("addr", "__island").agg(F.min("effective").alias("effective"), at_end, F.first("seq").alias("seq"), F.first("content").alias("content"))
-    windows = joined(of_write, F.lag("content").over(order).eqNullSafe(F.col("content"))).groupBy("addr", "__island").agg(F.min("effective").alias("effective"), at_end, F.first("content").alias("content")).drop("__island")
-    before = windows.withColumn("__before", F.lag("expires").over(order)).filter("__before < effective")
-    gaps = before.select("addr", F.col("__before").alias("effective"), F.col("effective").alias("expires"), F.lit(None).cast("string").alias("content"), F.lit(True).alias("gap"))
-    out = windows.withColumn("gap", F.lit(False)).unionByName(gaps).withColumn("expires", F.coalesce("expires", F.lit("")))
-    left = of_write.groupBy("addr", "seq").agg(F.count(F.lit(1)).alias("pieces"), F.min("effective").alias("__from"), F.max_by("expires", "effective").alias("__to"))
-    known = rows.join(left, ["addr", "seq"], "left")
-    as_was = (F.col("__from") == F.col("effective")) & F.col("__to").eqNullSafe(F.col("expires"))
-    fate = F.when(F.col("bad"), "empty_interval").when(F.col("pieces").isNull(), "buried").when(F.col("pieces") > 1, "cut").when(as_was, "whole").otherwise("trimmed")
-    return out, known.select("addr", "seq", fate.alias("fate"), F.coalesce("pieces", F.lit(0)).alias("pieces"))
+    # a window begins where the piece before ends earlier or says something else, and ends where the last piece before the next one does
+    order = Window.partitionBy("addr").orderBy("effective")
+    before = F.lag("expires").over(order)
+    begins = F.coalesce(before != F.col("effective"), F.lit(True)) | ~F.lag("content").over(order).eqNullSafe(F.col("content"))
+    edges = pieces.select("addr", "effective", "expires", "content", before.alias("before"), begins.alias("begins"), F.lead("effective").over(order).isNull().alias("ends")).filter("begins or ends")
+    stop = F.when(F.col("ends"), F.col("expires")).when(F.lead("begins").over(order), F.lead("before").over(order)).otherwise(F.lead("expires").over(order))
+    windows = edges.withColumn("stop", stop).filter("begins")
+    window = F.struct("effective", F.coalesce("stop", F.lit("")).alias("expires"), "content", F.lit(False).alias("gap"))
+    gap = F.struct(F.col("before").alias("effective"), F.col("effective").alias("expires"), F.lit(None).cast("string").alias("content"), F.lit(True).alias("gap"))
+    out = windows.select("addr", F.explode(F.when(F.col("before") < F.col("effective"), F.array(gap, window)).otherwise(F.array(window))).alias("w")).select("addr", "w.*")
+
+    # a write and its pieces meet by its number; pieces that touch are one
+    of_write = Window.partitionBy("addr", "seq").orderBy("effective")
+    none = F.lit(None).cast("string")
+    both = good.select("addr", "seq", none.alias("effective"), none.alias("expires"), F.col("effective").alias("began"), F.col("expires").alias("ended")).unionByName(pieces.select("addr", "seq", "effective", "expires", none.alias("began"), none.alias("ended")))
+    apart = both.withColumn("apart", F.col("effective").isNotNull() & F.coalesce(F.lag("expires").over(of_write) != F.col("effective"), F.lit(True)))
+    of = lambda c: F.max_by(c, F.col("effective")).alias(f"__{c}")
+    left = apart.groupBy("addr", "seq").agg(F.count_if("apart").alias("pieces"), F.min("effective").alias("__effective"), of("expires"), F.max("began").alias("began"), F.max("ended").alias("ended"))
+    as_was = (F.col("__effective") == F.col("began")) & F.col("__expires").eqNullSafe(F.col("ended"))
+    fate = F.when(F.col("pieces") == 0, "buried").when(F.col("pieces") > 1, "cut").when(as_was, "whole").otherwise("trimmed")
+    unused = rows.filter("bad").select("addr", "seq", F.lit("empty_interval").alias("fate"), F.lit(0).cast("long").alias("pieces"))
+    return out, left.select("addr", "seq", fate.alias("fate"), "pieces").unionByName(unused)
 
 
 def governing_bound(bounds: DataFrame, key: str, as_of: str) -> DataFrame:

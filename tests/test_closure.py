@@ -80,6 +80,19 @@ def test_spliced_timeline_against_days(spark, block_years):
     assert {f for f, _ in fates.values()} == {"whole", "trimmed", "cut", "buried", "empty_interval"}
 
 
+def test_splicing_sweeps_blocks_one_after_the_other(spark, monkeypatch):
+    """No call for each block of an address, and one exchange of the pieces for the windows, that reads them once."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", None)
+    writes = spark.createDataFrame([("a", k, f"{1990 + k}-05-01", "", "x" if k % 3 else "y") for k in range(9)] + [(None, 1, "2000-01-01", "2020-01-01", "n")], "addr string, seq long, effective string, expires string, content string")
+    windows, receipts = T.spliced_timeline(writes, 2)
+    rows = {(r["addr"], r["effective"], r["expires"], r["content"]) for r in windows.collect()}
+    assert rows == {(None, "2000-01-01", "2020-01-01", "n"), *(("a", f"{1990 + k}-05-01", f"{1991 + k if k % 3 == 0 else 1992 + k}-05-01" if k < 7 else "", "x" if k % 3 else "y") for k in (0, 1, 3, 4, 6, 7))}
+    assert {(r["addr"], r["seq"]): (r["fate"], r["pieces"]) for r in receipts.collect()} == {(None, 1): ("whole", 1), ("a", 8): ("whole", 1), **{("a", k): ("trimmed", 1) for k in range(8)}}
+    assert windows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 OPS = "doc_id long, seq long, action string, target string, payload string, find string, occurrence long, destination string, anchor string, group_id string, effective string, act string"
 
 
