@@ -25,12 +25,13 @@ def let(value: Column, body) -> Column:
 
 
 def squashed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    # a single space stays as it is, so that most texts are not written again
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s{2,}|[^\S ]", " "))
 
 
 def plain(text: Column) -> Column:
     """Letters and digits in lower case: what is compared."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9äöå]", "")
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9äöå]+", "")
 
 
 def sentences(text: Column) -> Column:
@@ -59,25 +60,29 @@ def without_first_extra(longer: Column, shorter: Column) -> Column:
 
 def extra_sentences(oracle: Column, replay: Column, most: int = 2) -> Column:
     """How many sentences of ``oracle`` have to go so that the rest are those of ``replay``, in order: 1 to ``most``, or null. Both are arrays."""
-    out = F.lit(None).cast("int")
-    reduced = oracle
-    for k in range(1, most + 1):
-        reduced = F.when((F.size(oracle) - F.size(replay) >= k) & (F.size(replay) > 0), without_first_extra(reduced, replay))
-        out = F.coalesce(out, F.when(F.coalesce(reduced == replay, F.lit(False)), F.lit(k)))
-    return out
+
+    def after(k: int, rest: Column) -> Column:
+        same = F.when(rest == replay, F.lit(k))
+        return same if k == most else F.when(rest == replay, F.lit(k)).when(F.size(rest) > F.size(replay), let(without_first_extra(rest, replay), lambda less: after(k + 1, less)))
+
+    some = F.size(oracle) - F.size(replay)
+    return F.when((some >= 1) & (some <= most) & (F.size(replay) > 0), let(without_first_extra(oracle, replay), lambda less: after(1, less)))
 
 
 def repeated_extra(oracle: Column, replay: Column) -> Column:
     """Whether the one sentence that ``oracle`` has more is one that ``replay`` has once and ``oracle`` twice."""
     counted = lambda a, s: F.size(F.filter(a, lambda x: x == s))
     doubled = F.exists(oracle, lambda s: (counted(oracle, s) >= 2) & (counted(replay, s) == 1))
-    return F.coalesce(extra_sentences(oracle, replay, 1) == 1, F.lit(False)) & doubled
+    return F.when(F.size(oracle) == F.size(replay) + 1, (F.coalesce(extra_sentences(oracle, replay, 1) == 1, F.lit(False))) & doubled).otherwise(F.lit(False))
 
 
 def close(a: Column, b: Column, bound: Column | int) -> Column:
-    """Whether two strings are at most ``bound`` edits apart."""
+    """Whether two strings are at most ``bound`` edits apart, and ``bound`` at most that of a phrase. The distance is computed once, and only of strings
+    whose lengths allow it."""
+    most = bound if isinstance(bound, int) else PHRASE
     top = F.lit(bound) if isinstance(bound, int) else bound
-    return F.coalesce((F.abs(F.char_length(a) - F.char_length(b)) <= top) & (F.levenshtein(a, b, PHRASE) >= 0) & (F.levenshtein(a, b, PHRASE) <= top), F.lit(False))
+    far = F.pmod(F.levenshtein(a, b, most), F.lit(most + 2))  # beyond ``most`` it is -1, here most + 1
+    return F.coalesce(F.when(F.abs(F.char_length(a) - F.char_length(b)) <= top, far <= F.least(top, F.lit(most))), F.lit(False))
 
 
 def divergence_reason(replay: Column, oracle: Column, blamed: Column) -> Column:
@@ -88,28 +93,37 @@ def divergence_reason(replay: Column, oracle: Column, blamed: Column) -> Column:
     with marks of markup or no op to blame); oracle_stale or replay_extra (replay is longer by more than 40, with or without a replacement or
     insertion to blame), replay_missing (shorter by more than 40), and unknown."""
     of = lambda code, reason: F.struct(F.lit(code).alias("code"), F.lit(reason).alias("reason"))
-    r, o = plain(replay), plain(oracle)
-    notice = squashed(oracle).rlike(FUTURE_REPEAL), squashed(oracle).rlike(PRIOR_WORDING)
-    marked = F.coalesce(replay, F.lit("")).rlike(CORRUPTION) | F.coalesce(oracle, F.lit("")).rlike(CORRUPTION)
-    both = (F.char_length(r) > 0) & (F.char_length(o) > 0)
-    shorter, longer = F.least(F.char_length(r), F.char_length(o)), F.greatest(F.char_length(r), F.char_length(o))
-    phrase = both & (shorter >= 0.6 * longer) & (marked | blamed.isNull()) & close(r, o, F.least(F.floor(0.1 * longer).cast("int"), F.lit(PHRASE)))
-    more = F.char_length(r) - F.char_length(o)
-
-    def judged(s: Column) -> Column:
-        said, have = s["o"], s["r"]
+    put = F.coalesce(blamed.isin("REPLACE", "INSERT"), F.lit(False))
+
+    # each step is evaluated only where those before it say nothing, and what it reads more than once is evaluated once
+    def of_lengths(r: Column, o: Column, marked: Column) -> Column:
+        shorter, longer = F.least(F.char_length(r), F.char_length(o)), F.greatest(F.char_length(r), F.char_length(o))
+        more = F.char_length(r) - F.char_length(o)
+        phrase = (shorter > 0) & (shorter >= 0.6 * longer) & (blamed.isNull() | marked) & close(r, o, F.least(F.floor(0.1 * longer).cast("int"), F.lit(PHRASE)))
+        return (
+            F.when((shorter > 0) & close(r, o, TINY), of("source_pathology", "tiny_edit")).when(phrase, of("source_pathology", "bounded_phrase"))
+            .when((more > MUCH) & put, of("oracle_stale", "amendment_not_in_oracle")).when(more > MUCH, of("replay_extra", "much_more_text"))
+            .when(more < -MUCH, of("replay_missing", "much_less_text")).otherwise(of("unknown", "similar_length"))
+        )
+
+    def of_sentences(p: Column) -> Column:
+        marked = F.coalesce(replay, F.lit("")).rlike(CORRUPTION) | F.coalesce(oracle, F.lit("")).rlike(CORRUPTION)
+        return let(
+            F.struct(sentences(oracle).alias("o"), sentences(replay).alias("r")),
+            lambda s: F.when(repeated_extra(s["o"], s["r"]), of("oracle_stale", "duplicate_sentence")).when(extra_sentences(s["o"], s["r"]).isNotNull(), of("oracle_stale", "residual_sentences")).otherwise(of_lengths(p["r"], p["o"], marked)),
+        )
+
+    def of_letters(p: Column) -> Column:
+        return F.when(p["r"] == p["o"], of("editorial_convention", "same_letters")).otherwise(of_sentences(p))
+
+    def of_notice(t: Column) -> Column:
         return (
-            F.when(F.coalesce(replay, F.lit("")) == F.coalesce(oracle, F.lit("")), of("identical", "same_text"))
-            .when(repealed_by(oracle).isNotNull(), of("oracle_stale", "repeal_notice"))
-            .when(notice[0], of("oracle_stale", "future_repeal_overlay")).when(notice[1], of("oracle_stale", "repeal_with_prior_wording"))
-            .when(is_stub(oracle), of("editorial_convention", "bare_stub")).when(r == o, of("editorial_convention", "same_letters"))
-            .when(repeated_extra(said, have), of("oracle_stale", "duplicate_sentence")).when(extra_sentences(said, have).isNotNull(), of("oracle_stale", "residual_sentences"))
-            .when(both & close(r, o, TINY), of("source_pathology", "tiny_edit")).when(phrase, of("source_pathology", "bounded_phrase"))
-            .when((more > MUCH) & F.coalesce(blamed.isin("REPLACE", "INSERT"), F.lit(False)), of("oracle_stale", "amendment_not_in_oracle"))
-            .when(more > MUCH, of("replay_extra", "much_more_text")).when(more < -MUCH, of("replay_missing", "much_less_text")).otherwise(of("unknown", "similar_length"))
+            F.when(t.rlike(REPEAL_STUB), of("oracle_stale", "repeal_notice")).when(t.rlike(FUTURE_REPEAL), of("oracle_stale", "future_repeal_overlay"))
+            .when(t.rlike(PRIOR_WORDING), of("oracle_stale", "repeal_with_prior_wording")).when(is_stub(t), of("editorial_convention", "bare_stub"))
+            .otherwise(let(F.struct(plain(replay).alias("r"), plain(oracle).alias("o")), of_letters))
         )
 
-    return let(F.struct(sentences(oracle).alias("o"), sentences(replay).alias("r")), judged)
+    return F.when(F.coalesce(replay, F.lit("")) == F.coalesce(oracle, F.lit("")), of("identical", "same_text")).otherwise(let(squashed(oracle), of_notice))
 
 
 # ---------------------------------------------------------------- canonical form

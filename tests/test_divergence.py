@@ -24,6 +24,12 @@ def test_reasons(spark, replay, oracle, blamed, code, reason):
     assert tuple(df.select(D.divergence_reason(F.col("r"), F.col("o"), F.col("b")).alias("d")).first()["d"]) == (code, reason)
 
 
+def test_each_step_of_a_reason_is_evaluated_once(spark):
+    df = spark.createDataFrame([(LONG, LONG[:60], None)], "r string, o string, b string").select(D.divergence_reason(F.col("r"), F.col("o"), F.col("b")).alias("d"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("levenshtein") == 2 and plan.count("[^a-z0-9äöå]") == 4 and plan.count(D.PRIOR_WORDING) == 1
+
+
 def test_repealed_by(spark):
     texts = ["47 § on kumottu L:lla 30.12.1994/1218.", "3 a § 3 a § on kumottu A 1999/07", "47 § on kumottu", "1 momentti on kumottu L:lla 1994/1218.", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
