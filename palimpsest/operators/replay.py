@@ -122,28 +122,36 @@ POSITIONS = "doc_id long, seq long, position long"
 
 
 def applied_positions(ops: DataFrame, ordering: Ordering = Ordering()) -> DataFrame:  # noqa: B008
-    """(doc_id, seq, position): the place of each op in :func:`applied_order`. Without ``vacate`` that is a window; with it, a
-    grouped map over the ops of a moment's group, whose places come from the sizes of the groups before it."""
+    """(doc_id, seq, position): the place of each op in :func:`applied_order`. Without ``vacate`` that is a window; with it,
+    documents are dealt by id and sorted as in a replay, and a task orders its own one after the other."""
     day = F.coalesce(F.col("effective"), F.lit("")) if "effective" in ops.columns else F.lit("")
     act = F.coalesce(F.col("act"), F.lit("")) if ordering.by_act and "act" in ops.columns else F.lit("")
     keyed = ops.select("doc_id", "seq", "action", "target", "destination", day.alias("day"), act.alias("act"), "group_id")
     if not ordering.vacate:
         place = F.row_number().over(Window.partitionBy("doc_id").orderBy("day", "act", "seq")) - 1
         return keyed.select("doc_id", "seq", place.cast("long").alias("position"))
-    moment = ["doc_id", "day", "act", "group_id"]
-    groups = keyed.groupBy(*moment).agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("day", "act", "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    based = groups.select(*moment, before.alias("base"))
-    same = [keyed[c].eqNullSafe(based[c]) for c in moment]
-
-    def place_in_group(rows: pa.Table) -> pa.Table:
-        order = applied_order([{**r, "effective": None, "act": None, "group_id": None} for r in rows.to_pylist()], Ordering(vacate=True))
-        places = {k: [o[k] for o in order] for k in ("doc_id", "seq")}
-        return pa.table({**places, "position": [o["base"] + k for k, o in enumerate(order)]}, schema=pa.schema([(n, pa.int64()) for n in ("doc_id", "seq", "position")]))
+    held = keyed.select("doc_id", "seq", "action", "target", "destination", F.col("day").alias("effective"), "act", "group_id")
+    names = held.columns
+
+    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        docs, seqs, positions = [], [], []
+        for doc, group in groupby(rows, key=itemgetter(0)):
+            order = applied_order([dict(zip(names, r, strict=True)) for r in group], ordering)
+            docs += [doc] * len(order)
+            seqs += [o["seq"] for o in order]
+            positions += range(len(order))
+            if len(docs) >= 10_000:
+                yield packed(docs, seqs, positions)
+                docs, seqs, positions = [], [], []
+        if docs:
+            yield packed(docs, seqs, positions)
+
+    def packed(*columns: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "seq", "position"])
 
     ship(ops.sparkSession)
-    joined = keyed.join(based, same).select(keyed["*"], "base")
-    return joined.groupBy(*moment).applyInArrow(place_in_group, POSITIONS)
+    return held.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(places, POSITIONS)
 
 
 def order_conflicts(ops: DataFrame, precedence: DataFrame | None = None) -> DataFrame:

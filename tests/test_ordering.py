@@ -94,3 +94,14 @@ def test_documents_are_folded_one_after_the_other(spark):
         assert {(r["addr"], r["text"]) for r in after.collect()} == {(f"s:{k}", "new" if k in same else "t") for k in range(40)}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_places_of_many_documents_without_a_call_for_each(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", None)
+    rows = [op(k, a, f"s:{k % 3}", f"s:{(k + 1) % 3}" if a == "RENUMBER" else None, None, g, day, act, doc) for doc in (1, 2, None) for k, (a, g, day, act) in enumerate([("RENUMBER", None, None, "b"), ("RENUMBER", "g", "2020-01-01", "a"), ("REPLACE", None, None, "a"), ("REPEAL", None, None, "b"), ("RENUMBER", "g", "2020-01-01", None)])]
+    for by_act in (False, True):
+        ordering = R.Ordering(by_act, vacate=True)
+        got = {(r["doc_id"], r["seq"]): r["position"] for r in R.applied_positions(spark.createDataFrame(rows, OPS), ordering).collect()}
+        assert got == {(doc, o["seq"]): k for doc in (1, 2, None) for k, o in enumerate(R.applied_order([as_dict(r) for r in rows if r[0] == doc], ordering))}
