@@ -1,16 +1,17 @@
 """Dependency graphs of acts: typed and dated edges, closures to a frontier of unknown acts, layers, and cycles.
 
-Each round of a loop is one join and one checkpoint in the shared folder; only counts come to the driver.
+Edges are dealt once; each round of a loop is one join with them and one table in the shared folder. Counts come to the driver, and frontiers that are
+small enough to be sent to the edges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.clauses import clause_ops, parse_clauses
 from palimpsest.functions.preparatory import preparatory_references
-from palimpsest.operators.graph import cut_lineage
+from palimpsest.operators.graph import DealtEdges, Layers, cut_lineage, of_one_type
 
 # The relations that amend.
 RELATIONS = ("amends", "corrects")
@@ -35,49 +36,59 @@ def acquisition_closure(edges: DataFrame, roots: DataFrame, known: DataFrame, de
 
     Only known nodes are expanded, as the needs of the others cannot be read: they are the frontier, what is to be acquired
     next. With ``depth`` known nodes at the last layer are 'unexpanded'. Cycles do no harm."""
-    have = cut_lineage(known.select("node").distinct())
-    steps = edges.filter("src is not null and dst is not null").select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    layer = 0
-    now = cut_lineage(roots.filter("node is not null").select("node").distinct().withColumn("layer", F.lit(0)))
-    seen = now
-    while not now.isEmpty() and (depth is None or layer < depth):
+    have = known.filter("node is not null").select("node").distinct()
+    # only known nodes are expanded, so that the needs of others are not kept
+    steps = edges.filter("src is not null and dst is not null").select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    first, steps = of_one_type(roots.filter("node is not null").select("node"), steps)
+    dealt = DealtEdges(steps.join(have.hint("merge"), "node", "left_semi"), "node", edges.count())
+    layers, layer = Layers(edges.sparkSession), 0
+    now = layers.add(first.distinct(), 0)
+    while (depth is None or layer < depth) and (n := now.count()):
         layer += 1
-        reached = now.join(have, "node", "left_semi").join(steps, "node").select(F.col("next").alias("node")).distinct()
-        now = cut_lineage(reached.join(seen, "node", "left_anti").withColumn("layer", F.lit(layer)))
-        seen = seen.unionByName(now)
+        reached = dealt.of(now, n).select(F.col("next").alias("node")).distinct()
+        now = layers.add(reached.join(layers.all().select("node").hint("merge"), "node", "left_anti"), layer)
+    dealt.drop()
     expanded = F.when((F.col("layer") < depth) if depth is not None else F.lit(True), "expanded").otherwise("unexpanded")
-    return seen.join(have.withColumn("__known", F.lit(True)), "node", "left").select("node", "layer", F.when(F.col("__known").isNotNull(), expanded).otherwise("frontier").alias("state"))
+    return layers.all().join(have.withColumn("__known", F.lit(True)).hint("merge"), "node", "left").select("node", "layer", F.when(F.col("__known").isNotNull(), expanded).otherwise("frontier").alias("state"))
 
 
 def dependency_layers(edges: DataFrame) -> DataFrame:
     """(node, layer, state): every node of ``edges`` (src before dst) with the length of the longest path to it.
 
     Nodes leave once all before them have. Those that never do have no layer: 'cycle' if they lie on a cycle or between two, and
-    'behind_cycle' if they only come after one. There are as many rounds as layers; a round touches the nodes at hand and the degrees of
-    those that they lead to."""
-    pairs = cut_lineage(edges.filter("src is not null and dst is not null").select("src", "dst").distinct())
-    nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-    waits = cut_lineage(nodes.join(pairs.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("open")), "node", "left").fillna(0, ["open"]))
-    done, layer = None, 0
-    now = waits.filter("open = 0").select("node")
-    while True:
-        leaving = cut_lineage(now.withColumn("layer", F.lit(layer)))
-        if leaving.isEmpty():
-            break
-        done = leaving if done is None else done.unionByName(leaving)
-        arrived = leaving.select(F.col("node").alias("src")).join(pairs, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("arrived"))
-        waits = cut_lineage(waits.filter("open > 0").join(arrived, "node", "left").select("node", (F.col("open") - F.coalesce("arrived", F.lit(0))).alias("open")))
-        now, layer = waits.filter("open = 0").select("node"), layer + 1
-    left = waits.filter("open > 0").select("node")
-    rest = left
-    while not rest.isEmpty():  # what leads to none of the rest is not on a cycle
-        inner = pairs.join(rest.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        kept = cut_lineage(rest.join(inner, "node", "left_semi"))
-        if kept.count() == rest.count():
+    'behind_cycle' if they only come after one. There are as many rounds as layers; an edge knows how many its target waits for, so that a round
+    touches the nodes at hand and those that some but not all before them have left."""
+    spark = edges.sparkSession
+    known = edges.filter("src is not null and dst is not null")
+    _, typed = of_one_type(known.select(F.col("src").alias("node")), known.select(F.col("src").alias("node"), F.col("dst").alias("next")))
+    pairs = typed.select(F.col("node").alias("src"), F.col("next").alias("dst")).repartition("dst").distinct()
+    dealt = DealtEdges(pairs.withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("dst"))), "src", edges.count())
+    sources = dealt.rows.select(F.col("src").alias("node")).distinct()
+    targets = dealt.rows.select(F.col("dst").alias("node")).distinct()
+    layers, layer = Layers(spark), 0
+    pending = Layers(spark)
+    leaving = layers.add(sources.join(targets.hint("merge"), "node", "left_anti"), 0)
+    waiting = None
+    while n := leaving.count():
+        layer += 1
+        arrived = dealt.of(leaving.select(F.col("node").alias("src")), n).select(F.col("dst").alias("node"), "need", F.lit(1).cast("long").alias("come"))
+        arrived = arrived if waiting is None else arrived.unionByName(waiting)
+        waiting = pending.add(arrived.groupBy("node").agg(F.max("need").alias("need"), F.sum("come").alias("come")), layer)
+        leaving = layers.add(waiting.filter("come = need").select("node"), layer)
+        waiting = waiting.filter("come < need")
+    placed = layers.all().select("node", "layer", F.lit("layered").alias("state"))
+    nodes = sources.union(targets).distinct()
+    left = cut_lineage(nodes.join(placed.select("node").hint("merge"), "node", "left_anti"))
+    rest, n = left, left.count()
+    while n:  # what leads to none of the rest is not on a cycle
+        inner = dealt.rows.join(rest.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        kept = cut_lineage(rest.join(inner.hint("merge"), "node", "left_semi"))
+        rest, n, before = kept, kept.count(), n
+        if n == before:
             break
-        rest = kept
-    stuck = left.join(rest.withColumn("on", F.lit(True)), "node", "left").select("node", F.lit(None).cast("int").alias("layer"), F.when(F.col("on").isNotNull(), "cycle").otherwise("behind_cycle").alias("state"))
-    placed = stuck.limit(0) if done is None else done.withColumn("state", F.lit("layered"))
+    dealt.drop()
+    pending.drop()
+    stuck = left.join(rest.withColumn("on", F.lit(True)).hint("merge"), "node", "left").select("node", F.lit(None).cast("int").alias("layer"), F.when(F.col("on").isNotNull(), "cycle").otherwise("behind_cycle").alias("state"))
     return placed.unionByName(stuck)
 
 

@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,57 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A frontier of at most so many rows goes to where the edges are; beyond that both sides are dealt by key. Edges are never broadcast.
+FRONTIER_ROWS = 100_000
+#: Rows of an edge table to a bucket, as far as the session's shuffle partitions go.
+BUCKET_ROWS = 200_000
+
+
+class Layers:
+    """The layers of a traversal as one Parquet table in the shared folder, each written once: (columns, layer)."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path = spark, f"{shared_folder(spark)}/layers-{uuid.uuid4().hex}"
+        self.schema = None
+
+    def add(self, df: DataFrame, layer: int) -> DataFrame:
+        self.schema = self.schema or df.schema
+        df.write.parquet(f"{self.path}/layer={layer}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/layer={layer}")
+
+    def drop(self) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def all(self) -> DataFrame:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
+        return self.spark.read.schema(f"{fields}, layer int").parquet(self.path)
+
+
+class DealtEdges:
+    """Distinct edges, written once to the shared folder as a table bucketed and sorted by ``key``, so that no hop deals them again.
+    ``most_rows`` bounds their number."""
+
+    def __init__(self, edges: DataFrame, key: str, most_rows: int) -> None:
+        self.spark, self.key = edges.sparkSession, key
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(1, min(most, most_rows // BUCKET_ROWS + 1))
+        self.name, self.path = f"edges_{uuid.uuid4().hex}", f"{shared_folder(self.spark)}/edges-{uuid.uuid4().hex}"
+        edges.repartition(buckets, key).distinct().write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", self.path).saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
+
+    def of(self, frontier: DataFrame, n: int) -> DataFrame:
+        """The edges whose key is in ``frontier`` (that column, ``n`` distinct rows)."""
+        near = F.broadcast(frontier) if n <= FRONTIER_ROWS else frontier.hint("merge")
+        return self.rows.join(near, self.key)
+
+    def drop(self) -> None:
+        """Once no plan reads them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def breadth_first(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "forward", src: str = "src", dst: str = "dst", limit: int | None = None) -> DataFrame:
     """(node, hops): nodes within ``depth`` hops of ``starts`` (column node), each at its smallest distance."""
     forward = edges.select(F.col(src).alias("node"), F.col(dst).alias("next"))
@@ -46,13 +98,23 @@ def breadth_first(edges: DataFrame, starts: DataFrame, depth: int, direction: st
 def reachable(edges: DataFrame, starts: DataFrame, kinds: Sequence[str] | None = None) -> DataFrame:
     """All nodes reachable over edges of the given kinds; starts count as reachable."""
     used = edges if kinds is None else edges.filter(F.col("kind").isin(*kinds))
-    seen = cut_lineage(starts.select("node").distinct())
-    frontier = seen
-    while not frontier.isEmpty():
-        reached = frontier.join(used.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(reached.join(seen, "node", "left_anti"))
-        seen = seen.unionByName(frontier)  # each hop is a table of its own: what was seen before is not written again
-    return seen
+    steps = used.filter("src is not null").select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    starts, steps = of_one_type(starts.select("node"), steps)
+    dealt = DealtEdges(steps, "node", used.count())
+    layers, hop = Layers(edges.sparkSession), 0
+    frontier = layers.add(starts.distinct(), 0)
+    while n := frontier.count():
+        hop += 1
+        reached, seen = dealt.of(frontier, n).select(F.col("next").alias("node")).distinct(), layers.all().select(F.col("node").alias("seen"))
+        frontier = layers.add(reached.join(seen.hint("merge"), reached["node"].eqNullSafe(seen["seen"]), "left_anti"), hop)
+    dealt.drop()
+    return layers.all().select("node")
+
+
+def of_one_type(starts: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node) and (node, next) with all nodes of the type that holds them."""
+    kind = starts.union(steps.select("node")).union(steps.select("next")).schema["node"].dataType
+    return starts.select(F.col("node").cast(kind)), steps.select(F.col("node").cast(kind), F.col("next").cast(kind))
 
 
 def follow_renames(addresses: DataFrame, migrations: DataFrame) -> DataFrame:

@@ -39,6 +39,23 @@ def test_layers_and_cycles(spark):
     assert C.dependency_layers(spark.createDataFrame([], "src string, dst string")).count() == 0
 
 
+def test_edges_are_dealt_once_and_never_broadcast(spark, monkeypatch):
+    """Frontiers beyond the bound meet bucketed edges: the plan of a hop deals the frontier only. Small ones are broadcast, edges are not."""
+    from palimpsest.operators import graph as G
+
+    edges = spark.range(40).selectExpr("cast(id as int) as node", "2 * id + 1 as next").repartition(3)
+    dealt = G.DealtEdges(edges, "node", 40)
+    few = spark.range(5).selectExpr("cast(id as int) as node").repartition(2)
+    plan = lambda n: dealt.of(few, n)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan(5) and "BuildRight" in plan(5)
+    assert "SortMergeJoin" in plan(G.FRONTIER_ROWS + 1) and "Broadcast" not in plan(G.FRONTIER_ROWS + 1)
+    assert sorted(map(tuple, dealt.of(few, 10**9).collect())) == sorted(map(tuple, dealt.of(few, 5).collect())) == [(k, 2 * k + 1) for k in range(5)]
+    dealt.drop()
+    monkeypatch.setattr(G, "FRONTIER_ROWS", 0)
+    chain = spark.createDataFrame([(1, 2), (2, None), (2, 1)], "src int, dst long")
+    assert sorted((r[0] for r in G.reachable(chain, spark.createDataFrame([(2,)], "node int")).collect()), key=str) == [1, 2, None]
+
+
 DAYS = [f"{y}-{m:02d}-01" for y in range(1990, 2040) for m in (1, 4, 9)]
 
 
