@@ -6,6 +6,8 @@ length times bound and not length squared.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,30 +130,67 @@ def divergence_reason(replay: Column, oracle: Column, blamed: Column) -> Column:
 
 # ---------------------------------------------------------------- canonical form
 
+
+def each(text: Column, finds: str | list[str], put: str) -> Column:
+    """``text`` with each of the strings replaced: plain search costs a fraction of a pattern, most of all where nothing is found."""
+    return reduce(lambda t, find: F.replace(t, F.lit(find), F.lit(put)), finds, text)
+
+
+def single_spaces(text: Column) -> Column:
+    spaced = each(text, "\t\n\x0b\f\r\u00a0\u2007\u202f", " ")
+    return F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
+
+
+def closed_marks(text: Column) -> Column:
+    """No space before a mark; there is one at most."""
+    return reduce(lambda t, mark: each(t, [f" {mark}"], mark), ",.;:!?)", text)
+
+
+def section_sign(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("§")), F.regexp_replace(text, r"(\d[a-zåäö]?)\s*§", "$1 §")).otherwise(text)
+
+
 #: What the canonical form rewrites, in order; each has a name that says so where it fires.
 CANONICAL = (
-    ("soft_hyphen", "­", ""), ("spaces", r"[\s   ]+", " "), ("dashes", r"[‐‑‒–—―]", "-"), ("double_quotes", "[“”„«»]", '"'), ("single_quotes", "[‘’‚`´]", "'"), ("space_before_mark", r" +([,.;:!?)])", "$1"), ("section_sign", r"(\d[a-zåäö]?)\s*§", "$1 §"),
+    ("soft_hyphen", lambda t: each(t, "\u00ad", "")), ("spaces", single_spaces), ("dashes", lambda t: each(t, "‐‑‒–—―", "-")), ("double_quotes", lambda t: each(t, "“”„«»", '"')), ("single_quotes", lambda t: each(t, "‘’‚`´", "'")), ("space_before_mark", closed_marks), ("section_sign", section_sign),
 )
 
+#: A label, NUL and a text: the label, NUL and what the text says of the label at its beginning. One pattern serves all labels; one made of the row's label
+#: would be compiled for each row.
+SECTION_LABEL = r"(?i)^([^\x00]+)\x00(?:\s*\1\s*§[.:]?\s*)?"
+ITEM_LABEL = r"(?i)^([^\x00]+)\x00(?:\s*\1\s*\)\s*)?"
+
+
+def without_label(text: Column, label: Column, kind: Column) -> Column:
+    """``text`` without the label, and its "§" or ")", that it begins with. Neither text nor label is null."""
+    labelled = F.concat(label, F.lit("\0"), text)
+    # a label with NUL cannot be told from the text behind it by the patterns
+    quoted = F.regexp_replace(label, r"([^A-Za-z0-9åäöÅÄÖ ])", r"\\$1")
+    behind = F.when(kind == "section", r"\s*§[.:]?\s*").otherwise(r"\s*\)\s*")
+    return (
+        F.when((label == "") | ~F.contains(text, F.when(kind == "section", "§").otherwise(")")), text)
+        .when(F.contains(label, F.lit("\0")), F.regexp_replace(text, F.concat(F.lit(r"(?i)^\s*"), quoted, behind), F.lit("")))
+        .when(kind == "section", F.regexp_replace(labelled, SECTION_LABEL, "")).otherwise(F.regexp_replace(labelled, ITEM_LABEL, ""))
+    )
+
 
 def canonical_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes (doc_id, addr, kind, label, text, status) with ``canonical``, ``fired`` and ``occupancy``.
 
     The text loses what its label says already (a leading "3 §" of section 3, "2)" of item 2), and differences of typography; ``fired`` names each
     rule that changed it. The form is idempotent. occupancy: tombstone, empty (no letter or digit) or substantive."""
-    label = F.regexp_replace(F.coalesce("label", F.lit("")), r"([^A-Za-z0-9åäöÅÄÖ ])", r"\\$1")
-    prefix = F.when(F.col("kind") == "section", F.concat(F.lit("(?i)^\\s*"), label, F.lit("\\s*§[.:]?\\s*"))).otherwise(F.concat(F.lit("(?i)^\\s*"), label, F.lit("\\s*\\)\\s*")))
     text = F.coalesce("text", F.lit(""))
-    elided = F.when(F.coalesce("label", F.lit("")) != "", F.regexp_replace(text, prefix, F.lit(""))).otherwise(text)
+    elided = without_label(text, F.coalesce("label", F.lit("")), F.col("kind"))
     steps = nodes.withColumn("__t0", text).withColumn("__t1", elided)
     names = ["label_prefix"]
-    for k, (name, pattern, to) in enumerate(CANONICAL):
-        steps = steps.withColumn(f"__t{k + 2}", F.regexp_replace(f"__t{k + 1}", pattern, to))
+    for k, (name, rule) in enumerate(CANONICAL):
+        steps = steps.withColumn(f"__t{k + 2}", rule(F.col(f"__t{k + 1}")))
         names.append(name)
     last = f"__t{len(CANONICAL) + 1}"
     fired = F.array_compact(F.array(*(F.when(F.col(f"__t{k}") != F.col(f"__t{k + 1}"), name) for k, name in enumerate(names))))
     done = steps.withColumn("canonical", F.trim(last)).withColumn("fired", fired)
-    occupancy = F.when(F.col("status") == "tombstone", "tombstone").when(~F.col("canonical").rlike(r"[\p{L}\p{N}]"), "empty").otherwise("substantive")
+    # no rule of typography adds or takes a letter or digit, so a filter on occupancy does not evaluate them
+    occupancy = F.when(F.col("status") == "tombstone", "tombstone").when(~F.col("__t1").rlike(r"[\p{L}\p{N}]"), "empty").otherwise("substantive")
     return done.withColumn("occupancy", occupancy).drop(*(f"__t{k}" for k in range(len(CANONICAL) + 2)))
 
 

@@ -33,9 +33,10 @@ r AS (SELECT *, q % 10 <> 0 AS in_l, q % 7 <> 0 AS in_r FROM n)
 SELECT doc_id, 's:' || n AS addr, CASE WHEN NOT in_l THEN 'missing_left' WHEN NOT in_r THEN 'missing_right' WHEN q % 11 = 0 THEN 'kind' ELSE 'text' END AS residual FROM r WHERE (in_l OR in_r) AND NOT (in_l AND in_r AND q % 11 <> 0 AND q % 3 <> 0)""")
 def canonical_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the differences between two sides once labels and typography are set aside."""
-    n = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").cast("int").alias("q"), F.max("l_returnflag").alias("f"))
-    label, q = F.col("n").cast("string"), F.col("q")
-    base = n.select("doc_id", "q", "f", F.concat(F.lit("s:"), label).alias("addr"), label.alias("label"), F.lit("section").alias("kind"))
+    # grouped by the keys of the comparison: it needs no shuffle and no sort of its own
+    n = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("s:"), F.col("l_linenumber").cast("string")).alias("addr")).agg(F.max("l_quantity").cast("int").alias("q"), F.max("l_returnflag").alias("f"))
+    q = F.col("q")
+    base = n.select("doc_id", "q", "f", "addr", F.substring("addr", 3, 20).alias("label"), F.lit("section").alias("kind"))
     left = base.select("doc_id", "addr", "kind", "label", F.concat("label", F.lit(" §.  Flag “"), "f", F.lit("” – of  line , it says")).alias("text"), F.when(q % 10 == 0, "tombstone").otherwise("live").alias("status"))
     right = base.select("doc_id", "addr", F.when(q % 11 == 0, "part").otherwise("section").alias("kind"), "label", F.concat(F.lit('Flag "'), "f", F.lit('" - of line, it '), F.when(q % 3 == 0, "tells").otherwise("says")).alias("text"), F.when(q % 7 == 0, "tombstone").otherwise("live").alias("status"))
     return D.canonical_residuals(D.canonical_nodes(left), D.canonical_nodes(right)).select("doc_id", "addr", "residual")

@@ -73,6 +73,37 @@ def test_canonical_form(spark):
     assert {(r["addr"], r["residual"]) for r in D.canonical_residuals(a, b).collect()} == {("s:3/i:2", "text"), ("s:6", "missing_right"), ("s:9", "missing_left"), ("s:7", "kind")}
 
 
+def test_canonical_form_against_patterns(spark):
+    """Labels and typography at random against one pattern a rule, with a prefix compiled for each label."""
+    white = "[ \t\n\x0b\f\r]*"
+    rules = [("soft_hyphen", "\u00ad", ""), ("spaces", "[ \t\n\x0b\f\r\u00a0\u2007\u202f]+", " "), ("dashes", "[‐‑‒–—―]", "-"), ("double_quotes", "[“”„«»]", '"'), ("single_quotes", "[‘’‚`´]", "'"), ("space_before_mark", r" +([,.;:!?)])", r"\1"), ("section_sign", rf"([0-9][a-zåäö]?){white}§", r"\1 §")]
+    r, rows, expected = random.Random(5), [], {}
+    labels = ["3", "3 a", "A.1", " 3", "Ä", "a\x00b", "x\\d", "", None, "K"]
+    for k in range(1500):
+        label, kind = r.choice(labels), r.choice(["section", "item", None])
+        said = r.choice([label or "", (label or "").swapcase(), "3", "\u212a"])
+        text = r.choice(["", " ", "\t  "]) + said + r.choice(["", " ", "\n"]) + r.choice(["§", "§.", ")", ""]) + "".join(r.choice("ab9 5§  ,.:)\t\n\x0b\u00ad\u00a0\u2007\u202f‐―“»‘`´-") for _ in range(r.randint(0, 14)))
+        rows.append((k, f"n{k}", kind, label, text, "live"))
+        mark = rf"{white}§[.:]?{white}" if kind == "section" else rf"{white}\){white}"
+        steps = [text, re.sub(rf"(?ai)\A{white}{re.escape(label)}{mark}", "", text, count=1) if label else text]
+        names = ["label_prefix"]
+        for name, pattern, to in rules:
+            steps.append(re.sub(pattern, to, steps[-1]))
+            names.append(name)
+        letters = any(c.isalnum() for c in steps[-1])
+        expected[k] = (steps[-1].strip(" "), [n for n, a, b in zip(names, steps, steps[1:]) if a != b], "substantive" if letters else "empty")
+    got = {x["doc_id"]: (x["canonical"], x["fired"], x["occupancy"]) for x in D.canonical_nodes(spark.createDataFrame(rows, NODES)).collect()}
+    assert got == expected and {n for _, fired, _ in expected.values() for n in fired} == {"label_prefix", *(n for n, _, _ in rules)}
+
+
+def test_canonical_form_is_evaluated_once_and_compared_where_it_is_grouped(spark):
+    from palimpsest.plans.divergence_queries import canonical_residuals
+
+    plan = canonical_residuals(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count(r"(\d[a-zåäö]?)\s*§") == 2
+    assert plan.sparkPlan().toString().count("SortMergeJoin") == 1 and plan.executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
 VERSION = "addr string, source string, effective string, enacted string, expires string, variant string, applicability string, shape string, content string, pos int"
 
 
