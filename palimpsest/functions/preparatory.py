@@ -3,9 +3,13 @@ Official Journal, typed out of one block of text, with whatever is none of them
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import _let
+
 # How preparatory works are cited. Of each kind the pattern, with its parts in groups.
 HE = r"HE\s+(\d{1,4})/(\d{4})(?:\s+vp)?"
 COMMITTEE = r"([A-ZÅÄÖ][a-zåäö]{0,3}V[ML])\s+(\d{1,4})/(\d{4})(?:\s+vp)?"
@@ -19,44 +23,86 @@ _NAMED = (("he", HE), ("committee", COMMITTEE), ("response", RESPONSE), ("initia
 _ANY = "|".join(rf"\b(?:{p})\b" if name in ("he", "committee", "response", "initiative", "celex") else f"(?:{p})" for name, p in _NAMED)
 
 
-def _typed(raw: Column) -> Column:
-    """The fields of one citation."""
-    whole = lambda p: raw.rlike(f"^(?:{p})$")
-    part = lambda p, k: F.nullif(F.regexp_extract(raw, f"^(?:{p})$", k), F.lit(""))
-    number = lambda p, k: part(p, k).cast("int")
-    act = whole(EU_ACT)
-    # since 2015 the year comes first, before that it was the other way round
-    first, second = number(EU_ACT, 2), number(EU_ACT, 3)
-    year_first = first >= 2015
-    eu_year = F.when(act, F.when(year_first, first).when(second < 100, 1900 + second).otherwise(second)).when(whole(CELEX), number(CELEX, 1))
-    eu_number = F.when(act, F.when(year_first, second).otherwise(first)).when(whole(CELEX), number(CELEX, 3))
-    named = part(EU_ACT, 1)
-    form = F.when(named == "direktiivi", "L").when(named == "asetus", "R").when(named == "päätös", "D").otherwise(part(CELEX, 2))
-    celex = F.when(form.isNotNull() & eu_year.isNotNull(), F.concat(F.lit("3"), eu_year.cast("string"), form, F.lpad(eu_number.cast("string"), 4, "0")))
-    kind = (
-        F.when(whole(HE), "he").when(whole(COMMITTEE), F.when(part(COMMITTEE, 1).endswith("VM"), "committee_report").otherwise("committee_opinion")).when(whole(RESPONSE), F.when(part(RESPONSE, 1) == "EVK", "parliament_response_comm").otherwise("parliament_response"))
-        .when(whole(INITIATIVE), "law_initiative").when(whole(JOURNAL), "oj_reference").when(form == "L", "eu_directive").when(form == "D", "eu_decision").otherwise("eu_regulation")
-    )
-    slashed = lambda name, p, k: F.concat(name, F.lit(" "), number(p, k).cast("string"), F.lit("/"), part(p, k + 1))
-    journal = F.concat_ws(" ", F.lit("EUVL"), part(JOURNAL, 1), number(JOURNAL, 2).cast("string"))
-    unnamed = F.concat(F.lit("EU "), eu_year.cast("string"), F.lit("/"), eu_number.cast("string"))
-    canonical = (
-        F.when(whole(HE), slashed(F.lit("HE"), HE, 1)).when(whole(COMMITTEE), slashed(part(COMMITTEE, 1), COMMITTEE, 2)).when(whole(RESPONSE), slashed(part(RESPONSE, 1), RESPONSE, 2)).when(whole(INITIATIVE), slashed(F.lit("LA"), INITIATIVE, 1))
-        .when(whole(JOURNAL), journal).otherwise(F.coalesce(celex, unnamed))
+def _whole(raw: Column, pattern: str) -> Column:
+    return raw.rlike(f"^(?:{pattern})$")
+
+
+def _part(raw: Column, pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(raw, f"^(?:{pattern})$", group), F.lit(""))
+
+
+def _number(raw: Column, pattern: str, group: int) -> Column:
+    return _part(raw, pattern, group).cast("int")
+
+
+def _eu(raw: Column) -> Column:
+    """form, year, number and celex of an EU act; null fields for anything else."""
+    number = lambda p, k: F.regexp_extract(raw, f"^(?:{p})$", k).cast("int")
+    of = lambda form, year, n: F.struct(form.alias("form"), year.alias("year"), n.alias("number"))
+    form = F.when(raw.startswith("direktiivi"), "L").when(raw.startswith("asetus"), "R").when(raw.startswith("päätös"), "D")
+
+    def act(p: Column) -> Column:
+        # since 2015 the year comes first, before that it was the other way round
+        first, second = p["first"], p["second"]
+        return of(form, F.when(first >= 2015, first).when(second < 100, 1900 + second).otherwise(second), F.when(first >= 2015, second).otherwise(first))
+
+    parts = F.when(_whole(raw, EU_ACT), _let(F.struct(number(EU_ACT, 2).alias("first"), number(EU_ACT, 3).alias("second")), act)).when(_whole(raw, CELEX), of(_part(raw, CELEX, 2), number(CELEX, 1), number(CELEX, 3)))
+    celex = lambda e: F.when(e["form"].isNotNull() & e["year"].isNotNull(), F.concat(F.lit("3"), e["year"].cast("string"), e["form"], F.lpad(e["number"].cast("string"), 4, "0")))
+    return _let(parts, lambda e: F.struct(e["form"].alias("form"), e["year"].alias("year"), e["number"].alias("number"), celex(e).alias("celex")))
+
+
+def _named(raw: Column) -> Column:
+    """kind and canonical_id of one citation. A citation is read for its own kind only, and its name is what its pattern leaves, without leading zeros."""
+    of = lambda kind, name: F.struct(kind.alias("kind"), name.alias("canonical_id"))
+    name = lambda p, put: F.regexp_replace(raw, "^(?:" + p.replace(r"(\d{1,4})", r"0*(\d{1,4})", 1) + ")$", put)
+
+    def act(e: Column) -> Column:
+        unnamed = F.concat(F.lit("EU "), e["year"].cast("string"), F.lit("/"), e["number"].cast("string"))
+        return of(F.when(e["form"] == "L", "eu_directive").when(e["form"] == "D", "eu_decision").otherwise("eu_regulation"), F.coalesce(e["celex"], unnamed))
+
+    return (
+        F.when(_whole(raw, HE), of(F.lit("he"), name(HE, "HE $1/$2")))
+        .when(_whole(raw, COMMITTEE), of(F.when(F.contains(raw, F.lit("VM")), "committee_report").otherwise("committee_opinion"), name(COMMITTEE, "$1 $2/$3")))
+        .when(_whole(raw, RESPONSE), of(F.when(raw.startswith("EVK"), "parliament_response_comm").otherwise("parliament_response"), name(RESPONSE, "$1 $2/$3")))
+        .when(_whole(raw, INITIATIVE), of(F.lit("law_initiative"), name(INITIATIVE, "LA $1/$2")))
+        .when(_whole(raw, JOURNAL), of(F.lit("oj_reference"), name(JOURNAL, "EUVL $1 $2")))
+        .otherwise(_let(_eu(raw), act))
     )
-    vague = (act & form.isNull()) | (whole(JOURNAL) & part(JOURNAL, 3).isNull())
-    return F.struct(
-        kind.alias("kind"), canonical.alias("canonical_id"), raw.alias("raw_text"), part(COMMITTEE, 1).alias("committee_abbrev"), number(HE, 2).alias("he_year"), number(HE, 1).alias("he_number"), form.alias("eu_form"), celex.alias("celex"), eu_number.alias("eu_number"), eu_year.alias("eu_year"),
-        part(JOURNAL, 1).alias("oj_series"), F.date_format(F.try_to_date(part(JOURNAL, 3), "d.M.yyyy"), "yyyy-MM-dd").alias("oj_date"), number(JOURNAL, 2).alias("oj_number"), number(JOURNAL, 4).alias("oj_page"), F.when(vague, "approximate").otherwise("exact").alias("confidence"),
+
+
+def _found(text: Column) -> Column:
+    """The citations of a text, as they are written."""
+    return F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))
+
+
+def _squashed(text: Column) -> Column:
+    spaced = reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in ("  ", "\t", "\n", "\x0b", "\f", "\r")))
+    return F.trim(F.when(spaced, F.regexp_replace(text, r"\s+", " ")).otherwise(text))
+
+
+def named_works(text: Column) -> Column:
+    """kind and canonical_id of the references of a text in their order, as those of :func:`preparatory_references`; null text has null.
+
+    They are read expression by expression: one generated method for all fields of a reference is longer than the JVM compiles, and would be interpreted."""
+    return F.transform(_found(_squashed(text)), lambda raw: _let(F.trim(raw), _named))
+
+
+def _typed(found: DataFrame, key: str) -> DataFrame:
+    """The fields of citations (nth, raw). Their names and what they have of EU acts are evaluated once, by a step of their own."""
+    raw, e = F.col("raw"), lambda name: F.col("__e")[name]
+    vague = (_whole(raw, EU_ACT) & e("form").isNull()) | (_whole(raw, JOURNAL) & _part(raw, JOURNAL, 3).isNull())
+    return found.select(key, "nth", "raw", _named(raw).alias("__n"), _eu(raw).alias("__e")).select(
+        key, "nth", F.coalesce(F.col("__n")["kind"], F.lit("eu_regulation")).alias("kind"), F.col("__n")["canonical_id"].alias("canonical_id"), raw.alias("raw_text"), _part(raw, COMMITTEE, 1).alias("committee_abbrev"), _number(raw, HE, 2).alias("he_year"), _number(raw, HE, 1).alias("he_number"),
+        e("form").alias("eu_form"), e("celex").alias("celex"), e("number").alias("eu_number"), e("year").alias("eu_year"), _part(raw, JOURNAL, 1).alias("oj_series"), F.date_format(F.try_to_date(_part(raw, JOURNAL, 3), "d.M.yyyy"), "yyyy-MM-dd").alias("oj_date"),
+        _number(raw, JOURNAL, 2).alias("oj_number"), _number(raw, JOURNAL, 4).alias("oj_page"), F.when(vague, "approximate").otherwise("exact").alias("confidence"),
     )
 
 
 def preparatory_references(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(references, rejected) of texts: references in their order (nth from 0) with their typed fields, and what stands between them and holds a letter
     or a digit. An EU act whose kind is not named counts as a regulation, and like a journal without date, as approximate. Null text has neither."""
-    squashed = F.trim(F.regexp_replace(F.col(text), r"\s+", " "))
-    base = docs.select(key, squashed.alias("__t"))
-    rows = base.select(key, F.posexplode(F.regexp_extract_all("__t", F.lit(_ANY), F.lit(0))).alias("nth", "raw")).select(key, F.col("nth").cast("long").alias("nth"), F.trim("raw").alias("raw"))
-    references = rows.select(key, "nth", _typed(F.col("raw")).alias("r")).select(key, "nth", "r.*")
+    base = docs.select(key, _squashed(F.col(text)).alias("__t"))
+    rows = base.select(key, F.posexplode(_found(F.col("__t"))).alias("nth", "raw")).select(key, F.col("nth").cast("long").alias("nth"), F.trim("raw").alias("raw"))
+    references = _typed(rows, key)
     between = base.select(key, F.explode(F.split("__t", _ANY)).alias("candidate")).withColumn("candidate", F.regexp_replace("candidate", r"^[\s,;.()]+|[\s,;.()]+$", ""))
     return references, between.filter(F.col("candidate").rlike(r"[\p{L}\p{N}]"))

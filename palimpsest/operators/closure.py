@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.clauses import clause_ops, parse_clauses
-from palimpsest.functions.preparatory import preparatory_references
-from palimpsest.operators.graph import DealtEdges, Layers, cut_lineage, of_one_type
+from palimpsest.functions.clauses import clause_ops, ordered_statutes, parse_clauses
+from palimpsest.functions.preparatory import named_works, preparatory_references
+from palimpsest.operators.graph import FRONTIER_ROWS, DealtEdges, Layers, cut_lineage, of_one_type
 
 # The relations that amend.
 RELATIONS = ("amends", "corrects")
@@ -98,17 +98,28 @@ def text_edges(texts: DataFrame, key: str, clause: str, preparatory: str, acts:
 
     Edges (key, relation, target, n, resolved): ``resolved`` says whether ``acts`` (column act) has the target; EU acts and proposals are outside of it and
     stay null. Failures (key, stage, detail): words that no rule of the clause grammar takes, and what stands among preparatory works and is none.
-    With ``both`` the parsed clauses are checkpointed, for callers that read edges and failures; otherwise each side parses for itself what it reads."""
+    Edges come out of one pass over the texts, and are counted by key: nothing is dealt where the texts lie by key. With ``both`` the parsed clauses are
+    checkpointed, for callers that read edges and failures; otherwise each side reads for itself what it needs, edges only the clauses that may cite."""
     parsed = cut_lineage(parse_clauses(texts, key, clause, ("ops", "leftovers"))) if both else None
-    side = lambda kind: parsed if parsed is not None else parse_clauses(texts, key, clause, (kind,))
-    of_ops = clause_ops(side("ops"), key).filter("statute is not null").groupBy(key, F.col("statute").alias("target")).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("action") == "REPEAL").alias("only"))
-    amends = of_ops.select(key, F.when(F.col("only"), "repeals").otherwise("amends").alias("relation"), "target", "n")
-    works, rejected = preparatory_references(texts, key, preparatory)
-    relation = F.when(F.col("kind") == "eu_directive", "implements").when(F.col("kind").isin("eu_regulation", "eu_decision", "oj_reference"), "cites").otherwise("prepared_by")
-    prepared = works.groupBy(key, relation.alias("relation"), F.col("canonical_id").alias("target")).agg(F.count(F.lit(1)).alias("n"))
-    cited = texts.select(key, F.explode(F.regexp_extract_all(F.col(clause), F.lit(r"\b(\d{1,4}/\d{4})\b"), F.lit(1))).alias("target")).groupBy(key, "target").agg(F.count(F.lit(1)).alias("n"))
-    others = cited.join(amends.select(key, "target"), [key, "target"], "left_anti").select(key, F.lit("cites").alias("relation"), "target", "n")
-    domestic = amends.unionByName(others).join(acts.select(F.col("act").alias("target")).distinct().withColumn("known", F.lit(True)), "target", "left").select(key, "relation", "target", "n", F.coalesce("known", F.lit(False)).alias("resolved"))
-    edges = domestic.unionByName(prepared.withColumn("resolved", F.lit(None).cast("boolean")))
-    words = side("leftovers").filter("leftover is not null").select(key, F.lit("clause").alias("stage"), F.concat_ws(": ", "reason", "leftover").alias("detail"))
+    none = lambda kind: F.lit(None).cast(kind)
+    edge = lambda relation, target, ops, only: F.struct(relation.alias("relation"), target.alias("target"), ops.alias("ops"), only.alias("only"))
+    order, block = F.coalesce(clause, F.lit("")), F.coalesce(preparatory, F.lit(""))
+    # of the domestic ones the relation is open until a statute's ops and citations have met
+    numbers = F.when(F.contains(order, F.lit("/")), F.regexp_extract_all(order, F.lit(r"\b(\d{1,4}/\d{4})\b"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    cited = F.transform(numbers, lambda t: edge(none("string"), t, none("long"), none("boolean")))
+    relation = lambda kind: F.when(kind == "eu_directive", "implements").when(kind.isin("eu_regulation", "eu_decision", "oj_reference"), "cites").otherwise("prepared_by")
+    prepared = F.transform(named_works(block), lambda w: edge(relation(w["kind"]), w["canonical_id"], none("long"), none("boolean")))
+    ordered = [] if both else [F.transform(ordered_statutes(texts.sparkSession, order), lambda s: edge(none("string"), s["statute"], s["ops"], s["only_repeals"]))]
+    told = texts.select(key, F.explode(F.concat(*ordered, cited, prepared)).alias("e")).select(key, "e.*")
+    if parsed is not None:
+        told = told.unionByName(clause_ops(parsed, key).filter("statute is not null").select(key, edge(none("string"), F.col("statute"), F.lit(1).cast("long"), F.col("action") == "REPEAL").alias("e")).select(key, "e.*"))
+    counted = told.groupBy(key, "relation", "target").agg(F.coalesce(F.sum("ops"), F.count(F.lit(1))).alias("n"), F.min("only").alias("only"))
+    known = acts.filter("act is not null").select(F.col("act").alias("target")).distinct().withColumn("known", F.lit(True))
+    near = F.broadcast(known) if known.count() <= FRONTIER_ROWS else known
+    domestic = F.col("relation").isNull()
+    edges = counted.join(near, "target", "left").select(
+        key, F.when(~domestic, F.col("relation")).when(F.col("only"), "repeals").when(~F.col("only"), "amends").otherwise("cites").alias("relation"), "target", "n", F.when(domestic, F.coalesce("known", F.lit(False))).alias("resolved"))
+    left = parsed if parsed is not None else parse_clauses(texts, key, clause, ("leftovers",))
+    words = left.filter("leftover is not null").select(key, F.lit("clause").alias("stage"), F.concat_ws(": ", "reason", "leftover").alias("detail"))
+    rejected = preparatory_references(texts, key, preparatory)[1]
     return edges, words.unionByName(rejected.select(key, F.lit("preparatory").alias("stage"), F.col("candidate").alias("detail")))

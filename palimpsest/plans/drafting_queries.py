@@ -18,22 +18,23 @@ l AS (SELECT DISTINCT l_orderkey AS id, CASE l_returnflag WHEN 'A' THEN 'REPEAL'
 x AS (SELECT *, 'section:' || s AS sec, CASE WHEN action = 'REPLACE' AND m = 1 THEN 'heading' END AS facet FROM l)"""
 
 
-def order_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text): each order as an amendment clause. Its line items are the targets: returned ones are repealed, others replaced or, with the
+def order_clauses(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    """(id, text), and columns ``more`` of orders: each order as an amendment clause. Its line items are the targets: returned ones are repealed, others replaced or, with the
     renumbering that follows from it, inserted; shipped ones name items. Urgent orders have a word that is no part of the grammar."""
-    line = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_returnflag", (F.col("l_partkey") % 90 + 1).cast("string").alias("s"), F.col("l_linenumber").alias("m"), (F.col("l_linestatus") == "F").alias("deep")).distinct()
+    line = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_returnflag", (F.col("l_partkey") % 90 + 1).alias("s"), F.col("l_linenumber").alias("m"), (F.col("l_linestatus") == "F").alias("deep"))
+    line = line.repartition("id").distinct()  # dealt once: all that follows goes by id
     m = F.col("m").cast("string")
     inside = F.when(F.col("deep"), F.concat(F.lit(" §:n "), m, F.lit(" momentin 2 ja 4 kohta"))).otherwise(F.concat(F.lit(" §:n "), m, F.lit("–"), (F.col("m") + 1).cast("string"), F.lit(" momentti")))
     heading = (F.col("l_returnflag") == "N") & (F.col("m") == 1)
     new = F.concat(F.lit(" §:ään uusi "), m, F.lit(" momentti, jolloin nykyinen "), m, F.lit(" momentti siirtyy "), (F.col("m") + 1).cast("string"), F.lit(" momentiksi"))
-    target = F.concat("s", F.when(heading, F.lit(" §:n otsikko")).when(F.col("l_returnflag") == "R", new).otherwise(inside))
+    target = F.concat(F.col("s").cast("string"), F.when(heading, F.lit(" §:n otsikko")).when(F.col("l_returnflag") == "R", new).otherwise(inside))
     verb = F.when(F.col("l_returnflag") == "A", "kumotaan").when(F.col("l_returnflag") == "N", "muutetaan").otherwise("lisätään")
-    groups = line.groupBy("id", verb.alias("verb")).agg(F.array_join(F.array_sort(F.collect_list(target)), ", ").alias("targets"))
-    texts = groups.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "verb", "targets"))), " sekä ").alias("text"))
-    orders = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority", "o_orderstatus")
+    group = lambda v: F.when(F.count_if(verb == v) > 0, F.concat_ws(" ", F.lit(v), F.array_join(F.sort_array(F.collect_list(F.when(verb == v, target))), ", ")))
+    texts = line.groupBy("id").agg(F.concat_ws(" sekä ", *(group(v) for v in ("kumotaan", "lisätään", "muutetaan"))).alias("text"))
+    orders = t(spark, sf_dir, "orders")
     lead = F.when(F.col("o_orderpriority") == "1-URGENT", "kiireellisesti ").otherwise("")
     cite = F.concat(F.lit("annetun lain ("), (F.col("id") % 900 + 1).cast("string"), F.lit("/1999) "))
-    return texts.join(orders, "id").select("id", F.concat(lead, F.when(F.col("o_orderstatus") == "F", cite).otherwise(""), "text", F.lit(" seuraavasti:")).alias("text"))
+    return texts.join(orders, F.col("id") == F.col("o_orderkey")).select("id", F.concat(lead, F.when(F.col("o_orderstatus") == "F", cite).otherwise(""), "text", F.lit(" seuraavasti:")).alias("text"), *(c.alias(name) for name, c in more.items()))
 
 
 @query(f"""
@@ -56,9 +57,9 @@ def clause_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def act_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(texts, acts): orders as acts with a clause that amends another and a block of preparatory works; two thirds of the acts amended are known."""
-    from palimpsest.plans.policy_queries import works
+    from palimpsest.plans.policy_queries import works_text
 
-    texts = order_clauses(spark, sf_dir).withColumnRenamed("text", "clause").join(works(spark, sf_dir).withColumnRenamed("text", "works"), "id")
+    texts = order_clauses(spark, sf_dir, works=works_text()).withColumnRenamed("text", "clause")
     n = F.col("o_orderkey") % 900 + 1
     acts = t(spark, sf_dir, "orders").filter(n % 3 != 0).select(F.concat(n.cast("string"), F.lit("/1999")).alias("act")).distinct()
     return texts, acts

@@ -86,13 +86,18 @@ def effect_lowering(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREPARATORY_SQL = "o AS (SELECT o_orderkey AS id, o_orderkey % 300 + 1 AS n, 2000 + o_custkey % 20 AS y, o_orderkey % 12 + 1 AS m, o_orderstatus AS s, o_orderkey % 2 = 0 AS even FROM orders)"
 
 
-def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text): each order as a block of preparatory works."""
+def works_text() -> Column:
+    """An order as a block of preparatory works."""
     text = lambda c: c.cast("string")
     n, y, m = text(F.col("o_orderkey") % 300 + 1), text(2000 + F.col("o_custkey") % 20), text(F.col("o_orderkey") % 12 + 1)
     committee = F.when(F.col("o_orderstatus") == "F", "HaVM").when(F.col("o_orderstatus") == "O", "PeVL").otherwise("EV")
     act = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("direktiivi (EY) N:o "), n, F.lit("/"), y)).otherwise(F.concat(F.lit("("), F.lit("EY) "), n, F.lit("/"), y))
-    return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("HE "), n, F.lit("/"), y, F.lit(" vp, "), committee, F.lit(" "), m, F.lit("/"), y, F.lit(" vp, "), act, F.lit("; EUVL L "), n, F.lit(", "), m, F.lit("."), m, F.lit("."), y, F.lit(", s. "), m, F.lit(", muistio "), m).alias("text"))
+    return F.concat(F.lit("HE "), n, F.lit("/"), y, F.lit(" vp, "), committee, F.lit(" "), m, F.lit("/"), y, F.lit(" vp, "), act, F.lit("; EUVL L "), n, F.lit(", "), m, F.lit("."), m, F.lit("."), y, F.lit(", s. "), m, F.lit(", muistio "), m)
+
+
+def works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): each order as a block of preparatory works."""
+    return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), works_text().alias("text"))
 
 
 @query(f"""

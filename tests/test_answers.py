@@ -39,6 +39,22 @@ def test_text_edges(spark):
     assert {(r["id"], r["stage"], r["detail"]) for r in failures.collect()} >= {(1, "preparatory", "ja muistio"), (1, "clause", "unknown_word: katso")}
 
 
+def test_text_edges_come_out_of_one_pass(spark):
+    """One reading of the texts, and of their clauses those that may cite; what a key's texts say is counted together, with parsed clauses kept or not."""
+    rows = [
+        (1, "kumotaan lain (5/1999) 3 § ja katso 7/2001 ja 7/2001 sekä 5/1999", "HE 1/2000, HE 01/2000 vp ja muistio"), (1, "muutetaan lain (5/1999) 3 ja 4 §", None), (2, "kumotaan lain (5/1999) 3 §, muutetaan lain (6/1999) 1–3 §", "EUVL L 3, 3.3.2013, s. 3"), (3, None, "HE 9/2010"),
+        (4, "kumotaan 3 §", None), (5, "katso (8/1999)", ""), (6, "kumotaan 3 § ( 4 / 1999 )", "(EU) 2019/3")]
+    texts, acts = spark.createDataFrame(rows, "id int, clause string, works string"), spark.createDataFrame([("5/1999",), ("5/1999",), (None,), ("7/2001",)], "act string")
+    expected = [
+        (1, "amends", "5/1999", 3, True), (1, "cites", "7/2001", 2, True), (1, "prepared_by", "HE 1/2000", 2, None), (2, "repeals", "5/1999", 1, True), (2, "amends", "6/1999", 3, False), (2, "cites", "EUVL L 3", 1, None), (3, "prepared_by", "HE 9/2010", 1, None),
+        (5, "cites", "8/1999", 1, False), (6, "cites", "EU 2019/3", 1, None)]
+    for both in (False, True):
+        edges, _ = C.text_edges(texts, "id", "clause", "works", acts, both)
+        assert sorted(tuple(r[c] for c in ("id", "relation", "target", "n", "resolved")) for r in edges.collect()) == sorted(expected)
+    plan = C.text_edges(texts, "id", "clause", "works", acts)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan and plan.count("Join") == 1 and plan.count("Generate") == 1
+
+
 def test_graph_census(spark):
     nodes = spark.createDataFrame([("a", "act"), ("b", "act"), ("c", "section"), ("a", "act")], "node string, kind string")
     edges = spark.createDataFrame([("a", "cites", "b"), ("a", "cites", "b"), ("a", "amends", "x"), ("y", "cites", "b")], "src string, relation string, dst string")

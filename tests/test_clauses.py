@@ -114,3 +114,28 @@ def test_parse_clauses_gives_the_rows_asked_for(spark):
     whole = {tuple(r) for r in C.parse_clauses(df, "id", "t").collect()}
     parts = [{tuple(r) for r in C.parse_clauses(df, "id", "t", (kind,)).collect()} for kind in C.KINDS]
     assert [len(p) for p in parts] == [1, 1, 2] and set.union(*parts) == whole
+
+
+def test_statutes_are_those_of_the_ops():
+    clauses = ["kumotaan lain (5/1999) 3 §, muutetaan 5–9 § sekä lisätään lain (7/2001) 4 §:ään uusi 2 momentti, jolloin nykyiset 2–3 momentti siirtyvät 3–4 momentiksi", "kumotaan (1/2000) 3 § ja liite", "muutetaan 5 §:n otsikko (2/2000)", "kumotaan (3/2000)", "(4/2000) 3 §", "kumotaan 3 §"]
+    for text in clauses:
+        found = {}
+        for action, *_, statute in C.lowered(C.read_clause(text)):
+            if statute is not None:
+                n, only = found.get(statute, (0, True))
+                found[statute] = n + 1, only and action == "REPEAL"
+        assert C._by_statute(text) == found
+
+
+def test_order_clauses_deal_line_items_once(spark):
+    """One exchange and one scan of line items, and one of orders, for clauses and works."""
+    import os
+
+    from palimpsest.plans.drafting_queries import act_texts
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    plan = act_texts(spark, "/root/testdata/sf0.001")[0]._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("REPARTITION_BY_COL") == 1
+    spread = act_texts(spark, "/root/testdata/sf0.001")[0]._jdf.queryExecution().executedPlan().toString()
+    assert spread.count("Exchange hashpartitioning") == 1

@@ -63,3 +63,15 @@ def test_preparatory_references(spark):
     journal = rows.filter("oj_page is not null").first()
     assert (journal["oj_series"], journal["oj_date"], journal["oj_number"], journal["oj_page"]) == ("L", "2016-05-04", 119, 89) and rows.filter("he_number = 195 and he_year = 2025").count() == 1
     assert {r["candidate"] for r in rejected.collect()} == {"ja", "Euroopan parlamentin", "muistio 5"}
+
+
+def test_names_of_works_are_those_of_the_references(spark):
+    texts = [
+        "HE 2/2012 vp, EV 2/2012, direktiivi (EY) N:o 3/2002; EUVL L 3, 3.3.2003, s. 3", "PeVL 007/2000 vp; EVK 0010/2001  LA\t0004/2020 vp, EVM 1/2000, AVL 22/2222", "asetuksen (EU) 2016/0679 päätös (ETY) 12/87 (EEY) N:o 5/5 32016R0679, 32010D0001; EUVL C0009",
+        "direktiivin (EU) 2014/2015, (EY) 2014/2014 HE 0000/2000", "muistio 5", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    references = P.preparatory_references(docs, "id", "t")[0].orderBy("id", "nth").collect()
+    named = {r["id"]: [tuple(x) for x in r["n"] or []] for r in docs.select("id", P.named_works(F.col("t")).alias("n")).collect()}
+    assert named == {k: [(r["kind"], r["canonical_id"]) for r in references if r["id"] == k] for k in range(len(texts))}
+    assert [x[1] for k in range(4) for x in named[k]] == [
+        "HE 2/2012", "EV 2/2012", "32002L0003", "EUVL L 3", "PeVL 7/2000", "EVK 10/2001", "LA 4/2020", "EVM 1/2000", "AVL 22/2222", "EU 2016/679", "31987D0012", "EU 1905/5", "32016R0679", "32010D0001", "EUVL C 9", "32015L2014", "EU 2014/2014", "HE 0/2000"]
